@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .curve_packing import pack_along_curve
+from .minhash import near_duplicates
 from .pfor import read_ids, write_ids
 
 
@@ -18,6 +19,10 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op3_curve_packing)}
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op3_curve_packing, op7_circulant_minhash)}
 
 ORACLE_SQL: dict[str, str] = {}

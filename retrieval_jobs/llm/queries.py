@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .curve_packing import pack_along_curve
 from .minhash import near_duplicates
 from .pfor import read_ids, write_ids
+from .preference import train_quality, with_quality
+from .toxicity import train_toxicity, with_toxicity
 
 
 def op1_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def _scored(scored: DataFrame, score: str, folds: int, fold: int) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
+    return _scored(with_quality(docs, model), "quality_score", 3, 1)
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -23,6 +36,12 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op3_curve_packing, op7_circulant_minhash)}
+def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op7_circulant_minhash, op10_ngram_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: At most so many labelled rows are fitted on; the order by hash makes the choice the same in every run.
-TRAINING_ROWS = 8_000
+TRAINING_ROWS = 12_000
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = TRAINING_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .curve_packing import pack_along_curve
+from .line_spread import without_spread_lines
 from .minhash import near_duplicates
 from .pfor import read_ids, write_ids
 from .preference import train_quality, with_quality
@@ -32,6 +33,29 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP4_SQL = """
+WITH cut AS (
+  SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut
+), spread AS (
+  SELECT line, min(doc_id) AS first_doc FROM lines
+  WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 10
+), judged AS (
+  SELECT l.doc_id, l.pos, l.line, (s.line IS NOT NULL AND l.doc_id IS DISTINCT FROM s.first_doc) AS removed
+  FROM lines l LEFT JOIN spread s ON l.line = s.line
+)
+SELECT d.doc_id, count(j.pos) AS n_lines, count(j.pos) FILTER (WHERE j.removed) AS n_removed,
+       CASE WHEN any_value(d.text) IS NOT NULL
+            THEN coalesce(string_agg(j.line, chr(10) ORDER BY j.pos) FILTER (WHERE NOT j.removed), '') END AS text
+FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
+"""
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -42,6 +66,6 @@ def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op7_circulant_minhash, op10_ngram_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op7_circulant_minhash, op10_ngram_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_spread": OP4_SQL}

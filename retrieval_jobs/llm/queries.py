@@ -11,7 +11,9 @@ from .curve_packing import pack_along_curve
 from .line_spread import without_spread_lines
 from .minhash import near_duplicates
 from .pfor import read_ids, write_ids
+from .pivot_index import linked_vectors
 from .preference import train_quality, with_quality
+from .projection_forest import nearest_neighbours
 from .toxicity import train_toxicity, with_toxicity
 
 
@@ -56,16 +58,25 @@ FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
 """
 
 
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
     return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op7_circulant_minhash, op10_ngram_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op6_projection_forest, op7_circulant_minhash, op9_pivot_permutation, op10_ngram_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op4_line_spread": OP4_SQL}

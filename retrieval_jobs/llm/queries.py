@@ -10,6 +10,7 @@ from .common import held_out, table
 from .curve_packing import pack_along_curve
 from .line_spread import without_spread_lines
 from .minhash import near_duplicates
+from .page_text import main_text
 from .pfor import read_ids, write_ids
 from .pivot_index import linked_vectors
 from .preference import train_quality, with_quality
@@ -58,6 +59,10 @@ FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
 """
 
 
+def op5_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -77,6 +82,6 @@ def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op6_projection_forest, op7_circulant_minhash, op9_pivot_permutation, op10_ngram_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op5_url_differencing, op6_projection_forest, op7_circulant_minhash, op9_pivot_permutation, op10_ngram_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op4_line_spread": OP4_SQL}

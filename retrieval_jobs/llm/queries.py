@@ -12,6 +12,7 @@ from .line_spread import without_spread_lines
 from .minhash import near_duplicates
 from .page_text import main_text
 from .pfor import read_ids, write_ids
+from .piece_codec import verified_pieces
 from .pivot_index import linked_vectors
 from .preference import train_quality, with_quality
 from .projection_forest import nearest_neighbours
@@ -72,6 +73,10 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -82,6 +87,6 @@ def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op5_url_differencing, op6_projection_forest, op7_circulant_minhash, op9_pivot_permutation, op10_ngram_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op5_url_differencing, op6_projection_forest, op7_circulant_minhash, op8_piece_codec, op9_pivot_permutation, op10_ngram_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op4_line_spread": OP4_SQL}

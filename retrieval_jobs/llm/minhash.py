@@ -14,6 +14,7 @@ from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
 BANDS, ROWS = 22, 5  # at a similarity of 0.8, one pair in 6,000 meets in no band
+BLOCK = 512  # members of either side of a bucket that a task holds at once
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most go to every executor; more are joined by a shuffle
 
 
@@ -63,10 +64,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc ids whose texts' full sets are similar enough."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    texts = materialize(texts, "pair-texts")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +85,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids (doc_id), each id there once."""
+    ids = materialize(ids, "wanted-ids")
+    small = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    return materialize(texts, "wanted-texts")
+
+
+def _outside_links(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of members outside their bucket's main component with other members, the smallest one checked already.
+
+    Of buckets with the same members one is taken. Both sides of a bucket are dealt to blocks, and a task
+    goes through the groups of its blocks one after another. At most one link is given for each member
+    and component that it links with, since components are all that links are for.
+    """
+    sizes = placed.groupBy("bucket").agg(F.sum(F.col("outside").cast("long")).alias("out"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    sizes = sizes.where("out > 0 and size > 2").groupBy("who", "size", "out").agg(F.min("bucket").alias("bucket"))
+    blocks = materialize(sizes.select("bucket", F.ceil(F.col("out") / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks")), "bucket-blocks")
+    rows = placed.where("rep <> pivot").join(blocks, "bucket")
+
+    def deal(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+        side = side.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        group = F.xxhash64("bucket", *(("mine", "theirs") if number == 0 else ("theirs", "mine")))
+        return side.select(group.alias("group"), F.lit(number).alias("side"), "rep", "component", "outside")
+
+    dealt = materialize(deal(rows.where("outside"), 0, "out_blocks", "all_blocks").unionByName(deal(rows, 1, "all_blocks", "out_blocks")), "dealt")
+    texts = _texts(docs, dealt.select(F.col("rep").alias("doc_id")).distinct())
+
+    def links(members: list[dict]) -> Iterator[tuple[int, int]]:
+        sets = shingle_sets([m["text"] for m in members], words)
+        many = [k for k, m in enumerate(members) if m["side"] == 1]
+        if not many or not any(m["side"] == 0 for m in members):
+            return
+        sizes = np.array([len(sets[k]) for k in many])
+        held = np.concatenate([sets[k] for k in many])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], np.repeat(np.arange(len(many)), sizes)[order]
+        reps = np.array([members[k]["rep"] for k in many])
+        components = np.array([members[k]["component"] for k in many])
+        outside = np.array([members[k]["outside"] for k in many])
+        for k, one in enumerate(members):
+            if one["side"] == 1 or not len(sets[k]):
+                continue
+            low, high = np.searchsorted(held, sets[k], "left"), np.searchsorted(held, sets[k], "right")
+            n = high - low
+            shared = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(many))
+            good = (100 * shared >= percent * (len(sets[k]) + sizes - shared)) & (components != one["component"]) & (~outside | (reps < one["rep"]))
+            _, first = np.unique(components[good], return_index=True)
+            yield from ((one["rep"], int(rep)) for rep in reps[good][first])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, found = None, [], []
+        for batch in slices(batches, 512):
+            for row in batch.to_pylist():
+                if row["group"] != group:
+                    found += links(members)
+                    group, members = row["group"], []
+                members.append(row)
+        found += links(members)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    full = dealt.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -96,9 +161,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Equal sets are one class, named by its smallest doc_id, so copies are never paired. Classes that
     share a band are candidates. First each class is held against the smallest one of each of its
     buckets, exactly; most buckets then lie in one component. Where one doesn't, its members outside the
-    smallest one's component are held against all other members that they are not yet connected to. So
-    every candidate pair is either checked or already connected, and a bucket of many near copies costs
-    checks in proportion to its size. No bucket is capped.
+    smallest one's component are held against all other members that they are not yet connected to, in
+    blocks. So every candidate pair is either checked or already connected. No bucket is capped, and no
+    pairs are written but links.
 
     A null or blank text has no shingles and links with nothing. Rows of equal doc_id count as one
     document. A null doc_id has null component_id and kept, and doesn't link. An empty table gives none.
@@ -120,16 +185,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
     placed = placed.join(found.select(F.col("id").alias("pivot"), F.col("component_id").alias("pivot_component")), "pivot", "left")
-    placed = materialize(placed.withColumn("outside", F.col("component") != F.coalesce("pivot_component", "pivot")).select("bucket", "rep", "n_shingles", "pivot", "component", "outside"), "placed")
-    outside = materialize(placed.where("outside"), "outside").select("bucket", F.col("rep").alias("x"), F.col("n_shingles").alias("x_n"), F.col("component").alias("x_component"))
-    others = placed.where(F.col("rep") != F.col("pivot")).drop("pivot")
-    rest = outside.join(others, "bucket").where(F.col("component") != F.col("x_component")).where(~F.col("outside") | (F.col("x") < F.col("rep"))).where(fits("n_shingles", "x_n"))
-    rest = rest.select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, docs, words, percent), "rest-links")
-        if not more.isEmpty():
-            found = connected_components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
+    placed = placed.withColumn("outside", F.col("component") != F.coalesce("pivot_component", "pivot"))
+    placed = materialize(placed.select("bucket", "rep", "pivot", "component", "outside"), "placed")
+    more = materialize(_outside_links(placed, docs, words, percent), "outside-links")
+    if not more.isEmpty():
+        found = connected_components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
 
     named = classes.drop("bands").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
     named = materialize(named, "class-components")

@@ -56,10 +56,10 @@ def without_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     own = _lines(docs.select("doc_id", "text"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.lit(min_chars).alias("min_chars"))
     hit = own.join(_sized(spread, BROADCAST_LINES), ["one", "two"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     removed = materialize(hit.groupBy(F.col("doc_id").alias("removed_doc"), F.col("text_hash").alias("removed_hash")).agg(F.collect_set("pos").alias("removed")), "removed-lines")
-    both = docs.join(removed, docs.doc_id.eqNullSafe(removed.removed_doc) & (F.xxhash64(docs.text) == removed.removed_hash), "left")
-    cut, none = F.split("text", "\n", -1), F.array().cast("array<int>")
-    gone = F.coalesce("removed", none)
+    both = docs.join(removed, docs["doc_id"].eqNullSafe(removed["removed_doc"]) & (F.xxhash64(docs["text"]) == removed["removed_hash"]), "left")
+    body = docs["text"]
+    cut, gone = F.split(body, "\n", -1), F.coalesce(removed["removed"], F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), gone)
-    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(cut, k + 1)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(cut)).cast("long"), "n_removed": F.size(gone).cast("long")}
+    text = F.when(F.size(gone) == 0, body).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(cut, k + 1)), "\n"))
+    counts = {"n_lines": F.when(body.isNull(), F.lit(0)).otherwise(F.size(cut)).cast("long"), "n_removed": F.size(gone).cast("long")}
     return both.select(*[(text.alias("text") if c == "text" else docs[c]) for c in docs.columns], *[v.alias(k) for k, v in counts.items()])

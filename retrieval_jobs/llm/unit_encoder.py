@@ -11,6 +11,16 @@ from itertools import chain
 import numpy as np
 
 
+#: White space other than the blank and the line end, in ASCII and beyond.
+ODD_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _is_irregular(text: str) -> bool:
+    """Is there white space of which several characters could form one token?"""
+    return "\n\n" in text or any(c in text for c in ODD_BLANKS) or (not text.isascii() and any(c in text for c in WIDE_BLANKS))
+
+
 class UnitEncoder:
     """Token ids of whole texts: the ids of a text are those of its units, and units recur.
 
@@ -42,14 +52,11 @@ class UnitEncoder:
             self._clear()
         codes, sizes, whole = [], [], {}
         for k, text in enumerate(texts):
-            units = text.split()
-            lines = text.count("\n")
-            if not units or len(units) != text.count(" ") + lines + 1:
+            units = text.replace("\n", " \n").split(" ")
+            if "" in units or _is_irregular(text):
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else (), np.uint32)
                 sizes.append(0)
                 continue
-            if lines:
-                units = text.replace("\n", " \n").split(" ")
             units[0] = (units[0],)
             codes += map(self.codes.__getitem__, units)
             sizes.append(len(units))

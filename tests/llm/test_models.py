@@ -87,8 +87,12 @@ FRAME = '<html><head><title>T</title></head><body><div class="top"><p>Our site</
     ],
 )
 def test_page_lines(page, want):
-    article, main, _ = page_text.page_lines(page)
-    assert (article or main) == want
+    assert page_text.page_lines(page)[0] == want
+
+
+def test_chrome_lines_are_told_apart():
+    page = FRAME.format("<nav><li>menu <a href='x'>item</a></li><script>no</script></nav><p>open</p><footer>foot</footer>")
+    assert page_text.page_lines(page) == ([], [("Our site", True), ("menu item", False), ("open", True), ("foot", False), ("Call us", True)])
 
 
 def plain_lcs(a, b):

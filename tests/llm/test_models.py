@@ -157,11 +157,9 @@ def test_pipeline(spark):
         seen[name] = (before.collect(), docs.collect())
         if name != "packing":
             assert docs.columns == before.columns
-    for name, model, score, keep in (
-        ("quality", preference.train_quality(table(spark, DATA, "documents"), table(spark, DATA, "labels"), ~held_out(F.col("doc_id"), 3, 1)), lambda m, t: m.scores(np.array([preference.text_statistics(t)]))[0], lambda s: s >= 0.5),
-    ):
-        before, after = seen[name]
-        assert {r.doc_id for r in after} == {r.doc_id for r in before if keep(score(model, r.text or ""))}
+    model = preference.train_quality(table(spark, DATA, "documents"), table(spark, DATA, "labels"), ~held_out(F.col("doc_id"), 3, 1))
+    before, after = seen["quality"]
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if model.scores(np.array([preference.text_statistics(r.text or "")]))[0] >= 0.5}
     before, after = seen["toxicity"]
     assert {r.doc_id for r in after} < {r.doc_id for r in before}
     before, after = seen["lines"]
@@ -176,4 +174,5 @@ def test_pipeline(spark):
     before, after = seen["packing"]
     assert {r.doc_id for r in after} == {r.doc_id for r in before}
     assert sum(r.length for r in after) == sum({r.doc_id: r.doc_tokens for r in after}.values())
-    assert corpus_pipeline.run(spark, DATA).count() == len(after)
+    # how documents are cut depends on the number of tasks, but not what is packed
+    assert {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, DATA).collect()} == {(r.doc_id, r.doc_tokens) for r in after}

@@ -12,6 +12,8 @@ from .operators import answers, assemble, chunking, embedding, search, status, t
 from .plans import answer as answer_plan
 from .plans import ingest as ingest_plan
 from .sources import uploads
+from .sources.scratch import scratch_path
+from .streaming.status_stream import start_status_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -213,6 +215,15 @@ def s7_split_by_size(spark, sf_dir):
     return uploads.split_by_size(_documents(spark, sf_dir), 2).select("document_id", "stored_inline", "stored")
 
 
+@query("SELECT source AS tenant_id, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM documents GROUP BY source")
+def s4_chunk_table(spark, sf_dir):
+    """Writes documents as chunks of one tenant per source, and sums up what is read back."""
+    chunks = _table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    path = scratch_path(spark, "chunks")
+    uploads.write_chunks(chunks, path)
+    return uploads.read_chunks(spark, path).groupBy("tenant_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("characters"))
+
+
 # Text assembly and chunking --------------------------------------------------------------------------------
 
 
@@ -589,6 +600,24 @@ def d3_status_history(spark, sf_dir):
     return status.status_history(hourly).select("document_id", _when("transition_at").alias("transition_at"), "status", F.try_element_at("extra", F.lit("k")).alias("k"))
 
 
+@query(ORACLE_SQL["d1_current_status"])
+def d4_status_stream(spark, sf_dir):
+    """The log as a stream, all that is there; the last row of each document is what the batch fold gives."""
+    raw = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    names = F.create_map(*[F.lit(x) for pair in EVENT_STATUS.items() for x in pair])
+    events = raw.select(F.col("user_id").cast("string").alias("document_id"), F.element_at(names, F.col("event_type")).alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.from_json("props", "map<string,string>").alias("extra"))
+    path = scratch_path(spark, "status-stream")
+
+    def write(name: str, rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch:09d}")
+
+    for running in start_status_stream(events, write, f"{path}/checkpoint", availableNow=True):
+        running.awaitTermination()
+    seen = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/current")
+    last = seen.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in seen.columns if c != "document_id"]), "batch").alias("e")).select("document_id", "e.*")
+    return last.select("document_id", "status", _when("updated_at").alias("updated_at"), _when("start_at").alias("start_at"), _when("end_at").alias("end_at"), "duration", F.try_element_at("extra", F.lit("k")).alias("k"))
+
+
 @query(f"WITH {SQL_EVENTS} SELECT document_id, seq, status FROM log WHERE status = 'PROCESS_FAILED' AND k = '1'")
 def d5_find_by_fields(spark, sf_dir):
     items = _events(spark, sf_dir).withColumn("k", F.try_element_at("extra", F.lit("k")))

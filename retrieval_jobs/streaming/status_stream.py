@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ def _stamp(micros: int) -> pd.Timestamp | None:
     return None if micros < 0 else pd.Timestamp(micros, unit="us")
 
 
-def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState, forget_after: int | None) -> Iterator[pd.DataFrame]:
     """Merges a document's new events into its state; within a micro-batch in order of (at, seq)."""
     if state.hasTimedOut:
         state.remove()
@@ -46,29 +47,33 @@ def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iter
             if name not in extra or (at, seq) >= extra[name][1:]:
                 extra[name] = (value, at, seq)
     state.update((last_at, last_seq, status, start_at, start_seq, end_at, duration, list(extra), [x[0] for x in extra.values()], [x[1] for x in extra.values()], [x[2] for x in extra.values()]))
-    if status in TERMINAL:
-        state.setTimeoutDuration(7 * 24 * 3600 * 1000)  # a closed document's state goes a week later
+    if forget_after is not None and status in TERMINAL:
+        state.setTimeoutDuration(forget_after)
     row = (key[0], status, _stamp(last_at), _stamp(start_at), _stamp(end_at), None if duration < 0 else duration, {n: x[0] for n, x in extra.items()})
     yield pd.DataFrame([row], columns=["document_id", "status", "updated_at", "start_at", "end_at", "duration", "extra"]).astype({"duration": "Int64"})
 
 
-def status_stream(events: DataFrame) -> DataFrame:
+def status_stream(events: DataFrame, forget_after: int | None = None) -> DataFrame:
     """A stream of updated rows per document from a stream (document_id, status, at, seq, extra).
 
     The rows that come last for each document are those of current_status over all events, as long as
     events arrive in order of (at, seq) across micro-batches; inside one they may come in any order.
     An event that arrives after later ones is merged by its time, but a duration that was set stays.
+    With forget_after, the state of a document with a terminal status is dropped so many milliseconds
+    after its last event. Spark then goes on running batches to look for such states, so a query that
+    should end by itself (availableNow) must leave it out.
     """
-    return events.groupBy("document_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("document_id").applyInPandasWithState(partial(_fold, forget_after=forget_after), OUTPUT, STATE, "update", timeout)
 
 
-def start_status_stream(events: DataFrame, write: Callable[[str, DataFrame, int], None], checkpoint: str, **trigger):
+def start_status_stream(events: DataFrame, write: Callable[[str, DataFrame, int], None], checkpoint: str, forget_after: int | None = None, **trigger):
     """Runs the fold with history and notifications: write(name, rows, batch_id) gets each micro-batch's three tables.
 
     Names are current, history and notifications. A batch that is run again has the same batch_id, so that
     write can replace what the first try left.
     """
-    folded = events.groupBy("document_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    folded = status_stream(events, forget_after)
     main = folded.writeStream.outputMode("update").foreachBatch(lambda rows, n: write("current", rows, n)).option("checkpointLocation", f"{checkpoint}/current").trigger(**trigger).start()
 
     def log(rows: DataFrame, n: int) -> None:

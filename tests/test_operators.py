@@ -154,7 +154,7 @@ def test_status_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     queries = start_status_stream(stream, lambda name, df, n: seen[name].append(df.collect()), str(tmp_path / "checkpoint"), availableNow=True)
     for q in queries:
-        q.awaitTermination(120)
+        assert q.awaitTermination(120)
     last = {}
     for batch in seen["current"]:
         last |= folded(batch)

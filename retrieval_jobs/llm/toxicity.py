@@ -92,7 +92,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, rows: in
         for batch in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([pa.array([draft.found(x) for x in batch.column(0).to_pylist()], pa.list_(pa.int16())), batch.column(1)], names=["found", "label"])
 
-    got = sample.mapInArrow(present, "found array<smallint>, label int").orderBy("label", "found").collect()
+    got = sorted(sample.mapInArrow(present, "found array<smallint>, label int").collect(), key=lambda r: (r.label, r.found))
     label = np.array([r.label for r in got], np.float64)
     sizes = np.array([len(r.found) for r in got])
     row = np.repeat(np.arange(len(got)), sizes)

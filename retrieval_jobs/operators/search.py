@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import cosine_distance, dot, norm
 
 DEFAULT_K = 50
 MOST_QUESTIONS = 20_000  # so many questions at most are sent to every task; more are joined
@@ -22,6 +22,16 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_text", "distance")
 
 
+def _measured(df: DataFrame, vector: str, as_vector: str, as_norm: str) -> DataFrame:
+    """df with the vector in double precision and its length, so that a join doesn't work them out for every pair."""
+    return df.withColumn(as_vector, F.col(vector).cast("array<double>")).withColumn(as_norm, norm(F.col(as_vector)))
+
+
+def _pair_distance():
+    lengths = F.col("x_norm") * F.col("q_norm")
+    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(1 - F.try_divide(dot(F.col("x"), F.col("q")), lengths)).alias("distance")
+
+
 def _wanted_document(wanted: str = "wanted_document"):
     return F.coalesce(F.col(wanted), F.lit("")).isin("") | (F.col(wanted) == F.col("document_id"))
 
@@ -35,11 +45,13 @@ def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K) -> Da
     are sent by query.
     """
     asked = queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"), "query_embedding", "wanted_document")
+    asked = _measured(asked, "query_embedding", "q", "q_norm").drop("query_embedding")
+    chunks = _measured(chunks.select("tenant_id", "agent_id", "document_id", "chunk_id", "chunk_text", "embedding"), "embedding", "x", "x_norm").drop("embedding")
     any_agent = F.coalesce(F.col("q_agent"), F.lit("")) == ""
     named = asked.where(~any_agent).join(chunks, (F.col("q_tenant") == chunks.tenant_id) & (F.col("q_agent") == chunks.agent_id))
     free = asked.where(any_agent).join(chunks, F.col("q_tenant") == chunks.tenant_id)
     met = named.unionByName(free).where(_wanted_document())
-    return _ranked(met.select("query_id", "chunk_id", "chunk_text", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance")), k)
+    return _ranked(met.select("query_id", "chunk_id", "chunk_text", _pair_distance()), k)
 
 
 def nearest_chunks(chunks: DataFrame, query_embedding: list[float], k: int = 3) -> DataFrame:
@@ -67,24 +79,31 @@ def topk_search_blocks(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K
     id_type = chunks.schema["chunk_id"].dataType.simpleString()
     needed = chunks.select("tenant_id", "agent_id", "document_id", "chunk_id", "chunk_text", "embedding")
 
+    none, not_a_number = 2e300, 1e300  # stand for a null and an undefined distance, so that they come last
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
         for batch in batches:
-            table = batch.to_pydict()
+            tenants, agents, documents, ids, texts, rows = (c.to_pylist() for c in batch.columns)
             members: dict = {}
-            for n, (tenant, agent) in enumerate(zip(table["tenant_id"], table["agent_id"], strict=True)):
+            for n, (tenant, agent) in enumerate(zip(tenants, agents, strict=True)):
                 for key in {(tenant, agent), (tenant, None)}:
                     if key in shared.value:
                         members.setdefault(key, []).append(n)
             for key, places in members.items():
                 own, vectors = shared.value[key]
-                x = np.array([table["embedding"][n] if table["embedding"][n] is not None else np.full(vectors.shape[1], np.nan) for n in places], np.float64)
+                missing = np.array([rows[n] is None for n in places])
+                x = np.array([np.zeros(vectors.shape[1]) if rows[n] is None else rows[n] for n in places], np.float64)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     distance = 1 - vectors @ x.T / np.outer(np.linalg.norm(vectors, axis=1), np.linalg.norm(x, axis=1))
+                distance = np.where(missing, none, np.where(np.isnan(distance), not_a_number, distance))
+                names, of = np.array([ids[n] for n in places]), np.array([documents[n] or "" for n in places])
                 for q, row in zip(own, distance, strict=True):
-                    found = [(bool(table["embedding"][n] is None), np.isnan(d), d, table["chunk_id"][n], table["chunk_text"][n]) for n, d in zip(places, row.tolist(), strict=True) if not q.wanted_document or q.wanted_document == table["document_id"][n]]
-                    best[q.query_id] = sorted(best.get(q.query_id, []) + found, key=lambda f: (f[0], f[1], 0 if f[1] else f[2], f[3]))[:k]
-        out = [(q, f[3], f[4], None if f[0] else f[2]) for q, found in best.items() for f in found]
+                    there = np.flatnonzero(of == q.wanted_document) if q.wanted_document else np.arange(len(places))
+                    order = there[np.lexsort((names[there], row[there]))][:k]
+                    found = [(float(row[n]), ids[places[n]], texts[places[n]]) for n in order]
+                    best[q.query_id] = sorted(best.get(q.query_id, []) + found, key=lambda f: f[:2])[:k]
+        out = [(q, i, text, None if d == none else float("nan") if d == not_a_number else d) for q, found in best.items() for d, i, text in found]
         if out:
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64(), from_pandas=False)], names=["query_id", "chunk_id", "chunk_text", "distance"])
@@ -120,6 +139,8 @@ def ivf_search(queries: DataFrame, centers: np.ndarray, index: DataFrame, k: int
     """topk_search among the chunks of the probes nearest lists; filters come after, so fewer than k may be left."""
     asked = queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"), "query_embedding", "wanted_document")
     probed = _nearest_lists(asked, "query_embedding", centers, probes).withColumn("list_id", F.explode("list_ids")).drop("list_ids")
-    met = probed.join(index, "list_id").where((F.col("q_tenant") == F.col("tenant_id")) & _wanted_document())
+    probed = _measured(probed, "query_embedding", "q", "q_norm").drop("query_embedding")
+    listed = _measured(index.select("tenant_id", "agent_id", "document_id", "chunk_id", "chunk_text", "embedding", "list_id"), "embedding", "x", "x_norm").drop("embedding")
+    met = probed.join(listed, "list_id").where((F.col("q_tenant") == F.col("tenant_id")) & _wanted_document())
     met = met.where((F.coalesce(F.col("q_agent"), F.lit("")) == "") | (F.col("q_agent") == F.col("agent_id")))
-    return _ranked(met.select("query_id", "chunk_id", "chunk_text", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance")), k)
+    return _ranked(met.select("query_id", "chunk_id", "chunk_text", _pair_distance()), k)

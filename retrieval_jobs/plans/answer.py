@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tenant_key
 from ..operators.answers import assemble_context, generate_answers, parse_completion, render_prompts, validate_requests
 from ..operators.embedding import Encoder, embed
-from ..operators.search import DEFAULT_K, topk_search
+from ..operators.search import DEFAULT_K, topk_search_blocks
 from ..operators.tenants import attach_prompt_template
 
 
@@ -21,7 +21,7 @@ def answer_prompts(requests: DataFrame, chunks: DataFrame, agents: DataFrame, k:
     """
     valid = validate_requests(requests).where("status_code = 200").drop("status_code", "error").withColumnRenamed("document_id", "wanted_document")
     keyed = valid.withColumn("tenant_id", tenant_key(F.col("tenant_id")))
-    hits = topk_search(keyed, chunks, k)
+    hits = topk_search_blocks(keyed, chunks, k)
     ready = attach_prompt_template(assemble_context(keyed.drop("query_embedding"), hits), agents)
     return render_prompts(ready)
 

@@ -109,6 +109,11 @@ def _merges(model: PieceModel) -> list[tuple[str, str]]:
     return [(a, b) for _, _, _, a, b in sorted(out)]
 
 
+def words_end_pieces(model: PieceModel) -> bool:
+    """Does no piece go on past a word's end? Then words can be encoded one by one."""
+    return not any(MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind in (NORMAL, USER))
+
+
 def build(model: PieceModel):
     """A tokenizers.Tokenizer that gives the model's ids."""
     os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", THREADS
@@ -133,18 +138,92 @@ def build(model: PieceModel):
     if model.escape_blanks:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind in (NORMAL, USER)):
-        # no piece goes on past a word's end, so that words can be encoded one by one
+    if words_end_pieces(model):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
     ends = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
     return tokenizer
 
 
+class PieceEncoder:
+    """Ids of whole texts; where the model takes a text word by word, each distinct word is encoded once.
+
+    Words are what single blanks part. Texts that begin or end with a blank, have several in a row or
+    hold the mark itself go to the library whole, as do all texts of models that change white space.
+    At ``limit`` words the store is emptied, so memory stays bounded.
+    """
+
+    def __init__(self, data: bytes, limit: int = 1_000_000):
+        model = parse_model(data)
+        self.tokenizer = build(model)
+        self.by_word = words_end_pieces(model) and model.dummy_prefix and model.escape_blanks and not (model.charsmap or model.drop_extra_blanks)
+        self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes = _Numbers()
+        self.ids = np.zeros(0, np.int32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.codes) > self.limit:
+            self._clear()
+        rows: list[list[int] | None] = []
+        for text in texts:
+            words = text.split(" ")
+            plain = self.by_word and MARK not in text and "" not in words
+            rows.append(list(map(self.codes.__getitem__, words)) if plain else None)
+        whole = iter(self._library([t for t, row in zip(texts, rows, strict=True) if row is None]))
+        self._learn()
+        codes = np.array([c for row in rows if row for c in row], np.int64)
+        n = self.lengths[codes]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[codes] - ends + n, n)]
+        last, at, out = np.cumsum([len(row) for row in rows if row]) - 1, 0, []
+        cuts = iter(ends[last].tolist() if len(last) else ())
+        for row in rows:
+            if row is None:
+                out.append(np.array(next(whole), np.int32))
+            else:
+                end = next(cuts)
+                out.append(ids[at:end])
+                at = end
+        return out
+
+    def _learn(self) -> None:
+        new, self.codes.new = self.codes.new, []
+        if new:
+            got = self._library(new)
+            lengths = np.array([len(x) for x in got], np.int64)
+            self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.ids)])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.int32)])
+
+
+class _Numbers(dict):
+    """Numbers words in order of appearance; ``new`` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = len(self)
+        return len(self) - 1
+
+
 @lru_cache(maxsize=2)
-def piece_tokenizer(data: bytes):
+def piece_encoder(data: bytes) -> PieceEncoder:
     """One for each Python worker."""
-    return build(parse_model(data))
+    return PieceEncoder(data)
+
+
+def piece_tokenizer(data: bytes):
+    return piece_encoder(data).tokenizer
 
 
 @lru_cache(maxsize=2)
@@ -163,10 +242,10 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
         data = f.read()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = piece_tokenizer(data)
+        encoder = piece_encoder(data)
         for batch in slices(batches, 256):
-            got = tokenizer.encode_batch_fast([x or "" for x in batch.column(1).to_pylist()], add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.ids for x in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            got = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -196,15 +275,16 @@ def verified_pieces(docs: DataFrame, model_file: str) -> DataFrame:
         data = f.read()
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, reference = piece_tokenizer(data), reference_processor(data)
+        encoder, reference = piece_encoder(data), reference_processor(data)
         for batch in slices(batches, 256):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            packed = encoder.encode(texts)
+            ids = [x.tolist() for x in packed]
             wanted = reference.encode(texts, num_threads=int(THREADS))
-            back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+            back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
             columns = [
                 pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()),
+                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in packed], pa.int64()),
                 pa.array([a == b for a, b in zip(ids, wanted, strict=True)], pa.bool_()),
                 pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_()),
             ]

@@ -124,7 +124,11 @@ def test_piece_codec(spark):
 def test_piece_parity(text):
     with open(PIECES, "rb") as f:
         data = f.read()
-    assert piece_codec.piece_tokenizer(data).encode(text, add_special_tokens=False).ids == piece_codec.reference_processor(data).encode(text)
+    want = piece_codec.reference_processor(data).encode(text)
+    assert piece_codec.piece_tokenizer(data).encode(text, add_special_tokens=False).ids == want
+    first, second = piece_codec.piece_encoder(data).encode([text, "x " + text])
+    assert first.tolist() == want
+    assert second.tolist() == piece_codec.reference_processor(data).encode("x " + text)
 
 
 def unigram_model() -> bytes:
@@ -147,4 +151,6 @@ def unigram_model() -> bytes:
 def test_unigram_parity(text):
     data = unigram_model()
     assert piece_codec.parse_model(data).kind == piece_codec.UNIGRAM
-    assert piece_codec.build(piece_codec.parse_model(data)).encode(text, add_special_tokens=False).ids == piece_codec.reference_processor(data).encode(text)
+    want = piece_codec.reference_processor(data).encode(text)
+    assert piece_codec.build(piece_codec.parse_model(data)).encode(text, add_special_tokens=False).ids == want
+    assert piece_codec.PieceEncoder(data, limit=2).encode(["", text, "a"])[1].tolist() == want

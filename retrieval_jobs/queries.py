@@ -312,7 +312,7 @@ def e1_embedding_requests(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", embedding.embedding_request(F.col("text")).alias("request"))
 
 
-@query()
+@query("SELECT doc_id, 64 AS size, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END AS length FROM documents")
 def e2_embed(spark, sf_dir):
     out = embedding.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"), embedding.hash_encoder, "text")
     return out.select("doc_id", F.size("embedding").alias("size"), F.round(vectors.norm(F.col("embedding")), 3).alias("length"))
@@ -463,11 +463,12 @@ def r7_validate_requests(spark, sf_dir):
     return answers.validate_requests(rows).select("conv_id", "turn", F.col("status_code").cast("long"), "error")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 200 ELSE 400 END AS status_code,
-  CASE turn % 5 WHEN 1 THEN 'Se requiere el campo ''tenant_id''' WHEN 2 THEN 'Se requiere el campo ''prompt''' WHEN 3 THEN 'Error al parsear JSON' WHEN 4 THEN 'Se requiere el campo ''prompt''' END AS error,
-  CASE WHEN turn % 5 < 2 THEN text END AS prompt FROM conversations WHERE length(text) > 0""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 AND coalesce(length(text), 0) > 0 THEN 200 ELSE 400 END AS status_code,
+  CASE WHEN turn % 5 = 3 THEN 'Error al parsear JSON' WHEN turn % 5 IN (2, 4) OR coalesce(length(text), 0) = 0 THEN 'Se requiere el campo ''prompt'''
+       WHEN turn % 5 = 1 THEN 'Se requiere el campo ''tenant_id''' END AS error,
+  CASE WHEN turn % 5 < 2 THEN text END AS prompt FROM conversations""")
 def r7_validate_gateway(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").where("length(text) > 0")
+    rows = _table(spark, sf_dir, "conversations")
     kind = F.col("turn") % 5
     body = (
         F.when(kind == 0, F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("a").alias("tenant_id"))))
@@ -479,12 +480,12 @@ def r7_validate_gateway(spark, sf_dir):
     return out.select("conv_id", "turn", F.col("status_code").cast("long"), "error", "prompt")
 
 
-@query("""SELECT conv_id, turn, '{"messages":[{"role":"user","content":' || to_json(text)::VARCHAR || '}],"max_tokens":2048,"temperature":0.1,"top_p":0.5}' AS request FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, '{"messages":[{"role":"user","content":' || to_json(coalesce(text, ''))::VARCHAR || '}],"max_tokens":2048,"temperature":0.1,"top_p":0.5}' AS request FROM conversations""")
 def r8_llm_requests(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", answers.llm_request(F.col("text")).alias("request"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.llm_request(F.coalesce("text", F.lit(""))).alias("request"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN length(text)::VARCHAR WHEN length(text) % 3 = 0 THEN 'fallback' END AS answer, CASE WHEN length(text) % 2 = 0 THEN 1 WHEN length(text) % 3 = 0 THEN 3 ELSE 4 END AS attempts FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN length(text)::VARCHAR WHEN length(text) % 3 = 0 THEN 'fallback' END AS answer, CASE WHEN text IS NULL THEN 0 WHEN length(text) % 2 = 0 THEN 1 WHEN length(text) % 3 = 0 THEN 3 ELSE 4 END AS attempts FROM conversations")
 def r9_generate_answers(spark, sf_dir):
     def main(prompt: str) -> str:
         if len(prompt) % 2:
@@ -496,16 +497,16 @@ def r9_generate_answers(spark, sf_dir):
             raise RuntimeError("busy")
         return "fallback"
 
-    prompts = _table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("prompt"))
+    prompts = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
     return answers.generate_answers(prompts, main, fallback).select("conv_id", "turn", "answer", F.col("attempts").cast("long"))
 
 
-@query("""SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 2 THEN '<reasoning>open ' || text ELSE text || ' and ' || text END, chr(9) || chr(10) || chr(13) || ' ') AS answer FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, coalesce(trim(CASE WHEN turn % 3 = 2 THEN '<reasoning>open ' || text ELSE text || ' and ' || text END, chr(9) || chr(10) || chr(13) || ' '), '') AS answer FROM conversations""")
 def r10_parse_completion(spark, sf_dir):
     thought = F.lit("<reasoning>a\nb</reasoning>")
     content = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("<reasoning>open "), "text")).otherwise(F.concat(thought, F.col("text"), F.lit(" and "), thought, F.col("text"), F.lit(" \n")))
     response = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
-    return _table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", answers.parse_completion(response).alias("answer"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.parse_completion(response).alias("answer"))
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN 'quoted ' || event_type WHEN 2 THEN '' WHEN 3 THEN replace(props, ' ', '') WHEN 4 THEN '{"other":1}' END AS response,
@@ -534,11 +535,11 @@ def r11_unwrap_embeddings(spark, sf_dir):
 
 
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Error al consultar la base de conocimiento: ' || role
-  WHEN 1 THEN 'No se encontró información relevante en la base de conocimiento para esta consulta.' ELSE 'x' || text END AS shown FROM conversations WHERE text IS NOT NULL""")
+  WHEN 1 THEN 'No se encontró información relevante en la base de conocimiento para esta consulta.' ELSE 'x' || coalesce(text, '') END AS shown FROM conversations""")
 def r12_label_answers(spark, sf_dir):
     kind = F.col("turn") % 3
-    shown = answers.label_answer(F.when(kind == 1, "").otherwise(F.concat(F.lit("x"), "text")), F.when(kind == 0, F.col("role")))
-    return _table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", shown.alias("shown"))
+    shown = answers.label_answer(F.when(kind == 1, "").otherwise(F.concat(F.lit("x"), F.coalesce("text", F.lit("")))), F.when(kind == 0, F.col("role")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", shown.alias("shown"))
 
 
 @query("""WITH grouped AS (SELECT page_id // 7 AS grp, page_id, url, row_number() OVER (PARTITION BY page_id // 7 ORDER BY page_id) AS n FROM pages)

@@ -262,3 +262,38 @@ def test_updates(spark):
     items = spark.createDataFrame([(1, "a", "b"), (2, "c", None)], "id int, x string, y string")
     updates = spark.createDataFrame([(2, None, "new"), (3, "z", None)], "id int, x string, y string")
     assert sorted(tuple(r) for r in status.apply_updates(items, updates, "id").collect()) == [(1, "a", "b", False), (2, "c", "new", True), (3, "z", None, True)]
+
+
+def test_ingest_stream_equals_batch(spark, tmp_path):
+    import json
+
+    from retrieval_jobs.plans.ingest import ingest
+    from retrieval_jobs.streaming.ingest_stream import start_ingest_stream
+
+    agent = "01234567-89ab-cdef-0123-456789abcdef"
+    (tmp_path / "events").mkdir()
+    for k in range(3):
+        item = {"bucket": {"name": "b"}, "object": {"key": f"tenant_{k % 2}/{agent}/f{k}.pdf", "size": 1, "eTag": "e", "sequencer": str(k)}}
+        record = {"eventName": "ObjectCreated:Put", "eventTime": "2024-01-01T00:00:00.000Z", "s3": item}
+        (tmp_path / "events" / f"{k}.json").write_text(json.dumps({"Records": [record, record]}))
+    rows = [("b", f"tenant_{k % 2}/{agent}/f{k}.pdf", p, f"Page {p} of {k}. " * 90) for k in range(3) for p in (1, 2)]
+    pages = spark.createDataFrame(rows, "bucket string, key string, page_no int, page_text string")
+    none = spark.createDataFrame([], "tenant_id string, agent_id string, agent_name string, description string, prompt_template string, created_at timestamp")
+    now = dt.datetime(2024, 1, 2)
+
+    def chunks_of(events):
+        from pyspark.sql import functions as F
+
+        objects = uploads.parse_object_keys(events).withColumn("arrived_at", F.col("event_time"))
+        made, agents = ingest(objects, pages, none, lambda: embedding.hash_encoder(8), now=F.lit(now))
+        return made.collect(), agents.collect()
+
+    want, agents = chunks_of(uploads.read_upload_events(spark, str(tmp_path / "events")))
+    assert len({r.document_id for r in want}) == 3
+    assert {(r.tenant_id, r.agent_name) for r in agents} == {("tenant_0", "Agente Principal - tenant_0"), ("tenant_1", "Agente Principal - tenant_1")}
+    assert all(r.chunk_text and len(r.embedding) == 8 for r in want)
+    seen = []
+    stream = uploads.read_upload_events(spark, str(tmp_path / "events"), streaming=True)
+    running = start_ingest_stream(stream, lambda events, n: seen.extend(chunks_of(events)[0]), str(tmp_path / "checkpoint"), availableNow=True)
+    assert running.awaitTermination(120)
+    assert sorted((r.chunk_id, r.chunk_text) for r in seen) == sorted((r.chunk_id, r.chunk_text) for r in want)

@@ -115,10 +115,27 @@ def test_piece_codec(spark):
     assert len(rows) == docs.count()
     assert all(r.parity and r.round_trip for r in rows)
     encoded = piece_codec.encode_pieces(docs, PIECES)
+    with open(PIECES, "rb") as f:
+        reference = piece_codec.reference_processor(f.read())
+    assert all(r.ids == reference.encode(t) for r, t in zip(encoded.orderBy("doc_id").collect(), [r.text or "" for r in docs.orderBy("doc_id").collect()], strict=True) if r.doc_id != 5)
     back = {(r.doc_id, r.text) for r in piece_codec.decode_pieces(encoded, PIECES).collect()}
     assert back == {(r.doc_id, r.text or "") for r in docs.collect()}
 
 
+def test_piece_parity_is_noticed():
+    with open(PIECES, "rb") as f:
+        encoder = piece_codec.PieceEncoder(f.read(), verify=True)
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[0] if "odd" in t else encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    encoder.reference = Other()
+    for _ in range(2):
+        encoder.encode(["one two", "an odd one", "", "  two odd", "two", " one"])
+        assert encoder.same == [True, False, True, False, True, True]
+
+
 @settings(max_examples=200, deadline=None)
 @given(ODD)
 def test_piece_parity(text):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from retrieval_jobs.llm.common import held_out, materialize, table
 from retrieval_jobs.llm.curve_packing import pack_along_curve
-from retrieval_jobs.llm.line_spread import without_spread_lines
+from retrieval_jobs.llm.line_spread import few_sites, without_spread_lines
 from retrieval_jobs.llm.minhash import near_duplicates
 from retrieval_jobs.llm.preference import train_quality, with_quality
 from retrieval_jobs.llm.toxicity import train_toxicity, with_toxicity
@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that many sources share; a document that loses its last line goes."""
-    cleaned = without_spread_lines(docs)
+    """Takes out lines that many sources share, or many documents of a few; a document that loses its last line goes."""
+    cleaned = without_spread_lines(docs, few=few_sites(docs))
     left = cleaned.where("n_removed = 0 or length(trim(text)) > 0")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from conftest import DATA
 
 from retrieval_jobs.llm import minhash, pivot_index, projection_forest
 from retrieval_jobs.llm.components import connected_components
@@ -127,6 +128,29 @@ def test_line_spread(spark):
     assert without_spread_lines(docs.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("sources", [20, 6, 3])
+def test_passages_under_a_hot_source(spark, sources):
+    import corpus_pipeline
+
+    random.seed(9)
+    passages = [f"passage {k} " + "of more than fifty words " * 12 for k in range(8)]
+    rows = [[k, [f"only in document {k} and nowhere else"], "s0" if k % 3 == 0 else f"s{random.randrange(1, sources)}"] for k in range(600)]
+    for k, passage in enumerate(passages):
+        for r in random.sample(rows, 14):
+            r[1].append(passage)
+        rows[k][1].append("a line of nine documents on several sources")
+    for r in rows[300:330:3]:
+        assert r[2] == "s0"
+        r[1].append("a line of one source in ten documents")
+    rows.append([600, [rows[8][1][0], "a line of nine documents on several sources"], "s1"])
+    sites = {p: {r[2] for r in rows if p in r[1]} for p in passages}
+    assert min(map(len, sites.values())) < 10 and min(map(len, sites.values())) >= 2
+    docs = spark.createDataFrame([(i, "\n".join(x), s, 0) for i, x, s in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.lines(spark, docs, DATA).collect()}
+    first = {p: min(r[0] for r in rows if p in r[1]) for p in passages}
+    assert got == {i: [x for x in lines if x not in first or first[x] == i] for i, lines, _ in rows}
+
+
 def vector_rows():
     draw = np.random.default_rng(5)
     rows, n = [], 0

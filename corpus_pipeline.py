@@ -41,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens along the curve; one row per piece."""
-    return pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, markers=True)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("lines", lines), ("near_copies", near_copies), ("packing", packing)]

@@ -73,18 +73,18 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(key, "doc_id long, text string, curve_key long")
 
 
-def pack_along_curve(docs: DataFrame, tokenizer: str, end_id: int, sequence_tokens: int = 4096) -> DataFrame:
+def pack_along_curve(docs: DataFrame, tokenizer: str, end_id: int, sequence_tokens: int = 4096, markers: bool = False) -> DataFrame:
     """Cuts the ids of docs (doc_id, text), in Hilbert order, into sequences; returns one row per piece.
 
     The order is a range partition by (curve key, doc_id), so many copies of one text still spread over
     tasks. Each task fills sequences without gaps, cutting documents freely; what is left at its end
     goes to sequences whose lengths are powers of two, which need no padding. Ids of sequences hold the
     task's number in the high bits. A null text counts as empty and has the end id alone; rows with
-    equal doc_id are packed one by one. Memory holds one batch of documents.
+    equal doc_id are packed one by one. With markers, added tokens in a text get their own ids. Memory holds one batch of documents.
     """
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, encoder = TaskContext.get().partitionId() << 40, unit_encoder(tokenizer)
+        base, encoder = TaskContext.get().partitionId() << 40, unit_encoder(tokenizer, markers)
         number = 0
         held: list[tuple] = []  # documents, or their rest, that wait for a full sequence
         waiting = 0

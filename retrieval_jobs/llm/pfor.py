@@ -102,16 +102,17 @@ def unpack(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
     return flat[(chosen[:, None] * BLOCK + np.arange(BLOCK) < n).ravel()]
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = 0.9, segment_ids: int = 1 << 16) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = 0.9, segment_ids: int = 1 << 16, markers: bool = False) -> DataFrame:
     """Encodes the texts of docs (doc_id, text) and writes their ids as packed segments; returns the written table.
 
     Rows come in ascending doc_id (ties and null ids too: all rows are kept, null ids first): a range
     partition of doc_id, sorted, with segments numbered in order. ``ids_before`` counts the ids of the
-    part before the segment. A null text counts as empty. Memory holds a segment and one document.
+    part before the segment. A null text counts as empty. With markers, added
+    tokens in a text get their own ids. Memory holds a segment and one document.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), unit_encoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), unit_encoder(tokenizer, markers)
         number, before, held = 0, 0, 0
         names, lengths, parts = [], [], []
 

@@ -20,7 +20,7 @@ from .toxicity import train_toxicity, with_toxicity
 
 
 def op1_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, markers=True))
 
 
 def _scored(scored: DataFrame, score: str, folds: int, fold: int) -> DataFrame:
@@ -34,7 +34,7 @@ def op2_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, markers=True)
 
 
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,14 +29,18 @@ class UnitEncoder:
     the others go to the library in one batch. A word of letters and its closing ``.`` or ``,`` count as
     two units. Texts with other or repeated white space go to the library whole. At ``limit`` units the
     store is emptied, so memory stays bounded.
+
+    With ``markers``, an added token that a text holds literally gets its own id, as the library does
+    unless told otherwise, and such a text goes there whole; else it is encoded as plain characters.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 1_200_000, markers: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not markers
+        self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if markers else []
         self.limit = limit
         self._clear()
 
@@ -53,7 +57,7 @@ class UnitEncoder:
         codes, sizes, whole = [], [], {}
         for k, text in enumerate(texts):
             units = text.replace("\n", " \n").split(" ")
-            if "" in units or _is_irregular(text):
+            if "" in units or _is_irregular(text) or any(m in text for m in self.markers):
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else (), np.uint32)
                 sizes.append(0)
                 continue
@@ -132,6 +136,6 @@ class _Codes(dict):
 
 
 @lru_cache(maxsize=2)
-def unit_encoder(path: str) -> UnitEncoder:
+def unit_encoder(path: str, markers: bool = False) -> UnitEncoder:
     """One for each Python worker, which Spark uses for many tasks."""
-    return UnitEncoder(path)
+    return UnitEncoder(path, markers=markers)

@@ -41,6 +41,33 @@ def test_unit_encoder_is_the_library(encoders, texts):
         assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
 
+MARKED = ["end <|endoftext|> next", "<|startoftext|>one. two", "a<|endoftext|>b c", "no <|marker|> here"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_markers_are_the_library_as_it_comes(path):
+    library = Tokenizer.from_file(path)
+    ids, ends = UnitEncoder(path, markers=True).encode(MARKED)
+    want = [library.encode(t, add_special_tokens=False).ids for t in MARKED]
+    assert ids.tolist() == [x for w in want for x in w]
+    assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_queries_give_markers_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    from retrieval_jobs.llm import queries
+
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bytes_library, words_library = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op1_packed_token_ids(spark, str(tmp_path)).collect()}
+    full = {k: np.array([*bytes_library.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in enumerate(MARKED)}
+    assert got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in full.items()}
+    want = {k: len(words_library.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(MARKED)}
+    assert {r.doc_id: r.doc_tokens for r in queries.op3_curve_packing(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 40), st.integers(0, 2**32 - 1)), max_size=900), st.sampled_from([0.1, 0.5, 0.9, 1.0]))
 def test_packed_ids_round_trip(ids, percentile):

@@ -150,9 +150,9 @@ class PieceEncoder:
 
     Words are what single blanks part. Texts that begin or end with a blank, have several in a row or
     hold the mark itself go to the library whole, as do all texts of models that change white space.
-    At ``limit`` words the store is emptied, so memory stays bounded. With ``verify``, everything that
-    goes to the library also goes to the model's own one, and ``same`` says for each text of the last call
-    whether all its ids agree.
+    At ``limit`` words the store is emptied, so memory stays bounded. With ``verify``, every text also goes
+    whole to the model's own library, and ``same`` says for each text of the last call whether all its ids
+    agree.
     """
 
     def __init__(self, data: bytes, limit: int = 1_000_000, verify: bool = False):
@@ -168,15 +168,9 @@ class PieceEncoder:
         self.codes = _Numbers()
         self.ids = np.zeros(0, np.int32)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.agree = np.zeros(0, bool)
 
-    def _library(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of texts, and whether the model's own library has the same."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.reference is None:
-            return got, [True] * len(got)
-        wanted = self.reference.encode(texts, num_threads=int(THREADS)) if texts else []
-        return got, [a == b for a, b in zip(got, wanted, strict=True)]
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.limit:
@@ -186,7 +180,7 @@ class PieceEncoder:
             words = text.split(" ")
             plain = self.by_word and MARK not in text and "" not in words
             rows.append(list(map(self.codes.__getitem__, words)) if plain else None)
-        whole = iter(zip(*self._library([t for t, row in zip(texts, rows, strict=True) if row is None]), strict=True))
+        whole = iter(self._library([t for t, row in zip(texts, rows, strict=True) if row is None]))
         self._learn()
         codes = np.array([c for row in rows if row for c in row], np.int64)
         n = self.lengths[codes]
@@ -194,26 +188,22 @@ class PieceEncoder:
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[codes] - ends + n, n)]
         last, at, out = np.cumsum([len(row) for row in rows if row]) - 1, 0, []
         cuts = iter(ends[last].tolist() if len(last) else ())
-        firsts = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
-        agree = iter(np.logical_and.reduceat(self.agree[codes], firsts).tolist() if len(last) else ())
-        self.same = []
         for row in rows:
             if row is None:
-                own, same = next(whole)
-                out.append(np.array(own, np.int32))
-                self.same.append(same)
+                out.append(np.array(next(whole), np.int32))
             else:
                 end = next(cuts)
                 out.append(ids[at:end])
-                self.same.append(next(agree))
                 at = end
+        if self.reference is not None:
+            wanted = self.reference.encode(texts, num_threads=int(THREADS)) if texts else []
+            self.same = [a.tolist() == b for a, b in zip(out, wanted, strict=True)]
         return out
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         if new:
-            got, same = self._library(new)
-            self.agree = np.concatenate([self.agree, np.array(same, bool)])
+            got = self._library(new)
             lengths = np.array([len(x) for x in got], np.int64)
             self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.ids)])
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -284,9 +274,8 @@ def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
 def verified_pieces(docs: DataFrame, model_file: str) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_pieces, ids_crc32, parity, round_trip.
 
-    parity says whether the model's own library gives the same ids, for every distinct word of the text
-    where words are encoded one by one, else for the text whole; round_trip says whether decoding all the
-    text's ids gives it back. Both are worked out for every row. ids_crc32 is of the ids as little-endian unsigned
+    parity says whether the model's own library gives the same ids for the whole text; round_trip says
+    whether decoding all the text's ids gives it back. Both are worked out for every row. ids_crc32 is of the ids as little-endian unsigned
     32-bit numbers. A null text counts as empty; repeated rows and null ids of documents are kept.
     """
     with open(model_file, "rb") as f:

@@ -163,6 +163,22 @@ def test_piece_parity_is_noticed():
         assert encoder.same == [True, False, True, False, True, True]
 
 
+def test_piece_parity_is_of_whole_texts():
+    with open(PIECES, "rb") as f:
+        encoder = piece_codec.PieceEncoder(f.read(), verify=True)
+
+    class Other:
+        """Agrees on every word, but not on two of them in one text."""
+
+        def encode(self, texts, num_threads):
+            return [[0] if "one two" in t else encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    encoder.reference = Other()
+    for _ in range(2):
+        encoder.encode(["one", "two", "one two", "two one", "", "so one two go"])
+        assert encoder.same == [True, True, False, True, True, False]
+
+
 @settings(max_examples=200, deadline=None)
 @given(ODD)
 def test_piece_parity(text):

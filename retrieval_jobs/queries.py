@@ -438,8 +438,8 @@ def r3_nearest_chunks(spark, sf_dir):
 
 @query()
 def r4_cluster_search(spark, sf_dir):
-    centers, index = search.ivf_build(_chunks(spark, sf_dir), lists=20)
-    return search.ivf_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), centers, index, k=10, probes=10)
+    centers, index = search.ivf_build(_chunks(spark, sf_dir), lists=100)
+    return search.ivf_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), centers, index, k=50, probes=50)
 
 
 @query(f"WITH {SQL_HITS.format(filter=ANY_DOCUMENT)} SELECT q.vec_id AS query_id, coalesce(string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank), '') AS context FROM embeddings q LEFT JOIN ranked r ON r.query_id = q.vec_id AND r.rank <= 5 GROUP BY q.vec_id")

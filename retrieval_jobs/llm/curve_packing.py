@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import sized_slices, slices
 from .unit_encoder import unit_encoder
 
 DIMENSIONS, BITS, FEATURES, SEED = 3, 16, 4096, 20
@@ -73,14 +73,15 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(key, "doc_id long, text string, curve_key long")
 
 
-def pack_along_curve(docs: DataFrame, tokenizer: str, end_id: int, sequence_tokens: int = 4096, markers: bool = False) -> DataFrame:
+def pack_along_curve(docs: DataFrame, tokenizer: str, end_id: int, sequence_tokens: int = 4096, markers: bool = True) -> DataFrame:
     """Cuts the ids of docs (doc_id, text), in Hilbert order, into sequences; returns one row per piece.
 
     The order is a range partition by (curve key, doc_id), so many copies of one text still spread over
     tasks. Each task fills sequences without gaps, cutting documents freely; what is left at its end
     goes to sequences whose lengths are powers of two, which need no padding. Ids of sequences hold the
     task's number in the high bits. A null text counts as empty and has the end id alone; rows with
-    equal doc_id are packed one by one. With markers, added tokens in a text get their own ids. Memory holds one batch of documents.
+    equal doc_id are packed one by one. Added tokens in a text get their own ids, as by the library's
+    default; without markers they are plain characters. Memory holds a few MB of texts and one document.
     """
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +110,9 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, end_id: int, sequence_toke
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"])
 
-        for batch in slices(batches, 256):
+        for batch in sized_slices(batches, 1):
             rows = []
-            ids, ends = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
+            ids, ends = encoder.encode(batch.column(1))
             start = 0
             for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
                 own = np.append(ids[start:end], np.uint32(end_id)).astype("<u4")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, sized_slices, slices
 from .unit_encoder import unit_encoder
 
 BLOCK = 256
@@ -102,13 +102,14 @@ def unpack(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
     return flat[(chosen[:, None] * BLOCK + np.arange(BLOCK) < n).ravel()]
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = 0.9, segment_ids: int = 1 << 16, markers: bool = False) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = 0.9, segment_ids: int = 1 << 16, markers: bool = True) -> DataFrame:
     """Encodes the texts of docs (doc_id, text) and writes their ids as packed segments; returns the written table.
 
-    Rows come in ascending doc_id (ties and null ids too: all rows are kept, null ids first): a range
-    partition of doc_id, sorted, with segments numbered in order. ``ids_before`` counts the ids of the
-    part before the segment. A null text counts as empty. With markers, added
-    tokens in a text get their own ids. Memory holds a segment and one document.
+    Rows come in ascending doc_id, those of equal or null id by a hash of their text: a range partition,
+    sorted, with segments numbered in order. All rows are kept, null ids first. ``ids_before`` counts the
+    ids of the part before the segment. A null or empty text has the end id alone; an empty table gives no
+    segments. Added tokens in a text get their own ids, as by the library's default; without markers they
+    are plain characters. Memory holds a segment, a few MB of texts and one document.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float =
                 names=["part", "segment", "ids_before", "n_ids", "doc_ids", "doc_lengths", "payload"],
             )
 
-        for batch in slices(batches, 256):
-            ids, ends = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
+        for batch in sized_slices(batches, 1):
+            ids, ends = encoder.encode(batch.column(1))
             start = 0
             for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
                 names.append(doc_id)
@@ -139,7 +140,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float =
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    tie = F.xxhash64("text")  # parts many rows of one doc_id
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     return materialize(ordered.mapInArrow(encode, SEGMENTS), "token-ids")
 
 

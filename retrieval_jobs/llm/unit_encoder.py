@@ -2,140 +2,175 @@
 
 from __future__ import annotations
 
-import os
-from array import array
-from collections.abc import Sequence
+import json
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from .common import tokenizers_library
 
-#: White space other than the blank and the line end, in ASCII and beyond.
-ODD_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of which several characters could form one token, at an end or in a row, or that isn't a blank or a line end.
+IRREGULAR = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+# The splitting pattern of a public tokenizer file under which no token spans a blank.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-def _is_irregular(text: str) -> bool:
-    """Is there white space of which several characters could form one token?"""
-    return "\n\n" in text or any(c in text for c in ODD_BLANKS) or (not text.isascii() and any(c in text for c in WIDE_BLANKS))
+#: A Latin word, of letters that no normaliser takes apart, and the sign that ends it.
+SIGNED = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+[.,]$"
+
+FENCE = " |"  # a word of its own that parts words which are encoded together
+FENCED = 512
+FIRST = "\n\n"  # before the units at a text's start; no other unit has two line ends
+
+
+def ends_at_blanks(settings: dict) -> bool:
+    """Do these settings of a tokenizer file split texts at blanks and line ends before anything is merged?
+
+    Two forms are known to: byte-level splitting without normaliser, where a blank goes with the word after
+    it, and a pattern that leaves white space out, with normalisers that don't look past a blank.
+    """
+
+    def steps(name: str, inner: str) -> list[dict]:
+        step = settings.get(name)
+        return [] if not step else step[inner] if step["type"] == "Sequence" else [step]
+
+    splits, normal = steps("pre_tokenizer", "pretokenizers"), steps("normalizer", "normalizers")
+    model = settings.get("model", {})
+    if not splits or model.get("type") != "BPE" or model.get("dropout"):
+        return False
+    first, later = splits[0], splits[1:]
+    if first["type"] == "ByteLevel":
+        return first.get("use_regex", True) and not first.get("add_prefix_space", True) and not normal and not later
+    known = {"NFC", "Lowercase"}
+    plain = all(x["type"] in known or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in normal)
+    return plain and first["type"] == "Split" and first["pattern"] == {"Regex": WORD_PATTERN} and first["invert"] and all(x["type"] == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in later)
 
 
 class UnitEncoder:
     """Token ids of whole texts: the ids of a text are those of its units, and units recur.
 
-    A unit is a word with the blank or line end before it. Both supported tokenizer files split text
-    there before they merge, so the ids are those of the whole text. Units seen before are looked up;
-    the others go to the library in one batch. A word of letters and its closing ``.`` or ``,`` count as
-    two units. Texts with other or repeated white space go to the library whole. At ``limit`` units the
-    store is emptied, so memory stays bounded.
+    A unit is a word with the blank or line end before it. Where the tokenizer file splits texts there
+    before it merges (``ends_at_blanks``), the ids of the units are those of the whole text. Units seen
+    before are looked up; the others go to the library together. A word of letters and its closing ``.`` or
+    ``,`` are encoded apart. Texts with other or repeated white space go to the library whole, and so do
+    all texts if the file splits in another way. At ``limit`` units the store is emptied, so memory stays bounded.
 
-    With ``markers``, an added token that a text holds literally gets its own id, as the library does
-    unless told otherwise, and such a text goes there whole; else it is encoded as plain characters.
+    An added token that a text holds literally gets its own id, as the library does unless told otherwise,
+    and such a text goes there whole; without ``markers`` it is encoded as plain characters.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000, markers: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, limit: int = 1_000_000, markers: bool = True):
+        self.tokenizer = tokenizers_library().Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not markers
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_units = ends_at_blanks(settings)
+        self.lower = self.by_units and "Lowercase" in json.dumps(settings.get("normalizer"))
         self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if markers else []
+        fence = self.tokenizer.encode(FENCE, add_special_tokens=False).ids
+        self.fence = fence[0] if len(fence) == 1 else None
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.codes = _Codes()
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and for each text the end of its ids."""
+        self.codes: dict[str, int] = {}
+        self.lists = pa.array([], pa.list_(pa.uint32()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts one after another, and for each text the end of its ids; a null text is empty."""
+        texts = texts.cast(pa.string()).fill_null("")
+        lowered = pc.ascii_lower(texts) if self.lower else texts  # fewer units; the file does it anyway
+        whole = pc.match_substring_regex(texts, IRREGULAR) if self.by_units else pa.array([True] * len(texts), pa.bool_())
+        for marker in self.markers:
+            whole = pc.or_(whole, pc.or_(pc.match_substring(texts, marker), pc.match_substring(lowered, marker)))
+        lists = self._by_units(lowered.filter(pc.invert(whole)))
+        if pc.any(whole).as_py():
+            lists = pa.concat_arrays([lists, self._library(texts.filter(whole).to_pylist())])
+            place = np.argsort(whole.to_numpy(zero_copy_only=False), kind="stable")
+            back = np.empty(len(place), np.int64)
+            back[place] = np.arange(len(place))
+            lists = lists.take(pa.array(back))
+        return lists.values.to_numpy(), lists.offsets.to_numpy()[1:].astype(np.int64)
+
+    def _by_units(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of regular texts."""
+        if not len(texts):
+            return pa.array([], pa.list_(pa.uint32()))
         if len(self.codes) > self.limit:
             self._clear()
-        codes, sizes, whole = [], [], {}
-        for k, text in enumerate(texts):
-            units = text.replace("\n", " \n").split(" ")
-            if "" in units or _is_irregular(text) or any(m in text for m in self.markers):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else (), np.uint32)
-                sizes.append(0)
-                continue
-            units[0] = (units[0],)
-            codes += map(self.codes.__getitem__, units)
-            sizes.append(len(units))
-        self._learn()
-        units = np.array(codes, np.int64)
-        row = np.repeat(np.arange(len(texts)), np.array(sizes, np.int64))
-        parts = np.stack([self.codes.heads(units), self.codes.tails(units)], axis=1)
-        there = parts >= 0
-        row, parts = np.repeat(row, 2)[there.ravel()], parts[there]
-        n = self.lengths[parts]
-        ends = np.cumsum(n)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[parts] - ends + n, n)]
-        counts = np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
-        if whole:
-            pieces = np.split(ids, np.cumsum(counts)[:-1])
-            for k, got in whole.items():
-                pieces[k], counts[k] = got, len(got)
-            ids = np.concatenate(pieces)
-        return ids, np.cumsum(counts)
-
-    def _learn(self) -> None:
-        """Encodes the units that are new."""
-        new, self.codes.new = self.codes.new, []
-        if not new:
-            return
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.ids)])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
-
-
-class _Codes(dict):
-    """A number for each unit; the unit at a text's start, with nothing before it, is held in a tuple.
-
-    A number names one or two parts, and the library encodes parts: ``new`` has those not yet encoded.
-    """
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-        self.parts = 0
-        self.head = array("i")
-        self.tail = array("i")
-
-    def heads(self, units: np.ndarray) -> np.ndarray:
-        return np.frombuffer(self.head, np.int32)[units]
-
-    def tails(self, units: np.ndarray) -> np.ndarray:
-        return np.frombuffer(self.tail, np.int32)[units]
-
-    def _part(self, text: str) -> int:
-        self.new.append(text)
-        self.parts += 1
-        return self.parts - 1
-
-    def __missing__(self, unit) -> int:
-        head, tail = -1, -1
-        if isinstance(unit, tuple):
-            head = self._part(unit[0])
-        elif unit[0] == "\n":
-            head = self._part(unit)
-        else:
-            if unit[-1] in ".," and (word := unit[:-1]).isalpha() and word.lower().isalpha():
-                tail = self.head[self[(unit[-1],)]]
-                head = self.head[self[word]]
-            else:
-                head = self._part(" " + unit)
-        self.head.append(head)
-        self.tail.append(tail)
-        code = self[unit] = len(self.head) - 1
-        return code
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets, flat = words.offsets.to_numpy(), words.flatten()
+        counted = flat.dictionary_encode()
+        codes = self._codes_of(counted.dictionary)[counted.indices.to_numpy()]
+        first = flat.take(pa.array(offsets[:-1])).dictionary_encode()
+        codes[offsets[:-1]] = self._codes_of(pc.binary_join_element_wise(FIRST, first.dictionary, ""))[first.indices.to_numpy()]
+        return _joined(self.lists.take(pa.array(codes)), offsets)
+
+    def _codes_of(self, units: pa.StringArray) -> np.ndarray:
+        """The place in the store of each of some different units."""
+        names = units.to_pylist()
+        out = np.fromiter(map(self.codes.get, names, repeat(-1)), np.int32, len(names))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            self._learn(units.take(pa.array(new)))
+            out[new] = [self.codes[names[k]] for k in new.tolist()]
+        return out
+
+    def _learn(self, new: pa.StringArray) -> None:
+        """Encodes units that are new; signed words from the ids of their word and those of the sign."""
+        signed = pc.match_substring_regex(new, SIGNED)
+        cut = new.filter(signed)
+        words = pc.utf8_slice_codeunits(cut, 0, -1).to_pylist()
+        signs = pc.binary_join_element_wise(FIRST, pc.utf8_slice_codeunits(cut, -1), "").to_pylist()
+        parts = dict.fromkeys(chain(new.filter(pc.invert(signed)).to_pylist(), words, signs))
+        self._keep(parts := [u for u in parts if u not in self.codes], self._together(parts))
+        if len(cut):
+            both = np.array([(self.codes[word], self.codes[sign]) for word, sign in zip(words, signs, strict=True)], np.int32)
+            self._keep(cut.to_pylist(), _joined(self.lists.take(pa.array(both.ravel())), np.arange(0, 2 * len(cut) + 1, 2)))
+
+    def _keep(self, units: list[str], lists: pa.ListArray) -> None:
+        self.codes.update(zip(units, range(len(self.codes), len(self.codes) + len(units)), strict=True))
+        self.lists = pa.concat_arrays([self.lists, lists])
+
+    def _library(self, texts: list[str]) -> pa.ListArray:
+        return _lists([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _together(self, units: list[str]) -> pa.ListArray:
+        """Ids of each unit. Those that begin with a blank or line end are encoded in groups, with a fence after each.
+
+        The fence is a word of one id that no unit without its sign has, so the ids of a group fall apart
+        again. Units with the sign, and those at a text's start, are encoded alone.
+        """
+        alone = np.array([self.fence is None or FENCE[1] in u or u.startswith(FIRST) for u in units], bool)
+        texts = np.array([u if u[:1] == "\n" else " " + u for u in units], object)
+        fenced = texts[~alone]
+        groups = ["".join(t + FENCE for t in fenced[k : k + FENCED]) for k in range(0, len(fenced), FENCED)]
+        ids = self._library(groups).values.to_numpy()
+        ends = np.flatnonzero(ids == self.fence) if groups else np.zeros(0, np.int64)
+        if len(ends) != len(fenced):  # not known to happen
+            alone[:], ids, ends = True, ids[:0], ends[:0]
+        lengths = np.diff(ends, prepend=-1) - 1
+        own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(ids[ids != self.fence] if len(ends) else ids[:0]))
+        rest = self._library([t.removeprefix(FIRST) for t in texts[alone]])
+        order = np.empty(len(texts), np.int64)
+        order[np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])] = np.arange(len(texts))
+        return pa.concat_arrays([own, rest]).take(pa.array(order))
+
+
+def _lists(lists: list[list[int]]) -> pa.ListArray:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    values = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values))
+
+
+def _joined(lists: pa.ListArray, cuts: np.ndarray) -> pa.ListArray:
+    """One list for each run of lists between two cuts."""
+    return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[cuts]), lists.values)
 
 
 @lru_cache(maxsize=2)
-def unit_encoder(path: str, markers: bool = False) -> UnitEncoder:
+def unit_encoder(path: str, markers: bool = True) -> UnitEncoder:
     """One for each Python worker, which Spark uses for many tasks."""
     return UnitEncoder(path, markers=markers)

@@ -1,110 +1,161 @@
-"""Main text of web pages: lines by zone of the page, and differencing with the page of the nearest URL."""
+"""Main text of web pages: each page is differenced with the page of the nearest URL on its host."""
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, sized_slices, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
+UNENDED = re.compile("[^<]+|<[^<]*")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "math", "canvas"}
-CHROME = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select"} | RAW
+CHROME = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select"}
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
     "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-#: Words in class, id or role that mark what isn't the article.
+#: Elements of one paragraph; their id names the paragraph, often by its text.
+TEXTUAL = INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre"}
+#: What an element that begins ends, if it is still open: a paragraph can't hold a block, nor an item an item.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+#: Words in class, id or role that mark what isn't the article, and words beside which they say something about the whole page.
 CHROME_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disqus", "footer", "login", "masthead", "menu", "modal",
     "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "recommended", "related", "replies",
     "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-ARTICLE, MAIN, OUTSIDE, CHROME_ZONE = range(4)
-COPY_SHARE = 0.8  # a neighbour that shares so many lines is a copy of the page, not a page of the same frame
+QUALIFIERS = {"with", "has", "have", "no", "not", "without", "open", "closed", "enabled", "disabled", "hide", "hidden", "layout", "left", "right"}
 
+PRIOR = 10  # lines' worth of what all hosts say about a slot, beside what its own host says
+COMMON_PAGES = 3  # a line that so many different pages of a host share, and half of them at least, is the host's
+BROADCAST_ROWS = 200_000  # pages with deletions that at most go to every executor; more are joined by a shuffle
+LCS_BYTES = 1 << 24  # of a difference's table at most; larger ones are cut in halves
 
-def page_lines(page: str) -> tuple[list[str], list[tuple[str, bool]]]:
-    """A page's text blocks in order: those of its article (else of its main element), and the others, each with whether it stands outside chrome.
 
-    Where a page has articles, what else its main element holds is among the others. Chrome are menus, footers, sidebars, forms, scripts, styles, the head, and elements whose class, id
-    or role says so; a header or a word ``header`` counts outside articles. Chrome ends with its element,
-    or where an article or main element begins in it; scripts, styles and the head give no lines at all.
+class _Page:
+    """A page read from its start: a stack of open elements, and the lines that end where blocks begin and end."""
+
+    def __init__(self):
+        self.open: list[list] = []  # [name, is chrome, ends somewhere, label]
+        self.lines: list[tuple[str, str, int]] = []
+        self.parts: list[str] = []
+        self.chrome = 0
+
+    def end_line(self) -> None:
+        if self.parts:
+            line = " ".join(html.unescape("".join(self.parts)).split())
+            self.parts.clear()
+            if line:
+                names = [x[0] for x in self.open]
+                zone = 2 if "article" in names else 1 if "main" in names else 0
+                self.lines.append((line, "/".join(x[3] for x in self.open if x[0] not in INLINE), zone))
+
+    def pop(self, k: int) -> None:
+        """Ends the k-th open element and all inside it."""
+        self.chrome -= sum(x[1] for x in self.open[k:])
+        del self.open[k:]
+
+    def find(self, names: set[str], within: set[str]) -> int:
+        """The innermost open element of one of the names, not beyond one of within; -1 if there is none."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in names:
+                return k
+            if self.open[k][0] in within:
+                break
+        return -1
+
+
+def page_lines(page: str) -> list[tuple[str, str, int]]:
+    """A page's text blocks in order, each with the path of its elements and 2 in an article, 1 in a main element, 0 elsewhere.
+
+    What stands in chrome is left out: menus, footers, sidebars, forms, scripts, styles, the head, and elements
+    whose class, role or id says so (an id only where the element isn't a piece of text itself); a header
+    or a word ``header`` counts outside articles. What stands in a chrome element is chrome, so an article among the comments is none;
+    only a form, or an element that never ends, is left when an article or main element begins in it. Text of inline chrome
+    leaves its block's other text in one line.
     Block elements end a line; white space and line breaks inside become one space; character references
     are decoded.
     """
-    lines: list[tuple[str, int]] = []
-    parts: list[str] = []
-    zone, skip, depth = OUTSIDE, "", 0
-    inside = [0, 0]
-
-    def end_line() -> None:
-        if parts:
-            line = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
-            if line:
-                lines.append((line, CHROME_ZONE if skip else zone))
-
-    at = 0
+    at, out = 0, _Page()
     while at < len(page):
         found = TOKEN.match(page, at)
         if found is None:  # a tag that never ends
-            found = re.compile("[^<]+|<[^<]*").match(page, at)
-            at = found.end()
+            at = UNENDED.match(page, at).end()
             continue
         at = found.end()
         closing, name, more, text = found.groups()
         if text is not None:
-            if skip != "head":
-                parts.append(text)
+            if not out.chrome:
+                out.parts.append(text)
             continue
         if name is None:
             continue
         name = name.lower()
         if name in INLINE and "=" not in more:
-            if name == "br" and skip != "head":
-                parts.append(" ")
+            if name == "br":
+                out.parts.append(" ")
+            elif out.open and out.open[-1][0] in INLINE or closing:
+                _inline(out, name, bool(closing), False)
             continue
-        section = {"article": 0, "main": 1}.get(name)
-        if name not in INLINE:
-            end_line()
-        if skip:
-            if section is not None and not closing:
-                end_line()
-                skip = ""
-            elif name in RAW and not closing and not more.endswith("/"):
+        if name not in INLINE and name not in RAW:
+            out.end_line()
+        if closing:
+            if name in INLINE:
+                _inline(out, name, True, False)
+            elif (k := out.find({name}, set())) >= 0:
+                out.pop(k)
+        elif name in RAW:
+            if not more.endswith("/"):
                 at = _after_raw(page, name, at)
-                continue
-            else:
-                if name == skip and name not in VOID and not more.endswith("/"):
-                    depth += -1 if closing else 1
-                    if not depth:
-                        end_line()
-                        skip = ""
-                continue
-        if section is not None:
-            inside[section] = max(0, inside[section] + (-1 if closing else 1))
-            zone = ARTICLE if inside[0] else MAIN if inside[1] else OUTSIDE
-        elif not closing and name not in VOID and not more.endswith("/") and _is_chrome(name, more, bool(inside[0])):
-            if name in RAW:
-                at = _after_raw(page, name, at)
-            else:
-                end_line()
-                skip, depth = name, 1
-    end_line()
-    there = {z for _, z in lines}
-    wanted = ARTICLE if ARTICLE in there else MAIN
-    return [x for x, z in lines if z == wanted], [(x, z != CHROME_ZONE) for x, z in lines if z != wanted]
+        elif name in VOID or (more.endswith("/") and name not in INLINE):
+            continue
+        elif name in INLINE:
+            _inline(out, name, False, _is_chrome(name, more, True))
+        else:
+            if (k := out.find({"p"}, {"button", "table", "td", "th"})) >= 0:
+                out.pop(k)
+            if name in ENDS and (k := out.find(ENDS[name], HOLDS[name])) >= 0:
+                out.pop(k)
+            if name in ("article", "main"):
+                for x in out.open:
+                    if x[1] and (x[0] == "form" or not x[2]):
+                        x[1] = False
+                        out.chrome -= 1
+            chrome = _is_chrome(name, more, any(x[0] in ("article", "main") for x in out.open))
+            ends = not chrome or re.compile(rf"</{name}\b", re.I).search(page, at) is not None
+            kind = ATTRIBUTE.search(more)
+            out.open.append([name, chrome, ends, name + ("." + (kind[2] or kind[3] or kind[4] or "") if kind and kind[1].lower() == "class" else "")])
+            out.chrome += chrome
+    out.end_line()
+    return out.lines
+
+
+def _inline(out: _Page, name: str, closing: bool, chrome: bool) -> None:
+    """Inline elements are followed only from one that is chrome on, to find its end; they end no line, and a block ends them."""
+    if not closing:
+        if chrome or (out.open and out.open[-1][0] in INLINE):
+            out.open.append([name, chrome, True, name])
+            out.chrome += chrome
+    else:
+        k = len(out.open) - 1
+        while k >= 0 and out.open[k][0] in INLINE:
+            if out.open[k][0] == name:
+                out.pop(k)
+                return
+            k -= 1
 
 
 def _after_raw(page: str, name: str, at: int) -> int:
@@ -118,33 +169,76 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body") or "=" not in attributes:
         return False
-    words = set()
     for found in ATTRIBUTE.finditer(attributes):
-        words.update(re.split(r"[^a-z0-9]+", (found[2] or found[3] or found[4] or "").lower()))
-    return bool(words & CHROME_WORDS) or ("header" in words and not in_article)
-
-
-def shared_lines(one: Sequence[str], two: Sequence[str]) -> set[int]:
-    """Positions in one of a longest common subsequence of lines with two."""
-    places: dict[str, list[int]] = {}
-    for k, line in enumerate(two):
-        places.setdefault(line, []).append(k)
-    ends: list[int] = []  # the smallest end in two of a common subsequence of each length
-    last: list[tuple] = []  # and that subsequence, as (position in one, what comes before)
-    for k, line in enumerate(one):
-        for place in reversed(places.get(line, ())):
-            n = bisect_left(ends, place)
-            step = (k, last[n - 1] if n else None)
-            if n == len(ends):
-                ends.append(place)
-                last.append(step)
-            elif place < ends[n]:
-                ends[n], last[n] = place, step
-    out, step = set(), last[-1] if last else None
-    while step:
-        out.add(step[0])
-        step = step[1]
-    return out
+        if found[1].lower() == "id" and name in TEXTUAL:
+            continue
+        for value in (found[2] or found[3] or found[4] or "").lower().split():
+            words = set(re.split(r"[^a-z0-9]+", value))
+            if name in ("article", "main") and len(words) > 1:
+                continue
+            if not words & QUALIFIERS and (words & CHROME_WORDS or ("header" in words and not in_article)):
+                return True
+    return False
+
+
+def shared_lines(one: Sequence, two: Sequence) -> list[int]:
+    """Positions in one of a longest common subsequence of lines with two.
+
+    Lines that the other side lacks, and what is equal at both ends, are set aside first. The rest is
+    a table of one bit per pair of lines, a row of it being one integer; a table of more than LCS_BYTES is
+    cut in halves (each with the half of two that fits it best), so memory stays bounded.
+    """
+    start = 0
+    while start < min(len(one), len(two)) and one[start] == two[start]:
+        start += 1
+    end = 0
+    while end < min(len(one), len(two)) - start and one[-1 - end] == two[-1 - end]:
+        end += 1
+    both = set(one[start : len(one) - end]) & set(two[start : len(two) - end])
+    places = [k for k in range(start, len(one) - end) if one[k] in both]
+    found = _common([one[k] for k in places], [x for x in two[start : len(two) - end] if x in both])
+    return [*range(start), *(places[k] for k in found), *range(len(one) - end, len(one))]
+
+
+def _rows(one: Sequence, two: Sequence) -> Iterator[int]:
+    """After each line of one: bit j is 0 where two's line j makes the common subsequence longer."""
+    masks: dict = {}
+    for j, x in enumerate(two):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(two)) - 1
+    row = full
+    for x in one:
+        hit = row & masks.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _common(one: Sequence, two: Sequence) -> list[int]:
+    if not one or not two:
+        return []
+    if len(one) > 1 and len(one) * (len(two) // 8 + 32) > LCS_BYTES:
+        half = len(one) // 2
+
+        def lengths(a: Sequence, b: Sequence) -> np.ndarray:
+            row = 0
+            for row in _rows(a, b):  # noqa: B007 - the last one counts
+                pass
+            bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+            return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+        cut = int(np.argmax(lengths(one[:half], two) + lengths(one[half:][::-1], two[::-1])[::-1]))
+        return _common(one[:half], two[:cut]) + [half + k for k in _common(one[half:], two[cut:])]
+    rows = list(_rows(one, two))
+    i, j, out = len(one), len(two), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                out.append(i)
+                j -= 1
+    return out[::-1]
 
 
 def _split_url(url: str | None) -> tuple[str, str]:
@@ -155,47 +249,45 @@ def _split_url(url: str | None) -> tuple[str, str]:
         return ("", url or "")
 
 
+def _number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page (row, page_id, url, html), its place and its lines outside the article."""
-    for batch in slices(batches, 256):
-        hosts, paths, lines, opens, marked = [], [], [], [], []
+    """Of each page (row, page_id, url, html), its place, and the hashes of its lines and of their slots."""
+    for batch in sized_slices(batches, 3):
+        hosts, paths, lines, slots, whole = [], [], [], [], []
         for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             host, path = _split_url(url)
-            main, rest = page_lines(page or "")
+            found = page_lines(page or "")
             hosts.append(host)
             paths.append(path)
-            lines.append([x for x, _ in rest])
-            opens.append([x for _, x in rest])
-            marked.append(bool(main))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.bool_())), pa.array(marked, pa.bool_())],
-            names=["row", "page_id", "host", "path", "lines", "open", "marked"],
-        )
+            lines.append([_number(x) for x, _, _ in found])
+            slots.append([_number(x) for _, x, _ in found])
+            whole.append(_number("\n".join(x for x, _, _ in found)))
+        numbers = [pa.array(x, pa.list_(pa.int64())) for x in (lines, slots)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *numbers, pa.array(whole, pa.int64())], names=["row", "page_id", "host", "path", "lines", "slots", "content"])
 
 
 def _difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions of the lines (row, lines, other, marked) that a page shares with its neighbour."""
-    for batch in slices(batches, 256):
-        shared = []
-        for own, other, marked in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
-            common = shared_lines(own, other or [])
-            shared.append([] if not marked and len(common) >= COPY_SHARE * len(own) else sorted(common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+    """Positions of the lines (row, host, content, lines, slots, other) that a page shares with its neighbour."""
+    for batch in slices(batches, 1024):
+        shared = [shared_lines(own, other or []) for own, other in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(shared, pa.list_(pa.int32()))], names=["row", "host", "content", "lines", "slots", "shared"])
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each page (page_id, url, html, shared)."""
-    for batch in slices(batches, 256):
-        texts, outside, gone = [], [], []
-        for page, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            main, rest = page_lines(page or "")
-            shared = set(shared or [])
-            left = [x for k, (x, is_open) in enumerate(rest) if is_open and k not in shared]
-            texts.append("\n\n".join(main or left))
-            outside.append(len(rest))
-            gone.append(len(shared))
-        counts = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], outside, gone)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *counts], names=["page_id", "url", "text", "n_chars", "n_outside", "n_shared"])
+    """The text of each page (page_id, url, html, gone)."""
+    for batch in sized_slices(batches, 2):
+        texts, n_lines, n_gone = [], [], []
+        for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            lines, gone = page_lines(page or ""), set(gone or [])
+            zone = max((z for _, _, z in lines), default=0)
+            texts.append("\n\n".join(x for k, (x, _, z) in enumerate(lines) if z == zone and k not in gone))
+            n_lines.append(len(lines))
+            n_gone.append(len(gone))
+        counts = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], n_lines, n_gone)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *counts], names=["page_id", "url", "text", "n_chars", "n_lines", "n_deleted"])
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
@@ -225,27 +317,59 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     return full.select("row", F.when(rank("after") > rank("before"), F.col("after.row")).otherwise(F.col("before.row")).alias("neighbour"))
 
 
+def _deletions(differenced: DataFrame) -> DataFrame:
+    """Of the shared lines of different pages (row, host, content, lines, slots, shared), those that are the host's: host, content, gone.
+
+    Two things tell a host's own lines from passages that its articles have in common. A line is the
+    host's if COMMON_PAGES or more of its different pages share it with their neighbours, and half of
+    them at least. And a shared line is the host's if most lines in the same slot, on this host's
+    pages and with PRIOR lines' worth of all hosts' pages, are shared ones: frames are the same from
+    page to page, articles aren't.
+    """
+    at = F.posexplode(F.arrays_zip("lines", "slots"))
+    lines = differenced.select("host", "content", "shared", at.alias("pos", "x")).select("host", "content", "pos", "x.lines", "x.slots", F.array_contains("shared", F.col("pos")).alias("both"))
+    slots = materialize(lines.groupBy("host", "slots").agg(F.count("*").alias("n"), F.sum(F.col("both").cast("long")).alias("s")), "page-slots")
+    overall = slots.groupBy("slots").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    pages = differenced.groupBy("host").agg(F.count("*").alias("pages"))
+    shared = materialize(lines.where("both").drop("both"), "shared-lines")
+    often = shared.groupBy("host", "lines").agg(F.count_distinct("content").alias("times")).join(pages, "host").where((F.col("times") >= COMMON_PAGES) & (2 * F.col("times") >= F.col("pages"))).select("host", "lines", F.lit(True).alias("often"))
+    prior = (F.col("all_s") + 0.5) / (F.col("all_n") + 1)
+    frame = slots.join(overall, "slots").where((F.col("s") + PRIOR * prior) / (F.col("n") + PRIOR) >= 0.5).select("host", "slots", F.lit(True).alias("frame"))
+    judged = shared.join(materialize(often, "host-lines"), ["host", "lines"], "left").join(materialize(frame, "host-slots"), ["host", "slots"], "left")
+    return judged.where(F.coalesce("often", "frame", F.lit(False))).groupBy("host", "content").agg(F.collect_list("pos").alias("gone"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, text, n_chars, n_outside, n_shared.
-
-    Each page is held against the page of the nearest URL on its host: of its lines outside the article,
-    those in a longest common subsequence with the neighbour's are deleted. Of what is left, the text is
-    the article (or main element) where the page marks one, and elsewhere the lines outside chrome. Lines
-    of a marked article are never deleted, since pages of one host may carry the same article; nor are
-    lines of an unmarked page that shares nearly all of them, since it is then a copy. n_outside counts the
-    lines outside the article and n_shared those deleted. Lines are joined by a blank line.
-
-    Only lines outside articles are sent between tasks, and then each page once. A null or empty page has
-    the text ``""``. Pages with a null or broken URL have one host together. Repeated rows are kept, each
-    with its text, and are no neighbours of one another. An empty table gives no rows.
+    """Per row of pages (page_id, url, html): page_id, url, text, n_chars, n_lines, n_deleted.
+
+    A page's lines are its text blocks outside recognised chrome (``page_lines``). Each is held against
+    the page of the nearest URL on its host that isn't a copy of it: the longest common subsequence of all
+    their lines is what the two share. Shared lines are deleted where they are the host's (``_deletions``):
+    shared by many of its pages, or standing in a slot whose lines are mostly shared. Passages that articles have
+    in common stay. Of what is left, the text is the article (or main element) where the page marks
+    one, else all of it. Lines are joined by a blank line. n_lines counts the lines compared and n_deleted
+    those deleted.
+
+    Only hashes of lines are sent between tasks. Pages of a host with equal lines are compared once.
+    A null or empty page has the text ``""``. Pages with a null or broken URL have one host together.
+    Repeated rows are kept, each with its text. Further columns are left aside. An empty table gives no rows.
     """
     read = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    name = F.concat_ws("-", F.xxhash64("page_id", "url", "html"), F.xxhash64(F.lit(1), "page_id", "url", "html"))
-    named = read.select(name.alias("row"), "page_id", "url", "html")
-    schema = "row string, page_id long, host string, path string, lines array<string>, open array<boolean>, marked boolean"
-    frames = materialize(named.mapInArrow(_frames, schema).dropDuplicates(["row"]), "page-frames")
-    others = frames.select(F.col("row").alias("neighbour"), F.col("lines").alias("other"))
-    paired = frames.select("row", "lines", "marked").join(_neighbours(frames), "row").join(others, "neighbour", "left")
-    shared = materialize(paired.select("row", "lines", "other", "marked").mapInArrow(_difference, "row string, shared array<int>"), "shared-lines")
-    both = named.join(shared, "row", "left").select("page_id", "url", "html", "shared")
-    return both.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_outside long, n_shared long")
+    named = read.select(_row_key().alias("row"), "page_id", "url", "html")
+    schema = "row string, page_id long, host string, path string, lines array<long>, slots array<long>, content long"
+    frames = materialize(named.mapInArrow(_frames, schema), "page-frames")
+    first = F.min_by(F.struct("row", "path", "page_id", "lines", "slots"), F.struct("path", "page_id", "row")).alias("p")
+    different = materialize(frames.where(F.size("lines") > 0).groupBy("host", "content").agg(first).select("host", "content", "p.*"), "different-pages")
+    others = different.select(F.col("row").alias("neighbour"), F.col("lines").alias("other"))
+    paired = different.join(_neighbours(different), "row").join(others, "neighbour", "left")
+    shape = "row string, host string, content long, lines array<long>, slots array<long>, shared array<int>"
+    differenced = materialize(paired.select("row", "host", "content", "lines", "slots", "other").mapInArrow(_difference, shape), "differenced")
+    gone = materialize(_deletions(differenced), "deletions")
+    rows = materialize(frames.select("row", "host", "content").join(gone, ["host", "content"]).select("row", "gone").dropDuplicates(["row"]), "page-deletions")
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = named.join(F.broadcast(rows) if few else rows, "row", "left").select("page_id", "url", "html", "gone")
+    return both.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_lines long, n_deleted long")
+
+
+def _row_key() -> Column:
+    return F.concat_ws("-", F.xxhash64("page_id", "url", "html"), F.xxhash64(F.lit(1), "page_id", "url", "html"))

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import THREADS, sized_slices, slices, tokenizers_library
 
 MARK = "▁"  # stands for a blank
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-THREADS = "2"
+GROUP = 512  # words that go to the library as one text
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,9 +117,9 @@ def words_end_pieces(model: PieceModel) -> bool:
 
 def build(model: PieceModel):
     """A tokenizers.Tokenizer that gives the model's ids."""
-    os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", THREADS
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
-
+    library = tokenizers_library()
+    Regex, Tokenizer, decoders, models = library.Regex, library.Tokenizer, library.decoders, library.models
+    normalizers, pre_tokenizers = library.normalizers, library.pre_tokenizers
     names = [piece for piece, _, _ in model.pieces]
     unknown = next((k for k, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), None)
     if model.kind == UNIGRAM:
@@ -149,84 +150,99 @@ class PieceEncoder:
     """Ids of whole texts; where the model takes a text word by word, each distinct word is encoded once.
 
     Words are what single blanks part. Texts that begin or end with a blank, have several in a row or
-    hold the mark itself go to the library whole, as do all texts of models that change white space.
-    At ``limit`` words the store is emptied, so memory stays bounded. With ``verify``, every text also goes
-    whole to the model's own library, and ``same`` says for each text of the last call whether all its ids
-    agree.
+    hold the mark itself go to the library whole, as do all texts of models that change white space. New words go
+    there many together, parted by blanks, and their ids fall apart where a piece begins with the mark.
+    At ``limit`` words the store is emptied, so memory stays bounded.
     """
 
-    def __init__(self, data: bytes, limit: int = 1_000_000, verify: bool = False):
-        self.reference = reference_processor(data) if verify else None
-        self.same: list[bool] = []
-        model = parse_model(data)
-        self.tokenizer = build(model)
+    def __init__(self, data: bytes, limit: int = 800_000):
+        self.model = parse_model(data)
+        self.tokenizer = build(self.model)
+        model = self.model
         self.by_word = words_end_pieces(model) and model.dummy_prefix and model.escape_blanks and not (model.charsmap or model.drop_extra_blanks)
+        self.begins = np.array([piece.startswith(MARK) for piece, _, _ in model.pieces], bool)
+        self.surfaces = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces], pa.binary())
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.codes = _Numbers()
-        self.ids = np.zeros(0, np.int32)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes: dict[str, int] = {}
+        self.lists = pa.array([], pa.list_(pa.int32()))
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each of a column of texts; a null text is empty and has none."""
+        texts = texts.cast(pa.string()).fill_null("")
         if len(self.codes) > self.limit:
             self._clear()
-        rows: list[list[int] | None] = []
-        for text in texts:
-            words = text.split(" ")
-            plain = self.by_word and MARK not in text and "" not in words
-            rows.append(list(map(self.codes.__getitem__, words)) if plain else None)
-        whole = iter(self._library([t for t, row in zip(texts, rows, strict=True) if row is None]))
-        self._learn()
-        codes = np.array([c for row in rows if row for c in row], np.int64)
-        n = self.lengths[codes]
-        ends = np.cumsum(n)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[codes] - ends + n, n)]
-        last, at, out = np.cumsum([len(row) for row in rows if row]) - 1, 0, []
-        cuts = iter(ends[last].tolist() if len(last) else ())
-        for row in rows:
-            if row is None:
-                out.append(np.array(next(whole), np.int32))
-            else:
-                end = next(cuts)
-                out.append(ids[at:end])
-                at = end
-        if self.reference is not None:
-            wanted = self.reference.encode(texts, num_threads=int(THREADS)) if texts else []
-            self.same = [a.tolist() == b for a, b in zip(out, wanted, strict=True)]
+        whole = pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}") if self.by_word else pa.array([True] * len(texts), pa.bool_())
+        plain = texts.filter(pc.invert(whole))
+        found = pa.array([], pa.list_(pa.int32()))
+        if len(plain):
+            words = pc.split_pattern(plain, " ")
+            counted = words.flatten().dictionary_encode()
+            codes = self._codes_of(counted.dictionary)[counted.indices.to_numpy()]
+            lists = self.lists.take(pa.array(codes))
+            found = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[words.offsets.to_numpy()]), lists.values)
+        if not pc.any(whole).as_py():
+            return found
+        place = np.argsort(whole.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty(len(place), np.int64)
+        back[place] = np.arange(len(place))
+        rest = pa.array(self._library(texts.filter(whole).to_pylist()), pa.list_(pa.int32()))
+        return pa.concat_arrays([found, rest]).take(pa.array(back))
+
+    def _codes_of(self, words: pa.StringArray) -> np.ndarray:
+        """The place in the store of each of some different words."""
+        names = words.to_pylist()
+        out = np.fromiter(map(self.codes.get, names, repeat(-1)), np.int32, len(names))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = np.arange(len(self.codes), len(self.codes) + len(new))
+            fresh = [names[k] for k in new.tolist()]
+            self.codes.update(zip(fresh, out[new].tolist(), strict=True))
+            self.lists = pa.concat_arrays([self.lists, self._learn(fresh)])
         return out
 
-    def _learn(self) -> None:
-        new, self.codes.new = self.codes.new, []
-        if new:
-            got = self._library(new)
-            lengths = np.array([len(x) for x in got], np.int64)
-            self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.ids)])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.int32)])
-
-
-class _Numbers(dict):
-    """Numbers words in order of appearance; ``new`` has those not yet encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = len(self)
-        return len(self) - 1
+    def _learn(self, words: list[str]) -> pa.ListArray:
+        groups = self._library([" ".join(words[k : k + GROUP]) for k in range(0, len(words), GROUP)])
+        ids = np.fromiter(chain.from_iterable(groups), np.int32)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):  # not known to happen
+            return pa.array(self._library(words), pa.list_(pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids))
+
+    def gives_back(self, texts: pa.Array, ids: pa.ListArray) -> np.ndarray:
+        """Is each text what its ids stand for? The bytes of all their pieces are set beside the text's, with the blank before it."""
+        want = texts.cast(pa.string()).fill_null("")
+        if self.model.dummy_prefix:
+            want = pc.if_else(pc.equal(want, ""), "", pc.binary_join_element_wise(" ", want, ""))
+        pieces = self.surfaces.take(ids.values)
+        ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1)
+        at = ids.offsets.to_numpy()
+        got = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.array(ends[at]).buffers()[1], pieces.buffers()[2]])
+        return pc.equal(got, want.cast(pa.binary())).to_numpy(zero_copy_only=False)
+
+
+def same_ids(ids: pa.ListArray, wanted: list[list[int]]) -> np.ndarray:
+    """Are the ids of each text those wanted?"""
+    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    lengths = np.fromiter(map(len, wanted), np.int64, len(wanted))
+    same = np.diff(at) == lengths
+    if same.all():
+        wrong = np.flatnonzero(flat[at[0] : at[-1]] != np.fromiter(chain.from_iterable(wanted), np.int32, int(lengths.sum())))
+        same[np.searchsorted(at[1:] - at[0], wrong, "right")] = False
+    else:
+        same = np.array([flat[a:b].tolist() == x for a, b, x in zip(at[:-1], at[1:], wanted, strict=True)], bool)
+    return same
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(data: bytes, verify: bool = False) -> PieceEncoder:
+def piece_encoder(data: bytes) -> PieceEncoder:
     """One for each Python worker."""
-    return PieceEncoder(data, verify=verify)
+    return PieceEncoder(data)
 
 
 def piece_tokenizer(data: bytes):
@@ -250,9 +266,8 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(data)
-        for batch in slices(batches, 256):
-            got = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for batch in sized_slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.encode(batch.column(1))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -275,25 +290,22 @@ def verified_pieces(docs: DataFrame, model_file: str) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_pieces, ids_crc32, parity, round_trip.
 
     parity says whether the model's own library gives the same ids for the whole text; round_trip says
-    whether decoding all the text's ids gives it back. Both are worked out for every row. ids_crc32 is of the ids as little-endian unsigned
-    32-bit numbers. A null text counts as empty; repeated rows and null ids of documents are kept.
+    whether the pieces of all the text's ids give it back. Both are worked out for every row, repeated ones too. ids_crc32 is
+    of the ids as little-endian unsigned 32-bit numbers. A null text counts as empty, has no pieces and
+    agrees with itself; rows of null doc_id are kept. An empty table gives no rows.
     """
     with open(model_file, "rb") as f:
         data = f.read()
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(data, verify=True)
-        for batch in slices(batches, 256):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            packed = encoder.encode(texts)
-            ids = [x.tolist() for x in packed]
-            back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            columns = [
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in packed], pa.int64()),
-                pa.array(encoder.same, pa.bool_()),
-                pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_()),
-            ]
+        encoder, reference = piece_encoder(data), reference_processor(data)
+        for batch in sized_slices(batches, 1, 2 << 20):
+            texts = batch.column(1)
+            ids = encoder.encode(texts)
+            parity = same_ids(ids, reference.encode(texts.fill_null("").to_pylist(), num_threads=THREADS))
+            at, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().astype("<u4")
+            sums = [zlib.crc32(flat[a:b].data) for a, b in zip(at[:-1], at[1:], strict=True)]
+            columns = [pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64()), pa.array(parity), pa.array(encoder.gives_back(texts, ids))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_pieces", "ids_crc32", "parity", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(check, "doc_id long, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .vectors import exact_dots, matrix, usable, usual_size
+from .vectors import exact_dots, matrix, sizes, usable
 
-TREES, LEAF, SEED = 12, 128, 6
+TREES, SEED = 8, 6
+LEAVES = (128, 384, 1152)  # rows of a leaf in the sample; the fit takes the cheapest
+VISIT = 300  # sending a query to a leaf costs as much as comparing it with so many rows
 SAMPLE = 20_000  # rows that the trees are fitted on
-TARGET, TRIALS = 0.96, 200  # recall to reach on the sample, and the queries it is measured with
+TARGET, TRIALS = 0.96, 150  # recall to reach on the sample, and the queries it is measured with
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -39,7 +43,7 @@ class Tree:
         return -out - 1
 
 
-def grow(x: np.ndarray, draw: np.random.Generator, leaf: int = LEAF) -> Tree:
+def grow(x: np.ndarray, draw: np.random.Generator, leaf: int) -> Tree:
     """Cuts rows in halves along the line between two of them drawn at random, until few are left."""
     normals, offsets, children, leaves = [], [], [], 0
     waiting = [(np.arange(len(x)), None)]
@@ -123,96 +127,126 @@ def candidates(masks: list[np.ndarray], places: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_forest(sample: np.ndarray, largest_norm: float, k: int) -> Forest:
-    """Grows the trees, then finds how many leaves a query must read on the sample to reach the target recall."""
+def fit_forest(sample: np.ndarray, largest_norm: float, k: int, scale: float = 1.0) -> Forest:
+    """Grows trees, and finds how many leaves a query must read on the sample to reach the target recall.
+
+    Of several sizes of leaves that is taken which costs least: leaves read, times the rows of a leaf in the
+    whole table (scale times those in the sample) and the cost of a visit. So clustered vectors get small
+    leaves, of which few are read, and vectors without structure large ones.
+    """
     draw = np.random.default_rng(SEED)
-    forest = Forest([], largest_norm)
-    lifted = forest.lifted(sample)
-    forest.trees = [grow(lifted, draw) for _ in range(TREES)]
-    total = sum(tree.leaves for tree in forest.trees)
     asked = draw.choice(len(sample), min(TRIALS, len(sample)), replace=False)
     scores = sample[asked] @ sample.T
     scores[np.arange(len(asked)), asked] = -np.inf
     best = np.argsort(-scores, axis=1)[:, :k]
-    places = forest.place(sample)
-    forest.probes = total
-    for share in np.geomspace(0.005, 0.9, 24):
-        probes = max(TREES, int(share * total))
-        met = candidates(forest.masks(forest.probe(sample[asked], probes)), places)
-        if np.take_along_axis(met, best, axis=1).mean() >= TARGET:
-            forest.probes = probes
-            break
-    return forest
+    found: list[tuple[float, Forest]] = []
+    for leaf in LEAVES:
+        forest = Forest([], largest_norm)
+        lifted = forest.lifted(sample)
+        forest.trees = [grow(lifted, draw, leaf) for _ in range(TREES)]
+        total = sum(tree.leaves for tree in forest.trees)
+        places = forest.place(sample)
+        steps = np.unique(np.geomspace(min(TREES, total), total, 32).astype(int)).tolist()
+
+        def enough(probes: int, forest: Forest = forest, places: np.ndarray = places) -> bool:
+            met = candidates(forest.masks(forest.probe(sample[asked], probes)), places)
+            return np.take_along_axis(met, best, axis=1).mean() >= TARGET
+
+        forest.probes = steps[min(bisect_left(steps[:-1], True, key=enough), len(steps) - 1)]
+        found.append((forest.probes * (len(sample) * scale * TREES / total + VISIT), forest))
+    return min(found, key=lambda x: x[0])[1]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Per row of queries (vec_id, embedding) its k nearest rows of vectors: query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id, and rows of the
-    query's own vec_id are left out. Trees are fitted on at most SAMPLE rows; every row is placed in them.
-    The number of leaves read per query comes from recall measured on that sample, so it is small for
-    vectors with structure and large for vectors without. Of equal vectors only the k + 1 smallest ids are
-    placed, since no other can be among the k nearest. Rows are dealt to blocks by hash, and a task holds
-    one block of vectors and one of queries, however the leaves are filled.
-
-    Rows with null vec_id, and vectors that are unusable or of another size than most, take no part as
-    query or candidate. Empty tables give no rows.
+    query's own vec_id are left out. Trees are fitted on at most SAMPLE rows; every row is placed in them. A
+    query is sent to the leaves that its queue names, in whatever tree, and compared with the rows there and no
+    others. How many it names comes from recall measured on the sample, so they are few for vectors with structure and
+    many for vectors without. Of equal vectors only the k + 1 smallest ids are
+    placed, since no other can be among the k nearest. A leaf with many rows or many queries is dealt to blocks by
+    hash; a task's group is one block of either.
+
+    Rows with null vec_id and unusable vectors take no part as query or candidate; vectors of different sizes
+    are searched apart, each size with trees of its own. Of one vec_id with several vectors, each is a
+    candidate and each a query; equal rows count once. Empty tables give no rows.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    clean = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    size = usual_size(clean)
-    if not size:
-        return spark.createDataFrame([], schema)
-    clean = clean.where(F.size("embedding") == size)
+    clean = _usable(vectors)
     copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     placed = clean.distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
-    placed = materialize(placed, "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-    state = placed.agg(F.max(norm).alias("norm"), F.count("*").alias("n")).first()
-    sample = placed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    forest = spark.sparkContext.broadcast(fit_forest(np.array([r.embedding for r in sample]), state["norm"], k))
+    placed, asked = materialize(placed, "vectors"), materialize(_usable(queries).distinct(), "queries")
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, [_nearest(placed, asked, size, k) for size in sizes(placed)], none)
 
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            places = forest.value.place(matrix(batch.column(1), size))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(places), pa.list_(pa.int64()))], names=[*batch.schema.names, "places"])
 
-    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).where(F.col("query_id").isNotNull() & usable(F.col("query"))).where(F.size("query") == size).distinct()
-    vector_blocks = -(-state["n"] // VECTOR_BLOCK)
-    query_blocks = -(-asked.count() // QUERY_BLOCK) or 1
-    indexed = placed.mapInArrow(index, "vec_id long, embedding array<double>, places array<long>")
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
 
-    def deal(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        """Gives a row its own block, and copies it to each block of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-    left = deal(indexed, "vec_id", "vb", vector_blocks, "qb", query_blocks).groupBy("vb", "qb")
-    right = deal(asked, "query_id", "qb", query_blocks, "vb", vector_blocks).groupBy("vb", "qb")
+def _nearest(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame:
+    """The search among vectors with size components."""
+    spark = vectors.sparkSession
+    vectors, queries = vectors.where(F.size("embedding") == size), queries.where(F.size("embedding") == size)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    state = vectors.agg(F.max(norm).alias("norm"), F.count("*").alias("n")).first()
+    sample = matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"], size)
+    forest = spark.sparkContext.broadcast(fit_forest(sample, state["norm"], k, state["n"] / len(sample)))
 
-    def rerank(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            yield _entries(batch, [row.tolist() for row in forest.value.place(matrix(batch.column(1), size)) + np.arange(TREES) * SAMPLE])
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            probed = forest.value.probe(matrix(batch.column(1), size), forest.value.probes)
+            yield _entries(batch, [np.concatenate([leaf + t * SAMPLE for t, leaf in enumerate(own)]).tolist() for own in probed])
+
+    def entries(df: DataFrame, fill) -> DataFrame:
+        kind = df.schema["embedding"].dataType.simpleString()
+        return df.mapInArrow(fill, f"vec_id long, embedding {kind}, leaves array<long>").withColumn("leaf", F.explode("leaves")).drop("leaves")
+
+    rows, wanted = entries(vectors, index), entries(queries, ask)
+    # One row for each leaf of the forest, whose number the fit bounds.
+    here = rows.groupBy("leaf").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("row_blocks"))
+    there = wanted.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    blocks = F.broadcast(materialize(here.join(there, "leaf"), "leaf-blocks"))
+
+    def deal(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Gives a row its own block of its leaf, and copies it to each block of the other side."""
+        block = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
+        dealt = df.join(blocks, "leaf").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        low, high = ("own", "other") if own == "row_blocks" else ("other", "own")
+        return dealt.select("leaf", F.col(low).alias("rb"), F.col(high).alias("qb"), "vec_id", "embedding").groupBy("leaf", "rb", "qb")
+
+    def rerank(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        if rows.num_rows and wanted.num_rows:
-            ids, x = rows["vec_id"].to_numpy(), matrix(rows["embedding"], size)
-            places = matrix(rows["places"], TREES).astype(np.int64)
-            names = wanted["query_id"].to_numpy()
+        if candidates.num_rows and asked.num_rows:
+            ids, x, names = candidates["vec_id"].to_numpy(), matrix(candidates["embedding"], size), asked["vec_id"].to_numpy()
             for at in range(0, len(names), 128):
-                name, q = names[at : at + 128], matrix(wanted["query"].slice(at, 128), size)
-                met = candidates(forest.value.masks(forest.value.probe(q, forest.value.probes)), places)
-                scores = np.where(met & (ids[None, :] != name[:, None]), q @ x.T, -np.inf)
-                low = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(name), -np.inf)
-                row, column = np.nonzero((scores >= (low - 1e-9 * np.maximum(1, np.abs(low)))[:, None]) & np.isfinite(scores))
-                exact = exact_dots(q[row], x[column])
-                order = np.lexsort((ids[column], -exact, row))
-                row, column, exact = row[order], column[order], exact[order]
-                first = np.searchsorted(row, row, "left")
-                best = np.arange(len(row)) - first < k
-                out[0].append(name[row[best]])
-                out[1].append(ids[column[best]])
-                out[2].append(exact[best])
+                name, q = names[at : at + 128], matrix(asked["embedding"].slice(at, 128), size)
+                for part, own in zip(out, nearest_rows(name, q, ids, x, k), strict=True):
+                    part.append(own)
         cat = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"query_id": pa.array(cat[0].astype(np.int64)), "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(np.float64))})
 
-    scored = left.cogroup(right).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = deal(rows, "row_blocks", "query_blocks").cogroup(deal(wanted, "query_blocks", "row_blocks")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    # What was found in several trees has the same score and so the same rank.
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+
+
+def _entries(batch: pa.RecordBatch, leaves: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["vec_id", "embedding", "leaves"])
+
+
+def nearest_rows(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query of names the k rows of x with the largest exact inner products, other than those of its own id."""
+    scores = np.where(ids[None, :] != names[:, None], q @ x.T, -np.inf)
+    low = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -np.inf)
+    row, column = np.nonzero((scores >= (low - 1e-9 * np.maximum(1, np.abs(low)))[:, None]) & np.isfinite(scores))
+    exact = exact_dots(q[row], x[column])
+    order = np.lexsort((ids[column], -exact, row))
+    row, column, exact = row[order], column[order], exact[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return names[row[best]], ids[column[best]], exact[best]

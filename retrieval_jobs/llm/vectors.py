@@ -15,10 +15,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def usual_size(vectors: DataFrame) -> int:
-    """The most frequent number of components; vectors of other sizes can't be compared and take no part."""
-    row = vectors.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    return row["size"] if row else 0
+def sizes(vectors: DataFrame) -> list[int]:
+    """The different numbers of components; vectors of one number are compared with one another only."""
+    return [r.n for r in vectors.groupBy(F.size("embedding").alias("n")).agg(F.lit(1)).orderBy("n").collect()]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:

@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Media types by extension.
-MIME_TYPES = {
-    ".pdf": "application/pdf",
-    ".txt": "text/plain",
-    ".csv": "text/csv",
-    ".html": "text/html",
-    ".htm": "text/html",
-    ".json": "application/json",
-    ".xml": "text/xml",
-    ".md": "text/markdown",
-    ".jpg": "image/jpeg",
-    ".jpeg": "image/jpeg",
-    ".png": "image/png",
-    ".gif": "image/gif",
-    ".tiff": "image/tiff",
-    ".tif": "image/tiff",
-    ".bmp": "image/bmp",
-    ".svg": "image/svg+xml",
-    ".doc": "application/msword",
+#: Types that the standard table lacks.
+OFFICE = {
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    ".xls": "application/vnd.ms-excel",
     ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    ".ppt": "application/vnd.ms-powerpoint",
     ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    ".zip": "application/zip",
-    ".mp3": "audio/mpeg",
-    ".mp4": "video/mp4",
 }
+_STANDARD = mimetypes.MimeTypes(filenames=())
+#: Media types by extension, from Python's own table and none of the machine's; short forms of packed archives have their archive's.
+MIME_TYPES = OFFICE | _STANDARD.types_map[True] | {short: _STANDARD.guess_type("file" + short)[0] for short in _STANDARD.suffix_map if _STANDARD.guess_type("file" + short)[0]}
+#: Suffixes that say how a file is packed; the type is that of what is inside.
+PACKED = tuple(_STANDARD.encodings_map)
 UNKNOWN_TYPE = "application/octet-stream"
 
 
@@ -47,10 +32,11 @@ def file_extension(key: Column) -> Column:
 
 
 def mime_type(extension: Column) -> Column:
-    """Media type of an extension, with or without dot, in any case."""
-    dotted = F.lower(F.when(extension.startswith("."), extension).otherwise(F.concat(F.lit("."), extension)))
+    """Media type of an extension, with or without dot, in any case; of ``.tar.gz`` and the like that of the archive."""
+    dotted = F.when(extension.startswith("."), extension).otherwise(F.concat(F.lit("."), extension))
+    inside = F.regexp_replace(dotted, "(?:" + "|".join(x.replace(".", "[.]") for x in PACKED) + ")$", "")
     known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, dotted), F.lit(UNKNOWN_TYPE))
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(inside, "[.][^.]*$", 0))), F.lit(UNKNOWN_TYPE))
 
 
 def base64url_json(token: Column) -> Column:
@@ -72,6 +58,6 @@ def jwt_claims(token: Column) -> Column:
 
 
 def token_from_url(url: Column) -> Column:
-    """The first value of query parameter ``p``, decoded; null if there is none."""
-    raw = F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*?&)?p=([^&#]*)", 1)
+    """The first value of query parameter ``p`` that isn't empty, decoded; null if there is none."""
+    raw = F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*?&)??p=([^&#]+)", 1)
     return F.when(raw != "", F.try_url_decode(raw))

@@ -70,6 +70,13 @@ def render_prompt(template: Column, context: Column, query: Column) -> Column:
     return F.aggregate(rest, F.element_at(parts, 1), lambda text, part: F.concat(text, query, part))
 
 
+def is_json(text: Column) -> Column:
+    """Is the whole text one JSON value? Spark's readers stop after the first value, so it is read once as the only
+    item of an array and once as the only member of an object: what follows a value breaks one of them."""
+    array, item = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
+    return F.coalesce(F.try_parse_json(array).isNotNull() & (F.json_array_length(array) == 1) & F.try_parse_json(item).isNotNull(), F.lit(False))
+
+
 def strip_reasoning(text: Column) -> Column:
     """text without <reasoning> blocks, stripped; null gives an empty text, an unclosed tag stays."""
     return F.coalesce(strip(F.regexp_replace(text, r"(?s)<reasoning>.*?</reasoning>", "")), F.lit(""))

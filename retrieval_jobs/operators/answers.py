@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import render_prompt, strip_reasoning
+from ..functions.text import is_json, render_prompt, strip_reasoning
 
 # Messages.
 REQUEST_INCOMPLETE = "Faltan tenant_id, agent_id o query"
@@ -40,7 +40,7 @@ def validate_gateway_bodies(requests: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("body"), F.lit("{}"))
     parsed = F.from_json(body, "prompt string, tenant_id string, agent_id string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     out = requests.withColumn("_p", parsed).withColumns({"prompt": F.col("_p.prompt"), "tenant_id": F.col("_p.tenant_id"), "agent_id": F.coalesce(F.col("_p.agent_id"), F.lit(""))})
-    error = F.when(F.col("_p._bad").isNotNull() | F.col("_p").isNull(), BAD_JSON).when(_absent(F.col("prompt")), PROMPT_MISSING).when(_absent(F.col("tenant_id")), TENANT_MISSING)
+    error = F.when(F.col("_p._bad").isNotNull() | F.col("_p").isNull() | ~is_json(body), BAD_JSON).when(_absent(F.col("prompt")), PROMPT_MISSING).when(_absent(F.col("tenant_id")), TENANT_MISSING)
     return out.withColumn("error", error).withColumn("status_code", F.when(F.col("error").isNull(), 200).otherwise(400)).drop("_p")
 
 
@@ -99,14 +99,15 @@ def generate_answers(prompts: DataFrame, main: Callable[[str], str], fallback: C
 def unwrap_response(payload: Column) -> Column:
     """struct(response, error) of a function's answer: errorMessage, else its body, else the payload itself.
 
-    A body that is JSON text gives the string in it or the JSON written anew; other bodies come as they are.
+    A body that is JSON text as a whole gives the string in it or the JSON written anew; other bodies, also such that begin
+    with a JSON value, come as they are.
     """
     whole = F.get_json_object(payload, "$")
     message = F.get_json_object(payload, "$.errorMessage")
     body = F.get_json_object(payload, "$.body")
-    response = F.when(body.isNotNull(), F.coalesce(F.get_json_object(body, "$"), body)).otherwise(whole)
+    response = F.when(body.isNotNull(), F.coalesce(F.when(is_json(body), F.get_json_object(body, "$")), body)).otherwise(whole)
     response = F.when(body == "", "").otherwise(response)
-    error = F.when(whole.isNull(), "malformed payload").otherwise(message)
+    error = F.when(whole.isNull() | ~is_json(payload), "malformed payload").otherwise(message)
     return F.struct(F.when(error.isNull(), response).alias("response"), error.alias("error"))
 
 

@@ -1,8 +1,9 @@
-"""Ranking chunks for questions by cosine distance: exact by expressions, exact by blocks, and by clusters."""
+"""Ranking chunks for questions by cosine distance: exact, over all chunks, and by clusters."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,119 +11,237 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ..functions.vectors import cosine_distance, dot, norm
+from ..functions.vectors import cosine_distance
+from ..sources.scratch import scratch_path
 
 DEFAULT_K = 50
-MOST_QUESTIONS = 20_000  # so many questions at most are sent to every task; more are joined
-
-
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
+PASS_BYTES = 64 << 20  # of questions that go to every task in one scan of the chunks
+ROW_BLOCK, QUESTION_BLOCK = 8192, 1024  # of a cluster, that a task compares at once
+#: Stand for an undefined distance, a missing one, and a chunk that isn't asked for; so they sort last.
+UNDEFINED, MISSING, EXCLUDED = 1e300, 2e300, 3e300
+
+
+class Vectors:
+    """A column of vectors: by size, the rows of that size with their values and lengths (NaN where a component is missing)."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        self.rows = len(column)
+        there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        held = column.drop_null()
+        sizes = held.value_lengths().to_numpy(zero_copy_only=False) if len(held) else np.zeros(0, np.int64)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            flat = held.take(pa.array(own)).flatten()
+            values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), size)
+            whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(own), size).all(axis=1)
+            values[~whole] = 0
+            self.by_size[size] = there[own], values, np.sqrt((values * values).sum(axis=1)), whole
+
+    def distances(self, other: Vectors, start: int, end: int) -> np.ndarray:
+        """Cosine distances of rows start to end from all rows of other.
+
+        MISSING where either is null, lacks a component, or they differ in size; UNDEFINED where either is zero or not a number.
+        """
+        out = np.full((end - start, other.rows), MISSING)
+        for size, (rows, x, length, whole) in self.by_size.items():
+            mine = np.flatnonzero((rows >= start) & (rows < end) & whole)
+            for other_size, (columns, y, other_length, other_whole) in other.by_size.items():
+                theirs = np.flatnonzero(other_whole)
+                scale = np.outer(length[mine], other_length[theirs])
+                if size == other_size:
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        part = 1 - x[mine] @ y[theirs].T / scale
+                else:
+                    part = np.full(scale.shape, MISSING)
+                part[(scale == 0) | np.isnan(part)] = UNDEFINED
+                out[np.ix_(rows[mine] - start, columns[theirs])] = part
+        return out
+
+
+class Best:
+    """The k nearest (question, chunk) pairs seen so far for each question, as flat columns."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, questions: np.ndarray, distance: np.ndarray, chunks: np.ndarray) -> None:
+        """distance: a row for each of questions (row numbers), a column for each of chunks (numbers in order of chunk_id)."""
+        if distance.shape[1] > self.k:
+            low = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            row, column = np.nonzero((distance <= low) & (distance < EXCLUDED))
+        else:
+            row, column = np.nonzero(distance < EXCLUDED)
+        self.parts.append((questions[row], distance[row, column], chunks[column]))
+        self.held += len(row)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Questions, distances and chunks, of each question the k nearest, ties by chunk."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        question, distance, chunk = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((chunk, distance, question))
+        question, distance, chunk = question[order], distance[order], chunk[order]
+        first = np.arange(len(question)) - np.searchsorted(question, question, "left") < self.k
+        return question[first], distance[first], chunk[first]
+
+
+def _shown(distance: np.ndarray) -> pa.Array:
+    """Distances as they are returned: null where one is missing, NaN where it is undefined."""
+    return pa.array(np.where(distance == UNDEFINED, np.nan, distance), pa.float64(), mask=distance == MISSING, from_pandas=False)
+
+
+def _excluded(documents: pa.Array | pa.ChunkedArray, wanted: list[str | None]) -> np.ndarray | None:
+    """Which documents each question doesn't ask about; None if no question names one."""
+    if not any(wanted):
+        return None
+    names = np.array(documents.to_pylist(), object)
+    return np.array([names != w if w else np.zeros(len(names), bool) for w in wanted])
+
+
+def _wanted(queries: DataFrame) -> DataFrame:
+    agent = F.when(F.col("agent_id") != "", F.col("agent_id"))
+    asked = queries.select("query_id", "tenant_id", agent.alias("agent_id"), F.col("wanted_document").cast("string"), "query_embedding")
+    return asked.where(F.col("tenant_id").isNotNull())
+
+
+def _vectors_of(chunks: DataFrame) -> DataFrame:
+    hashed = F.xxhash64("chunk_text").alias("text_hash")
+    return chunks.where(F.col("tenant_id").isNotNull()).select("tenant_id", "agent_id", F.col("document_id").cast("string"), "chunk_id", hashed, "embedding")
+
+
+def _ranked_with_texts(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best hits of each question, and only then their texts, which are read for those chunks alone."""
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_text", "distance")
-
-
-def _measured(df: DataFrame, vector: str, as_vector: str, as_norm: str) -> DataFrame:
-    """df with the vector in double precision and its length, so that a join doesn't work them out for every pair."""
-    return df.withColumn(as_vector, F.col(vector).cast("array<double>")).withColumn(as_norm, norm(F.col(as_vector)))
-
-
-def _pair_distance():
-    lengths = F.col("x_norm") * F.col("q_norm")
-    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(1 - F.try_divide(dot(F.col("x"), F.col("q")), lengths)).alias("distance")
-
-
-def _wanted_document(wanted: str = "wanted_document"):
-    return F.coalesce(F.col(wanted), F.lit("")).isin("") | (F.col(wanted) == F.col("document_id"))
-
-
-def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    spark = hits.sparkSession
+    path = scratch_path(spark, "search-hits")
+    ranked.write.parquet(path)
+    ranked = spark.read.schema(ranked.schema).parquet(path)
+    texts = chunks.select("tenant_id", F.col("chunk_id").alias("id"), F.xxhash64("chunk_text").alias("hash"), "chunk_text")
+    keys = ranked.select("tenant_id", F.col("chunk_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    needed = texts.join(keys, ["tenant_id", "id", "hash"], "left_semi").dropDuplicates(["tenant_id", "id", "hash"]).withColumnRenamed("tenant_id", "tenant")
+    found = ranked.join(needed, (F.col("tenant_id") == F.col("tenant")) & (F.col("chunk_id") == F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    return found.select("query_id", "rank", "chunk_id", "chunk_text", "distance")
+
+
+def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The k nearest chunks of each query: query_id, rank, chunk_id, chunk_text, distance.
 
     queries: query_id, tenant_id, agent_id, query_embedding, and wanted_document (null or empty: any).
-    Chunks of the query's tenant, and of its agent if it names one, are ranked by cosine distance; null
-    distances come last, NaN before them, ties by chunk_id. The limit is applied in each task before rows
-    are sent by query.
-    """
-    asked = queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"), "query_embedding", "wanted_document")
-    asked = _measured(asked, "query_embedding", "q", "q_norm").drop("query_embedding")
-    chunks = _measured(chunks.select("tenant_id", "agent_id", "document_id", "chunk_id", "chunk_text", "embedding"), "embedding", "x", "x_norm").drop("embedding")
-    any_agent = F.coalesce(F.col("q_agent"), F.lit("")) == ""
-    named = asked.where(~any_agent).join(chunks, (F.col("q_tenant") == chunks.tenant_id) & (F.col("q_agent") == chunks.agent_id))
-    free = asked.where(any_agent).join(chunks, F.col("q_tenant") == chunks.tenant_id)
-    met = named.unionByName(free).where(_wanted_document())
-    return _ranked(met.select("query_id", "chunk_id", "chunk_text", _pair_distance()), k)
-
+    Chunks of the query's tenant, and of its agent if it names one, are ranked by cosine distance. The distance
+    is null where either vector is null, lacks a component, or they differ in size, and NaN where one is
+    zero; nulls come last, NaN before them, ties by chunk_id. Rows without tenant take no part.
 
-def nearest_chunks(chunks: DataFrame, query_embedding: list[float], k: int = 3) -> DataFrame:
-    """One question, no filters: the k nearest chunks, by one sort that keeps k rows per task."""
-    vector = F.array(*[F.lit(float(x)) for x in query_embedding])
-    return chunks.select("chunk_id", "chunk_text", cosine_distance(F.col("embedding"), vector).alias("distance")).orderBy(F.asc_nulls_last("distance"), "chunk_id").limit(k)
+    The questions go to all tasks, in as many passes as their vectors are times pass_bytes, and a pass scans the
+    chunks' vectors once without moving them. Each task keeps the k best of its chunks for each question by
+    matrix products and sends their keys on. Texts are joined to the k best of all, last.
+    """
+    asked = _wanted(queries)
+    total = asked.agg(F.sum(F.coalesce(F.size("query_embedding"), F.lit(0)) * 8 + 100).alias("n")).first().n or 0
+    passes = max(1, -(-total // pass_bytes))
+    vectors = _vectors_of(chunks)
+    hits = [_scan(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n), vectors, k) for n in range(passes)]
+    return _ranked_with_texts(reduce(DataFrame.unionByName, hits), chunks, k)
 
 
 def topk_search_blocks(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """topk_search with matrix products: the chunks are scanned once and never moved.
-
-    Questions go to every task while there are few; each task keeps the k best of its chunks for each
-    question, and those rows alone are sent on. With more than MOST_QUESTIONS questions the join is used.
-    """
-    asked = queries.select("query_id", "tenant_id", "agent_id", "query_embedding", "wanted_document")
-    rows = asked.limit(MOST_QUESTIONS + 1).collect()
-    if len(rows) > MOST_QUESTIONS:
-        return topk_search(queries, chunks, k)
-    by_tenant: dict = {}
-    for r in rows:
-        by_tenant.setdefault((r.tenant_id, r.agent_id or None), []).append(r)
-    groups = {key: (own, np.array([x.query_embedding for x in own], np.float64)) for key, own in by_tenant.items()}
-    shared = queries.sparkSession.sparkContext.broadcast(groups)
-    key_type = queries.schema["query_id"].dataType.simpleString()
-    id_type = chunks.schema["chunk_id"].dataType.simpleString()
-    needed = chunks.select("tenant_id", "agent_id", "document_id", "chunk_id", "chunk_text", "embedding")
-
-    none, not_a_number = 2e300, 1e300  # stand for a null and an undefined distance, so that they come last
+    """topk_search with questions in small blocks: a scan of the chunks for each 64 KB of them."""
+    return topk_search(queries, chunks, k, 1 << 16)
+
+
+def _scan(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """One pass: tenant_id, query_id, chunk_id, text_hash and distance of each task's k best for each question."""
+    table = asked.toArrow()
+    groups: dict[tuple, list[int]] = {}
+    for n, key in enumerate(zip(table["tenant_id"].to_pylist(), table["agent_id"].to_pylist(), strict=True)):
+        groups.setdefault(key, []).append(n)
+    places = {key: np.array(own) for key, own in groups.items()}
+    questions = {key: (own, Vectors(table["query_embedding"].take(pa.array(own))), [table["wanted_document"][n].as_py() for n in own]) for key, own in places.items()}
+    names = table["query_id"].combine_chunks() if table.num_rows else pa.array([], table.schema.field("query_id").type)
+    shared = asked.sparkSession.sparkContext.broadcast((questions, names))
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *vectors.schema]}
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        questions, names = shared.value
+        best, kept = Best(k), []  # chunks seen, one table of keys for each batch
+        seen = 0
+
+        def compact() -> pa.RecordBatch | None:
+            nonlocal best, kept, seen
+            if not kept:
+                return None
+            keys = pa.Table.from_batches(kept).combine_chunks()
+            question, distance, chunk = best.rows()
+            used, place = np.unique(chunk, return_inverse=True)
+            keys = keys.take(pa.array(used))
+            by_id = np.argsort(np.array(keys["chunk_id"].to_pylist()), kind="stable")
+            back = np.empty(len(used), np.int64)
+            back[by_id] = np.arange(len(used))
+            keys = keys.take(pa.array(by_id))
+            best, seen = Best(k), len(used)
+            best.parts, best.held = [(question, distance, back[place])], len(question)
+            kept = keys.to_batches()
+            return None
+
         for batch in batches:
-            tenants, agents, documents, ids, texts, rows = (c.to_pylist() for c in batch.columns)
-            members: dict = {}
+            batch = batch.take(pa.array(np.argsort(np.array(batch.column(3).to_pylist()), kind="stable")))
+            tenants, agents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            members: dict[tuple, list[int]] = {}
             for n, (tenant, agent) in enumerate(zip(tenants, agents, strict=True)):
                 for key in {(tenant, agent), (tenant, None)}:
-                    if key in shared.value:
+                    if key in questions:
                         members.setdefault(key, []).append(n)
-            for key, places in members.items():
-                own, vectors = shared.value[key]
-                missing = np.array([rows[n] is None for n in places])
-                x = np.array([np.zeros(vectors.shape[1]) if rows[n] is None else rows[n] for n in places], np.float64)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    distance = 1 - vectors @ x.T / np.outer(np.linalg.norm(vectors, axis=1), np.linalg.norm(x, axis=1))
-                distance = np.where(missing, none, np.where(np.isnan(distance), not_a_number, distance))
-                names, of = np.array([ids[n] for n in places]), np.array([documents[n] or "" for n in places])
-                for q, row in zip(own, distance, strict=True):
-                    there = np.flatnonzero(of == q.wanted_document) if q.wanted_document else np.arange(len(places))
-                    order = there[np.lexsort((names[there], row[there]))][:k]
-                    found = [(float(row[n]), ids[places[n]], texts[places[n]]) for n in order]
-                    best[q.query_id] = sorted(best.get(q.query_id, []) + found, key=lambda f: f[:2])[:k]
-        out = [(q, i, text, None if d == none else float("nan") if d == not_a_number else d) for q, found in best.items() for d, i, text in found]
-        if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64(), from_pandas=False)], names=["query_id", "chunk_id", "chunk_text", "distance"])
-
-    return _ranked(needed.mapInArrow(scan, f"query_id {key_type}, chunk_id {id_type}, chunk_text string, distance double"), k)
+            for key, rows in members.items():
+                own, vectors_of_questions, wanted = questions[key]
+                rows = np.array(rows)
+                held = Vectors(batch.column(5).take(pa.array(rows)))
+                step = max(1, (4 << 20) // len(rows))
+                for at in range(0, len(own), step):
+                    distance = vectors_of_questions.distances(held, at, min(at + step, len(own)))
+                    out = _excluded(batch.column(2).take(pa.array(rows)), wanted[at : at + step])
+                    if out is not None:
+                        distance[out] = EXCLUDED
+                    best.add(own[at : at + step], distance, seen + rows)
+            kept.append(batch.select(["tenant_id", "chunk_id", "text_hash"]))
+            seen += batch.num_rows
+            if best.held > 4 * k * len(names) + 100_000:
+                compact()
+        compact()
+        question, distance, chunk = best.rows()
+        if len(question):
+            keys = pa.Table.from_batches(kept).take(pa.array(chunk)).combine_chunks()
+            columns = [keys["tenant_id"], names.take(pa.array(question)), keys["chunk_id"], keys["text_hash"], pa.chunked_array([_shown(distance)])]
+            yield from pa.Table.from_arrays(columns, names=["tenant_id", "query_id", "chunk_id", "text_hash", "distance"]).to_batches()
+
+    return vectors.mapInArrow(scan, f"tenant_id {kinds['tenant_id']}, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, text_hash long, distance double")
+
+
+def nearest_chunks(chunks: DataFrame, query_embedding: list[float], k: int = 3) -> DataFrame:
+    """One question, no filters: the k nearest chunks, by one sort that keeps k rows per task."""
+    vector = F.array(*[F.lit(float(x)) for x in query_embedding])
+    return chunks.select("chunk_id", "chunk_text", cosine_distance(F.col("embedding"), vector).alias("distance")).orderBy(F.asc_nulls_last("distance"), "chunk_id").limit(k)
 
 
 def _nearest_lists(df: DataFrame, vector: str, centers: np.ndarray, n: int) -> DataFrame:
-    """df with list_ids, the numbers of the n nearest centers by cosine; null vectors get none."""
+    """df with list_ids, the numbers of the n nearest centers by cosine; null vectors, and such of another size, get none."""
     unit = centers / np.linalg.norm(centers, axis=1, keepdims=True)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(batch.schema.get_field_index(vector)).to_pylist()
-            lists = [None if v is None else np.argsort(-(unit @ np.array(v, np.float64)), kind="stable")[:n].tolist() for v in vectors]
+            held = Vectors(batch.column(batch.schema.get_field_index(vector)))
+            lists: list[list[int] | None] = [None] * batch.num_rows
+            if unit.shape[1] in held.by_size:
+                rows, x, _, whole = held.by_size[unit.shape[1]]
+                near = np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :n].tolist()
+                for row, own, ok in zip(rows.tolist(), near, whole.tolist(), strict=True):
+                    lists[row] = own if ok else None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "list_ids"])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
     return df.mapInArrow(assign, StructType([*df.schema.fields, StructField("list_ids", ArrayType(IntegerType()))]))
 
 
@@ -136,11 +255,45 @@ def ivf_build(chunks: DataFrame, lists: int = 100, sample_rows: int = 100_000, s
 
 
 def ivf_search(queries: DataFrame, centers: np.ndarray, index: DataFrame, k: int = DEFAULT_K, probes: int = 1) -> DataFrame:
-    """topk_search among the chunks of the probes nearest lists; filters come after, so fewer than k may be left."""
-    asked = queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"), "query_embedding", "wanted_document")
-    probed = _nearest_lists(asked, "query_embedding", centers, probes).withColumn("list_id", F.explode("list_ids")).drop("list_ids")
-    probed = _measured(probed, "query_embedding", "q", "q_norm").drop("query_embedding")
-    listed = _measured(index.select("tenant_id", "agent_id", "document_id", "chunk_id", "chunk_text", "embedding", "list_id"), "embedding", "x", "x_norm").drop("embedding")
-    met = probed.join(listed, "list_id").where((F.col("q_tenant") == F.col("tenant_id")) & _wanted_document())
-    met = met.where((F.coalesce(F.col("q_agent"), F.lit("")) == "") | (F.col("q_agent") == F.col("agent_id")))
-    return _ranked(met.select("query_id", "chunk_id", "chunk_text", _pair_distance()), k)
+    """topk_search among the chunks of the probes nearest lists; filters come after, so fewer than k may be left.
+
+    Chunks and questions meet by tenant and list. A list with many chunks or many questions is cut into blocks, so that a
+    task's group is one block of either; it gives the k best keys for each question, and texts are joined last.
+    """
+    probed = _nearest_lists(_wanted(queries), "query_embedding", centers, probes).withColumn("list_id", F.explode("list_ids")).drop("list_ids")
+    listed = index.where(F.col("tenant_id").isNotNull() & F.col("list_id").isNotNull()).select("list_id", "tenant_id", "agent_id", F.col("document_id").cast("string"), "chunk_id", F.xxhash64("chunk_text").alias("text_hash"), "embedding")
+    key = ["tenant_id", "list_id"]
+    here = listed.groupBy(*key).agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("row_blocks"))
+    there = probed.groupBy(*key).agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("question_blocks"))
+    blocks = here.join(there, key)
+
+    def deal(df: DataFrame, name: str, own: str, other: str):
+        dealt = df.join(blocks, key).withColumn("own", F.pmod(F.xxhash64(name), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        low, high = ("own", "other") if own == "row_blocks" else ("other", "own")
+        return dealt.withColumns({"rb": F.col(low), "qb": F.col(high)}).drop("own", "other", "row_blocks", "question_blocks").groupBy(*key, "rb", "qb")
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*probed.schema, *listed.schema]}
+
+    def rerank(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        best = Best(k)
+        if asked.num_rows and rows.num_rows:
+            rows = rows.take(pa.array(np.argsort(np.array(rows["chunk_id"].to_pylist()), kind="stable")))
+            questions, held = Vectors(asked["query_embedding"]), Vectors(rows["embedding"])
+            wanted, of = asked["wanted_document"].to_pylist(), asked["agent_id"].to_pylist()
+            agents = np.array(rows["agent_id"].to_pylist(), object)
+            for at in range(0, asked.num_rows, 128):
+                distance = questions.distances(held, at, min(at + 128, asked.num_rows))
+                out = _excluded(rows["document_id"], wanted[at : at + 128])
+                if out is not None:
+                    distance[out] = EXCLUDED
+                for n, agent in enumerate(of[at : at + 128]):
+                    if agent is not None:
+                        distance[n, agents != agent] = EXCLUDED
+                best.add(np.arange(at, at + len(distance)), distance, np.arange(rows.num_rows))
+        question, distance, chunk = best.rows()
+        found, keys = asked.take(pa.array(question)), rows.take(pa.array(chunk))
+        return pa.table({"tenant_id": found["tenant_id"], "query_id": found["query_id"], "chunk_id": keys["chunk_id"], "text_hash": keys["text_hash"], "distance": _shown(distance)})
+
+    shape = f"tenant_id {kinds['tenant_id']}, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, text_hash long, distance double"
+    met = deal(probed, "query_id", "question_blocks", "row_blocks").cogroup(deal(listed, "chunk_id", "row_blocks", "question_blocks")).applyInArrow(rerank, shape)
+    return _ranked_with_texts(met, index, k)

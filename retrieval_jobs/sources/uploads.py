@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 EVENT_SCHEMA = (
     "Records array<struct<eventVersion: string, eventSource: string, awsRegion: string, eventTime: string, eventName: string, "
@@ -78,9 +79,15 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append", files_per_t
 
 
 def read_chunks(spark: SparkSession, path: str, tenant_id: str | None = None) -> DataFrame:
-    """The chunk table, or one tenant's folder of it."""
-    chunks = spark.read.parquet(path).withColumn("tenant_id", F.col("tenant_id").cast("string"))
-    return chunks if tenant_id is None else spark.read.parquet(path).where(F.col("tenant_id") == tenant_id)
+    """The chunk table, or one tenant's folder of it.
+
+    Tenants are text, whatever their names look like, so ``007`` and ``7`` stay two tenants. Null and empty
+    tenants share a folder and read as null; no tenant_id finds them.
+    """
+    found = spark.read.parquet(path).schema
+    named = StructType([StructField(f.name, StringType() if f.name == "tenant_id" else f.dataType) for f in found])
+    chunks = spark.read.schema(named).parquet(path)
+    return chunks if tenant_id is None else chunks.where(F.col("tenant_id") == tenant_id)
 
 
 def split_by_size(texts: DataFrame, max_kb: float) -> DataFrame:

@@ -1,91 +1,118 @@
-"""The status fold as a stream: state per document, and the history and notifications of each micro-batch."""
+"""The status fold as a stream: one query whose micro-batches write current status, history and notifications together."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from functools import partial
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.status import RECEIVED, TERMINAL, notifications, status_history
-
-OUTPUT = "document_id string, status string, updated_at timestamp, start_at timestamp, end_at timestamp, duration long, extra map<string,string>"
-# Times are kept as microseconds; -1 stands for none.
-STATE = "last_at long, last_seq long, status string, start_at long, start_seq long, end_at long, duration long, names array<string>, values array<string>, ats array<long>, seqs array<long>"
-
-
-def _micros(at: pd.Timestamp) -> int:
-    return pd.Timestamp(at).value // 1000
-
-
-def _stamp(micros: int) -> pd.Timestamp | None:
-    return None if micros < 0 else pd.Timestamp(micros, unit="us")
-
-
-def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState, forget_after: int | None) -> Iterator[pd.DataFrame]:
-    """Merges a document's new events into its state; within a micro-batch in order of (at, seq)."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last_at, last_seq, status, start_at, start_seq, end_at, duration, names, values, ats, seqs = state.get if state.exists else (-1, -1, None, -1, -1, -1, -1, [], [], [], [])
-    extra = {n: (v, a, s) for n, v, a, s in zip(names, values, ats, seqs, strict=True)}
-    events = pd.concat(list(frames)).sort_values(["at", "seq"])
-    for event in events.itertuples():
-        at, seq = _micros(event.at), int(event.seq)
-        if (at, seq) >= (last_at, last_seq):
-            last_at, last_seq, status = at, seq, event.status
-        if event.status == RECEIVED and (start_at < 0 or (at, seq) < (start_at, start_seq)):
-            start_at, start_seq = at, seq
-        if event.status in TERMINAL:
-            end_at = at if end_at < 0 else min(end_at, at)
-            if duration < 0 and start_at >= 0 and (at, seq) > (start_at, start_seq):
-                duration = (at - start_at) // 1_000_000
-        for name, value in (event.extra or {}).items():
-            if name not in extra or (at, seq) >= extra[name][1:]:
-                extra[name] = (value, at, seq)
-    state.update((last_at, last_seq, status, start_at, start_seq, end_at, duration, list(extra), [x[0] for x in extra.values()], [x[1] for x in extra.values()], [x[2] for x in extra.values()]))
-    if forget_after is not None and status in TERMINAL:
-        state.setTimeoutDuration(forget_after)
-    row = (key[0], status, _stamp(last_at), _stamp(start_at), _stamp(end_at), None if duration < 0 else duration, {n: x[0] for n, x in extra.items()})
-    yield pd.DataFrame([row], columns=["document_id", "status", "updated_at", "start_at", "end_at", "duration", "extra"]).astype({"duration": "Int64"})
-
-
-def status_stream(events: DataFrame, forget_after: int | None = None) -> DataFrame:
-    """A stream of updated rows per document from a stream (document_id, status, at, seq, extra).
-
-    The rows that come last for each document are those of current_status over all events, as long as
-    events arrive in order of (at, seq) across micro-batches; inside one they may come in any order.
-    An event that arrives after later ones is merged by its time, but a duration that was set stays.
-    With forget_after, the state of a document with a terminal status is dropped so many milliseconds
-    after its last event. Spark then goes on running batches to look for such states, so a query that
-    should end by itself (availableNow) must leave it out.
-    """
-    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
-    return events.groupBy("document_id").applyInPandasWithState(partial(_fold, forget_after=forget_after), OUTPUT, STATE, "update", timeout)
+from pyspark.sql.utils import AnalysisException
 
+from ..operators.status import RECEIVED, TERMINAL, clean_events, notifications, status_history
 
-def start_status_stream(events: DataFrame, write: Callable[[str, DataFrame, int], None], checkpoint: str, forget_after: int | None = None, **trigger):
-    """Runs the fold with history and notifications: write(name, rows, batch_id) gets each micro-batch's three tables.
+EXTRAS = "map<string,struct<at:timestamp,seq:bigint,value:string>>"
+STATE = f"document_id string, last struct<at:timestamp,seq:bigint,status:string>, start struct<at:timestamp,seq:bigint>, ending struct<at:timestamp,seq:bigint>, after_start timestamp, extras {EXTRAS}"
+TABLES = ("current", "history", "notifications", "rejected")
 
-    Names are current, history and notifications. A batch that is run again has the same batch_id, so that
-    write can replace what the first try left.
-    """
-    folded = status_stream(events, forget_after)
-    main = folded.writeStream.outputMode("update").foreachBatch(lambda rows, n: write("current", rows, n)).option("checkpointLocation", f"{checkpoint}/current").trigger(**trigger).start()
 
-    def log(rows: DataFrame, n: int) -> None:
-        kept = rows.persist()
-        write("history", status_history(kept), n)
-        write("notifications", notifications(kept), n)
-        kept.unpersist()
+def _later(one: Column, two: Column) -> Column:
+    return F.when(one.isNull() | (two >= one), two).otherwise(one)
 
-    side = events.writeStream.foreachBatch(log).option("checkpointLocation", f"{checkpoint}/log").trigger(**trigger).start()
-    return main, side
 
+def fold_batch(events: DataFrame, state: DataFrame) -> DataFrame:
+    """The state rows, as in STATE, of the documents in events after these events, given the state before.
 
-def with_times(events: DataFrame) -> DataFrame:
-    """events with ``at`` as a timestamp with time zone, which watermarks need."""
-    return events.withColumn("at", F.col("at").cast("timestamp"))
+    Everything is a grouped minimum or maximum of the events, so a document with very many of them is summed up
+    in each task before it is sent, and is one row when it meets its state. Within events the order is by (at, seq). An
+    event that comes after later ones is merged by its time; only where a RECEIVED comes so late that
+    it stands before another terminal event than the first, the end of the duration may be a later one than in a fold of all events.
+    """
+    when = F.struct("at", "seq")
+    new = events.groupBy("document_id").agg(
+        F.max(F.struct("at", "seq", "status")).alias("new_last"),
+        F.min(F.when(F.col("status") == RECEIVED, when)).alias("new_start"),
+        F.min(F.when(F.col("status").isin(*TERMINAL), when)).alias("new_ending"),
+    )
+    named = events.where(F.size("extra") > 0).select("document_id", "at", "seq", F.explode("extra").alias("name", "value"))
+    values = named.groupBy("document_id", "name").agg(F.max(F.struct("at", "seq", "value")).alias("value"))
+    extras = values.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("new_extras"))
+    both = new.join(extras, "document_id", "left").join(state, "document_id", "left")
+    least = lambda one, two: F.when(F.col(one).isNull() | (F.col(two) < F.col(one)), F.col(two)).otherwise(F.col(one))
+    both = both.withColumns({"first": least("start", "new_start"), "first_end": least("ending", "new_ending")})
+    after = events.where(F.col("status").isin(*TERMINAL)).join(both.select("document_id", "first"), "document_id").where(when > F.col("first")).groupBy("document_id").agg(F.min("at").alias("new_after"))
+    same_start = F.col("first") == F.col("start")
+    known = F.when(same_start, F.col("after_start")).when(F.col("ending") > F.col("first"), F.col("ending.at"))
+    empty = F.create_map().cast(EXTRAS)
+    merged = F.map_zip_with(F.coalesce("extras", empty), F.coalesce("new_extras", empty), lambda _, old, new: _later(old, F.coalesce(new, old)))
+    return both.join(after, "document_id", "left").select(
+        "document_id", _later(F.col("last"), F.col("new_last")).alias("last"), F.col("first").alias("start"), F.col("first_end").alias("ending"),
+        F.least(known, F.col("new_after")).alias("after_start"), merged.alias("extras"),
+    )
+
+
+def current_rows(state: DataFrame) -> DataFrame:
+    """State rows as current_status gives them."""
+    duration = F.timestamp_diff("SECOND", F.col("start.at"), F.col("after_start"))
+    return state.select("document_id", F.col("last.status").alias("status"), F.col("last.at").alias("updated_at"), F.col("start.at").alias("start_at"), F.col("ending.at").alias("end_at"), duration.alias("duration"), F.transform_values("extras", lambda _, v: v["value"]).alias("extra"))
+
+
+def _batches(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """What the committed micro-batches wrote to a folder, with the number of each; those from before on are left out."""
+    try:
+        committed = spark.read.json(f"{folder.rpartition('/')[0]}/commits").select(F.col("batch").cast("long"))
+        rows = spark.read.parquet(folder).withColumn("batch", F.col("batch").cast("long"))
+    except AnalysisException:  # nothing yet
+        return None
+    if before is not None:
+        committed = committed.where(F.col("batch") < before)
+    return rows.join(F.broadcast(committed.distinct()), "batch", "left_semi")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c not in ("document_id", "batch")]
+    return rows.groupBy("document_id").agg(F.max_by(F.struct(*columns), "batch").alias("e")).select("document_id", "e.*")
+
+
+def start_status_stream(events: DataFrame, path: str, checkpoint: str, **trigger):
+    """Runs the fold over a stream (document_id, status, at, seq, extra) and writes its tables under path.
+
+    Each micro-batch is cleaned first (``clean_events``; what it refuses goes to ``rejected``), then folded into the
+    state of its documents, and its rows of current, history and notifications are written to folders of its number. Its number is
+    put down last, and readers (``read_status``) only look at numbers put down, so the tables always stand
+    at the same event. A micro-batch that is run again replaces what its first try left.
+    """
+    spark = events.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        good, bad = clean_events(rows)
+        before = _batches(spark, f"{path}/state", number)
+        if before is None:
+            state = spark.createDataFrame([], STATE)
+        else:
+            state = _latest(before.join(good.select("document_id").distinct(), "document_id", "left_semi"))
+
+        def write(name: str, df: DataFrame) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+        write("state", fold_batch(good, state))
+        write("current", current_rows(spark.read.parquet(f"{path}/state/batch={number}")))
+        write("history", status_history(good))
+        write("notifications", notifications(good))
+        write("rejected", bad)
+        spark.range(1).select(F.lit(number).alias("batch")).write.mode("append").json(f"{path}/commits")
+        rows.unpersist()
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_status(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the stream, of TABLES, as of the last micro-batch that was written whole: of current the last row of each
+    document, of history the last write of each (document_id, transition_at), of the others all rows."""
+    rows = _batches(spark, f"{path}/{name}")
+    if rows is None:
+        raise ValueError(f"the stream has written nothing to {path} yet")
+    if name == "current":
+        return _latest(rows)
+    if name == "history":
+        kept = rows.groupBy("document_id", "transition_at").agg(F.max_by(F.struct("status", "extra"), "batch").alias("e"))
+        return kept.select("document_id", "transition_at", "e.status", "e.extra")
+    return rows.drop("batch")

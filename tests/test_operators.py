@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from retrieval_jobs.operators import answers, chunking, embedding, search, status, tenants
 from retrieval_jobs.plans import answer as answer_plan
@@ -92,15 +93,48 @@ def test_topk(spark, k):
         assert got == {x: y for x, y in want.items() if y}
 
 
-def test_ivf_reads_all_lists_exactly_and_fewer_nearly(spark):
+def odd_vectors(spark):
+    draw = np.random.default_rng(3)
+    whole = [draw.standard_normal(4).tolist() for _ in range(6)]
+    odd = [None, [], [0.0] * 4, [1.0, 2.0], [None, 1.0, 1.0, 1.0], [float("nan"), 0.0, 0.0, 1.0], [0.0, 0.0]]
+    chunks = [("t", k, "a" if k % 2 else None, None, f"x{k % 4}", v) for k, v in enumerate(whole + odd)] + [(None, 50, "a", None, "n", whole[0]), ("t", 51, "", "d", None, whole[1]), ("t", 0, None, None, "x0", whole[0])]
+    queries = [(k, "t", ("a", "", None)[k % 3], v, None) for k, v in enumerate(whole + odd)] + [(90, None, "a", whole[0], None)]
+    return (
+        spark.createDataFrame(chunks, "tenant_id string, chunk_id long, agent_id string, document_id string, chunk_text string, embedding array<float>"),
+        spark.createDataFrame(queries, "query_id long, tenant_id string, agent_id string, query_embedding array<float>, wanted_document string"),
+    )
+
+
+def test_odd_vectors_rank_as_their_distances(spark):
+    from retrieval_jobs.functions.vectors import cosine_distance
+
+    chunks, queries = odd_vectors(spark)
+    asked = queries.withColumnsRenamed({"tenant_id": "q_tenant", "agent_id": "q_agent"})
+    met = asked.join(chunks, (F.col("q_tenant") == F.col("tenant_id")) & (F.coalesce("q_agent", F.lit("")).isin("") | (F.col("q_agent") == F.col("agent_id"))))
+    plain = met.select("query_id", "chunk_id", "chunk_text", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance")).collect()
+    want = {}
+    for r in sorted(plain, key=lambda r: (r.query_id, r.distance is None, r.distance is not None and math.isnan(r.distance), round(r.distance, 9) if r.distance is not None and r.distance == r.distance else 0, r.chunk_id)):
+        want.setdefault(r.query_id, []).append((r.chunk_id, r.chunk_text, "null" if r.distance is None else "nan" if math.isnan(r.distance) else round(r.distance, 6)))
+    for find in (search.topk_search, search.topk_search_blocks):
+        got = {}
+        for r in sorted(find(queries, chunks, 50).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.chunk_text, "null" if r.distance is None else "nan" if math.isnan(r.distance) else round(r.distance, 6)))
+        assert got == want
+    assert search.topk_search(queries.where("query_id < 0"), chunks).count() == 0
+    assert search.topk_search(queries, chunks.where("chunk_id < 0")).count() == 0
+
+
+def test_ivf_reads_all_lists_exactly_and_fewer_nearly(spark, monkeypatch):
     chunks, queries, c, q = vector_tables(spark)
     chunks = chunks.where("embedding is not null")
     centers, index = search.ivf_build(chunks, lists=8)
     assert index.count() == chunks.count()
     exact = {(r.query_id, r.chunk_id) for r in search.topk_search(queries, chunks, 10).collect()}
+    monkeypatch.setattr(search, "ROW_BLOCK", 16)
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 4)
     every = {(r.query_id, r.chunk_id) for r in search.ivf_search(queries, centers, index, 10, probes=8).collect()}
     some = {(r.query_id, r.chunk_id) for r in search.ivf_search(queries, centers, index, 10, probes=5).collect()}
-    assert len(every & exact) >= 0.98 * len(exact)
+    assert every == exact
     assert len(some & exact) >= 0.6 * len(exact)
 
 
@@ -143,24 +177,43 @@ def test_current_status(spark):
 
 
 def test_status_stream_equals_batch(spark, tmp_path):
-    from retrieval_jobs.streaming.status_stream import start_status_stream
+    from retrieval_jobs.streaming.status_stream import read_status, start_status_stream
 
     events, rows = log(spark)
     ordered = sorted(rows, key=lambda r: (r[2], r[3]))
+    refused = [("d1", "NOPE", ordered[0][2], 900, None), (None, "RECEIVED", ordered[0][2], 901, None), ("d1", "RECEIVED", ordered[0][2], 902, {"status": "x"})]
+    spaced = [(d, s + " " if s == "OCR_IN_PROGRESS" else s, *more) for d, s, *more in ordered]
     for k in range(3):
-        part = spark.createDataFrame(ordered[k * 100 : k * 100 + 100], events.schema)
+        part = spark.createDataFrame(spaced[k * 100 : k * 100 + 100] + refused[k : k + 1], events.schema)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    seen = {"current": [], "history": [], "notifications": []}
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    queries = start_status_stream(stream, lambda name, df, n: seen[name].append(df.collect()), str(tmp_path / "checkpoint"), availableNow=True)
-    for q in queries:
-        assert q.awaitTermination(120)
-    last = {}
-    for batch in seen["current"]:
-        last |= folded(batch)
-    assert last == local(plain_fold(rows))
-    assert sum(map(len, seen["notifications"])) == len(rows)
-    assert {(r.document_id, r.transition_at) for b in seen["history"] for r in b} == {(r.document_id, r.transition_at) for r in status.status_history(events).collect()}
+    path, spread = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def run():
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        assert start_status_stream(stream, path, spread, availableNow=True).awaitTermination(300) is not False
+
+    run()
+    assert folded(read_status(spark, path, "current").collect()) == local(plain_fold(rows))
+    assert read_status(spark, path, "notifications").count() == len(rows)
+    assert sorted(r.seq for r in read_status(spark, path, "rejected").collect()) == [900, 901, 902]
+    want = {(r.document_id, r.transition_at, r.status) for r in status.status_history(events).collect()}
+    assert {(r.document_id, r.transition_at, r.status) for r in read_status(spark, path, "history").collect()} == want
+    # A batch that was written but not put down is not seen.
+    spark.read.parquet(path + "/current/batch=0").withColumn("status", F.lit("HALF")).write.parquet(path + "/current/batch=77")
+    assert read_status(spark, path, "current").where("status = 'HALF'").count() == 0
+
+
+def test_fold_of_late_events(spark):
+    from retrieval_jobs.streaming.status_stream import STATE, current_rows, fold_batch
+
+    events, rows = log(spark)
+    shuffled = sorted((r for r in rows if r[1] != "RECEIVED"), key=lambda r: r[3] * 7919 % 300)
+    first = sorted((r for r in rows if r[1] == "RECEIVED"), key=lambda r: (r[2], r[3]))
+    state = spark.createDataFrame([], STATE)
+    for part in (first, shuffled[:90], shuffled[90:]):
+        fresh = fold_batch(spark.createDataFrame(part, events.schema), state)
+        state = spark.createDataFrame(fresh.collect() + state.join(fresh.select("document_id"), "document_id", "left_anti").select(*fresh.columns).collect(), STATE)
+    assert folded(current_rows(state).collect()) == local(plain_fold(rows))
 
 
 def test_clean_events(spark):
@@ -202,11 +255,23 @@ def test_validate_requests(spark, row, code):
     assert answers.validate_requests(spark.createDataFrame([row], "tenant_id string, agent_id string, query string")).first().status_code == code
 
 
-@pytest.mark.parametrize(("body", "error"), [("{bad", answers.BAD_JSON), (None, answers.PROMPT_MISSING), ("{}", answers.PROMPT_MISSING), ('{"prompt":"x"}', answers.TENANT_MISSING), ('{"prompt":"x","tenant_id":"t"}', None)])
+@pytest.mark.parametrize(("body", "error"), [("{bad", answers.BAD_JSON), (None, answers.PROMPT_MISSING), ("{}", answers.PROMPT_MISSING), ('{"prompt":"x"}', answers.TENANT_MISSING), ('{"prompt":"x","tenant_id":"t"}', None), ('{"prompt":"x","tenant_id":"t"} junk', answers.BAD_JSON), ('{"prompt":"x"}, {"tenant_id":"t"}', answers.BAD_JSON)])
 def test_gateway(spark, body, error):
     assert answers.validate_gateway_bodies(spark.createDataFrame([(body,)], "body string")).first().error == error
 
 
+@pytest.mark.parametrize(
+    ("body", "shown"),
+    [("2024 was good", None), ("true story", None), ('"a" is a letter', None), ("[1] source says", None), ("1], [2", None), ('1}, {"v":2', None), ("", None), ('"quoted"', "quoted"), ('{"a": [1]}', '{"a":[1]}'), (" 12 ", "12"), ("nothing", None)],
+)
+def test_unwrap_response(spark, body, shown):
+    payload = F.to_json(F.struct(F.lit(body).alias("body")))
+    got = spark.range(1).select(answers.unwrap_response(payload).alias("x")).first().x
+    assert (got.response, got.error) == (body if shown is None else shown, None)
+    junk = spark.range(1).select(answers.unwrap_response(F.concat(payload, F.lit(" junk"))).alias("x")).first().x
+    assert (junk.response, junk.error) == (None, "malformed payload")
+
+
 def test_embed_and_answer_batch(spark):
     encoder = lambda: embedding.hash_encoder(16)
     texts = ["red apple pie", "green tea leaf", "blue sky"]
@@ -258,6 +323,34 @@ def test_uploads_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "long")).count() == 2
 
 
+def test_tenants_are_text(spark, tmp_path):
+    names = ["007", "7", "1e3", "1000", "2024-01-01", "2024-1-1", "true", None, "a b/c", ""]
+    chunks = spark.createDataFrame([(t, k, "x") for k, t in enumerate(names)], "tenant_id string, chunk_id long, chunk_text string")
+    uploads.write_chunks(chunks.where("tenant_id in ('007', '7')"), str(tmp_path / "numbers"))
+    assert [r.chunk_id for r in uploads.read_chunks(spark, str(tmp_path / "numbers"), "007").collect()] == [0]
+    assert {r.tenant_id for r in uploads.read_chunks(spark, str(tmp_path / "numbers")).collect()} == {"007", "7"}
+    uploads.write_chunks(chunks, str(tmp_path / "all"))
+    for k, t in enumerate(names):
+        found = [r.chunk_id for r in uploads.read_chunks(spark, str(tmp_path / "all"), t).collect()] if t is not None else [k]
+        assert found == ([k] if t != "" else [])
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from retrieval_jobs.sources.scratch import scratch_path
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_path(session("spark://host:7077", None), "x")
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_path(session("local-cluster[2,1,1024]", None), "x")
+    assert scratch_path(session("local[2]", None), "x").startswith("file:///")
+    assert scratch_path(session("spark://host:7077", "hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+
+
 def test_updates(spark):
     items = spark.createDataFrame([(1, "a", "b"), (2, "c", None)], "id int, x string, y string")
     updates = spark.createDataFrame([(2, None, "new"), (3, "z", None)], "id int, x string, y string")
@@ -282,8 +375,6 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     now = dt.datetime(2024, 1, 2)
 
     def chunks_of(events):
-        from pyspark.sql import functions as F
-
         objects = uploads.parse_object_keys(events).withColumn("arrived_at", F.col("event_time"))
         made, agents = ingest(objects, pages, none, lambda: embedding.hash_encoder(8), now=F.lit(now))
         return made.collect(), agents.collect()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import keys, text, vectors
@@ -13,7 +15,7 @@ from .plans import answer as answer_plan
 from .plans import ingest as ingest_plan
 from .sources import uploads
 from .sources.scratch import scratch_path
-from .streaming.status_stream import start_status_stream
+from .streaming.status_stream import read_status, start_status_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,6 +100,64 @@ SQL_HEADED = """headed AS (
 )"""
 
 
+SQL_BLANKS = "chr(9) || chr(10) || chr(13) || ' '"
+
+
+def _sql_cut(n: int, separator: str) -> str:
+    """Pieces that are too long cut at a separator, which stays with the piece after it."""
+    cut = f"list_filter(list_transform(string_split(p, {separator}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {separator} || x END), lambda x: x <> '')"
+    return f"""cut{n + 1} AS (
+  SELECT document_id, size, overlap, seps, flatten(list_transform(pieces, lambda p: CASE WHEN length(p) > size AND contains(p, {separator}) THEN {cut} ELSE [p] END)) AS pieces FROM cut{n}
+)"""
+
+
+def _sql_chunks(titled: bool, separators: tuple[str, ...], least: int) -> str:
+    """CTEs from sized (document_id, text, size, overlap) to chunked (document_id, chunk_index, chunk_text).
+
+    Pieces are cut level by level. Chunks are then found one after another for all documents at once, from running
+    sums of the pieces' lengths: where the next one begins, and how far it goes.
+    """
+    quoted = [" || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in x) for x in separators]
+    levels = ([f"coalesce(seps[{k}], chr(1))" for k in range(1, 5)] if titled else []) + quoted
+    patterns = " OR ".join(f"regexp_matches(line, '{x}')" for x in SQL_TITLES)
+    titles = f"""title_rows AS (
+  SELECT document_id, trim(line, {SQL_BLANKS}) AS line, pos
+  FROM (SELECT document_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (SELECT document_id, string_split(text, chr(10)) AS parts FROM sized))
+), found_titles AS (
+  SELECT document_id, chr(10) || line || chr(10) AS sep, min(pos) AS pos FROM title_rows WHERE length(line) > 3 AND ({patterns}) GROUP BY document_id, line
+), separators AS (SELECT document_id, list(sep ORDER BY length(sep) DESC, pos) AS seps FROM found_titles GROUP BY document_id),"""
+    first = f"""{titles if titled else "separators AS (SELECT NULL::VARCHAR AS document_id, NULL::VARCHAR[] AS seps),"} cut0 AS (
+  SELECT s.document_id, s.size, s.overlap, t.seps, [s.text] AS pieces FROM sized s LEFT JOIN separators t ON t.document_id = s.document_id WHERE trim(s.text, {SQL_BLANKS}) <> ''
+)"""
+    cuts = ", ".join(_sql_cut(n, x) for n, x in enumerate(levels))
+    return f"""{first}, {cuts}, piece_rows AS (
+  SELECT document_id, size, overlap, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM cut{len(levels)}
+), sums AS (
+  SELECT document_id, any_value(size) AS size, any_value(overlap) AS overlap, list(total ORDER BY i) AS totals, max(i) AS n
+  FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY document_id ORDER BY i)::BIGINT AS total FROM piece_rows) GROUP BY document_id
+), packed AS (
+  SELECT document_id, 0 AS k, 1::BIGINT AS s, greatest(1, len(list_filter(totals, lambda t: t <= size)))::BIGINT AS e FROM sums
+  UNION ALL
+  SELECT document_id, k + 1, s, greatest(e + 1, len(list_filter(totals, lambda t: t <= before + size)))::BIGINT FROM (
+    SELECT *, CASE WHEN s = 1 THEN 0 ELSE totals[s - 1] END AS before FROM (
+      SELECT document_id, k, e, size, totals, least(e + 1, greatest(s, CASE WHEN bound > 0 THEN 2 + len(list_filter(totals, lambda t: t < bound)) ELSE 1 END))::BIGINT AS s FROM (
+        SELECT p.*, m.size, m.totals, m.totals[p.e] - least(m.overlap, m.size - (m.totals[p.e + 1] - m.totals[p.e])) AS bound
+        FROM packed p JOIN sums m ON m.document_id = p.document_id WHERE p.e < m.n)))
+), whole AS (
+  SELECT p.document_id, p.k, trim(string_agg(r.piece, '' ORDER BY r.i), {SQL_BLANKS}) AS chunk_text
+  FROM packed p JOIN piece_rows r ON r.document_id = p.document_id AND r.i BETWEEN p.s AND p.e GROUP BY p.document_id, p.k
+), chunked AS (
+  SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS chunk_index, chunk_text FROM whole WHERE length(chunk_text) >= {least}
+)"""
+
+
+SQL_TITLES = (
+    "^#{1,6}\\s+.+$", "^\\d+\\.[\\d\\.]*\\s+[A-ZÁÉÍÓÚÑ].*$", "^[IVXLCDM]+\\.\\s+.+$", "^[A-Z][A-Z\\s]{3,}$",
+    "^(?:Capítulo|Sección|Artículo|Anexo)\\s+\\d*.*$", "^(?:Chapter|Section|Article|Annex)\\s+\\d*.*$",
+)
+SQL_SIZE = "CASE WHEN n <= 10 THEN 800 WHEN n <= 50 THEN 1200 WHEN n <= 150 THEN 1800 ELSE 2500 END AS size, CASE WHEN n <= 50 THEN 150 WHEN n <= 150 THEN 100 ELSE 80 END AS overlap"
+
+
 def _chunks(spark, sf_dir) -> DataFrame:
     """Vectors as chunks: the label is the agent, the document of the same number gives text and name."""
     rows = _table(spark, sf_dir, "embeddings")
@@ -156,7 +216,7 @@ SQL_EVENTS = """log AS (
 )"""
 
 
-def _when(column: str):
+def _when(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
@@ -175,7 +235,7 @@ def _notifications(spark, sf_dir) -> DataFrame:
         key = F.concat(F.lit("/tenant_"), "lang", F.lit("/"), folder, F.lit("/file+%281%29+"), "doc_id", F.lit(f"-{n}"), name)
         event = F.when((F.col("doc_id") + n) % 5 == 0, "ObjectRemoved:Delete").otherwise("ObjectCreated:Put")
         item = F.struct(key.alias("key"), F.col("n_chars").alias("size"), F.md5(F.col("document_id")).alias("eTag"), F.concat(F.lit("S"), "doc_id").alias("sequencer"))
-        return F.struct(F.lit("2024-01-01T00:00:00.000Z").alias("eventTime"), event.alias("eventName"), F.struct(F.struct(F.lit("uploads").alias("name")).alias("bucket"), item.alias("object")).alias("s3"))
+        return F.struct(F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T01:02:03.000Z")).alias("eventTime"), event.alias("eventName"), F.struct(F.struct(F.lit("uploads").alias("name")).alias("bucket"), item.alias("object")).alias("s3"))
 
     return docs.select(F.array(record(0), record(1)).alias("Records"))
 
@@ -190,9 +250,9 @@ SQL_UPLOADS = """uploads AS (
 )"""
 
 
-@query(f"WITH {SQL_UPLOADS} SELECT 'uploads' AS bucket, key_raw, n_chars AS size, md5(doc_id::VARCHAR) AS etag, 'S' || doc_id AS sequencer, 'ObjectCreated:Put' AS event_name FROM uploads")
+@query(f"WITH {SQL_UPLOADS} SELECT 'uploads' AS bucket, key_raw, n_chars AS size, md5(doc_id::VARCHAR) AS etag, 'S' || doc_id AS sequencer, 'ObjectCreated:Put' AS event_name, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || ' 01:02:03.000000' AS event_time FROM uploads")
 def s1_upload_events(spark, sf_dir):
-    return uploads.upload_events(_notifications(spark, sf_dir)).select("bucket", "key_raw", "size", "etag", "sequencer", "event_name")
+    return uploads.upload_events(_notifications(spark, sf_dir)).select("bucket", "key_raw", "size", "etag", "sequencer", "event_name", _when("event_time").alias("event_time"))
 
 
 @query(f"""WITH {SQL_UPLOADS}, decoded AS (SELECT key_raw, ltrim(url_decode(replace(key_raw, '+', ' ')), '/') AS key FROM uploads)
@@ -202,11 +262,11 @@ def s2_object_keys(spark, sf_dir):
     return uploads.parse_object_keys(uploads.upload_events(_notifications(spark, sf_dir))).select("key_raw", "key", "tenant_id", "agent_id", "document_name", "valid_agent")
 
 
-@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total, len(embedding) AS size FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: round(x * 10000)::BIGINT), ',') AS components, len(embedding) AS size FROM embeddings")
 def s6_pgvector_text(spark, sf_dir):
     back = vectors.from_pgvector(vectors.to_pgvector(F.col("embedding")))
-    total = F.aggregate(back, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 4).alias("total"), F.size(back).cast("long").alias("size"))
+    components = F.array_join(F.transform(back, lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",")
+    return _table(spark, sf_dir, "embeddings").select("vec_id", components.alias("components"), F.size(back).cast("long").alias("size"))
 
 
 @query("""SELECT doc_id::VARCHAR AS document_id, strlen(text) / 1024.0 <= 2 AS stored_inline,
@@ -215,6 +275,39 @@ def s7_split_by_size(spark, sf_dir):
     return uploads.split_by_size(_documents(spark, sf_dir), 2).select("document_id", "stored_inline", "stored")
 
 
+@query("SELECT doc_id::VARCHAR AS document_id, strlen(text) / 1024.0 <= 2 AS stored_inline, CASE WHEN strlen(text) / 1024.0 > 2 THEN text END AS offloaded, CASE WHEN strlen(text) / 1024.0 > 2 THEN 'extracted_text/' || doc_id || '.txt' ELSE text END AS stored FROM documents")
+def s7_save_text(spark, sf_dir):
+    """Writes documents with long texts apart, and reads both tables back."""
+    inline, long = scratch_path(spark, "inline-texts"), scratch_path(spark, "long-texts")
+    uploads.save_text(_documents(spark, sf_dir), 2, inline, long)
+    texts = spark.read.parquet(long).select("location", F.col("text").alias("offloaded"))
+    rows = spark.read.parquet(inline)
+    return rows.join(texts, rows["stored"] == texts["location"], "left").select("document_id", "stored_inline", "offloaded", "stored")
+
+
+@query("SELECT source, text FROM documents")
+def s3_read_documents(spark, sf_dir):
+    """Writes documents to files of at most 500, one text a page, and reads the pages back by a parser."""
+    path = scratch_path(spark, "files")
+    rows = _table(spark, sf_dir, "documents").select("source", "text")
+    rows.write.partitionBy("source").option("lineSep", "\f").option("maxRecordsPerFile", 500).text(path)
+    pages = uploads.read_documents(spark, path, lambda data: data.decode().split("\f")[:-1], "*.txt")
+    return pages.select(F.regexp_extract("document_path", "/source=([^/]*)/", 1).alias("source"), F.col("page_text").alias("text"))
+
+
+TENANTS = ("007", "7", "1e3", "1000")
+
+
+@query("SELECT ['007', '7', '1e3', '1000'][doc_id % 4 + 1] AS tenant_id, doc_id AS chunk_id, text AS chunk_text FROM documents")
+def s5_read_tenants(spark, sf_dir):
+    """Writes chunks of tenants whose names look like equal numbers, and reads each tenant's alone."""
+    path = scratch_path(spark, "tenant-chunks")
+    tenant = F.get(F.array(*map(F.lit, TENANTS)), F.col("doc_id") % 4)
+    uploads.write_chunks(_table(spark, sf_dir, "documents").select(tenant.alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")), path)
+    read = [uploads.read_chunks(spark, path, t).select(F.lit(t).alias("tenant_id"), "chunk_id", "chunk_text") for t in TENANTS]
+    return reduce(DataFrame.unionByName, read)
+
+
 @query("SELECT source AS tenant_id, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM documents GROUP BY source")
 def s4_chunk_table(spark, sf_dir):
     """Writes documents as chunks of one tenant per source, and sums up what is read back."""
@@ -278,10 +371,12 @@ def t7_separators(spark, sf_dir):
     return _headed(spark, sf_dir).select("doc_id", F.array_join(text.build_separators(text.detect_titles(F.col("text"))), "|").alias("separators"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_HEADED}, sized AS (
+  SELECT document_id, text, {SQL_SIZE} FROM (SELECT doc_id::VARCHAR AS document_id, text, ceil(length(text) / 200.0)::BIGINT AS n FROM headed)
+), {_sql_chunks(True, text.BASE_SEPARATORS, 50)} SELECT * FROM chunked""")
 def t8_chunk_documents(spark, sf_dir):
     docs = _headed(spark, sf_dir).withColumn("num_pages", F.ceil(F.length("text") / PAGE))
-    return chunking.chunk_documents(docs)
+    return chunking.chunk_documents(docs).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query(f"WITH {SQL_PAGES} SELECT document_id, page_no, trim(page_text, chr(9) || chr(10) || chr(13) || ' ') AS chunk_text FROM pages_cut WHERE length(trim(page_text, chr(9) || chr(10) || chr(13) || ' ')) >= 50")
@@ -289,19 +384,35 @@ def t9_clean_chunks(spark, sf_dir):
     return chunking.clean_chunks(_pages(spark, sf_dir).withColumnRenamed("page_text", "chunk_text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_PAGES}, sized AS (
+  SELECT document_id, string_agg(page_text, chr(10) ORDER BY page_no) AS text, 1000 AS size, 500 AS overlap FROM pages_cut GROUP BY document_id
+), {_sql_chunks(False, chunking.DEFAULT_SEPARATORS[:-1], 1)} SELECT * FROM chunked""")
 def t10_chunk_fixed(spark, sf_dir):
-    return chunking.chunk_documents(assemble.pages_to_text(_pages(spark, sf_dir), "plain"), preset="fixed")
-
-
-@query()
+    chunks = chunking.chunk_documents(assemble.pages_to_text(_pages(spark, sf_dir), "plain"), preset="fixed")
+    return chunks.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query(f"""WITH RECURSIVE {SQL_PAGES}, {SQL_UPLOADS}, objects AS (
+  SELECT doc_id, 'tenant_' || lang AS tenant_id, folder AS agent_id, 'file (1) ' || doc_id || '-' || n || '.pdf' AS document_name, md5(doc_id::VARCHAR) AS etag,
+         'tenant_' || lang || '/' || folder || '/file (1) ' || doc_id || '-' || n || '.pdf' AS key FROM uploads WHERE folder <> 'documents'
+), named AS (SELECT *, sha256('uploads' || chr(10) || key || chr(10) || etag)[1:32] AS document_id FROM objects
+), texts AS (
+  SELECT o.document_id, count(*) AS n, string_agg(CASE WHEN trim(page_text, {SQL_BLANKS}) = '' THEN '' ELSE page_text END || chr(10) || chr(10), '' ORDER BY page_no) AS structured,
+         string_agg(page_text, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE trim(page_text, {SQL_BLANKS}) <> '') AS ocr
+  FROM named o JOIN pages_cut p ON p.document_id = o.doc_id::VARCHAR GROUP BY o.document_id
+), sized AS (SELECT document_id, CASE WHEN n > 50 THEN ocr ELSE structured END AS text, {SQL_SIZE} FROM texts
+), {_sql_chunks(True, text.BASE_SEPARATORS, 50)}
+SELECT tenant_id, agent_id, c.document_id, document_name, chunk_index, chunk_text, '2024-01-01' AS created_at, 64 AS size, 1 AS rows_with_id
+FROM chunked c JOIN named o ON o.document_id = c.document_id""")
 def t11_ingest(spark, sf_dir):
+    """Uploads to chunk rows with vectors; rows_with_id counts the rows of a row's chunk_id."""
     objects = uploads.parse_object_keys(uploads.upload_events(_notifications(spark, sf_dir))).withColumn("arrived_at", F.col("sequencer"))
     number = F.regexp_extract("key", r" (\d+)-", 1)
     pages = objects.select("bucket", "key", number.alias("document_id")).join(_pages(spark, sf_dir), "document_id").drop("document_id")
     none = spark.createDataFrame([], "tenant_id string, agent_id string, agent_name string, description string, prompt_template string, created_at timestamp")
     chunks, _ = ingest_plan.ingest(objects, pages, none, embedding.hash_encoder, now=F.lit("2024-01-01").cast("timestamp"))
-    return chunks.withColumn("embedding", F.size("embedding"))
+    shown = chunks.withColumns({"size": F.size("embedding"), "rows_with_id": F.count("*").over(Window.partitionBy("chunk_id")), "chunk_index": F.col("chunk_index").cast("long"), "created_at": F.date_format("created_at", "yyyy-MM-dd")})
+    return shown.select("tenant_id", "agent_id", "document_id", "document_name", "chunk_index", "chunk_text", "created_at", "size", "rows_with_id")
 
 
 # Embedding -------------------------------------------------------------------------------------------------
@@ -312,10 +423,27 @@ def e1_embedding_requests(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", embedding.embedding_request(F.col("text")).alias("request"))
 
 
-@query("SELECT doc_id, 64 AS size, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END AS length FROM documents")
+LETTERS = "aeiounst"
+
+
+def letter_encoder():
+    """Stands in for a model, and can be written in SQL: how often each of some letters occurs, and a one."""
+
+    def encode(texts: Sequence[str]) -> np.ndarray:
+        return np.array([[t.count(c) for c in LETTERS] + [1] for t in texts], np.float32).reshape(-1, len(LETTERS) + 1)
+
+    return encode
+
+
+SQL_LETTERS = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in LETTERS)
+
+
+@query(f"SELECT doc_id, 9 AS size, 1.0::DOUBLE AS length, array_to_string([{SQL_LETTERS}], ',') AS counts FROM (SELECT doc_id, left(text, 20000) AS t FROM documents)")
 def e2_embed(spark, sf_dir):
-    out = embedding.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"), embedding.hash_encoder, "text")
-    return out.select("doc_id", F.size("embedding").alias("size"), F.round(vectors.norm(F.col("embedding")), 3).alias("length"))
+    """The encoder's vectors at length one; counts are what they were before, found through the last component."""
+    out = embedding.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"), letter_encoder, "text")
+    counts = F.transform(F.slice("embedding", 1, len(LETTERS)), lambda x: F.round(x.cast("double") / F.element_at("embedding", -1)).cast("long").cast("string"))
+    return out.select("doc_id", F.size("embedding").alias("size"), F.round(vectors.norm(F.col("embedding")), 3).alias("length"), F.array_join(counts, ",").alias("counts"))
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 4 < 2 THEN round(list_sum(embedding::DOUBLE[]), 4) END AS total,
@@ -399,10 +527,11 @@ def c4_tenant_key(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.tenant_key(F.col("source")).alias("tenant_id"))
 
 
-@query(f"WITH {SQL_PAGES} SELECT left(sha256('uploads' || chr(10) || document_id || '.pdf' || chr(10) || md5(document_id)), 32) AS document_id, page_no AS chunk_index FROM pages_cut")
+@query(f"WITH {SQL_PAGES} SELECT left(sha256('uploads' || chr(10) || document_id || '.pdf' || chr(10) || md5(document_id)), 32) AS document_id, page_no AS chunk_index, 1 AS rows_with_id FROM pages_cut")
 def c5_chunk_ids(spark, sf_dir):
     chunks = _pages(spark, sf_dir).select(F.lit("uploads").alias("bucket"), F.concat("document_id", F.lit(".pdf")).alias("key"), F.md5("document_id").alias("etag"), F.col("page_no").alias("chunk_index"))
-    return tenants.assign_chunk_ids(chunks).select("document_id", F.col("chunk_index").cast("long"))
+    made = tenants.assign_chunk_ids(chunks).withColumn("rows_with_id", F.count("*").over(Window.partitionBy("chunk_id")))
+    return made.select("document_id", F.col("chunk_index").cast("long"), "rows_with_id")
 
 
 # Retrieval and answers -------------------------------------------------------------------------------------
@@ -442,6 +571,14 @@ def r4_cluster_search(spark, sf_dir):
     return search.ivf_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), centers, index, k=50, probes=50)
 
 
+@query(f"WITH {SQL_HITS.format(filter='true')} SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 50")
+def r4_all_lists(spark, sf_dir):
+    """Cluster search that reads every list, which is exact."""
+    centers, index = search.ivf_build(_chunks(spark, sf_dir), lists=20)
+    hits = search.ivf_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), centers, index, k=50, probes=20)
+    return hits.select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("distance", 6).alias("distance"))
+
+
 @query(f"WITH {SQL_HITS.format(filter=ANY_DOCUMENT)} SELECT q.vec_id AS query_id, coalesce(string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank), '') AS context FROM embeddings q LEFT JOIN ranked r ON r.query_id = q.vec_id AND r.rank <= 5 GROUP BY q.vec_id")
 def r5_context(spark, sf_dir):
     questions = _questions(spark, sf_dir)
@@ -463,18 +600,20 @@ def r7_validate_requests(spark, sf_dir):
     return answers.validate_requests(rows).select("conv_id", "turn", F.col("status_code").cast("long"), "error")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 AND coalesce(length(text), 0) > 0 THEN 200 ELSE 400 END AS status_code,
-  CASE WHEN turn % 5 = 3 THEN 'Error al parsear JSON' WHEN turn % 5 IN (2, 4) OR coalesce(length(text), 0) = 0 THEN 'Se requiere el campo ''prompt'''
-       WHEN turn % 5 = 1 THEN 'Se requiere el campo ''tenant_id''' END AS error,
-  CASE WHEN turn % 5 < 2 THEN text END AS prompt FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 6 = 0 AND coalesce(length(text), 0) > 0 THEN 200 ELSE 400 END AS status_code,
+  CASE WHEN turn % 6 IN (3, 5) THEN 'Error al parsear JSON' WHEN turn % 6 IN (2, 4) OR coalesce(length(text), 0) = 0 THEN 'Se requiere el campo ' || chr(39) || 'prompt' || chr(39)
+       WHEN turn % 6 = 1 THEN 'Se requiere el campo ' || chr(39) || 'tenant_id' || chr(39) END AS error,
+  CASE WHEN turn % 6 IN (0, 1, 5) THEN text END AS prompt FROM conversations""")
 def r7_validate_gateway(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations")
-    kind = F.col("turn") % 5
+    kind = F.col("turn") % 6
+    full = F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("a").alias("tenant_id")))
     body = (
-        F.when(kind == 0, F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("a").alias("tenant_id"))))
+        F.when(kind == 0, full)
         .when(kind == 1, F.to_json(F.struct(F.col("text").alias("prompt"))))
         .when(kind == 2, '{"tenant_id": "a", "agent_id": "b"}')
         .when(kind == 3, "not json")
+        .when(kind == 5, F.concat(full, F.lit(" junk")))
     )
     out = answers.validate_gateway_bodies(rows.select("conv_id", "turn", body.alias("body")))
     return out.select("conv_id", "turn", F.col("status_code").cast("long"), "error", "prompt")
@@ -509,17 +648,27 @@ def r10_parse_completion(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.parse_completion(response).alias("answer"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN 'quoted ' || event_type WHEN 2 THEN '' WHEN 3 THEN replace(props, ' ', '') WHEN 4 THEN '{"other":1}' END AS response,
-  CASE event_id % 6 WHEN 5 THEN 'failed ' || event_type END AS error FROM events""")
+@query("""SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN 'quoted ' || event_type WHEN 2 THEN '' WHEN 3 THEN replace(props, ' ', '') WHEN 4 THEN '{"other":1}'
+    WHEN 6 THEN '2024 was ' || event_type WHEN 7 THEN 'true ' || event_type WHEN 8 THEN '"a" is a ' || event_type WHEN 9 THEN '[1] ' || event_type END AS response,
+  CASE event_id % 11 WHEN 5 THEN 'failed ' || event_type WHEN 10 THEN 'malformed payload' END AS error FROM events""")
 def r11_unwrap_responses(spark, sf_dir):
-    kind = F.col("event_id") % 6
+    kind = F.col("event_id") % 11
+
+    def body(start: str, end: str = ""):
+        return F.to_json(F.struct(F.concat(F.lit(start), "event_type", F.lit(end)).alias("body")))
+
     payload = (
         F.when(kind == 0, F.to_json(F.struct(F.lit(200).alias("statusCode"), F.concat(F.lit("plain "), "event_type").alias("body"))))
-        .when(kind == 1, F.to_json(F.struct(F.concat(F.lit('"quoted '), "event_type", F.lit('"')).alias("body"))))
+        .when(kind == 1, body('"quoted ', '"'))
         .when(kind == 2, F.lit('{"body":""}'))
         .when(kind == 3, F.to_json(F.struct(F.col("props").alias("body"))))
         .when(kind == 4, F.lit('{"other":1}'))
-        .otherwise(F.to_json(F.struct(F.concat(F.lit("failed "), "event_type").alias("errorMessage"))))
+        .when(kind == 5, F.to_json(F.struct(F.concat(F.lit("failed "), "event_type").alias("errorMessage"))))
+        .when(kind == 6, body("2024 was "))
+        .when(kind == 7, body("true "))
+        .when(kind == 8, body('"a" is a '))
+        .when(kind == 9, body("[1] "))
+        .otherwise(F.concat(body("x"), F.lit(" and more")))
     )
     out = answers.unwrap_response(payload)
     return _table(spark, sf_dir, "events").select("event_id", out["response"].alias("response"), out["error"].alias("error"))
@@ -570,6 +719,42 @@ def r15_answer_prompts(spark, sf_dir):
     return answer_plan.answer_prompts(questions, _chunks(spark, sf_dir), _agents(spark, sf_dir), k=5).select("query_id", "prompt", "template_error")
 
 
+def source_encoder():
+    """Stands in for a model: a one at the number in the text's first word (``src3`` and the like)."""
+
+    def encode(texts: Sequence[str]) -> np.ndarray:
+        return np.array([np.arange(32) == int(t.split(" ")[0].removeprefix("src") or 0) % 32 for t in texts], np.float32).reshape(-1, 32)
+
+    return encode
+
+
+@query("""WITH ranked AS (
+  SELECT q.doc_id AS query_id, q.lang, q.source, c.source || ' has ' || c.doc_id AS chunk, row_number() OVER (PARTITION BY q.doc_id ORDER BY c.source <> q.source, c.doc_id) AS rank
+  FROM documents q JOIN documents c ON c.lang = q.lang
+), prompts AS (
+  SELECT query_id, 'Agente ' || any_value(lang) || ': ' || string_agg(chunk, chr(10) || chr(10) ORDER BY rank) || ' | ' || any_value(source) || ' ' || repeat('x', query_id % 5) AS prompt
+  FROM ranked WHERE rank <= 3 GROUP BY query_id
+)
+SELECT query_id, prompt, length(prompt)::VARCHAR AS answer, CASE WHEN length(prompt) % 2 = 0 THEN 'main' ELSE 'fallback' END AS model_used,
+  CASE WHEN length(prompt) % 2 = 0 THEN 1 ELSE 3 END AS attempts, NULL::VARCHAR AS answer_error FROM prompts""")
+def r15_answer_batch(spark, sf_dir):
+    """Questions embedded, ranked, put in prompts and answered, the main model failing for prompts of odd length."""
+
+    def main(prompt: str) -> str:
+        if len(prompt) % 2:
+            raise RuntimeError("busy")
+        return answers.echo_model(prompt)
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.lit("tenant_a").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("agent_id"), F.lit("d").alias("document_id"), F.concat("source", F.lit(" has "), "doc_id").alias("chunk_text"))
+    chunks = embedding.embed(rows, source_encoder, "chunk_text")
+    agents = docs.select("lang").distinct().select(F.lit("tenant_a").alias("tenant_id"), F.col("lang").alias("agent_id"), F.concat(F.lit("Agente "), "lang", F.lit(": {context} | {query}")).alias("prompt_template"))
+    asked = F.concat("source", F.lit(" "), F.repeat(F.lit("x"), (F.col("doc_id") % 5).cast("int")))
+    requests = docs.select(F.col("doc_id").alias("query_id"), F.lit("a").alias("tenant_id"), F.col("lang").alias("agent_id"), asked.alias("query"), F.lit(None).cast("string").alias("document_id"))
+    out = answer_plan.answer_batch(requests, chunks, agents, source_encoder, main, answers.echo_model, k=3)
+    return out.select("query_id", "prompt", "answer", "model_used", F.col("attempts").cast("long"), "answer_error")
+
+
 # Status ----------------------------------------------------------------------------------------------------
 
 
@@ -601,22 +786,38 @@ def d3_status_history(spark, sf_dir):
     return status.status_history(hourly).select("document_id", _when("transition_at").alias("transition_at"), "status", F.try_element_at("extra", F.lit("k")).alias("k"))
 
 
-@query(ORACLE_SQL["d1_current_status"])
-def d4_status_stream(spark, sf_dir):
-    """The log as a stream, all that is there; the last row of each document is what the batch fold gives."""
-    raw = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def _status_stream(spark, sf_dir) -> str:
+    """The log as a stream, all that is there, with some statuses of trailing blanks and as many unknown ones; gives the folder of its tables."""
+    raw = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
     names = F.create_map(*[F.lit(x) for pair in EVENT_STATUS.items() for x in pair])
-    events = raw.select(F.col("user_id").cast("string").alias("document_id"), F.element_at(names, F.col("event_type")).alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.from_json("props", "map<string,string>").alias("extra"))
+    known = F.element_at(names, F.col("event_type"))
+    shown = F.when(known == "OCR_DONE", F.concat(known, F.lit(" "))).otherwise(known)
+    told = F.explode(F.when(known == "OCR_DONE", F.array(shown, F.lit("NO_STATUS"))).otherwise(F.array(shown)))
+    events = raw.select(F.col("user_id").cast("string").alias("document_id"), told.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.from_json("props", "map<string,string>").alias("extra"))
     path = scratch_path(spark, "status-stream")
+    start_status_stream(events, path, f"{path}-checkpoint", availableNow=True).awaitTermination()
+    return path
 
-    def write(name: str, rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch:09d}")
 
-    for running in start_status_stream(events, write, f"{path}/checkpoint", availableNow=True):
-        running.awaitTermination()
-    seen = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/current")
-    last = seen.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in seen.columns if c != "document_id"]), "batch").alias("e")).select("document_id", "e.*")
-    return last.select("document_id", "status", _when("updated_at").alias("updated_at"), _when("start_at").alias("start_at"), _when("end_at").alias("end_at"), "duration", F.try_element_at("extra", F.lit("k")).alias("k"))
+@query(ORACLE_SQL["d1_current_status"])
+def d4_status_stream(spark, sf_dir):
+    """What the stream leaves in its current table is what the batch fold gives."""
+    out = read_status(spark, _status_stream(spark, sf_dir), "current")
+    return out.select("document_id", "status", _when("updated_at").alias("updated_at"), _when("start_at").alias("start_at"), _when("end_at").alias("end_at"), "duration", F.try_element_at("extra", F.lit("k")).alias("k"))
+
+
+@query(f"""WITH {SQL_EVENTS}, history AS (SELECT document_id, tick, max_by(status, seq) AS status FROM log GROUP BY document_id, tick)
+SELECT 'history' AS part, document_id, strftime(tick, '%Y-%m-%d %H:%M:%S.%f') AS at, status FROM history
+UNION ALL SELECT 'notifications', document_id, strftime(date_trunc('second', tick), '%Y-%m-%d %H:%M:%S.%f'), status FROM log
+UNION ALL SELECT 'rejected', document_id, strftime(tick, '%Y-%m-%d %H:%M:%S.%f'), 'NO_STATUS' FROM log WHERE status = 'OCR_DONE'""")
+def d4_stream_tables(spark, sf_dir):
+    """The other tables that the stream writes with the current one."""
+    path = _status_stream(spark, sf_dir)
+    history = read_status(spark, path, "history").select(F.lit("history").alias("part"), "document_id", _when("transition_at").alias("at"), "status")
+    sent = read_status(spark, path, "notifications")
+    sent = sent.select(F.lit("notifications"), F.regexp_extract("message", "^Documento (.*): ", 1), _when(F.timestamp_seconds("time")), "title")
+    refused = read_status(spark, path, "rejected").select(F.lit("rejected"), "document_id", _when("at"), "status")
+    return history.union(sent).union(refused)
 
 
 @query(f"WITH {SQL_EVENTS} SELECT document_id, seq, status FROM log WHERE status = 'PROCESS_FAILED' AND k = '1'")
@@ -677,10 +878,10 @@ def u2_file_extension(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", keys.file_extension(F.get(names, n % 6)).alias("extension"))
 
 
-@query("SELECT doc_id, ['application/pdf', 'application/pdf', 'image/jpeg', 'application/octet-stream', 'text/plain'][doc_id % 5 + 1] AS mime_type FROM documents")
+@query("SELECT doc_id, ['application/pdf', 'application/pdf', 'image/jpeg', 'application/octet-stream', 'text/plain', 'image/webp', 'text/css', 'application/x-tar', 'audio/x-wav', 'video/mpeg', 'application/octet-stream', 'application/x-tar', 'text/tab-separated-values'][doc_id % 13 + 1] AS mime_type FROM documents")
 def u3_mime_type(spark, sf_dir):
-    ends = F.array(*map(F.lit, (".pdf", "PDF", "jpeg", "weird", ".Txt")))
-    return _table(spark, sf_dir, "documents").select("doc_id", keys.mime_type(F.get(ends, F.col("doc_id") % 5)).alias("mime_type"))
+    ends = F.array(*map(F.lit, (".pdf", "PDF", "jpeg", "weird", ".Txt", ".webp", "css", ".tar.gz", ".wav", "mpeg", ".gz", "tgz", "TSV")))
+    return _table(spark, sf_dir, "documents").select("doc_id", keys.mime_type(F.get(ends, F.col("doc_id") % 13)).alias("mime_type"))
 
 
 @query(f"""WITH {SQL_BLOCKS} SELECT document_id, trim(min_by(text, block_no) FILTER (WHERE block_type = 'LINE' AND regexp_matches(text, '(?i)(https?://\\S+|WIFI:|otpauth://)')), chr(9) || chr(10) || chr(13) || ' ') AS qr_line FROM blocks GROUP BY document_id""")
@@ -707,10 +908,17 @@ def u6_jwt_claims(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.try_element_at(keys.jwt_claims(token), F.lit("source")).alias("source"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'v ' || page_id || '/é' WHEN page_id % 3 = 1 THEN 'w' || page_id END AS token FROM pages")
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'v ' || page_id || '/é' WHEN 1 THEN 'w' || page_id WHEN 3 THEN 'first' WHEN 4 THEN 'filled' WHEN 5 THEN 'a' END AS token FROM pages")
 def u7_token_from_url(spark, sf_dir):
     base, n = F.regexp_replace("url", r"[?#].*$", ""), F.col("page_id")
-    url = F.when(n % 3 == 0, F.concat(base, F.lit("?a=1&p=v+"), n, F.lit("%2F%C3%A9&p=second#p=no"))).when(n % 3 == 1, F.concat(base, F.lit("?p=w"), n)).otherwise(F.concat(base, F.lit("?ap=1#p=2")))
+    url = (
+        F.when(n % 6 == 0, F.concat(base, F.lit("?a=1&p=v+"), n, F.lit("%2F%C3%A9&p=second#p=no")))
+        .when(n % 6 == 1, F.concat(base, F.lit("?p=w"), n))
+        .when(n % 6 == 3, F.concat(base, F.lit("?x=1&p=first&y=2&p=second&p=third")))
+        .when(n % 6 == 4, F.concat(base, F.lit("?p=&p=filled")))
+        .when(n % 6 == 5, F.concat(base, F.lit("?p=a&p=b")))
+        .otherwise(F.concat(base, F.lit("?ap=1#p=2")))
+    )
     return _table(spark, sf_dir, "pages").select("page_id", keys.token_from_url(url).alias("token"))
 
 

@@ -51,8 +51,8 @@ def parse_object_keys(events: DataFrame) -> DataFrame:
     return out.withColumn("valid_agent", is_uuid(F.col("agent_id")))
 
 
-def read_documents(spark: SparkSession, path: str, extract_pages: Callable[[bytes], list[str | None]]) -> DataFrame:
-    """Pages (document_path, page_no, page_text) of binary files, by the caller's page parser.
+def read_documents(spark: SparkSession, path: str, extract_pages: Callable[[bytes], list[str | None]], pattern: str = "*.pdf") -> DataFrame:
+    """Pages (document_path, page_no, page_text) of binary files with names like pattern, by the caller's page parser.
 
     A file that the parser fails on has one row with page_no 0 and no text, so that it still counts.
     """
@@ -68,7 +68,7 @@ def read_documents(spark: SparkSession, path: str, extract_pages: Callable[[byte
                 rows += [(name, k, text) for k, text in enumerate(pages, 1)] or [(name, 0, None)]
             yield pd.DataFrame(rows, columns=["document_path", "page_no", "page_text"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(parse, "document_path string, page_no int, page_text string")
 
 

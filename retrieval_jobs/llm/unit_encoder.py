@@ -22,7 +22,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIGNED = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+[.,]$"
 
 FENCE = " |"  # a word of its own that parts words which are encoded together
-FENCED = 512
+FENCED = 256
+LIBRARY_CHARS = 1 << 18
 FIRST = "\n\n"  # before the units at a text's start; no other unit has two line ends
 
 
@@ -135,7 +136,11 @@ class UnitEncoder:
         self.lists = pa.concat_arrays([self.lists, lists])
 
     def _library(self, texts: list[str]) -> pa.ListArray:
-        return _lists([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        """Ids of texts by the library, which takes some hundred bytes for each id meanwhile, so a few texts at a time."""
+        ends = np.cumsum([len(t) for t in texts]) // LIBRARY_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        parts = [_lists([x.ids for x in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     def _together(self, units: list[str]) -> pa.ListArray:
         """Ids of each unit. Those that begin with a blank or line end are encoded in groups, with a fence after each.

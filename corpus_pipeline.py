@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,34 +16,62 @@ from retrieval_jobs.llm.preference import train_quality, with_quality
 from retrieval_jobs.llm.toxicity import train_toxicity, with_toxicity
 
 
+def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names renamed, so that a stage's own can't clash with them, and what restores docs' columns."""
+    aside = {}
+    for name in set(names) & set(docs.columns):
+        free = name + "_"
+        while free in docs.columns:
+            free += "_"
+        aside[name] = free
+    back = {free: name for name, free in aside.items()}
+    return docs.withColumnsRenamed(aside), lambda df: df.drop(*names).withColumnsRenamed(back).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the preference model scores at one half or more."""
+    """Keeps the documents that the preference model scores at one half or more.
+
+    A null text is scored as an empty one, and kept or not with it. Repeated rows and rows without doc_id are
+    judged by their text alone. Further columns stay as they are. An empty table stays empty.
+    """
+    apart, back = _apart(docs, "quality_score")
     model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
-    return with_quality(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    return back(with_quality(apart, model).where("quality_score >= 0.5"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the n-gram model scores below one half."""
+    """Keeps the documents that the n-gram model scores below one half; nulls, repeated rows and further columns as in quality."""
+    apart, back = _apart(docs, "toxicity_score")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return with_toxicity(docs, model).where("toxicity_score < 0.5").drop("toxicity_score")
+    return back(with_toxicity(apart, model).where("toxicity_score < 0.5"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that many sources share, or many documents of a few; a document that loses its last line goes."""
-    cleaned = without_spread_lines(docs, few=few_sites(docs))
-    left = cleaned.where("n_removed = 0 or length(trim(text)) > 0")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Takes out lines that many sources share, or many documents of a few; a document that loses its last line goes.
+
+    n_chars counts the characters that are left. A null or empty text has no such lines and stays. Repeated rows
+    are treated alike, and rows without doc_id lose such lines too.
+    """
+    apart, back = _apart(docs, "n_lines", "n_removed")
+    left = without_spread_lines(apart, few=few_sites(docs)).where("n_removed = 0 or length(trim(text)) > 0")
+    return back(left.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates, and what has no doc_id."""
+    """Keeps the document with the smallest doc_id of each group of near duplicates, and what has no doc_id.
+
+    Null, empty and blank texts are like nothing, and stay. Repeated rows of a kept doc_id stay, all of them.
+    """
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(materialize(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens along the curve; one row per piece."""
-    return pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, markers=True)
+    """Packs what is left into sequences of 4096 tokens along the curve; one row per piece.
+
+    A null or empty text has the end id alone. Repeated rows are packed one by one. An empty table gives no pieces.
+    """
+    return pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("lines", lines), ("near_copies", near_copies), ("packing", packing)]

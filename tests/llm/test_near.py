@@ -195,6 +195,77 @@ def test_linked_vectors(spark, monkeypatch):
     assert pivot_index.linked_vectors(table.where("vec_id < 0")).count() == 0
 
 
+def turned(one, cosine, draw):
+    aside = draw.standard_normal(one.shape)
+    aside -= (aside * one).sum(axis=1, keepdims=True) * one
+    return cosine * one + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("n", "most"), [(2_000, 0.08), (8_000, 0.03)])
+def test_pivots_find_links_and_compare_few(spark, n, most):
+    """64 components, pairs at cosine 0.93 and a little more: hardly one is lost, and ever fewer of all pairs are compared."""
+    draw = np.random.default_rng(n)
+    one = draw.standard_normal((n // 2, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    two = turned(one, draw.uniform(0.9301, 0.95, (len(one), 1)), draw)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([one, two]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = pivot_index.vector_links(pivot_index.vector_classes(table), 0.93).collect()
+    assert sum(r.links for r in found if r.a is not None) >= 0.995 * n
+    assert sum(r.compared for r in found) <= most * n * (n - 1) / 2
+    kept = pivot_index.linked_vectors(table).where("kept").count()
+    assert n // 2 <= kept <= n // 2 + 0.005 * n
+
+
+def test_vectors_of_different_sizes(spark):
+    draw = np.random.default_rng(2)
+    rows = []
+    for size in (4, 7):
+        for _ in range(30):
+            v = draw.standard_normal(size)
+            rows += [(len(rows), v.tolist(), 0), (len(rows) + 1, (v * 2 + draw.standard_normal(size) * 0.01).tolist(), 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in pivot_index.linked_vectors(table).collect()}
+    for size in (4, 7):
+        own = [r for r in rows if len(r[1]) == size]
+        unit = np.array([np.array(r[1]) / np.linalg.norm(r[1]) for r in own])
+        near = unit @ unit.T >= 0.93
+        np.fill_diagonal(near, False)
+        assert [got[r[0]].n_links for r in own] == near.sum(axis=1).tolist()
+    hits = projection_forest.nearest_neighbours(table, table, k=20).collect()
+    assert len(hits) == len(rows) * 20
+    assert all(len(rows[r.query_id][1]) == len(rows[r.vec_id][1]) for r in hits)
+
+
+def test_forest_compares_few_rows_of_clusters():
+    """Work follows the leaves read: for clustered vectors a small part of the table, and a smaller one the larger it is."""
+    shares = []
+    for n in (4_000, 16_000):
+        draw = np.random.default_rng(4)
+        centers = draw.standard_normal((n // 50, 64))
+        x = centers[draw.integers(0, len(centers), n)] + 0.35 * draw.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = projection_forest.fit_forest(x, 1.0, 20)
+        asked = draw.choice(n, 100, replace=False)
+        probed = forest.probe(x[asked], forest.probes)
+        places = forest.place(x)
+        sizes = [np.bincount(places[:, t], minlength=tree.leaves) for t, tree in enumerate(forest.trees)]
+        shares.append(np.mean([sum(sizes[t][own].sum() for t, own in enumerate(leaves)) for leaves in probed]) / n)
+        met = projection_forest.candidates(forest.masks(probed), places)
+        scores = x[asked] @ x.T
+        scores[np.arange(len(asked)), asked] = -1
+        best = np.argsort(-scores, axis=1)[:, :20]
+        assert np.take_along_axis(met, best, axis=1).mean() >= 0.9
+    assert shares[1] < 0.8 * shares[0] < 0.2
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in projection_forest.nearest_neighbours(table, table.where("vec_id <> 1"), k=20).collect())
+    assert got == [(2, 1, 1, 1.0), (2, 2, 3, 0.5), (3, 1, 1, 0.5), (3, 2, 2, 0.5), (3, 3, 1, 0.0)]
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(projection_forest, "VECTOR_BLOCK", 200)
     monkeypatch.setattr(projection_forest, "QUERY_BLOCK", 10)

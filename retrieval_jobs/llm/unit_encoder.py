@@ -63,7 +63,7 @@ class UnitEncoder:
     and such a text goes there whole; without ``markers`` it is encoded as plain characters.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, markers: bool = True):
+    def __init__(self, path: str, limit: int = 800_000, markers: bool = True):
         self.tokenizer = tokenizers_library().Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not markers
         settings = json.loads(self.tokenizer.to_str())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, sized_slices, slices
 from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
@@ -63,26 +63,41 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc ids whose texts' full sets are similar enough."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    """The pairs (a, b) of doc ids whose texts' full sets are similar enough.
+
+    Many pairs have one b. Those of a b are dealt to blocks by a hash of a, and its text goes to each block once,
+    before the texts of the block's other ends.
+    """
+    sizes = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "pair-blocks")
+    dealt = pairs.join(sizes, "b").select(F.col("b").alias("center"), F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), F.col("a").alias("rep"))
+    centers = sizes.select(F.col("b").alias("center"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("b").alias("rep"))
+    dealt = materialize(dealt.unionByName(centers), "dealt-pairs")
+    texts = _texts(docs, dealt.select(F.col("rep").alias("doc_id")).distinct())
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_id, held = None, None
-        for batch in slices(batches, 128):
-            firsts = shingle_sets(batch.column(2).to_pylist(), words)
-            ids_a, ids_b, texts_b = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            linked = []
-            for k, first in enumerate(firsts):
-                if held_id is None or held_id[0] != ids_b[k] or not held_id[1].equals(texts_b[k]):
-                    held_id, held = (ids_b[k], texts_b[k]), shingle_sets([texts_b[k].as_py()], words)[0]
-                shared = len(np.intersect1d(first, held, assume_unique=True))
-                linked.append(bool(len(first)) and 100 * shared >= percent * (len(first) + len(held) - shared))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(ids_a, pa.int64()).filter(mask), pa.array(ids_b, pa.int64()).filter(mask)], names=["a", "b"])
-
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(check, "a long, b long").distinct()
+        group, held = None, []  # the sets of the group's center, of which repeated rows may give several
+        for batch in sized_slices(batches, 4, 1 << 20):
+            sets = shingle_sets(batch.column(4).to_pylist(), words)
+            ids_a, ids_b = [], []
+            for center, block, side, rep, own in zip(*[batch.column(k).to_pylist() for k in range(4)], sets, strict=True):
+                if (center, block) != group:
+                    group, held = (center, block), []
+                if side == 0:
+                    held.append(own)
+                elif any(_alike(own, other, percent) for other in held):
+                    ids_a.append(rep)
+                    ids_b.append(center)
+            if ids_a:
+                yield pa.RecordBatch.from_arrays([pa.array(ids_a, pa.int64()), pa.array(ids_b, pa.int64())], names=["a", "b"])
+
+    full = dealt.join(texts, F.col("rep") == F.col("doc_id")).select("center", "block", "side", "rep", "text")
+    ordered = full.repartition("center", "block").sortWithinPartitions("center", "block", "side")
+    return ordered.mapInArrow(check, "a long, b long").distinct()
+
+
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return bool(len(one)) and 100 * shared >= percent * (len(one) + len(two) - shared)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -53,8 +53,14 @@ def test_quality_scores_are_plain_ones(spark):
         own = preference.text_statistics(text)
         for place, name in ((3, "upper"), (4, "digit"), (5, "usual"), (6, "symbols"), (7, "wide"), (8, "distinct"), (9, "most"), (10, "lines"), (13, "short")):
             assert own[place] == pytest.approx(names[name], abs=1e-9), name
+        raw_bytes, hashed = text.encode(), [0] * preference.HASHED
+        for k in range(len(raw_bytes) - 2):
+            hashed[(int.from_bytes(raw_bytes[k : k + 3], "little") * 2654435761 & 0xFFFFFFFF) >> 24] += 1
+        assert own[preference.MEASURES :].tolist() == pytest.approx([np.sqrt(x / max(1, len(raw_bytes))) for x in hashed])
         z = [max(-6, min(6, (x - c) / s)) for x, c, s in zip(own, model.center, model.scale, strict=True)]
-        raw = sum(w * x for w, x in zip(model.weights, [*z, *(x * x for x in z)], strict=False)) - model.threshold
+        first, rest = z[: preference.MEASURES], z[preference.MEASURES :]
+        parts = [*first, *(preference.HASHED_SCALE * x for x in rest), *(x * x for x in first)]
+        raw = sum(w * x for w, x in zip(model.weights, parts, strict=True)) - model.threshold
         assert score == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, raw)))), abs=1e-9)
 
 

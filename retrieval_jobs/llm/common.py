@@ -28,11 +28,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns, so that further columns of the input can't clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold
 

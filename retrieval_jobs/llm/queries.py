@@ -20,7 +20,8 @@ from .toxicity import train_toxicity, with_toxicity
 
 
 def op1_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, markers=True))
+    """Per row of documents, from the written files: doc_id, start, n_tokens and ids_crc32; a null text is empty."""
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
 def _scored(scored: DataFrame, score: str, folds: int, fold: int) -> DataFrame:
@@ -28,16 +29,19 @@ def _scored(scored: DataFrame, score: str, folds: int, fold: int) -> DataFrame:
 
 
 def op2_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, held_out, score and predicted; a null text is scored as an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
     return _scored(with_quality(docs, model), "quality_score", 3, 1)
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, markers=True)
+    """Per piece of a row of documents: where it lies in its document and in its sequence; a null text is empty."""
+    return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, n_lines, n_removed and the text that is left; null where it was null."""
     return without_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
@@ -61,27 +65,33 @@ FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
 
 
 def op5_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of pages: page_id, url, text and n_chars, and how many lines were compared and deleted; a null page is empty."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each row whose vec_id is divisible by 20, among all rows; unusable vectors take no part."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, n_shingles, component_id and kept; texts without words link with nothing."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, n_pieces, ids_crc32, parity and round_trip; a null text is empty."""
     return verified_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of embeddings: vec_id, n_links, component_id and kept; unusable vectors and null labels link with nothing."""
     return linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, held_out, score and predicted; a null text is scored as an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
     return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)

@@ -41,6 +41,11 @@ def tokenizers_library():
     return tokenizers
 
 
+def strings(column: pa.StringArray) -> list[str]:
+    """What to_pylist gives, in a quarter of the time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def sized_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about size bytes of one column at most; a larger row comes alone."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import THREADS, sized_slices, slices, tokenizers_library
+from .common import THREADS, sized_slices, slices, strings, tokenizers_library
 
 MARK = "▁"  # stands for a blank
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -196,7 +196,7 @@ class PieceEncoder:
 
     def _codes_of(self, words: pa.StringArray) -> np.ndarray:
         """The place in the store of each of some different words."""
-        names = words.to_pylist()
+        names = strings(words)
         out = np.fromiter(map(self.codes.get, names, repeat(-1)), np.int32, len(names))
         new = np.flatnonzero(out < 0)
         if len(new):

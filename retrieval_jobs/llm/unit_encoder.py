@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import tokenizers_library
+from .common import strings, tokenizers_library
 
 #: White space of which several characters could form one token, at an end or in a row, or that isn't a blank or a line end.
 IRREGULAR = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -111,25 +111,28 @@ class UnitEncoder:
 
     def _codes_of(self, units: pa.StringArray) -> np.ndarray:
         """The place in the store of each of some different units."""
-        names = units.to_pylist()
+        names = strings(units)
         out = np.fromiter(map(self.codes.get, names, repeat(-1)), np.int32, len(names))
         new = np.flatnonzero(out < 0)
         if len(new):
-            self._learn(units.take(pa.array(new)))
-            out[new] = [self.codes[names[k]] for k in new.tolist()]
+            fresh = units.take(pa.array(new))
+            self._learn(fresh)
+            out[new] = np.fromiter(map(self.codes.__getitem__, strings(fresh)), np.int32, len(new))
         return out
 
     def _learn(self, new: pa.StringArray) -> None:
         """Encodes units that are new; signed words from the ids of their word and those of the sign."""
         signed = pc.match_substring_regex(new, SIGNED)
         cut = new.filter(signed)
-        words = pc.utf8_slice_codeunits(cut, 0, -1).to_pylist()
-        signs = pc.binary_join_element_wise(FIRST, pc.utf8_slice_codeunits(cut, -1), "").to_pylist()
-        parts = dict.fromkeys(chain(new.filter(pc.invert(signed)).to_pylist(), words, signs))
-        self._keep(parts := [u for u in parts if u not in self.codes], self._together(parts))
+        words = strings(pc.utf8_slice_codeunits(cut, 0, -1))
+        signs = strings(pc.binary_join_element_wise(FIRST, pc.utf8_slice_codeunits(cut, -1), ""))
+        parts = dict.fromkeys(chain(strings(new.filter(pc.invert(signed))), words, signs))
+        for known in [u for u in chain(words, signs) if u in self.codes]:
+            parts.pop(known, None)
+        self._keep(parts := list(parts), self._together(parts))
         if len(cut):
-            both = np.array([(self.codes[word], self.codes[sign]) for word, sign in zip(words, signs, strict=True)], np.int32)
-            self._keep(cut.to_pylist(), _joined(self.lists.take(pa.array(both.ravel())), np.arange(0, 2 * len(cut) + 1, 2)))
+            both = np.stack([np.fromiter(map(self.codes.__getitem__, x), np.int32, len(x)) for x in (words, signs)], axis=1)
+            self._keep(strings(cut), _joined(self.lists.take(pa.array(both.ravel())), np.arange(0, 2 * len(cut) + 1, 2)))
 
     def _keep(self, units: list[str], lists: pa.ListArray) -> None:
         self.codes.update(zip(units, range(len(self.codes), len(self.codes) + len(units)), strict=True))

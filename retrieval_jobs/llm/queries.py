@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .box_codes import compressed_vectors, with_label_errors
 from .common import held_out, table
 from .curve_packing import pack_along_curve
 from .line_spread import without_spread_lines
@@ -16,6 +17,8 @@ from .piece_codec import verified_pieces
 from .pivot_index import linked_vectors
 from .preference import train_quality, with_quality
 from .projection_forest import nearest_neighbours
+from .resampling import resampled
+from .source_mix import mix_sources, taken_words
 from .toxicity import train_toxicity, with_toxicity
 
 
@@ -97,6 +100,96 @@ def op10_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(with_toxicity(docs, model), "toxicity_score", 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op5_url_differencing, op6_projection_forest, op7_circulant_minhash, op8_piece_codec, op9_pivot_permutation, op10_ngram_toxicity)}
+def op11_boxed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per usable row of embeddings: vec_id, code, error, label_error and codebooks_sha256."""
+    coded, _ = compressed_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return with_label_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _sql_codes(entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry of its codebook, round by round."""
+    apart = " + ".join(f"(x.v[{t}] - b.c[{t}]) * (x.v[{t}] - b.c[{t}])" for t in range(1, 5))
+    means = ", ".join(f"floor(sum(x.v[{t}]) / count(*))::BIGINT" for t in range(1, 5))
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT x.vec_id, x.p, min(({apart}) * {entries} + b.e) AS best FROM pieces x JOIN book{n} b ON b.p = x.p GROUP BY x.vec_id, x.p
+)""")
+        if n < rounds:
+            steps.append(f"""book{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN (
+    SELECT x.p, n.best % {entries} AS e, [{means}] AS c FROM pieces x JOIN near{n} n ON n.vec_id = x.vec_id AND n.p = x.p GROUP BY ALL
+  ) m ON m.p = b.p AND m.e = b.e
+)""")
+    return f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS MATERIALIZED (SELECT vec_id, p, q[p * 4 + 1:p * 4 + 4] AS v FROM kept, range(16) t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, e, v AS c FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM pieces) WHERE e < {entries}
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM near{rounds} GROUP BY vec_id
+), said AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, codebooks_sha256
+FROM kept k JOIN coded c ON c.vec_id = k.vec_id, said"""
+
+
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, n_features, weight, score, and rank where it is drawn for its likeness to benchmark."""
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, grams=1, buckets=10_000, seed=2024)
+
+
+OP12_SQL = r"""WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8
+), steps AS (SELECT list(c ORDER BY i) AS l FROM bits WHERE k = 8
+), own AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), wanted AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), counted AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM own) GROUP BY ALL
+), crcs AS (
+  SELECT word, hex(encode(word)) AS raw, 1 AS pos, 4294967295::BIGINT AS c FROM (SELECT word FROM counted UNION SELECT word FROM wanted)
+  UNION ALL SELECT word, raw, pos + 2, xor(c >> 8, l[1 + xor(c & 255, ('0x' || raw[pos:pos + 1])::BIGINT)]) FROM crcs, steps WHERE pos < length(raw)
+), buckets AS MATERIALIZED (SELECT word, xor(c, 4294967295) % 10000 AS b FROM crcs WHERE pos > length(raw)
+), s AS (SELECT b, sum(n)::BIGINT AS n FROM counted JOIN buckets USING (word) GROUP BY b
+), t AS (SELECT b, count(*) AS n FROM wanted JOIN buckets USING (word) GROUP BY b
+), gains AS MATERIALIZED (
+  SELECT i AS b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(i) LEFT JOIN s ON s.b = i LEFT JOIN t ON t.b = i
+), sums AS (SELECT doc_id, sum(n * gain)::BIGINT AS g FROM counted JOIN buckets USING (word) JOIN gains USING (b) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(words) AS n_features, coalesce(floor(g::DOUBLE / len(words)), 0)::BIGINT AS weight,
+    coalesce(floor(g::DOUBLE / len(words)), 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM own LEFT JOIN sums USING (doc_id)
+), placed AS (SELECT *, n_features >= 20 AS allowed, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS all_of FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN allowed AND place <= 10 * all_of // 100 THEN place END AS rank FROM placed"""
+
+
+def op13_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, source, size, source_size, target and taken, the words that the schedule's slots take of it."""
+    return taken_words(mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2.0))
+
+
+OP13_SQL = r"""WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), totals AS (
+  SELECT *, [3.0, 1.0, 2.0][no % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM sized GROUP BY source)
+), levels AS (
+  SELECT *, cap / w AS stop, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM totals
+), targets AS (
+  SELECT source, source_size, least(cap, w * (SELECT level FROM levels WHERE level <= stop ORDER BY stop, no LIMIT 1)) AS target FROM levels
+), laid AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, floor(t.target + 1e-6)::BIGINT AS quota,
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+  FROM sized s JOIN targets t ON t.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, source, size, source_size, target,
+  greatest(0, least(stop, quota) - (stop - size)) + greatest(0, least(stop, quota - source_size) - (stop - size)) AS taken FROM laid"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packed_token_ids, op2_preference_quality, op3_curve_packing, op4_line_spread, op5_url_differencing, op6_projection_forest, op7_circulant_minhash, op8_piece_codec, op9_pivot_permutation, op10_ngram_toxicity, op11_boxed_codes, op12_importance_draw, op13_golden_mix)}
 
-ORACLE_SQL: dict[str, str] = {"op4_line_spread": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_spread": OP4_SQL, "op11_boxed_codes": _sql_codes(), "op12_importance_draw": OP12_SQL, "op13_golden_mix": OP13_SQL}

@@ -1,26 +1,28 @@
-"""Ranking chunks for questions by cosine distance: exact, over all chunks, and by clusters."""
+"""Ranking chunks for questions by cosine distance: exact, over all chunks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark import Accumulator, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..functions.vectors import cosine_distance
 from ..sources.scratch import scratch_path
 
 DEFAULT_K = 50
-PASS_BYTES = 64 << 20  # of questions that go to every task in one scan of the chunks
-ROW_BLOCK, QUESTION_BLOCK = 8192, 1024  # of a cluster, that a task compares at once
+#: Questions of this many bytes at most go to every task, if the tasks then send on this many hits at most; else chunks and questions meet by shuffles.
+PASS_BYTES, PASS_HITS = 64 << 20, 1_000_000_000
+BLOCK_BYTES, CHUNK_BLOCK, QUESTION_BLOCK = 1 << 20, 2048, 1024  # of vectors packed in one row
+SALTS = 16  # parts of a tenant's chunks, where they meet questions by shuffles
+HELD_HITS = 2_000_000  # hits that a task holds before it sends them on
 #: Stand for an undefined distance, a missing one, and a chunk that isn't asked for; so they sort last.
 UNDEFINED, MISSING, EXCLUDED = 1e300, 2e300, 3e300
+ROUNDING = 1e-9  # added to bounds, so that rounding errors don't cut off a hit
 
 
 class Vectors:
@@ -42,90 +44,249 @@ class Vectors:
             values[~whole] = 0
             self.by_size[size] = there[own], values, np.sqrt((values * values).sum(axis=1)), whole
 
-    def distances(self, other: Vectors, start: int, end: int) -> np.ndarray:
-        """Cosine distances of rows start to end from all rows of other.
+    def distances(self, other: Vectors, chosen: np.ndarray) -> np.ndarray:
+        """Cosine distances of the chosen rows (ascending) from all rows of other.
 
         MISSING where either is null, lacks a component, or they differ in size; UNDEFINED where either is zero or not a number.
         """
-        out = np.full((end - start, other.rows), MISSING)
+        out = np.full((len(chosen), other.rows), MISSING)
         for size, (rows, x, length, whole) in self.by_size.items():
-            mine = np.flatnonzero((rows >= start) & (rows < end) & whole)
+            mine = np.flatnonzero(np.isin(rows, chosen, assume_unique=True) & whole)
             for other_size, (columns, y, other_length, other_whole) in other.by_size.items():
                 theirs = np.flatnonzero(other_whole)
                 scale = np.outer(length[mine], other_length[theirs])
                 if size == other_size:
-                    with np.errstate(invalid="ignore", divide="ignore"):
+                    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
                         part = 1 - x[mine] @ y[theirs].T / scale
                 else:
                     part = np.full(scale.shape, MISSING)
                 part[(scale == 0) | np.isnan(part)] = UNDEFINED
-                out[np.ix_(rows[mine] - start, columns[theirs])] = part
+                out[np.ix_(np.searchsorted(chosen, rows[mine]), columns[theirs])] = part
         return out
 
+    def bounds(self, center: np.ndarray, radius: float) -> np.ndarray:
+        """For each row, the least cosine distance that a vector within radius (an angle) of center can have; minus infinity where a distance isn't a number."""
+        out = np.full(self.rows, -np.inf)
+        if len(center) in self.by_size:
+            rows, x, length, whole = self.by_size[len(center)]
+            good = whole & (length > 0) & np.isfinite(length)
+            angle = np.arccos(np.clip(x[good] @ center / length[good], -1, 1))
+            out[rows[good]] = 1 - np.cos(np.maximum(0, angle - radius))
+        return out
 
-class Best:
-    """The k nearest (question, chunk) pairs seen so far for each question, as flat columns."""
 
-    def __init__(self, k: int):
-        self.k, self.parts, self.held = k, [], 0
+def packed(df: DataFrame, keys: list[str], vector: str, rows: int) -> DataFrame:
+    """Rows of df in blocks of equal keys: the keys, a number for the block, and the other columns as the bytes of an Arrow stream.
 
-    def add(self, questions: np.ndarray, distance: np.ndarray, chunks: np.ndarray) -> None:
-        """distance: a row for each of questions (row numbers), a column for each of chunks (numbers in order of chunk_id)."""
-        if distance.shape[1] > self.k:
-            low = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            row, column = np.nonzero((distance <= low) & (distance < EXCLUDED))
+    Blocks are made of what a task reads at once, of at most so many rows or about BLOCK_BYTES of vectors.
+    """
+    others = [c for c in df.columns if c not in keys]
+    schema = StructType([*[df.schema[c] for c in keys], StructField("block", LongType()), StructField("packed", BinaryType())])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.zeros(batch.num_rows, np.int64)
+            for c in keys:
+                own = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                codes = codes * (int(own.max()) + 1) + own
+            order = np.argsort(codes, kind="stable")
+            codes, batch = codes[order], batch.take(pa.array(order))
+            flat = batch.column(vector).flatten()
+            step = max(16, min(rows, BLOCK_BYTES * batch.num_rows // max(1, flat.nbytes)))
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            places = [at for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True) for at in range(a, b, step)]
+            blocks = []
+            for a, b in zip(places, [*places[1:], batch.num_rows], strict=True):
+                sink = pa.BufferOutputStream()
+                part = batch.select(others).slice(a, b - a)
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                blocks.append(sink.getvalue().to_pybytes())
+            firsts = batch.select(keys).take(pa.array(places))
+            numbers = pa.array(range(number, number + len(blocks)), pa.int64())
+            number += len(blocks)
+            yield pa.RecordBatch.from_arrays([*firsts.columns, numbers, pa.array(blocks, pa.binary())], names=schema.names)
+
+    return df.select(*keys, *others).mapInArrow(pack, schema)
+
+
+def unpacked(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+
+class Asked:
+    """A block of questions in a task, and the nearest chunks found for them so far."""
+
+    def __init__(self, block: pa.Scalar, k: int):
+        self.table, self.k = unpacked(block), k
+        self.vectors = Vectors(self.table["query_embedding"])
+        self.wanted = self.table["wanted_document"].to_pylist() if self.table["wanted_document"].null_count < len(self.table) else []
+        limits = self.table["limit"].to_numpy().astype(np.float64)
+        self.limits = np.where(np.isnan(limits), EXCLUDED, limits)  # what is farther doesn't count
+        self.found: list[pa.Table] = []
+        self.held = 0
+
+    def visit(self, chunks: pa.Table, vectors: Vectors, center: np.ndarray | None, radius: float | None) -> int:
+        """Compares the questions with a block of chunks, but for those that its center and radius keep too far off; how many pairs that were."""
+        if radius is None:
+            chosen = np.arange(len(self.table))
+        elif np.isnan(radius):  # a block without proper distances, for questions that have too few others
+            chosen = np.flatnonzero(self.limits >= UNDEFINED)
         else:
-            row, column = np.nonzero(distance < EXCLUDED)
-        self.parts.append((questions[row], distance[row, column], chunks[column]))
-        self.held += len(row)
+            chosen = np.flatnonzero(self.vectors.bounds(center, radius) <= self.limits + ROUNDING)
+        if not len(chosen):
+            return 0
+        distance = self.vectors.distances(vectors, chosen)
+        if self.wanted:
+            names = np.array(chunks["document_id"].to_pylist(), object)
+            for n, place in enumerate(chosen.tolist()):
+                if self.wanted[place]:
+                    distance[n, names != self.wanted[place]] = EXCLUDED
+        low = self.limits[chosen, None] + ROUNDING
+        if distance.shape[1] > self.k:
+            low = np.minimum(low, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+        row, column = np.nonzero((distance <= low) & (distance < EXCLUDED))
+        if len(row):
+            keys = chunks.select(["chunk_id", "row_key"]).take(pa.array(column))
+            self.found.append(keys.append_column("question", pa.array(chosen[row])).append_column("distance", pa.array(distance[row, column])))
+            self.held += len(row)
+            if self.held > 4 * self.k * len(self.table) + 10_000:
+                self.compact()
+        return distance.size
+
+    def compact(self) -> None:
+        """Keeps the k nearest of each question, ties by chunk_id, and lets nothing farther in."""
+        if not self.found:
+            return
+        found = pa.concat_tables(self.found).combine_chunks()
+        found = found.sort_by([("question", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
+        question = found["question"].to_numpy()
+        place = np.arange(len(question)) - np.searchsorted(question, question, "left")
+        last = np.flatnonzero(place == self.k - 1)
+        self.limits[question[last]] = np.minimum(self.limits[question[last]], found["distance"].to_numpy()[last])
+        self.found = [found.filter(pa.array(place < self.k))]
+        self.held = len(self.found[0])
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        self.compact()
+        for found in self.found:
+            distance = found["distance"].to_numpy()
+            asked = self.table.select(["tenant_id", "query_id"]).take(found["question"].combine_chunks())
+            # null where a distance is missing, NaN where it is undefined
+            shown = pa.array(np.where(distance == UNDEFINED, np.nan, distance), pa.float64(), mask=distance == MISSING, from_pandas=False)
+            columns = [asked["tenant_id"], asked["query_id"], found["chunk_id"], found["row_key"], pa.chunked_array([shown])]
+            yield from pa.Table.from_arrays(columns, names=["tenant_id", "query_id", "chunk_id", "row_key", "distance"]).to_batches()
+        self.found, self.held = [], 0
+
+
+def asked_rows(queries: DataFrame) -> DataFrame:
+    """What a search needs of its questions; an empty agent or document stands for any."""
+    agent = F.when(F.col("agent_id") != "", F.col("agent_id"))
+    document = F.when(F.col("wanted_document") != "", F.col("wanted_document").cast("string"))
+    limit = F.col("limit").cast("double") if "limit" in queries.columns else F.lit(None).cast("double")
+    asked = queries.select("query_id", "tenant_id", agent.alias("asked_agent"), document.alias("wanted_document"), "query_embedding", limit.alias("limit"))
+    return asked.where(F.col("tenant_id").isNotNull())
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Questions, distances and chunks, of each question the k nearest, ties by chunk."""
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        question, distance, chunk = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((chunk, distance, question))
-        question, distance, chunk = question[order], distance[order], chunk[order]
-        first = np.arange(len(question)) - np.searchsorted(question, question, "left") < self.k
-        return question[first], distance[first], chunk[first]
 
+def row_key() -> Column:
+    return F.xxhash64("agent_id", F.col("document_id").cast("string"), "embedding")
 
-def _shown(distance: np.ndarray) -> pa.Array:
-    """Distances as they are returned: null where one is missing, NaN where it is undefined."""
-    return pa.array(np.where(distance == UNDEFINED, np.nan, distance), pa.float64(), mask=distance == MISSING, from_pandas=False)
 
+def chunk_rows(chunks: DataFrame) -> DataFrame:
+    """What a search needs of chunks, without their texts. row_key tells rows of one chunk_id apart."""
+    return chunks.where(F.col("tenant_id").isNotNull()).select("tenant_id", "agent_id", F.col("document_id").cast("string").alias("document_id"), "chunk_id", row_key().alias("row_key"), "embedding")
 
-def _excluded(documents: pa.Array | pa.ChunkedArray, wanted: list[str | None]) -> np.ndarray | None:
-    """Which documents each question doesn't ask about; None if no question names one."""
-    if not any(wanted):
-        return None
-    names = np.array(documents.to_pylist(), object)
-    return np.array([names != w if w else np.zeros(len(names), bool) for w in wanted])
 
+def met_blocks(asked: DataFrame, chunks: DataFrame, keys: list[str], k: int, kinds: tuple[str, str, str], pass_bytes: int = PASS_BYTES, compared: Accumulator | None = None) -> DataFrame:
+    """tenant_id, query_id, chunk_id, row_key and distance: in each task, the k best chunks of each question among the blocks that it meets.
 
-def _wanted(queries: DataFrame) -> DataFrame:
-    agent = F.when(F.col("agent_id") != "", F.col("agent_id"))
-    asked = queries.select("query_id", "tenant_id", agent.alias("agent_id"), F.col("wanted_document").cast("string"), "query_embedding")
-    return asked.where(F.col("tenant_id").isNotNull())
+    asked: rows as asked_rows gives them, with keys; chunks: blocks with keys, agent_id, packed, center and radius. Blocks of equal keys meet where the
+    questions name no agent, or the chunks'. Questions are packed into a written table first, so that their size is
+    known: a small one goes to all tasks and chunks stay where they are. Otherwise both are sent by their keys and
+    one of SALTS parts of the chunks, so that a question gets k hits from each of so many parts, however many tasks there are.
+    """
+    spark = asked.sparkSession
+    path = scratch_path(spark, "questions")
+    dealt = asked.repartition(*keys, F.pmod(F.xxhash64("query_id"), F.lit(8))).withColumn("tenant", F.col("tenant_id"))
+    own = [*[c if c != "tenant_id" else "tenant" for c in keys], "asked_agent"]
+    blocks = packed(dealt, own, "query_embedding", QUESTION_BLOCK).withColumnsRenamed({"packed": "asked", "block": "asked_block"})
+    blocks.write.parquet(path)
+    blocks = spark.read.schema(blocks.schema).parquet(path)
+    size, count = blocks.agg(F.sum(F.octet_length("asked")), F.count("*")).first()
+    few = (size or 0) <= pass_bytes and count * QUESTION_BLOCK * k * chunks.rdd.getNumPartitions() <= PASS_HITS
+    same = F.col("asked_agent").isNull() | (F.col("asked_agent") == F.col("agent_id"))
+    for c in keys:
+        same = same & (F.col("tenant" if c == "tenant_id" else c) == F.col(f"_{c}"))
+    held = chunks.withColumnsRenamed({c: f"_{c}" for c in keys})
+    if few:
+        blocks = F.broadcast(blocks)
+    else:
+        blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = held.withColumn("_part", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+        same = same & (F.col("part") == F.col("_part"))
+    pairs = held.join(blocks, same).select("asked_block", "asked", "packed", "center", "radius")
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, Asked] = {}
+        last, chunks, vectors = None, None, None
+        for batch in batches:
+            centers, radii = batch.column("center"), batch.column("radius").to_pylist()
+            for n, number in enumerate(batch.column("asked_block").to_pylist()):
+                if number not in open_:
+                    open_[number] = Asked(batch.column("asked")[n], k)
+                block = batch.column("packed")[n].as_buffer()
+                if last is None or not block.equals(last):
+                    last, chunks = block, unpacked(batch.column("packed")[n])
+                    vectors = Vectors(chunks["embedding"])
+                center = centers[n].values.to_numpy().astype(np.float64) if centers[n].is_valid else None
+                pairs = open_[number].visit(chunks, vectors, center, radii[n])
+                if compared is not None:
+                    compared.add(pairs)
+            if sum(a.held + len(a.table) for a in open_.values()) > HELD_HITS:
+                for a in open_.values():
+                    yield from a.hits()
+                open_ = {}
+        for a in open_.values():
+            yield from a.hits()
+
+    tenant, query, chunk = kinds
+    return pairs.mapInArrow(search, f"tenant_id {tenant}, query_id {query}, chunk_id {chunk}, row_key long, distance double")
+
+
+def kinds_of(queries: DataFrame, chunks: DataFrame) -> tuple[str, str, str]:
+    return queries.schema["tenant_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+
+
+def ranked_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits of each question, with rank, as a written table; each task drops what it can before they are sent."""
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id", "row_key")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    path = scratch_path(hits.sparkSession, "search-hits")
+    ranked.write.parquet(path)
+    return hits.sparkSession.read.schema(ranked.schema).parquet(path)
 
 
-def _vectors_of(chunks: DataFrame) -> DataFrame:
-    hashed = F.xxhash64("chunk_text").alias("text_hash")
-    return chunks.where(F.col("tenant_id").isNotNull()).select("tenant_id", "agent_id", F.col("document_id").cast("string"), "chunk_id", hashed, "embedding")
+def with_texts(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id, chunk_text and distance of ranked hits; only here texts are read, and only those chunks' kept.
 
+    Rows of one tenant and chunk_id are told apart by row_key, if any hit has such; of equal agents, documents and vectors too, all have the least text.
+    """
 
-def _ranked_with_texts(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The k best hits of each question, and only then their texts, which are read for those chunks alone."""
-    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    spark = hits.sparkSession
-    path = scratch_path(spark, "search-hits")
-    ranked.write.parquet(path)
-    ranked = spark.read.schema(ranked.schema).parquet(path)
-    texts = chunks.select("tenant_id", F.col("chunk_id").alias("id"), F.xxhash64("chunk_text").alias("hash"), "chunk_text")
-    keys = ranked.select("tenant_id", F.col("chunk_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    needed = texts.join(keys, ["tenant_id", "id", "hash"], "left_semi").dropDuplicates(["tenant_id", "id", "hash"]).withColumnRenamed("tenant_id", "tenant")
-    found = ranked.join(needed, (F.col("tenant_id") == F.col("tenant")) & (F.col("chunk_id") == F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    def named(tenant: str, chunk: str) -> Column:
+        return (F.col("tenant_id") == F.col(tenant)) & (F.col("chunk_id") == F.col(chunk))
+
+    keys = ranked.select(F.col("tenant_id").alias("k_tenant"), F.col("chunk_id").alias("k_chunk")).distinct()
+    wanted = chunks.join(keys, named("k_tenant", "k_chunk"), "left_semi")
+    repeated = not wanted.groupBy("tenant_id", "chunk_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if repeated:
+        texts = wanted.groupBy(F.col("tenant_id").alias("t_tenant"), F.col("chunk_id").alias("t_chunk"), row_key().alias("t_key")).agg(F.min("chunk_text").alias("chunk_text"))
+        found = ranked.join(texts, named("t_tenant", "t_chunk") & (F.col("row_key") == F.col("t_key")))
+    else:
+        texts = wanted.select(F.col("tenant_id").alias("t_tenant"), F.col("chunk_id").alias("t_chunk"), "chunk_text")
+        found = ranked.join(texts, named("t_tenant", "t_chunk"))
     return found.select("query_id", "rank", "chunk_id", "chunk_text", "distance")
 
 
@@ -137,163 +298,22 @@ def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_
     is null where either vector is null, lacks a component, or they differ in size, and NaN where one is
     zero; nulls come last, NaN before them, ties by chunk_id. Rows without tenant take no part.
 
-    The questions go to all tasks, in as many passes as their vectors are times pass_bytes, and a pass scans the
-    chunks' vectors once without moving them. Each task keeps the k best of its chunks for each question by
-    matrix products and sends their keys on. Texts are joined to the k best of all, last.
+    Questions and chunks are packed into blocks and joined by tenant, so the plan is the same for any number of
+    questions, and none of them passes through the driver. Each task keeps the k best of its chunks for each
+    question by matrix products and sends their keys on. Texts are joined to the k best of all, last.
     """
-    asked = _wanted(queries)
-    total = asked.agg(F.sum(F.coalesce(F.size("query_embedding"), F.lit(0)) * 8 + 100).alias("n")).first().n or 0
-    passes = max(1, -(-total // pass_bytes))
-    vectors = _vectors_of(chunks)
-    hits = [_scan(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n), vectors, k) for n in range(passes)]
-    return _ranked_with_texts(reduce(DataFrame.unionByName, hits), chunks, k)
+    blocks = packed(chunk_rows(chunks), ["tenant_id", "agent_id"], "embedding", CHUNK_BLOCK)
+    blocks = blocks.withColumns({"center": F.lit(None).cast("array<float>"), "radius": F.lit(None).cast("double")})
+    hits = met_blocks(asked_rows(queries), blocks, ["tenant_id"], k, kinds_of(queries, chunks), pass_bytes)
+    return with_texts(ranked_hits(hits, k), chunks)
 
 
 def topk_search_blocks(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """topk_search with questions in small blocks: a scan of the chunks for each 64 KB of them."""
-    return topk_search(queries, chunks, k, 1 << 16)
-
-
-def _scan(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """One pass: tenant_id, query_id, chunk_id, text_hash and distance of each task's k best for each question."""
-    table = asked.toArrow()
-    groups: dict[tuple, list[int]] = {}
-    for n, key in enumerate(zip(table["tenant_id"].to_pylist(), table["agent_id"].to_pylist(), strict=True)):
-        groups.setdefault(key, []).append(n)
-    places = {key: np.array(own) for key, own in groups.items()}
-    questions = {key: (own, Vectors(table["query_embedding"].take(pa.array(own))), [table["wanted_document"][n].as_py() for n in own]) for key, own in places.items()}
-    names = table["query_id"].combine_chunks() if table.num_rows else pa.array([], table.schema.field("query_id").type)
-    shared = asked.sparkSession.sparkContext.broadcast((questions, names))
-    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *vectors.schema]}
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions, names = shared.value
-        best, kept = Best(k), []  # chunks seen, one table of keys for each batch
-        seen = 0
-
-        def compact() -> pa.RecordBatch | None:
-            nonlocal best, kept, seen
-            if not kept:
-                return None
-            keys = pa.Table.from_batches(kept).combine_chunks()
-            question, distance, chunk = best.rows()
-            used, place = np.unique(chunk, return_inverse=True)
-            keys = keys.take(pa.array(used))
-            by_id = np.argsort(np.array(keys["chunk_id"].to_pylist()), kind="stable")
-            back = np.empty(len(used), np.int64)
-            back[by_id] = np.arange(len(used))
-            keys = keys.take(pa.array(by_id))
-            best, seen = Best(k), len(used)
-            best.parts, best.held = [(question, distance, back[place])], len(question)
-            kept = keys.to_batches()
-            return None
-
-        for batch in batches:
-            batch = batch.take(pa.array(np.argsort(np.array(batch.column(3).to_pylist()), kind="stable")))
-            tenants, agents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            members: dict[tuple, list[int]] = {}
-            for n, (tenant, agent) in enumerate(zip(tenants, agents, strict=True)):
-                for key in {(tenant, agent), (tenant, None)}:
-                    if key in questions:
-                        members.setdefault(key, []).append(n)
-            for key, rows in members.items():
-                own, vectors_of_questions, wanted = questions[key]
-                rows = np.array(rows)
-                held = Vectors(batch.column(5).take(pa.array(rows)))
-                step = max(1, (4 << 20) // len(rows))
-                for at in range(0, len(own), step):
-                    distance = vectors_of_questions.distances(held, at, min(at + step, len(own)))
-                    out = _excluded(batch.column(2).take(pa.array(rows)), wanted[at : at + step])
-                    if out is not None:
-                        distance[out] = EXCLUDED
-                    best.add(own[at : at + step], distance, seen + rows)
-            kept.append(batch.select(["tenant_id", "chunk_id", "text_hash"]))
-            seen += batch.num_rows
-            if best.held > 4 * k * len(names) + 100_000:
-                compact()
-        compact()
-        question, distance, chunk = best.rows()
-        if len(question):
-            keys = pa.Table.from_batches(kept).take(pa.array(chunk)).combine_chunks()
-            columns = [keys["tenant_id"], names.take(pa.array(question)), keys["chunk_id"], keys["text_hash"], pa.chunked_array([_shown(distance)])]
-            yield from pa.Table.from_arrays(columns, names=["tenant_id", "query_id", "chunk_id", "text_hash", "distance"]).to_batches()
-
-    return vectors.mapInArrow(scan, f"tenant_id {kinds['tenant_id']}, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, text_hash long, distance double")
+    """topk_search whose questions and chunks meet by shuffles, as they do where there are very many questions."""
+    return topk_search(queries, chunks, k, -1)
 
 
 def nearest_chunks(chunks: DataFrame, query_embedding: list[float], k: int = 3) -> DataFrame:
     """One question, no filters: the k nearest chunks, by one sort that keeps k rows per task."""
     vector = F.array(*[F.lit(float(x)) for x in query_embedding])
     return chunks.select("chunk_id", "chunk_text", cosine_distance(F.col("embedding"), vector).alias("distance")).orderBy(F.asc_nulls_last("distance"), "chunk_id").limit(k)
-
-
-def _nearest_lists(df: DataFrame, vector: str, centers: np.ndarray, n: int) -> DataFrame:
-    """df with list_ids, the numbers of the n nearest centers by cosine; null vectors, and such of another size, get none."""
-    unit = centers / np.linalg.norm(centers, axis=1, keepdims=True)
-
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = Vectors(batch.column(batch.schema.get_field_index(vector)))
-            lists: list[list[int] | None] = [None] * batch.num_rows
-            if unit.shape[1] in held.by_size:
-                rows, x, _, whole = held.by_size[unit.shape[1]]
-                near = np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :n].tolist()
-                for row, own, ok in zip(rows.tolist(), near, whole.tolist(), strict=True):
-                    lists[row] = own if ok else None
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "list_ids"])
-
-    return df.mapInArrow(assign, StructType([*df.schema.fields, StructField("list_ids", ArrayType(IntegerType()))]))
-
-
-def ivf_build(chunks: DataFrame, lists: int = 100, sample_rows: int = 100_000, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """Centers of the given number of cosine clusters, fitted on a bounded sample, and all chunks with their list_id."""
-    usable = chunks.where(F.exists("embedding", lambda x: x != 0))
-    sample = usable.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10).fit(sample)
-    centers = np.array(model.clusterCenters())
-    return centers, _nearest_lists(chunks, "embedding", centers, 1).withColumn("list_id", F.get("list_ids", 0)).drop("list_ids")
-
-
-def ivf_search(queries: DataFrame, centers: np.ndarray, index: DataFrame, k: int = DEFAULT_K, probes: int = 1) -> DataFrame:
-    """topk_search among the chunks of the probes nearest lists; filters come after, so fewer than k may be left.
-
-    Chunks and questions meet by tenant and list. A list with many chunks or many questions is cut into blocks, so that a
-    task's group is one block of either; it gives the k best keys for each question, and texts are joined last.
-    """
-    probed = _nearest_lists(_wanted(queries), "query_embedding", centers, probes).withColumn("list_id", F.explode("list_ids")).drop("list_ids")
-    listed = index.where(F.col("tenant_id").isNotNull() & F.col("list_id").isNotNull()).select("list_id", "tenant_id", "agent_id", F.col("document_id").cast("string"), "chunk_id", F.xxhash64("chunk_text").alias("text_hash"), "embedding")
-    key = ["tenant_id", "list_id"]
-    here = listed.groupBy(*key).agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("row_blocks"))
-    there = probed.groupBy(*key).agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("question_blocks"))
-    blocks = here.join(there, key)
-
-    def deal(df: DataFrame, name: str, own: str, other: str):
-        dealt = df.join(blocks, key).withColumn("own", F.pmod(F.xxhash64(name), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        low, high = ("own", "other") if own == "row_blocks" else ("other", "own")
-        return dealt.withColumns({"rb": F.col(low), "qb": F.col(high)}).drop("own", "other", "row_blocks", "question_blocks").groupBy(*key, "rb", "qb")
-
-    kinds = {f.name: f.dataType.simpleString() for f in [*probed.schema, *listed.schema]}
-
-    def rerank(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        best = Best(k)
-        if asked.num_rows and rows.num_rows:
-            rows = rows.take(pa.array(np.argsort(np.array(rows["chunk_id"].to_pylist()), kind="stable")))
-            questions, held = Vectors(asked["query_embedding"]), Vectors(rows["embedding"])
-            wanted, of = asked["wanted_document"].to_pylist(), asked["agent_id"].to_pylist()
-            agents = np.array(rows["agent_id"].to_pylist(), object)
-            for at in range(0, asked.num_rows, 128):
-                distance = questions.distances(held, at, min(at + 128, asked.num_rows))
-                out = _excluded(rows["document_id"], wanted[at : at + 128])
-                if out is not None:
-                    distance[out] = EXCLUDED
-                for n, agent in enumerate(of[at : at + 128]):
-                    if agent is not None:
-                        distance[n, agents != agent] = EXCLUDED
-                best.add(np.arange(at, at + len(distance)), distance, np.arange(rows.num_rows))
-        question, distance, chunk = best.rows()
-        found, keys = asked.take(pa.array(question)), rows.take(pa.array(chunk))
-        return pa.table({"tenant_id": found["tenant_id"], "query_id": found["query_id"], "chunk_id": keys["chunk_id"], "text_hash": keys["text_hash"], "distance": _shown(distance)})
-
-    shape = f"tenant_id {kinds['tenant_id']}, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, text_hash long, distance double"
-    met = deal(probed, "query_id", "question_blocks", "row_blocks").cogroup(deal(listed, "chunk_id", "row_blocks", "question_blocks")).applyInArrow(rerank, shape)
-    return _ranked_with_texts(met, index, k)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.vectors import cosine_distance
 from ..sources.scratch import scratch_path
@@ -75,13 +75,28 @@ class Vectors:
         return out
 
 
-def packed(df: DataFrame, keys: list[str], vector: str, rows: int) -> DataFrame:
+def sphere(vectors: pa.Array) -> tuple[np.ndarray, float]:
+    """The middle direction of vectors of one size, none zero, and the largest angle of any from it; the angle is undefined where there is no such direction."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    center = x.mean(axis=0)
+    length = np.linalg.norm(center)
+    center = (center / length if length > 1e-12 else x[0]).astype(np.float32).astype(np.float64)
+    center /= np.linalg.norm(center)
+    return center, float(np.arccos(np.clip(x @ center, -1, 1)).max()) + 1e-6
+
+
+def packed(df: DataFrame, keys: list[str], vector: str, rows: int, spheres: bool = False) -> DataFrame:
     """Rows of df in blocks of equal keys: the keys, a number for the block, and the other columns as the bytes of an Arrow stream.
 
-    Blocks are made of what a task reads at once, of at most so many rows or about BLOCK_BYTES of vectors.
+    Blocks are made of what a task reads at once, of at most so many rows or about BLOCK_BYTES of vectors. With spheres, keys hold size, the
+    vectors' number of components, and each block has n, center and radius too; the radius is NaN where size is 0, which stands
+    for vectors that are nothing to measure an angle by.
     """
     others = [c for c in df.columns if c not in keys]
     schema = StructType([*[df.schema[c] for c in keys], StructField("block", LongType()), StructField("packed", BinaryType())])
+    if spheres:
+        schema = StructType([*schema.fields, StructField("n", IntegerType()), StructField("center", ArrayType(DoubleType())), StructField("radius", DoubleType())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -108,7 +123,13 @@ def packed(df: DataFrame, keys: list[str], vector: str, rows: int) -> DataFrame:
             firsts = batch.select(keys).take(pa.array(places))
             numbers = pa.array(range(number, number + len(blocks)), pa.int64())
             number += len(blocks)
-            yield pa.RecordBatch.from_arrays([*firsts.columns, numbers, pa.array(blocks, pa.binary())], names=schema.names)
+            columns = [*firsts.columns, numbers, pa.array(blocks, pa.binary())]
+            if spheres:
+                sizes = firsts.column("size").to_pylist()
+                ends = [*places[1:], batch.num_rows]
+                found = [sphere(batch.column(vector).slice(a, b - a)) if size else (None, float("nan")) for a, b, size in zip(places, ends, sizes, strict=True)]
+                columns += [pa.array([b - a for a, b in zip(places, ends, strict=True)], pa.int32()), pa.array([c for c, _ in found], pa.list_(pa.float64())), pa.array([r for _, r in found], pa.float64(), from_pandas=False)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(*keys, *others).mapInArrow(pack, schema)
 
@@ -218,6 +239,8 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, keys: list[str], k: int, kin
     size, count = blocks.agg(F.sum(F.octet_length("asked")), F.count("*")).first()
     few = (size or 0) <= pass_bytes and count * QUESTION_BLOCK * k * chunks.rdd.getNumPartitions() <= PASS_HITS
     same = F.col("asked_agent").isNull() | (F.col("asked_agent") == F.col("agent_id"))
+    if "list_id" in keys:  # lets Spark read only the folders of lists that some question asks for
+        blocks = blocks.where("list_id >= 0")
     for c in keys:
         same = same & (F.col("tenant" if c == "tenant_id" else c) == F.col(f"_{c}"))
     held = chunks.withColumnsRenamed({c: f"_{c}" for c in keys})
@@ -303,7 +326,7 @@ def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_
     question by matrix products and sends their keys on. Texts are joined to the k best of all, last.
     """
     blocks = packed(chunk_rows(chunks), ["tenant_id", "agent_id"], "embedding", CHUNK_BLOCK)
-    blocks = blocks.withColumns({"center": F.lit(None).cast("array<float>"), "radius": F.lit(None).cast("double")})
+    blocks = blocks.withColumns({"center": F.lit(None).cast("array<double>"), "radius": F.lit(None).cast("double")})
     hits = met_blocks(asked_rows(queries), blocks, ["tenant_id"], k, kinds_of(queries, chunks), pass_bytes)
     return with_texts(ranked_hits(hits, k), chunks)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import keys, text, vectors
-from .operators import answers, assemble, chunking, embedding, search, status, tenants
+from .operators import answers, assemble, chunking, embedding, search, status, tenants, vector_index
 from .plans import answer as answer_plan
 from .plans import ingest as ingest_plan
 from .sources import uploads
@@ -565,17 +565,44 @@ def r3_nearest_chunks(spark, sf_dir):
     return hits.select("chunk_id", F.round("distance", 6).alias("distance"))
 
 
+def _indexed(spark, sf_dir, lists: int | None) -> tuple[DataFrame, str]:
+    chunks, path = _chunks(spark, sf_dir), scratch_path(spark, "index")
+    vector_index.build_index(chunks, path, lists=lists)
+    return chunks, path
+
+
 @query()
 def r4_cluster_search(spark, sf_dir):
-    centers, index = search.ivf_build(_chunks(spark, sf_dir), lists=100)
-    return search.ivf_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), centers, index, k=50, probes=50)
+    """Search of an index of 100 lists, of which as many are read as find nine in ten of the 50 nearest."""
+    chunks, path = _indexed(spark, sf_dir, 100)
+    probes = vector_index.probes_for(chunks, path, k=50, recall=0.9)
+    return vector_index.index_search(_questions(spark, sf_dir).withColumns({"wanted_document": F.lit(""), "agent_id": F.lit("")}), chunks, path, k=50, probes=probes)
+
+
+@query("SELECT count(*) * least(20, count(*)) AS wanted, true AS nine_in_ten FROM embeddings")
+def r4_recall(spark, sf_dir):
+    """How many of the 20 nearest of every vector a search of some lists should find, and that it finds nine in ten of them."""
+    chunks, path = _indexed(spark, sf_dir, None)
+    questions = _questions(spark, sf_dir).withColumns({"wanted_document": F.lit(""), "agent_id": F.lit("")})
+    some = vector_index.index_search(questions, chunks, path, k=20, probes=vector_index.probes_for(chunks, path, k=20, recall=0.93))
+    every = vector_index.exact_search(questions, chunks, path, k=20)
+    met = every.select("query_id", "chunk_id").join(some.select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left")
+    return met.agg(F.count("*").alias("wanted"), (F.coalesce(F.sum("found"), F.lit(0)) >= 0.9 * F.count("*")).alias("nine_in_ten"))
 
 
 @query(f"WITH {SQL_HITS.format(filter='true')} SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 50")
 def r4_all_lists(spark, sf_dir):
     """Cluster search that reads every list, which is exact."""
-    centers, index = search.ivf_build(_chunks(spark, sf_dir), lists=20)
-    hits = search.ivf_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), centers, index, k=50, probes=20)
+    chunks, path = _indexed(spark, sf_dir, 20)
+    hits = vector_index.index_search(_questions(spark, sf_dir).withColumn("wanted_document", F.lit("")), chunks, path, k=50, probes=None)
+    return hits.select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query(ORACLE_SQL["r2_topk_search"])
+def r2_topk_index(spark, sf_dir):
+    """Exact search by an index, which skips blocks that are too far off."""
+    chunks, path = _indexed(spark, sf_dir, None)
+    hits = vector_index.exact_search(_questions(spark, sf_dir), chunks, path, 50)
     return hits.select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 

@@ -130,20 +130,6 @@ def test_odd_vectors_rank_as_their_distances(spark):
     assert search.topk_search(queries, chunks.where("chunk_id < 0")).count() == 0
 
 
-def test_ivf_reads_all_lists_exactly_and_fewer_nearly(spark, monkeypatch):
-    chunks, queries, c, q = vector_tables(spark)
-    chunks = chunks.where("embedding is not null")
-    centers, index = search.ivf_build(chunks, lists=8)
-    assert index.count() == chunks.count()
-    exact = {(r.query_id, r.chunk_id) for r in search.topk_search(queries, chunks, 10).collect()}
-    monkeypatch.setattr(search, "ROW_BLOCK", 16)
-    monkeypatch.setattr(search, "QUESTION_BLOCK", 4)
-    every = {(r.query_id, r.chunk_id) for r in search.ivf_search(queries, centers, index, 10, probes=8).collect()}
-    some = {(r.query_id, r.chunk_id) for r in search.ivf_search(queries, centers, index, 10, probes=5).collect()}
-    assert every == exact
-    assert len(some & exact) >= 0.6 * len(exact)
-
-
 def log(spark):
     random.seed(4)
     base = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)

@@ -17,15 +17,15 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-def test_cluster_search_reads_a_hundred_lists(spark, monkeypatch):
-    from retrieval_jobs.operators import search
+def test_cluster_search_builds_a_hundred_lists(spark, monkeypatch):
+    from retrieval_jobs.operators import vector_index
 
     asked = []
-    build = search.ivf_build
-    monkeypatch.setattr(search, "ivf_build", lambda chunks, lists=100: (asked.append(lists), build(chunks, lists))[1])
+    build = vector_index.build_index
+    monkeypatch.setattr(vector_index, "build_index", lambda chunks, path, lists=None: (asked.append(lists), build(chunks, path, lists))[1])
     rows = QUERIES["r4_cluster_search"](spark, DATA).select("rank").collect()
     assert asked == [100]
-    assert 10 < max(r["rank"] for r in rows) <= 50
+    assert max(r["rank"] for r in rows) == 50
 
 
 def test_entry(spark):

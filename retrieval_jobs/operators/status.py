@@ -37,8 +37,9 @@ def current_status(events: DataFrame) -> DataFrame:
     Status and updated_at come from the last event, start_at from the first RECEIVED, end_at from the first
     terminal one; duration is the whole seconds from start_at to the first terminal event after it. Of
     each extra name the last value counts. All are grouped minima and maxima, so that a document with
-    very many events is summed up in every task before it is sent.
+    very many events is summed up in every task before it is sent. Events are cleaned first (``clean_events``); refused ones don't count.
     """
+    events, _ = clean_events(events)
     when = F.struct("at", "seq")
     terminal = F.col("status").isin(*TERMINAL)
     base = events.groupBy("document_id").agg(
@@ -57,7 +58,8 @@ def current_status(events: DataFrame) -> DataFrame:
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """One row per document from its last event alone; what earlier events said is lost."""
+    """One row per document from its last event alone; what earlier events said is lost. Refused events (``clean_events``) don't count."""
+    events, _ = clean_events(events)
     last = events.groupBy("document_id").agg(F.max_by(F.struct("status", "at", "extra"), F.struct("at", "seq")).alias("e"))
     at = F.col("e.at")
     return last.select(
@@ -67,9 +69,9 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def status_history(events: DataFrame, now: Column | None = None) -> DataFrame:
-    """One row per (document_id, transition_at); a later write (larger seq) of the same key wins. A null time is now."""
-    dated = events.withColumn("transition_at", F.coalesce("at", F.current_timestamp() if now is None else now))
-    kept = dated.groupBy("document_id", "transition_at").agg(F.max_by(F.struct("status", "extra"), F.col("seq")).alias("e"))
+    """One row per (document_id, transition_at); a later write (larger seq) of the same key wins. A null time is now. Otherwise refused events (``clean_events``) have no row."""
+    dated, _ = clean_events(events.withColumn("at", F.coalesce("at", F.current_timestamp() if now is None else now)))
+    kept = dated.withColumnRenamed("at", "transition_at").groupBy("document_id", "transition_at").agg(F.max_by(F.struct("status", "extra"), F.col("seq")).alias("e"))
     return kept.select("document_id", "transition_at", F.col("e.status").alias("status"), F.col("e.extra").alias("extra"))
 
 

@@ -50,8 +50,8 @@ def update_prompt_templates(agents: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def attach_prompt_template(requests: DataFrame, agents: DataFrame) -> DataFrame:
-    """requests (tenant_id as in agents, agent_id) with prompt_template, and template_error where there is no agent."""
-    templates = agents.groupBy("tenant_id", "agent_id").agg(F.first("prompt_template").alias("prompt_template"), F.lit(True).alias("found"))
+    """requests (tenant_id as in agents, agent_id) with prompt_template, the largest if an agent has several, and template_error where there is no agent."""
+    templates = agents.groupBy("tenant_id", "agent_id").agg(F.max("prompt_template").alias("prompt_template"), F.lit(True).alias("found"))
     joined = requests.join(templates, ["tenant_id", "agent_id"], "left")
     return joined.withColumn("template_error", F.when(F.col("found").isNull(), AGENT_MISSING)).drop("found")
 

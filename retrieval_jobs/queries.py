@@ -208,6 +208,15 @@ def _events(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("document_id"), F.element_at(names, F.col("event_type")).alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), extra.alias("extra"))
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """The event log as it may be told: some statuses with trailing blanks, and as many events of a status that doesn't exist."""
+    names = F.create_map(*[F.lit(x) for pair in EVENT_STATUS.items() for x in pair])
+    known = F.element_at(names, F.col("event_type"))
+    shown = F.when(known == "OCR_DONE", F.concat(known, F.lit(" "))).otherwise(known)
+    told = F.explode(F.when(known == "OCR_DONE", F.array(shown, F.lit("NO_STATUS"))).otherwise(F.array(shown)))
+    return rows.select(F.col("user_id").cast("string").alias("document_id"), told.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.from_json("props", "map<string,string>").alias("extra"))
+
+
 SQL_EVENTS = """log AS (
   SELECT user_id::VARCHAR AS document_id, ts AS tick, event_id AS seq, json_extract_string(props, '$.k') AS k,
          CASE event_type WHEN 'signup' THEN 'RECEIVED' WHEN 'view' THEN 'OCR_DONE' WHEN 'click' THEN 'BEDROCK_DONE'
@@ -795,7 +804,7 @@ def r15_answer_batch(spark, sf_dir):
 SELECT document_id, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at, strftime(start[1], '%Y-%m-%d %H:%M:%S.%f') AS start_at,
   strftime(end_at, '%Y-%m-%d %H:%M:%S.%f') AS end_at, (epoch_us(after_start) - epoch_us(start[1])) // 1000000 AS duration, k FROM starts LEFT JOIN ends USING (document_id)""")
 def d1_current_status(spark, sf_dir):
-    out = status.current_status(_events(spark, sf_dir))
+    out = status.current_status(_told(_table(spark, sf_dir, "events")))
     return out.select("document_id", "status", _when("updated_at").alias("updated_at"), _when("start_at").alias("start_at"), _when("end_at").alias("end_at"), "duration", F.try_element_at("extra", F.lit("k")).alias("k"))
 
 
@@ -803,26 +812,21 @@ def d1_current_status(spark, sf_dir):
 SELECT document_id, status, strftime(tick, '%Y-%m-%d %H:%M:%S.%f') AS updated_at, CASE WHEN status = 'RECEIVED' THEN strftime(tick, '%Y-%m-%d %H:%M:%S.%f') END AS start_at,
   CASE WHEN status IN ('PROCESS_COMPLETED', 'PROCESS_FAILED') THEN strftime(tick, '%Y-%m-%d %H:%M:%S.%f') END AS end_at, k FROM last""")
 def d2_latest_status(spark, sf_dir):
-    out = status.latest_status(_events(spark, sf_dir))
+    out = status.latest_status(_told(_table(spark, sf_dir, "events")))
     return out.select("document_id", "status", _when("updated_at").alias("updated_at"), _when("start_at").alias("start_at"), _when("end_at").alias("end_at"), F.try_element_at("extra", F.lit("k")).alias("k"))
 
 
 @query(f"WITH {SQL_EVENTS} SELECT document_id, strftime(date_trunc('hour', tick), '%Y-%m-%d %H:%M:%S.%f') AS transition_at, max_by(status, seq) AS status, max_by(k, seq) AS k FROM log GROUP BY document_id, date_trunc('hour', tick)")
 def d3_status_history(spark, sf_dir):
-    hourly = _events(spark, sf_dir).withColumn("at", F.date_trunc("hour", "at"))
+    hourly = _told(_table(spark, sf_dir, "events")).withColumn("at", F.date_trunc("hour", "at"))
     return status.status_history(hourly).select("document_id", _when("transition_at").alias("transition_at"), "status", F.try_element_at("extra", F.lit("k")).alias("k"))
 
 
 def _status_stream(spark, sf_dir) -> str:
     """The log as a stream, all that is there, with some statuses of trailing blanks and as many unknown ones; gives the folder of its tables."""
     raw = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
-    names = F.create_map(*[F.lit(x) for pair in EVENT_STATUS.items() for x in pair])
-    known = F.element_at(names, F.col("event_type"))
-    shown = F.when(known == "OCR_DONE", F.concat(known, F.lit(" "))).otherwise(known)
-    told = F.explode(F.when(known == "OCR_DONE", F.array(shown, F.lit("NO_STATUS"))).otherwise(F.array(shown)))
-    events = raw.select(F.col("user_id").cast("string").alias("document_id"), told.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.from_json("props", "map<string,string>").alias("extra"))
     path = scratch_path(spark, "status-stream")
-    start_status_stream(events, path, f"{path}-checkpoint", availableNow=True).awaitTermination()
+    start_status_stream(_told(raw), path, f"{path}-checkpoint", availableNow=True).awaitTermination()
     return path
 
 

@@ -1,107 +1,147 @@
-"""The status fold as a stream: one query whose micro-batches write current status, history and notifications together."""
+"""The status fold as a stream: one query that keeps a document's fold in the state store and writes current status, history and notifications together."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.status import RECEIVED, TERMINAL, clean_events, notifications, status_history
 
-EXTRAS = "map<string,struct<at:timestamp,seq:bigint,value:string>>"
-STATE = f"document_id string, last struct<at:timestamp,seq:bigint,status:string>, start struct<at:timestamp,seq:bigint>, ending struct<at:timestamp,seq:bigint>, after_start timestamp, extras {EXTRAS}"
 TABLES = ("current", "history", "notifications", "rejected")
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CURRENT = "document_id string, status string, updated_at long, start_at long, end_at long, after_start long, extra map<string,string>"
 
+#: A fold of some of a document's events. Places are [microseconds, seq], and sort as events do. `ends` are the terminal
+#: events that a start can be followed by: all up to the first one after the start, since an earlier start may still come.
+Fold = dict[str, Any]
 
-def _later(one: Column, two: Column) -> Column:
-    return F.when(one.isNull() | (two >= one), two).otherwise(one)
 
+def trimmed(fold: Fold) -> Fold:
+    start, ends = fold["start"], fold["ends"]
+    if start is not None:
+        after = next((n for n, end in enumerate(ends) if end > start), len(ends))
+        fold["ends"] = ends[: after + 1]
+    return fold
 
-def fold_batch(events: DataFrame, state: DataFrame) -> DataFrame:
-    """The state rows, as in STATE, of the documents in events after these events, given the state before.
 
-    Everything is a grouped minimum or maximum of the events, so a document with very many of them is summed up
-    in each task before it is sent, and is one row when it meets its state. Within events the order is by (at, seq). An
-    event that comes after later ones is merged by its time; only where a RECEIVED comes so late that
-    it stands before another terminal event than the first, the end of the duration may be a later one than in a fold of all events.
-    """
-    when = F.struct("at", "seq")
-    new = events.groupBy("document_id").agg(
-        F.max(F.struct("at", "seq", "status")).alias("new_last"),
-        F.min(F.when(F.col("status") == RECEIVED, when)).alias("new_start"),
-        F.min(F.when(F.col("status").isin(*TERMINAL), when)).alias("new_ending"),
-    )
-    named = events.where(F.size("extra") > 0).select("document_id", "at", "seq", F.explode("extra").alias("name", "value"))
-    values = named.groupBy("document_id", "name").agg(F.max(F.struct("at", "seq", "value")).alias("value"))
-    extras = values.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("new_extras"))
-    both = new.join(extras, "document_id", "left").join(state, "document_id", "left")
-    least = lambda one, two: F.when(F.col(one).isNull() | (F.col(two) < F.col(one)), F.col(two)).otherwise(F.col(one))
-    both = both.withColumns({"first": least("start", "new_start"), "first_end": least("ending", "new_ending")})
-    after = events.where(F.col("status").isin(*TERMINAL)).join(both.select("document_id", "first"), "document_id").where(when > F.col("first")).groupBy("document_id").agg(F.min("at").alias("new_after"))
-    same_start = F.col("first") == F.col("start")
-    known = F.when(same_start, F.col("after_start")).when(F.col("ending") > F.col("first"), F.col("ending.at"))
-    empty = F.create_map().cast(EXTRAS)
-    merged = F.map_zip_with(F.coalesce("extras", empty), F.coalesce("new_extras", empty), lambda _, old, new: _later(old, F.coalesce(new, old)))
-    return both.join(after, "document_id", "left").select(
-        "document_id", _later(F.col("last"), F.col("new_last")).alias("last"), F.col("first").alias("start"), F.col("first_end").alias("ending"),
-        F.least(known, F.col("new_after")).alias("after_start"), merged.alias("extras"),
-    )
-
-
-def current_rows(state: DataFrame) -> DataFrame:
-    """State rows as current_status gives them."""
-    duration = F.timestamp_diff("SECOND", F.col("start.at"), F.col("after_start"))
-    return state.select("document_id", F.col("last.status").alias("status"), F.col("last.at").alias("updated_at"), F.col("start.at").alias("start_at"), F.col("ending.at").alias("end_at"), duration.alias("duration"), F.transform_values("extras", lambda _, v: v["value"]).alias("extra"))
-
-
-def _batches(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """What the committed micro-batches wrote to a folder, with the number of each; those from before on are left out."""
-    try:
-        committed = spark.read.json(f"{folder.rpartition('/')[0]}/commits").select(F.col("batch").cast("long"))
-        rows = spark.read.parquet(folder).withColumn("batch", F.col("batch").cast("long"))
-    except AnalysisException:  # nothing yet
-        return None
-    if before is not None:
-        committed = committed.where(F.col("batch") < before)
-    return rows.join(F.broadcast(committed.distinct()), "batch", "left_semi")
+def merged(one: Fold | None, two: Fold) -> Fold:
+    """The fold of the events of both; in any order of merging the same, as long as no two events have one place."""
+    if one is None:
+        return trimmed(two)
+    starts = [f["start"] for f in (one, two) if f["start"] is not None]
+    extras = dict(one["extras"])
+    for name, value in two["extras"].items():
+        if name not in extras or extras[name][:2] <= value[:2]:
+            extras[name] = value
+    ends = sorted({tuple(x) for x in one["ends"]} | {tuple(x) for x in two["ends"]})
+    return trimmed({"last": max(one["last"], two["last"], key=lambda x: x[:2]), "start": min(starts) if starts else None, "ends": [list(x) for x in ends], "extras": extras})
+
+
+def fold_of(status: str, at: int, seq: int | None, extra: dict[str, str | None] | None) -> Fold:
+    place = [at, -(1 << 63) if seq is None else seq]
+    return {"last": [*place, status], "start": place if status == RECEIVED else None, "ends": [place] if status in TERMINAL else [], "extras": {k: [*place, v] for k, v in (extra or {}).items()}}
+
+
+def current_row(document_id: str, fold: Fold) -> Row:
+    """A fold as a row of CURRENT."""
+    start, ends = fold["start"], fold["ends"]
+    after = next((end[0] for end in ends if start is not None and end > start), None)
+    at, _, status = fold["last"]
+    return Row(document_id=document_id, status=status, updated_at=at, start_at=start and start[0], end_at=ends[0][0] if ends else None, after_start=after, extra={k: v[2] for k, v in fold["extras"].items()})
+
+
+def partial_folds(events: DataFrame) -> DataFrame:
+    """document_id and fold, as JSON: what a task reads of a document at once is summed up before it is sent."""
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, Fold] = {}
+            for document, status, at, seq, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found[document] = merged(found.get(document), fold_of(status, at, seq, dict(extra or [])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(f) for f in found.values()], pa.string())], names=["document_id", "fold"])
 
+    rows = events.select(F.col("document_id").cast("string").alias("document_id"), "status", F.unix_micros("at").alias("at"), F.col("seq").cast("long").alias("seq"), "extra")
+    return rows.mapInArrow(fold, "document_id string, fold string")
 
-def _latest(rows: DataFrame) -> DataFrame:
-    columns = [c for c in rows.columns if c not in ("document_id", "batch")]
-    return rows.groupBy("document_id").agg(F.max_by(F.struct(*columns), "batch").alias("e")).select("document_id", "e.*")
 
+class StatusFold(StatefulProcessor):
+    """Keeps one fold per document, and gives its current row whenever events change it."""
 
-def start_status_stream(events: DataFrame, path: str, checkpoint: str, **trigger):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "fold string", self.idle_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.state.get()
+        fold = json.loads(held[0]) if held else None
+        for row in rows:
+            fold = merged(fold, json.loads(row["fold"]))
+        self.state.update((json.dumps(fold),))
+        yield current_row(key[0], fold)
+
+    def close(self) -> None:
+        pass
+
+
+def start_status_stream(events: DataFrame, path: str, checkpoint: str, idle_ms: int | None = None, **trigger):
     """Runs the fold over a stream (document_id, status, at, seq, extra) and writes its tables under path.
 
-    Each micro-batch is cleaned first (``clean_events``; what it refuses goes to ``rejected``), then folded into the
-    state of its documents, and its rows of current, history and notifications are written to folders of its number. Its number is
-    put down last, and readers (``read_status``) only look at numbers put down, so the tables always stand
-    at the same event. A micro-batch that is run again replaces what its first try left.
+    Events are cleaned first (``clean_events``; what it refuses goes to ``rejected``). A document's fold lives in the state store
+    of the query, so that a micro-batch reads nothing that earlier ones wrote, and it is exact whatever the order of events, late ones too. With
+    idle_ms, a document without events for so long is dropped from the store; what comes later starts it anew. Each micro-batch's rows of
+    current, history, notifications and rejected are written to folders of its number. Its number is put down last, and
+    readers (``read_status``) only look at numbers put down, so the tables always stand at the same event. A micro-batch that is
+    run again replaces what its first try left.
     """
     spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # the only one with values of a user's own
+    good, bad = clean_events(events)
+    mode = "ProcessingTime" if idle_ms else "None"
+    folds = partial_folds(good).groupBy("document_id").transformWithState(StatusFold(idle_ms), CURRENT, "Update", mode)
+    raw = ["document_id", "status", "at", "seq", "extra"]
+    current = folds.select(F.lit("current").alias("kind"), F.struct(*folds.columns).alias("now"))
+    told = good.select(F.lit("good").alias("kind"), *raw).unionByName(bad.select(F.lit("bad").alias("kind"), *raw))
+    everything = current.unionByName(told, allowMissingColumns=True)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
-        good, bad = clean_events(rows)
-        before = _batches(spark, f"{path}/state", number)
-        if before is None:
-            state = spark.createDataFrame([], STATE)
-        else:
-            state = _latest(before.join(good.select("document_id").distinct(), "document_id", "left_semi"))
-
-        def write(name: str, df: DataFrame) -> None:
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-
-        write("state", fold_batch(good, state))
-        write("current", current_rows(spark.read.parquet(f"{path}/state/batch={number}")))
-        write("history", status_history(good))
-        write("notifications", notifications(good))
-        write("rejected", bad)
-        spark.range(1).select(F.lit(number).alias("batch")).write.mode("append").json(f"{path}/commits")
-        rows.unpersist()
-
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        try:
+            events_of = {kind: rows.where(F.col("kind") == kind).select(*raw) for kind in ("good", "bad")}
+            now = rows.where("kind = 'current'").select("now.*")
+            moments = {c: F.timestamp_micros(c) for c in ("updated_at", "start_at", "end_at")}
+            duration = F.timestamp_diff("SECOND", F.timestamp_micros("start_at"), F.timestamp_micros("after_start"))
+            out = {
+                "current": now.withColumn("duration", duration).withColumns(moments).select("document_id", "status", "updated_at", "start_at", "end_at", "duration", "extra"),
+                "history": status_history(events_of["good"]),
+                "notifications": notifications(events_of["good"]),
+                "rejected": events_of["bad"],
+            }
+            for name, df in out.items():
+                df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            spark.range(1).select(F.lit(number).alias("batch")).write.mode("append").json(f"{path}/commits")
+        finally:
+            rows.unpersist()
+
+    return everything.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _batches(spark: SparkSession, folder: str) -> DataFrame | None:
+    """What the committed micro-batches wrote to a folder, with the number of each."""
+    try:
+        committed = spark.read.schema("batch long").json(f"{folder.rpartition('/')[0]}/commits")
+        rows = spark.read.parquet(folder).withColumn("batch", F.col("batch").cast("long"))
+    except AnalysisException:  # nothing yet
+        return None
+    return rows.join(F.broadcast(committed.distinct()), "batch", "left_semi")
 
 
 def read_status(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -111,7 +151,8 @@ def read_status(spark: SparkSession, path: str, name: str) -> DataFrame:
     if rows is None:
         raise ValueError(f"the stream has written nothing to {path} yet")
     if name == "current":
-        return _latest(rows)
+        columns = [c for c in rows.columns if c not in ("document_id", "batch")]
+        return rows.groupBy("document_id").agg(F.max_by(F.struct(*columns), "batch").alias("e")).select("document_id", "e.*")
     if name == "history":
         kept = rows.groupBy("document_id", "transition_at").agg(F.max_by(F.struct("status", "extra"), "batch").alias("e"))
         return kept.select("document_id", "transition_at", "e.status", "e.extra")

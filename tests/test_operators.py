@@ -195,17 +195,46 @@ def test_status_stream_equals_batch(spark, tmp_path):
     assert read_status(spark, path, "current").where("status = 'HALF'").count() == 0
 
 
-def test_fold_of_late_events(spark):
-    from retrieval_jobs.streaming.status_stream import STATE, current_rows, fold_batch
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["RECEIVED", "OCR_DONE", "PROCESS_COMPLETED", "PROCESS_FAILED"]), st.integers(0, 30), st.sampled_from([None, {"k": "1"}, {"k": "2", "m": None}])), min_size=1, max_size=25), st.randoms(use_true_random=False))
+def test_folds_of_any_order_are_one(events, order):
+    from retrieval_jobs.streaming import status_stream as stream
+
+    rows = [("d", state, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=at), n, extra) for n, (state, at, extra) in enumerate(events)]
+    want = plain_fold(rows)["d"]
+    order.shuffle(rows)
+    folds = [stream.fold_of(state, int((at - dt.datetime(2024, 1, 1)).total_seconds()), n, extra) for _, state, at, n, extra in rows]
+    while len(folds) > 1:  # by twos, in any tree
+        at = order.randrange(len(folds) - 1)
+        folds[at : at + 2] = [stream.merged(folds[at], folds[at + 1])]
+    got = stream.current_row("d", stream.merged(None, folds[0]))
+    seconds = lambda x: x and int((x - dt.datetime(2024, 1, 1)).total_seconds())
+    assert (got.status, got.updated_at, got.start_at, got.end_at, got.extra) == (want["status"], seconds(want["updated"]), seconds(want["start"]), seconds(want["end"]), want["extra"])
+    assert (None if got.after_start is None else got.after_start - got.start_at) == want["duration"]
+
+
+def test_status_stream_in_random_order(spark, tmp_path):
+    from retrieval_jobs.streaming.status_stream import read_status, start_status_stream
 
     events, rows = log(spark)
-    shuffled = sorted((r for r in rows if r[1] != "RECEIVED"), key=lambda r: r[3] * 7919 % 300)
-    first = sorted((r for r in rows if r[1] == "RECEIVED"), key=lambda r: (r[2], r[3]))
-    state = spark.createDataFrame([], STATE)
-    for part in (first, shuffled[:90], shuffled[90:]):
-        fresh = fold_batch(spark.createDataFrame(part, events.schema), state)
-        state = spark.createDataFrame(fresh.collect() + state.join(fresh.select("document_id"), "document_id", "left_anti").select(*fresh.columns).collect(), STATE)
-    assert folded(current_rows(state).collect()) == local(plain_fold(rows))
+    mixed = sorted(rows, key=lambda r: r[3] * 7919 % 300)
+    for k in range(3):
+        spark.createDataFrame(mixed[k * 100 : k * 100 + 100], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    path, spread = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for _ in range(2):  # a second run finds nothing new and changes nothing
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        assert start_status_stream(stream, path, spread, availableNow=True).awaitTermination(300) is not False
+        assert folded(read_status(spark, path, "current").collect()) == local(plain_fold(rows))
+    # a micro-batch reads its events and its own rows, and no folder of an earlier one
+    assert read_status(spark, path, "history").count() == status.status_history(events).count()
+
+
+def test_batch_folds_clean_their_events(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", "RECEIVED  ", at, 1, None), ("a", "NOPE", at + dt.timedelta(1), 2, None), (None, "RECEIVED", at, 3, None), ("a", "OCR_DONE", at + dt.timedelta(2), 4, {"status": "x"})]
+    events = spark.createDataFrame(rows, "document_id string, status string, at timestamp, seq long, extra map<string,string>")
+    for fold in (status.current_status, status.latest_status, status.status_history):
+        assert [(r.document_id, r.status) for r in fold(events).collect()] == [("a", "RECEIVED")]
 
 
 def test_clean_events(spark):

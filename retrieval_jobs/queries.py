@@ -15,6 +15,7 @@ from .plans import answer as answer_plan
 from .plans import ingest as ingest_plan
 from .sources import uploads
 from .sources.scratch import scratch_path
+from .streaming.ingest_stream import start_ingest_stream
 from .streaming.status_stream import read_status, start_status_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,12 +287,11 @@ def s7_split_by_size(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS document_id, strlen(text) / 1024.0 <= 2 AS stored_inline, CASE WHEN strlen(text) / 1024.0 > 2 THEN text END AS offloaded, CASE WHEN strlen(text) / 1024.0 > 2 THEN 'extracted_text/' || doc_id || '.txt' ELSE text END AS stored FROM documents")
 def s7_save_text(spark, sf_dir):
-    """Writes documents with long texts apart, and reads both tables back."""
+    """Writes each long text to an object of its own, and reads all texts back through their rows."""
     inline, long = scratch_path(spark, "inline-texts"), scratch_path(spark, "long-texts")
     uploads.save_text(_documents(spark, sf_dir), 2, inline, long)
-    texts = spark.read.parquet(long).select("location", F.col("text").alias("offloaded"))
-    rows = spark.read.parquet(inline)
-    return rows.join(texts, rows["stored"] == texts["location"], "left").select("document_id", "stored_inline", "offloaded", "stored")
+    rows = uploads.stored_texts(spark, inline, long)
+    return rows.select("document_id", "stored_inline", F.when(~F.col("stored_inline"), F.col("text")).alias("offloaded"), "stored")
 
 
 @query("SELECT source, text FROM documents")
@@ -326,6 +326,20 @@ def s4_chunk_table(spark, sf_dir):
     return uploads.read_chunks(spark, path).groupBy("tenant_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("characters"))
 
 
+@query("""SELECT source AS tenant_id, doc_id::VARCHAR AS document_id, n AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' ELSE '' END || substring(text, n * 500 + 1, 500) AS chunk_text
+FROM documents, range(4) r(n) WHERE (doc_id % 3 <> 0 OR n < 2) AND (n = 0 OR length(text) > n * 500)""")
+def s4_delivered_again(spark, sf_dir):
+    """Chunks of all documents, all of them once more, and then a third of the documents with other texts and fewer chunks."""
+    docs = _table(spark, sf_dir, "documents").withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).where((F.col("chunk_id") == 0) | (F.length("text") > F.col("chunk_id") * 500))
+    body = F.substr("text", (F.col("chunk_id") * 500 + 1).cast("int"), F.lit(500))
+    chunks = docs.select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("document_id"), "chunk_id", body.alias("chunk_text"), "doc_id")
+    path = scratch_path(spark, "chunk-table")
+    uploads.upsert_chunks(chunks.drop("doc_id"), path, buckets=4)
+    uploads.upsert_chunks(chunks.drop("doc_id"), path, buckets=4)
+    uploads.upsert_chunks(chunks.where("doc_id % 3 = 0 and chunk_id < 2").drop("doc_id").withColumn("chunk_text", F.concat(F.lit("new "), "chunk_text")), path, buckets=4)
+    return uploads.read_chunks(spark, path)
+
+
 # Text assembly and chunking --------------------------------------------------------------------------------
 
 
@@ -424,6 +438,26 @@ def t11_ingest(spark, sf_dir):
     return shown.select("tenant_id", "agent_id", "document_id", "document_name", "chunk_index", "chunk_text", "created_at", "size", "rows_with_id")
 
 
+@query(ORACLE_SQL["t11_ingest"])
+def t11_ingest_stream(spark, sf_dir):
+    """The same from a stream of notification files, each of which is there twice, and that is run to its end twice."""
+    path, said = scratch_path(spark, "ingest-stream"), scratch_path(spark, "notifications")
+    for _ in range(2):
+        _notifications(spark, sf_dir).write.mode("append").json(said)
+    all_pages = _pages(spark, sf_dir)
+
+    def pages_of(objects: DataFrame) -> DataFrame:
+        number = F.regexp_extract("key", r" (\d+)-", 1)
+        return objects.select("bucket", "key", number.alias("document_id")).distinct().join(all_pages, "document_id").drop("document_id")
+
+    for _ in range(2):
+        events = uploads.upload_events(spark.readStream.schema(uploads.EVENT_SCHEMA).json(said))
+        start_ingest_stream(events, pages_of, embedding.hash_encoder, path, f"{path}/checkpoint", F.lit("2024-01-01").cast("timestamp"), availableNow=True).awaitTermination()
+    chunks = uploads.read_chunks(spark, f"{path}/chunks")
+    shown = chunks.withColumns({"size": F.size("embedding"), "rows_with_id": F.count("*").over(Window.partitionBy("chunk_id")), "chunk_index": F.col("chunk_index").cast("long"), "created_at": F.date_format("created_at", "yyyy-MM-dd")})
+    return shown.select("tenant_id", "agent_id", "document_id", "document_name", "chunk_index", "chunk_text", "created_at", "size", "rows_with_id")
+
+
 # Embedding -------------------------------------------------------------------------------------------------
 
 

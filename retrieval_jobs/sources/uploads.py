@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
+
+from .scratch import scratch_path
+from .text_objects import TextObjects
 
 EVENT_SCHEMA = (
     "Records array<struct<eventVersion: string, eventSource: string, awsRegion: string, eventTime: string, eventName: string, "
@@ -86,19 +91,74 @@ def read_chunks(spark: SparkSession, path: str, tenant_id: str | None = None) ->
     """
     found = spark.read.parquet(path).schema
     named = StructType([StructField(f.name, StringType() if f.name == "tenant_id" else f.dataType) for f in found])
-    chunks = spark.read.schema(named).parquet(path)
+    chunks = spark.read.schema(named).parquet(path).drop(BUCKET)
     return chunks if tenant_id is None else chunks.where(F.col("tenant_id") == tenant_id)
 
 
+BUCKET = "document_bucket"
+
+
+def upsert_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Puts chunks (tenant_id, document_id, chunk_id ...) into the table at path, whose rows of the same documents they replace.
+
+    So an upload that is delivered or ingested again leaves the table as it was, and one that now has fewer chunks leaves no old ones. The
+    table is partitioned by tenant and by a hash of the document in so many buckets. Only the buckets of the documents at
+    hand are read, less those documents, and written again with the new rows, in one commit that replaces these folders alone. Of new rows
+    with equal tenant, document and chunk_id one counts. Null and empty tenants are one, as in read_chunks. One writer at a time.
+    """
+    spark = chunks.sparkSession
+    tenant = F.when(F.col("tenant_id") != "", F.col("tenant_id"))
+    new = chunks.withColumn("tenant_id", tenant).dropDuplicates(["tenant_id", "document_id", "chunk_id"])
+    new = new.withColumn(BUCKET, F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+    staged = scratch_path(spark, "new-chunks")
+    new.write.parquet(staged)
+    new = spark.read.schema(new.schema).parquet(staged)
+    merged = new
+    if _exists(spark, path):
+        named = StructType([*[f for f in new.schema if f.name not in ("tenant_id", BUCKET)], StructField("tenant_id", StringType()), StructField(BUCKET, IntegerType())])
+        old = spark.read.schema(named).parquet(path)
+
+        def same(*names: str) -> Column:
+            return reduce(lambda a, b: a & b, [old[c].eqNullSafe(F.col(f"new_{c}")) for c in names])
+
+        folders = new.select(F.col("tenant_id").alias("new_tenant_id"), F.col(BUCKET).alias(f"new_{BUCKET}")).distinct()
+        documents = new.select(F.col("tenant_id").alias("new_tenant_id"), F.col("document_id").alias("new_document_id")).distinct()
+        kept = old.join(folders, same("tenant_id", BUCKET), "left_semi").join(documents, same("tenant_id", "document_id"), "left_anti")
+        merged_path = scratch_path(spark, "merged-chunks")
+        kept.unionByName(new).write.parquet(merged_path)  # a table can't be read and replaced in one job
+        merged = spark.read.schema(new.schema).parquet(merged_path)
+    merged.repartition("tenant_id", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", BUCKET).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:  # nothing yet
+        return False
+
+
 def split_by_size(texts: DataFrame, max_kb: float) -> DataFrame:
     """texts (document_id, text) with stored_inline, and stored: the text itself or where the long text goes."""
     long = F.octet_length("text") / 1024 > max_kb
-    where = F.concat(F.lit("extracted_text/"), F.col("document_id"), F.lit(".txt"))
+    where = F.concat(F.lit("extracted_text/"), F.url_encode("document_id"), F.lit(".txt"))
     return texts.withColumns({"stored_inline": ~long, "stored": F.when(long, where).otherwise(F.col("text"))})
 
 
 def save_text(texts: DataFrame, max_kb: float, inline_path: str, offload_path: str) -> None:
-    """Writes rows with short texts whole, long texts to a table of their own, and of those the place in the first."""
+    """Writes rows with short texts whole, and of long texts the place below offload_path where each is one object of its own."""
     split = split_by_size(texts, max_kb)
+    spark = texts.sparkSession
+    spark.dataSource.register(TextObjects)
+    long = split.where(~F.col("stored_inline")).select(F.col("stored").alias("location"), "text")
+    long.write.format("text_objects").mode("append").save(offload_path)
     split.select("document_id", "stored_inline", "stored").write.mode("append").parquet(inline_path)
-    split.where(~F.col("stored_inline")).select("document_id", F.col("stored").alias("location"), "text").write.mode("append").parquet(offload_path)
+
+
+def stored_texts(spark: SparkSession, inline_path: str, offload_path: str) -> DataFrame:
+    """document_id, stored_inline, stored and text of what save_text wrote: long texts are read from the places that the rows name."""
+    rows = spark.read.parquet(inline_path)
+    objects = spark.read.text(f"{offload_path}/extracted_text/*.txt", wholetext=True)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    # the path of a file is written with escapes of its own, beside those of the name
+    texts = objects.select(F.concat(F.lit("extracted_text/"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).alias("stored"), F.col("value").alias("offloaded"))
+    return rows.join(texts, "stored", "left").select("document_id", "stored_inline", "stored", F.when(F.col("stored_inline"), F.col("stored")).otherwise(F.col("offloaded")).alias("text"))

@@ -341,7 +341,28 @@ def test_uploads_and_sinks(spark, tmp_path):
     texts = spark.createDataFrame([("d1", "x" * 3000), ("d2", "short"), ("d3", "é" * 600)], "document_id string, text string")
     uploads.save_text(texts, 1, str(tmp_path / "inline"), str(tmp_path / "long"))
     assert {r.stored for r in spark.read.parquet(str(tmp_path / "inline")).collect()} == {"extracted_text/d1.txt", "short", "extracted_text/d3.txt"}
-    assert spark.read.parquet(str(tmp_path / "long")).count() == 2
+    assert sorted(x.name for x in (tmp_path / "long" / "extracted_text").iterdir() if not x.name.startswith(".")) == ["d1.txt", "d3.txt"]
+    odd = spark.createDataFrame([("a b/../ñ%20+c", "line\r\nnext\n" * 300), ("d1", "y" * 3000)], "document_id string, text string")
+    uploads.save_text(odd, 1, str(tmp_path / "inline2"), str(tmp_path / "long"))
+    kept = {r.document_id: r.text for r in uploads.stored_texts(spark, str(tmp_path / "inline2"), str(tmp_path / "long")).collect()}
+    assert kept == {"a b/../ñ%20+c": "line\r\nnext\n" * 300, "d1": "y" * 3000}
+
+
+def test_upsert_replaces_documents(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "tenant_id string, document_id string, chunk_id long, chunk_text string"
+    table = lambda: sorted(map(tuple, uploads.read_chunks(spark, path).select("tenant_id", "document_id", "chunk_id", "chunk_text").collect()), key=str)
+    first = [("007", "a", 1, "x"), ("007", "a", 2, "y"), ("7", "a", 1, "z"), (None, "n", 1, "u"), ("", "m", 1, "v"), ("t", None, 1, "w")]
+    uploads.upsert_chunks(spark.createDataFrame(first + first[:1], shape), path, buckets=2)
+    want = sorted([*first[:4], (None, "m", 1, "v"), first[5]], key=str)
+    assert table() == want
+    files = {x for x in (tmp_path / "t").rglob("*.parquet")}
+    uploads.upsert_chunks(spark.createDataFrame([("7", "a", 1, "z")], shape), path, buckets=2)
+    assert table() == want
+    assert len(files & {x for x in (tmp_path / "t").rglob("*.parquet")}) == len(files) - 1  # other folders are left alone
+    uploads.upsert_chunks(spark.createDataFrame([("007", "a", 1, "new"), (None, "n", 1, "new"), ("t", None, 1, "new")], shape), path, buckets=2)
+    assert table() == sorted([("007", "a", 1, "new"), first[2], (None, "n", 1, "new"), (None, "m", 1, "v"), ("t", None, 1, "new")], key=str)
+    uploads.upsert_chunks(spark.createDataFrame([], shape), path, buckets=2)
+    assert len(table()) == 5
 
 
 def test_tenants_are_text(spark, tmp_path):
@@ -382,7 +403,7 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     import json
 
     from retrieval_jobs.plans.ingest import ingest
-    from retrieval_jobs.streaming.ingest_stream import start_ingest_stream
+    from retrieval_jobs.streaming.ingest_stream import read_agents, start_ingest_stream
 
     agent = "01234567-89ab-cdef-0123-456789abcdef"
     (tmp_path / "events").mkdir()
@@ -404,8 +425,11 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     assert len({r.document_id for r in want}) == 3
     assert {(r.tenant_id, r.agent_name) for r in agents} == {("tenant_0", "Agente Principal - tenant_0"), ("tenant_1", "Agente Principal - tenant_1")}
     assert all(r.chunk_text and len(r.embedding) == 8 for r in want)
-    seen = []
-    stream = uploads.read_upload_events(spark, str(tmp_path / "events"), streaming=True)
-    running = start_ingest_stream(stream, lambda events, n: seen.extend(chunks_of(events)[0]), str(tmp_path / "checkpoint"), availableNow=True)
-    assert running.awaitTermination(120)
-    assert sorted((r.chunk_id, r.chunk_text) for r in seen) == sorted((r.chunk_id, r.chunk_text) for r in want)
+    path = str(tmp_path / "out")
+    for checkpoint in ("one", "one", "two"):  # run on, with nothing new, and all of it again
+        stream = uploads.read_upload_events(spark, str(tmp_path / "events"), streaming=True)
+        running = start_ingest_stream(stream, lambda objects: pages.join(objects.select("bucket", "key").distinct(), ["bucket", "key"]), lambda: embedding.hash_encoder(8), path, str(tmp_path / checkpoint), F.lit(now), availableNow=True)
+        assert running.awaitTermination(120)
+        seen = uploads.read_chunks(spark, f"{path}/chunks").collect()
+        assert sorted((r.tenant_id, r.chunk_id, r.chunk_text) for r in seen) == sorted((r.tenant_id, r.chunk_id, r.chunk_text) for r in want)
+        assert sorted((r.tenant_id, r.agent_id, r.agent_name) for r in read_agents(spark, path).collect()) == sorted((r.tenant_id, r.agent_id, r.agent_name) for r in agents)

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sized_slices, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
-UNENDED = re.compile("[^<]+|<[^<]*")
+TEXT = re.compile("[^<]+")
+TAG = re.compile("<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag whose quotes are closed.
+REST = re.compile(r"((?:[^'\">]+|\"[^\"]*\"|'[^']*')*+)>")
+CLOSING = re.compile("</([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "math", "canvas"}
-CHROME = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select"}
+CHROME = {"head", "nav", "footer", "aside", "menu", "dialog", "button", "select", "legend", "datalist"}
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
@@ -30,15 +33,20 @@ TEXTUAL = INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "
 #: What an element that begins ends, if it is still open: a paragraph can't hold a block, nor an item an item.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-#: Words in class, id or role that mark what isn't the article, and words beside which they say something about the whole page.
+#: Words that mark what isn't the article, where they are a whole name in class, id or role, or a name of several words with such of the second list.
 CHROME_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disqus", "footer", "login", "masthead", "menu", "modal",
     "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "recommended", "related", "replies",
     "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-QUALIFIERS = {"with", "has", "have", "no", "not", "without", "open", "closed", "enabled", "disabled", "hide", "hidden", "layout", "left", "right"}
+PLACE_WORDS = {
+    "area", "articles", "bar", "bottom", "box", "buttons", "column", "container", "content", "form", "global", "icons", "inner", "item", "items", "left", "link",
+    "links", "list", "local", "main", "outer", "overlay", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot", "stories", "sub", "top", "unit", "wrap", "wrapper",
+}
 
+WRAPPER_SHARE = 0.5  # a form with so much of a page's text is round the page, not a part of it
+TEASER_SHARE = 0.1  # articles with less of a page's text aren't what the page is about
 PRIOR = 10  # lines' worth of what all hosts say about a slot, beside what its own host says
 COMMON_PAGES = 3  # a line that so many different pages of a host share, and half of them at least, is the host's
 BROADCAST_ROWS = 200_000  # pages with deletions that at most go to every executor; more are joined by a shuffle
@@ -46,68 +54,120 @@ LCS_BYTES = 1 << 24  # of a difference's table at most; larger ones are cut in h
 
 
 class _Page:
-    """A page read from its start: a stack of open elements, and the lines that end where blocks begin and end."""
+    """A page read from its start: a stack of open elements, and the lines that end where blocks begin and end.
+
+    What the reader asks of the stack is kept beside it, so that no step walks it: where elements of a name are open, where the innermost
+    block is, how many elements of chrome, and which of those may turn out to be none.
+    """
 
     def __init__(self):
-        self.open: list[list] = []  # [name, is chrome, ends somewhere, label]
-        self.lines: list[tuple[str, str, int]] = []
+        self.open: list[tuple[str, bool, int, bool]] = []  # name, is block, number of its path, is chrome
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.lost: list[int] = []  # places of chrome elements that never end
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.chrome = 0
+        self.chrome = self.forms = 0
+
+    def has(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+    def push(self, name: str, block: bool, label: str, chrome: bool, ends: bool) -> None:
+        path = self.open[-1][2] if self.open else 0
+        if block:
+            path = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), path)
+            self.blocks.append(len(self.open))
+        if chrome and not ends:
+            self.lost.append(len(self.open))
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, block, path, chrome))
+        self.chrome += chrome
 
     def end_line(self) -> None:
         if self.parts:
             line = " ".join(html.unescape("".join(self.parts)).split())
             self.parts.clear()
             if line:
-                names = [x[0] for x in self.open]
-                zone = 2 if "article" in names else 1 if "main" in names else 0
-                self.lines.append((line, "/".join(x[3] for x in self.open if x[0] not in INLINE), zone))
+                zone = (1 if self.has("main") else 0) + (2 if self.has("article") else 0)
+                self.lines.append((line, self.open[-1][2] if self.open else 0, zone, self.forms if self.has("form") else 0))
 
     def pop(self, k: int) -> None:
         """Ends the k-th open element and all inside it."""
-        self.chrome -= sum(x[1] for x in self.open[k:])
-        del self.open[k:]
+        while len(self.open) > k:
+            name, block, _, chrome = self.open.pop()
+            self.at[name].pop()
+            self.chrome -= chrome
+            if block:
+                self.blocks.pop()
+            if self.lost and self.lost[-1] == len(self.open):
+                self.lost.pop()
 
     def find(self, names: set[str], within: set[str]) -> int:
         """The innermost open element of one of the names, not beyond one of within; -1 if there is none."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                return k
-            if self.open[k][0] in within:
-                break
-        return -1
+        k = max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+        return k if k > max((self.at[x][-1] for x in within if self.at.get(x)), default=-1) else -1
 
+    def forgive(self) -> None:
+        """Chrome that never ends is left, since an article begins in it."""
+        for k in self.lost:
+            name, block, path, _ = self.open[k]
+            self.open[k] = (name, block, path, False)
+            self.chrome -= 1
+        self.lost.clear()
 
-def page_lines(page: str) -> list[tuple[str, str, int]]:
-    """A page's text blocks in order, each with the path of its elements and 2 in an article, 1 in a main element, 0 elsewhere.
 
-    What stands in chrome is left out: menus, footers, sidebars, forms, scripts, styles, the head, and elements
+def page_lines(page: str) -> list[tuple[str, int, int]]:
+    """A page's text blocks in order, each with a number for the path of its elements, and where it stands: 1 in a main element, 2 in an article, 3 in both, 0 elsewhere.
+
+    What stands in chrome is left out: menus, footers, sidebars, controls of forms, scripts, styles, the head, and elements
     whose class, role or id says so (an id only where the element isn't a piece of text itself); a header
-    or a word ``header`` counts outside articles. What stands in a chrome element is chrome, so an article among the comments is none;
-    only a form, or an element that never ends, is left when an article or main element begins in it. Text of inline chrome
+    or a name ``header`` counts outside articles. What stands in a chrome element is chrome, so an article among the comments is none;
+    only an element that never ends is left when an article or main element begins in it. A form is left out, but one with
+    WRAPPER_SHARE of the text is round the page, and there only its controls and labels are. Text of inline chrome
     leaves its block's other text in one line.
     Block elements end a line; white space and line breaks inside become one space; character references
-    are decoded.
+    are decoded. Tags that never end are left out up to the next one. The time is in proportion to the page, whatever its markup.
     """
-    at, out = 0, _Page()
+    at, out, whole = 0, _Page(), True
+    last_end = page.rfind(">")
+    closings = {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
     while at < len(page):
-        found = TOKEN.match(page, at)
-        if found is None:  # a tag that never ends
-            at = UNENDED.match(page, at).end()
+        text = TEXT.match(page, at)
+        if text:
+            at = text.end()
+            if not out.chrome:
+                out.parts.append(text[0])
             continue
-        at = found.end()
-        closing, name, more, text = found.groups()
-        if text is not None:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        tag = TAG.match(page, at)
+        if not tag and not page.startswith(("<!", "<?"), at):
             if not out.chrome:
-                out.parts.append(text)
+                out.parts.append("<")
+            at += 1
+            continue
+        if at > last_end:  # a tag that never ends
+            at += 1
+            rest = TEXT.match(page, at)
+            at = rest.end() if rest else at
             continue
-        if name is None:
+        if not tag:
+            at = page.index(">", at) + 1
             continue
-        name = name.lower()
-        if name in INLINE and "=" not in more:
+        closing, name = tag[1], tag[2].lower()
+        end = REST.match(page, tag.end()) if whole else None
+        if end:
+            more, at = end[1], end.end()
+        else:  # quotes that aren't closed: from here on the next > ends a tag
+            whole = False
+            stop = page.find(">", tag.end())
+            more, at = page[tag.end() : stop], stop + 1
+        if name in INLINE and "=" not in more and not (name == "label" and out.has("form")):
             if name == "br":
                 out.parts.append(" ")
-            elif out.open and out.open[-1][0] in INLINE or closing:
+            elif out.open and not out.open[-1][1] or closing:
                 _inline(out, name, bool(closing), False)
             continue
         if name not in INLINE and name not in RAW:
@@ -123,39 +183,44 @@ def page_lines(page: str) -> list[tuple[str, str, int]]:
         elif name in VOID or (more.endswith("/") and name not in INLINE):
             continue
         elif name in INLINE:
-            _inline(out, name, False, _is_chrome(name, more, True))
+            _inline(out, name, False, (name == "label" and out.has("form")) or _is_chrome(name, more, True))
         else:
             if (k := out.find({"p"}, {"button", "table", "td", "th"})) >= 0:
                 out.pop(k)
             if name in ENDS and (k := out.find(ENDS[name], HOLDS[name])) >= 0:
                 out.pop(k)
             if name in ("article", "main"):
-                for x in out.open:
-                    if x[1] and (x[0] == "form" or not x[2]):
-                        x[1] = False
-                        out.chrome -= 1
-            chrome = _is_chrome(name, more, any(x[0] in ("article", "main") for x in out.open))
-            ends = not chrome or re.compile(rf"</{name}\b", re.I).search(page, at) is not None
+                out.forgive()
+            if name == "form":
+                out.forms += 1
             kind = ATTRIBUTE.search(more)
-            out.open.append([name, chrome, ends, name + ("." + (kind[2] or kind[3] or kind[4] or "") if kind and kind[1].lower() == "class" else "")])
-            out.chrome += chrome
+            label = name + ("." + (kind[2] or kind[3] or kind[4] or "") if kind and kind[1].lower() == "class" else "")
+            out.push(name, True, label, _is_chrome(name, more, out.has("article") or out.has("main")), closings.get(name, -1) >= at)
     out.end_line()
-    return out.lines
+    held: dict[int, int] = {}
+    for line, _, _, form in out.lines:
+        held[form] = held.get(form, 0) + len(line)
+    around = {form for form, size in held.items() if not form or size >= WRAPPER_SHARE * sum(held.values())}
+    return [(line, path, zone) for line, path, zone, form in out.lines if form in around]
+
+
+def main_lines(lines: list[tuple[str, int, int]]) -> list[bool]:
+    """Which of a page's lines are its main text: those of the main element, or of the articles where there is none and they aren't mere teasers, or all."""
+    if any(zone & 1 for _, _, zone in lines):
+        return [bool(zone & 1) for _, _, zone in lines]
+    size = sum(len(x) for x, _, zone in lines if zone)
+    if size and size >= TEASER_SHARE * sum(len(x) for x, _, _ in lines):
+        return [bool(zone) for _, _, zone in lines]
+    return [True] * len(lines)
 
 
 def _inline(out: _Page, name: str, closing: bool, chrome: bool) -> None:
     """Inline elements are followed only from one that is chrome on, to find its end; they end no line, and a block ends them."""
     if not closing:
-        if chrome or (out.open and out.open[-1][0] in INLINE):
-            out.open.append([name, chrome, True, name])
-            out.chrome += chrome
-    else:
-        k = len(out.open) - 1
-        while k >= 0 and out.open[k][0] in INLINE:
-            if out.open[k][0] == name:
-                out.pop(k)
-                return
-            k -= 1
+        if chrome or (out.open and not out.open[-1][1]):
+            out.push(name, False, name, chrome, True)
+    elif out.has(name) and out.at[name][-1] > (out.blocks[-1] if out.blocks else -1):
+        out.pop(out.at[name][-1])
 
 
 def _after_raw(page: str, name: str, at: int) -> int:
@@ -173,10 +238,11 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
         if found[1].lower() == "id" and name in TEXTUAL:
             continue
         for value in (found[2] or found[3] or found[4] or "").lower().split():
-            words = set(re.split(r"[^a-z0-9]+", value))
+            words = {w for w in re.split(r"[^a-z0-9]+", value) if not w.isdigit()} - {""}
             if name in ("article", "main") and len(words) > 1:
                 continue
-            if not words & QUALIFIERS and (words & CHROME_WORDS or ("header" in words and not in_article)):
+            marks = words & (CHROME_WORDS if in_article else CHROME_WORDS | {"header"})
+            if marks and words - marks <= PLACE_WORDS:
                 return True
     return False
 
@@ -263,7 +329,7 @@ def _frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts.append(host)
             paths.append(path)
             lines.append([_number(x) for x, _, _ in found])
-            slots.append([_number(x) for _, x, _ in found])
+            slots.append([x - (1 << 63) for _, x, _ in found])
             whole.append(_number("\n".join(x for x, _, _ in found)))
         numbers = [pa.array(x, pa.list_(pa.int64())) for x in (lines, slots)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *numbers, pa.array(whole, pa.int64())], names=["row", "page_id", "host", "path", "lines", "slots", "content"])
@@ -282,8 +348,7 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, n_lines, n_gone = [], [], []
         for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             lines, gone = page_lines(page or ""), set(gone or [])
-            zone = max((z for _, _, z in lines), default=0)
-            texts.append("\n\n".join(x for k, (x, _, z) in enumerate(lines) if z == zone and k not in gone))
+            texts.append("\n\n".join(x for k, ((x, _, _), kept) in enumerate(zip(lines, main_lines(lines), strict=True)) if kept and k not in gone))
             n_lines.append(len(lines))
             n_gone.append(len(gone))
         counts = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], n_lines, n_gone)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +17,66 @@ DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
 FIXED_SIZE, FIXED_OVERLAP = 1000, 500
 
 
+def cut_at_titles(text: str, titles: Sequence[str], size: int) -> list[str]:
+    """What cut_pieces gives for separators that are whole lines between two line ends.
+
+    Each line is looked up once. Places are then kept in order, with the least level of any stretch of them at hand, so that a piece's
+    strongest title is found without reading the piece again.
+    """
+    level_of = {t: n for n, t in reversed(list(enumerate(titles)))}
+    places, levels, at = [], [], text.find("\n")
+    while at >= 0:
+        end = text.find("\n", at + 1)
+        if end >= 0 and (level := level_of.get(text[at : end + 1])) is not None:
+            places.append(at)
+            levels.append(level)
+        at = end
+    if not places:
+        return [text]
+    least = [np.array(levels)]  # of 1, 2, 4 ... places from each on
+    while 2 << (len(least) - 1) <= len(places):
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    own: dict[int, list[int]] = {}
+    for n, level in enumerate(levels):
+        own.setdefault(level, []).append(n)
+    done, waiting = [], [(0, len(text), 0, len(places))]
+    while waiting:
+        start, stop, low, high = waiting.pop()
+        if high > low and places[high - 1] + len(titles[levels[high - 1]]) > stop:
+            high -= 1  # the last one may reach beyond the piece, since neighbours share a line end
+        if stop - start <= size or low >= high:
+            done.append(text[start:stop])
+            continue
+        step = (high - low).bit_length() - 1
+        level = int(min(least[step][low], least[step][high - (1 << step)]))
+        cuts, free = [], start
+        for n in own[level][bisect_left(own[level], low) : bisect_left(own[level], high)]:
+            if places[n] >= free:
+                cuts.append(n)
+                free = places[n] + len(titles[level])
+        # the same title on the next line shares a line end with one that is cut at, and isn't cut at again
+        again = [n + 1 < len(places) and levels[n + 1] == level and places[n + 1] < places[n] + len(titles[level]) for n in cuts]
+        starts = [(start, low), *[(places[n], n + 1 + skip) for n, skip in zip(cuts, again, strict=True)]]
+        ends = [*[(places[n], n) for n in cuts], (stop, high)]
+        waiting += [(a, b, m, n) for (a, m), (b, n) in reversed(list(zip(starts, ends, strict=True))) if b > a]
+    return done
+
+
+def is_line(separator: str) -> bool:
+    return len(separator) > 2 and separator[0] == separator[-1] == "\n" and "\n" not in separator[1:-1]
+
+
 def cut_pieces(text: str, separators: Sequence[str], size: int) -> list[str]:
     """text cut at the first separator that occurs, pieces that are too long at the later ones.
 
     A separator stays with the piece after it. The empty separator cuts between all characters. A piece
-    without any separator stays whole, however long.
+    without any separator stays whole, however long. Titles before the other separators may be many, and take time in proportion to the text.
     """
+    lines = next((n for n, x in enumerate(separators) if not is_line(x)), len(separators))
+    pieces = cut_at_titles(text, separators[:lines], size) if lines and len(text) > size else [text]
     done: list[str] = []
-    waiting = [(text, 0)]
+    waiting = [(piece, lines) for piece in reversed(pieces)]
     while waiting:
         piece, level = waiting.pop()
         if len(piece) <= size:

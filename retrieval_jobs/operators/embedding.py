@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
 
 MAX_CHARS = 20_000
 DIMENSIONS = 1536
@@ -71,6 +72,29 @@ def embed(df: DataFrame, encoder: Callable[[], Encoder], text: str, out: str = "
     return df.mapInArrow(encode, schema)
 
 
+def embed_once(df: DataFrame, encoder: Callable[[], Encoder], text: str, store: str, model: str, out: str = "embedding", batch_size: int = 256) -> DataFrame:
+    """embed, with each distinct text encoded once, ever: vectors are kept at store, by model and a hash of what the encoder gets of a text.
+
+    Texts that the store lacks are found by an anti-join, encoded and appended, and vectors are joined back from there. A text that stands in very
+    many rows is one row where it is encoded. If a run is repeated, or two overlap, a text may be in the store twice, and counts once.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.substring(text, 1, MAX_CHARS), 256)
+    place = f"{store.rstrip('/')}/model={model}"
+    try:
+        known = spark.read.schema("text_hash string, vector array<float>").parquet(place)
+        known.columns, known.isEmpty()  # noqa: B018 - fails where there is nothing
+    except AnalysisException:
+        known = spark.createDataFrame([], "text_hash string, vector array<float>")
+    texts = df.where(F.col(text).isNotNull()).groupBy(key.alias("text_hash")).agg(F.min(F.substring(text, 1, MAX_CHARS)).alias("known_text"))
+    new = texts.join(known.select("text_hash"), "text_hash", "left_anti")
+    embed(new, encoder, "known_text", "vector", batch_size).select("text_hash", "vector").write.mode("append").parquet(place)
+    vectors = spark.read.schema("text_hash string, vector array<float>").parquet(place).groupBy("text_hash").agg(F.first("vector").alias("vector"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    joined = df.withColumn("text_hash_", key).join(vectors, F.col("text_hash_") == F.col("text_hash"), "left")
+    return joined.select(*kept, F.col("vector").alias(out))
+
+
 def validate_vectors(df: DataFrame, vector: str = "embedding", dimensions: int = DIMENSIONS) -> tuple[DataFrame, DataFrame]:
     """Rows whose vector has the right size, and the others, null ones too."""
     right = F.coalesce(F.size(vector) == dimensions, F.lit(False))

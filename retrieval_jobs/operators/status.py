@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,19 @@ def query_partition(items: DataFrame, key: str, value: object, filters: dict[str
     return find_by_fields(items.where(F.col(f"`{key}`") == F.lit(value)), **(filters or {}))
 
 
+def save_items(items: DataFrame, path: str, key: str, look_up: Sequence[str] = (), row_group: int = 8 << 20) -> None:
+    """Writes items so that look-ups by key, and by the columns of look_up, skip most of the files.
+
+    Rows are dealt out by ranges of the key and sorted, so that a file, and a row group in it, holds a short range of keys. The key and the look-up
+    columns have Bloom filters in each row group, which say of most values that they aren't there. A key with very many rows fills row groups
+    of its own.
+    """
+    writer = items.repartitionByRange(key, F.xxhash64(*items.columns[:1])).sortWithinPartitions(key).write.option("parquet.block.size", row_group)
+    for column in {key, *look_up}:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
+
+
 def apply_updates(items: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """items with the non-null columns of updates put in; keys that items lack are added. updated says which rows had one."""
     news = {c: f"_new_{c}" for c in updates.columns if c != key}

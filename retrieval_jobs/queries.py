@@ -489,6 +489,17 @@ def e2_embed(spark, sf_dir):
     return out.select("doc_id", F.size("embedding").alias("size"), F.round(vectors.norm(F.col("embedding")), 3).alias("length"), F.array_join(counts, ",").alias("counts"))
 
 
+@query(ORACLE_SQL["e2_embed"])
+def e2_embed_once(spark, sf_dir):
+    """The same from a store of vectors, filled by one half of the documents before the other, so that no distinct text is encoded twice."""
+    store = scratch_path(spark, "vectors")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = [embedding.embed_once(docs.where(F.col("doc_id") % 2 == n), letter_encoder, "text", store, "letters") for n in (0, 1)]
+    out = reduce(DataFrame.unionByName, parts)
+    counts = F.transform(F.slice("embedding", 1, len(LETTERS)), lambda x: F.round(x.cast("double") / F.element_at("embedding", -1)).cast("long").cast("string"))
+    return out.select("doc_id", F.size("embedding").alias("size"), F.round(vectors.norm(F.col("embedding")), 3).alias("length"), F.array_join(counts, ",").alias("counts"))
+
+
 @query("""SELECT vec_id, CASE WHEN vec_id % 4 < 2 THEN round(list_sum(embedding::DOUBLE[]), 4) END AS total,
   CASE vec_id % 4 WHEN 2 THEN 'unexpected embedding under key embeddings' WHEN 3 THEN 'no embedding in the response' END AS error FROM embeddings""")
 def e3_parse_embedding_response(spark, sf_dir):
@@ -896,6 +907,16 @@ def d6_query_partition(spark, sf_dir):
     return status.query_partition(_events(spark, sf_dir), "document_id", "1", {"status": "OCR_DONE"}).select("document_id", "seq", "status")
 
 
+@query(f"WITH {SQL_EVENTS} SELECT document_id, seq, status FROM log WHERE document_id = '1' AND status = 'OCR_DONE' UNION ALL SELECT document_id, seq, status FROM log WHERE seq = 5")
+def d6_saved_lookups(spark, sf_dir):
+    """Look-ups by key and by another column in a table that is sorted by key and has Bloom filters."""
+    path = scratch_path(spark, "items")
+    status.save_items(_events(spark, sf_dir), path, "document_id", ["seq"])
+    items = spark.read.parquet(path)
+    found = status.query_partition(items, "document_id", "1", {"status": "OCR_DONE"}).unionByName(status.find_by_fields(items, seq=5))
+    return found.select("document_id", "seq", "status")
+
+
 @query("""WITH items AS (SELECT user_id, max(event_id) AS last_event, min(event_type) AS kind FROM events GROUP BY user_id),
 updates AS (SELECT user_id + 3 AS user_id, CASE WHEN user_id % 2 = 0 THEN 'set' END AS kind FROM events GROUP BY user_id)
 SELECT coalesce(i.user_id, u.user_id) AS user_id, last_event, coalesce(u.kind, i.kind) AS kind, u.user_id IS NOT NULL AS updated FROM items i FULL JOIN updates u ON u.user_id = i.user_id""")

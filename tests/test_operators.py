@@ -49,6 +49,37 @@ def test_title_on_first_line_never_cuts():
     assert chunking.cut_pieces("TITLE\nab cd", seps, 9) == ["TITLE\nab", " cd"]
 
 
+def plain_cut(text, separators, size):
+    """Cuts piece by piece, every separator looked for in every piece."""
+    if len(text) <= size:
+        return [text]
+    for n, sep in enumerate(separators):
+        if sep and sep in text:
+            first, *rest = text.split(sep)
+            return [y for x in [first, *[sep + r for r in rest]] if x for y in plain_cut(x, separators[n + 1 :], size)]
+    return [text]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["A", "BB", "A", "x y", "", "CCC", "B"]), max_size=30), st.permutations(["\nA\n", "\nBB\n", "\nCCC\n", "\nB\n"]), st.integers(1, 20))
+def test_titles_cut_as_if_one_by_one(lines, titles, size):
+    text, separators = "\n".join(lines), [*titles, "\n", " "]
+    assert chunking.cut_pieces(text, separators, size) == plain_cut(text, separators, size)
+
+
+def test_many_titles_take_time_in_proportion():
+    import time
+
+    spent = []
+    for n in (8_000, 32_000):
+        titles = [f"\nTITLE {k}\n" for k in range(n)]
+        text = "".join(f"{t}some words under it" for t in titles)
+        began = time.process_time()
+        assert len(chunking.cut_pieces(text, [*titles, " "], 10)) > n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * spent[0] + 0.2 and spent[0] < 1
+
+
 def test_chunk_documents_edges(spark):
     rows = [("a", 1, None), ("b", 1, "  \n "), ("c", 1, "word " * 400), ("d", 1, "short")]
     docs = spark.createDataFrame(rows, "document_id string, num_pages int, text string")
@@ -307,6 +338,47 @@ def test_embed_and_answer_batch(spark):
     assert got[3].prompt is None
 
 
+def test_each_text_is_encoded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting():
+        model = embedding.hash_encoder(8)
+        return lambda texts: (calls.add(len(texts)), model(texts))[1]
+
+    rows = [(k, ["same", "other", f"own {k}", None, "", "x" * 20_000 + str(k)][k % 6]) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("embedding", F.lit("old"))
+    plain = {r.id: r.embedding for r in embedding.embed(df, lambda: embedding.hash_encoder(8), "text").collect()}
+    for _ in range(2):
+        got = {r.id: r.embedding for r in embedding.embed_once(df, counting, "text", str(tmp_path), "m").collect()}
+        assert got == plain
+        assert calls.value == 104  # same, other, a hundred own, the empty one, and one of 20,000 characters
+    embedding.embed_once(df.limit(0), counting, "text", str(tmp_path / "none"), "m").collect()
+    assert calls.value == 104
+
+
+def test_saved_items_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "items")
+    items = spark.range(200_000).select((F.col("id") % 5000).cast("string").alias("document_id"), F.md5(F.col("id").cast("string")).alias("etag"), F.col("id").alias("seq"))
+    status.save_items(items, path, "document_id", ["etag"], row_group=1 << 18)
+    saved = spark.read.parquet(path)
+
+    def scanned(df):
+        """Rows of the row groups that a look-up reads."""
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            df.collect()
+            leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+            return leaf.metrics().get("numOutputRows").get().value()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+
+    by_key = status.query_partition(saved, "document_id", "77")
+    assert by_key.count() == 40 and scanned(status.query_partition(saved, "document_id", "77")) < 20_000
+    one = items.where("seq = 1234").first().etag
+    assert status.find_by_fields(saved, etag=one).count() == 1 and scanned(status.find_by_fields(saved, etag=one)) < 40_000
+    assert scanned(status.find_by_fields(saved, etag="nowhere")) < 20_000
+
+
 def test_ensure_agents_twice_changes_nothing(spark):
     arrivals = spark.createDataFrame([("t", "b", 1), ("t", "a", 2), ("t", "a", 3), (None, "x", 1)], "tenant_id string, agent_id string, arrived_at long")
     none = spark.createDataFrame([], "tenant_id string, agent_id string, agent_name string, description string, prompt_template string, created_at timestamp")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -81,15 +82,16 @@ def embed_once(df: DataFrame, encoder: Callable[[], Encoder], text: str, store:
     spark = df.sparkSession
     key = F.sha2(F.substring(text, 1, MAX_CHARS), 256)
     place = f"{store.rstrip('/')}/model={model}"
+    shape, batches = "text_hash string, vector array<float>", f"{place}/batch=*"
     try:
-        known = spark.read.schema("text_hash string, vector array<float>").parquet(place)
-        known.columns, known.isEmpty()  # noqa: B018 - fails where there is nothing
-    except AnalysisException:
-        known = spark.createDataFrame([], "text_hash string, vector array<float>")
+        known = spark.read.schema(shape).parquet(batches)
+    except AnalysisException:  # nothing yet
+        known = spark.createDataFrame([], shape)
     texts = df.where(F.col(text).isNotNull()).groupBy(key.alias("text_hash")).agg(F.min(F.substring(text, 1, MAX_CHARS)).alias("known_text"))
     new = texts.join(known.select("text_hash"), "text_hash", "left_anti")
-    embed(new, encoder, "known_text", "vector", batch_size).select("text_hash", "vector").write.mode("append").parquet(place)
-    vectors = spark.read.schema("text_hash string, vector array<float>").parquet(place).groupBy("text_hash").agg(F.first("vector").alias("vector"))
+    embed(new, encoder, "known_text", "vector", batch_size).select("text_hash", "vector").write.parquet(f"{place}/batch={uuid.uuid4().hex}")
+    # read by folders, since Spark takes two readings of one path for the same table, though one has more files
+    vectors = spark.read.schema(shape).parquet(batches).groupBy("text_hash").agg(F.first("vector").alias("vector"))
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     joined = df.withColumn("text_hash_", key).join(vectors, F.col("text_hash_") == F.col("text_hash"), "left")
     return joined.select(*kept, F.col("vector").alias(out))

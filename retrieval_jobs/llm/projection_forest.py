@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 from .vectors import exact_dots, matrix, sizes, usable
 
-TREES, SEED = 8, 6
-LEAVES = (128, 384, 1152)  # rows of a leaf in the sample; the fit takes the cheapest
+SEED = 6
+#: Rows of a leaf in the sample, and numbers of trees; the fit takes the cheapest. Where vectors have no structure, most leaves must be read, and
+#: further trees mean that a row is compared again and again, so few large leaves of fewer trees are better.
+SHAPES = {128: (8,), 384: (8,), 1152: (8, 4, 2, 1)}
 VISIT = 300  # sending a query to a leaf costs as much as comparing it with so many rows
 SAMPLE = 20_000  # rows that the trees are fitted on
-TARGET, TRIALS = 0.96, 150  # recall to reach on the sample, and the queries it is measured with
+TARGET, TRIALS = 0.94, 150  # recall to reach on the sample, and the queries it is measured with
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -73,7 +75,7 @@ def grow(x: np.ndarray, draw: np.random.Generator, leaf: int) -> Tree:
 
 class Forest:
     def __init__(self, trees: list[Tree], largest_norm: float):
-        self.trees, self.largest_norm, self.probes = trees, largest_norm, 0
+        self.trees, self.largest_norm, self.probes, self.compared = trees, largest_norm, 0, 0.0
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """One more component gives all rows the same length, so that the largest inner product is the nearest row."""
@@ -130,9 +132,9 @@ def candidates(masks: list[np.ndarray], places: np.ndarray) -> np.ndarray:
 def fit_forest(sample: np.ndarray, largest_norm: float, k: int, scale: float = 1.0) -> Forest:
     """Grows trees, and finds how many leaves a query must read on the sample to reach the target recall.
 
-    Of several sizes of leaves that is taken which costs least: leaves read, times the rows of a leaf in the
+    Of several sizes of leaves and numbers of trees that is taken which costs least: leaves read, times the rows of a leaf in the
     whole table (scale times those in the sample) and the cost of a visit. So clustered vectors get small
-    leaves, of which few are read, and vectors without structure large ones.
+    leaves of many trees, of which few are read, and vectors without structure large ones of few trees.
     """
     draw = np.random.default_rng(SEED)
     asked = draw.choice(len(sample), min(TRIALS, len(sample)), replace=False)
@@ -140,20 +142,22 @@ def fit_forest(sample: np.ndarray, largest_norm: float, k: int, scale: float = 1
     scores[np.arange(len(asked)), asked] = -np.inf
     best = np.argsort(-scores, axis=1)[:, :k]
     found: list[tuple[float, Forest]] = []
-    for leaf in LEAVES:
-        forest = Forest([], largest_norm)
-        lifted = forest.lifted(sample)
-        forest.trees = [grow(lifted, draw, leaf) for _ in range(TREES)]
-        total = sum(tree.leaves for tree in forest.trees)
-        places = forest.place(sample)
-        steps = np.unique(np.geomspace(min(TREES, total), total, 32).astype(int)).tolist()
-
-        def enough(probes: int, forest: Forest = forest, places: np.ndarray = places) -> bool:
-            met = candidates(forest.masks(forest.probe(sample[asked], probes)), places)
-            return np.take_along_axis(met, best, axis=1).mean() >= TARGET
-
-        forest.probes = steps[min(bisect_left(steps[:-1], True, key=enough), len(steps) - 1)]
-        found.append((forest.probes * (len(sample) * scale * TREES / total + VISIT), forest))
+    for leaf, numbers in SHAPES.items():
+        lifted = Forest([], largest_norm).lifted(sample)
+        trees = [grow(lifted, draw, leaf) for _ in range(max(numbers))]
+        for number in numbers:
+            forest = Forest(trees[:number], largest_norm)
+            total = sum(tree.leaves for tree in forest.trees)
+            places = forest.place(sample)
+            steps = np.unique(np.geomspace(min(number, total), total, 32).astype(int)).tolist()
+
+            def enough(probes: int, forest: Forest = forest, places: np.ndarray = places) -> bool:
+                met = candidates(forest.masks(forest.probe(sample[asked], probes)), places)
+                return np.take_along_axis(met, best, axis=1).mean() >= TARGET
+
+            forest.probes = steps[min(bisect_left(steps[:-1], True, key=enough), len(steps) - 1)]
+            forest.compared = forest.probes * number / total  # of the whole table, for each query
+            found.append((forest.compared * len(sample) * scale + forest.probes * VISIT, forest))
     return min(found, key=lambda x: x[0])[1]
 
 
@@ -195,7 +199,7 @@ def _nearest(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataF
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
-            yield _entries(batch, [row.tolist() for row in forest.value.place(matrix(batch.column(1), size)) + np.arange(TREES) * SAMPLE])
+            yield _entries(batch, [row.tolist() for row in forest.value.place(matrix(batch.column(1), size)) + np.arange(len(forest.value.trees)) * SAMPLE])
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):

@@ -19,6 +19,7 @@ SAMPLE_PER_PIVOT, LEAST_SAMPLE = 4, 20_000  # rows that pivots are chosen from
 NEAREST, MOST_NEAREST, SHARED = 8, 24, 2  # length of a description, and pivots that a pair must share
 TARGET, TRIALS = 0.998, 2000  # share of pairs at the threshold that must meet, measured on so many
 BLOCK, CHUNK = 2048, 64
+SLICE_BYTES = 1 << 24  # of rows beside pivots, of which a task holds a few copies
 MARGIN = 1e-9
 
 
@@ -39,12 +40,17 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def descriptions(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
-    """The numbers of each row's nearest pivots, nearest first."""
+    """The numbers of each row's nearest pivots, nearest first. Rows are taken so many at a time that their table with all pivots has SLICE_BYTES at most."""
     near = min(near, len(pivots))
-    closeness = x / np.linalg.norm(x, axis=1, keepdims=True) @ pivots.T
-    first = np.argpartition(-closeness, near - 1, axis=1)[:, :near]
-    order = np.lexsort((first, -np.take_along_axis(closeness, first, axis=1)), axis=1)
-    return np.take_along_axis(first, order, axis=1)
+    out = np.empty((len(x), near), np.int64)
+    step = max(1, SLICE_BYTES // (8 * len(pivots)))
+    for at in range(0, len(x), step):
+        rows = x[at : at + step]
+        closeness = rows / np.linalg.norm(rows, axis=1, keepdims=True) @ pivots.T
+        first = np.argpartition(-closeness, near - 1, axis=1)[:, :near]
+        order = np.lexsort((first, -np.take_along_axis(closeness, first, axis=1)), axis=1)
+        out[at : at + step] = np.take_along_axis(first, order, axis=1)
+    return out
 
 
 def description_length(sample: np.ndarray, pivots: np.ndarray, threshold: float) -> int:

@@ -201,6 +201,20 @@ def turned(one, cosine, draw):
     return cosine * one + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
 
 
+def test_descriptions_take_bounded_memory():
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    x, pivots = draw.standard_normal((1024, 16)), draw.standard_normal((40_000, 16))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = pivot_index.descriptions(x, pivots, 8)
+    assert tracemalloc.get_traced_memory()[1] < 6 * pivot_index.SLICE_BYTES
+    tracemalloc.stop()
+    for row in (0, 500, 1023):
+        assert got[row].tolist() == np.argsort(-(pivots @ x[row]), kind="stable")[:8].tolist()
+
+
 @pytest.mark.parametrize(("n", "most"), [(2_000, 0.08), (8_000, 0.03)])
 def test_pivots_find_links_and_compare_few(spark, n, most):
     """64 components, pairs at cosine 0.93 and a little more: hardly one is lost, and ever fewer of all pairs are compared."""

@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import materialize, sized_slices
 
 SEGMENT = 1 << 20  # bytes of a text whose words are held at once
-PIVOTS = 16
+PIVOTS = 32
 #: A-Z to lower case; letters, digits and all bytes of other characters stay; the rest ends words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 KEY = ("below", "unnamed", "named", "n_features")
@@ -113,6 +113,27 @@ def noisy_score(weight: Column, doc_id: Column, seed: int) -> Column:
     return weight + F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
 
 
+def pivot_counts(rows: DataFrame, pivots: list[tuple]) -> list[tuple[int, int]]:
+    """For each pivot key, how many rows are smaller and how many equal; each task sends two numbers for each pivot."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smaller, equal = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            for n, pivot in enumerate(pivots):
+                less, same = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows, bool)
+                for column, bound in zip(columns, pivot, strict=True):
+                    less |= same & (column < bound)
+                    same &= column == bound
+                smaller[n] += less.sum()
+                equal[n] += same.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pivots)), pa.int32()), pa.array(smaller), pa.array(equal)], names=["pivot", "smaller", "equal"])
+
+    counts = rows.select(*KEY).mapInArrow(count, "pivot int, smaller long, equal long")
+    found = {r.pivot: (r.smaller, r.equal) for r in counts.groupBy("pivot").agg(F.sum("smaller").alias("smaller"), F.sum("equal").alias("equal")).collect()}
+    return [found[n] for n in range(len(pivots))]
+
+
 def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS) -> tuple | None:
     """The k-th smallest key (the columns KEY, none null) of rows, from 1; None where there are fewer.
 
@@ -123,33 +144,27 @@ def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS) -> tuple | None:
     key = F.struct(*KEY)
     if k < 1:
         return None
-
-    def literal(pivot: tuple) -> Column:
-        return F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(pivot, KEY, strict=True)])
-
     turn = 0
     while True:
         drawn = rows.select(*KEY).orderBy(F.xxhash64(F.lit(turn), *KEY)).limit(pivots).collect()
         if not drawn:
             return None
         bounds = sorted({tuple(r) for r in drawn})
-        counts = rows.agg(*[F.count_if(key < literal(b)) for b in bounds], *[F.count_if(key == literal(b)) for b in bounds]).first()
-        low, before = None, 0
-        for n, bound in enumerate(bounds):
-            less, equal = counts[n], counts[n + len(bounds)]
-            if k <= less:
-                inside = key < literal(bound)
+        inside, before = F.lit(True), 0
+        for bound, (smaller, equal) in zip(bounds, pivot_counts(rows, bounds), strict=True):
+            if k <= smaller:
+                inside = inside & (key < key_of(bound))
                 break
-            if k <= less + equal:
+            if k <= smaller + equal:
                 return bound
-            low, before = bound, less + equal
-        else:
-            inside = F.lit(True)
-        if low is not None:
-            inside = inside & (key > literal(low))
+            inside, before = key > key_of(bound), smaller + equal
         rows, k, turn = materialize(rows.select(*KEY).where(inside), "select"), k - before, turn + 1
 
 
+def key_of(values: tuple) -> Column:
+    return F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(values, KEY, strict=True)])
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """rows with rank, from 1 in order of KEY: dealt out by ranges of the key, numbered in each, and the ranges added up."""
     dealt = materialize(rows.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "winners")
@@ -184,6 +199,6 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = 10, min_words:
     shown = ["doc_id", "n_features", "weight", "score"]
     if last is None:
         return keyed.select(*shown, F.lit(None).cast("long").alias("rank"))
-    wins = allowed & (F.struct(*KEY) <= F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(last, KEY, strict=True)]))
+    wins = allowed & (F.struct(*KEY) <= key_of(last))
     winners = ranked(keyed.where(wins)).select(*shown, F.when(F.col("rank") <= k, F.col("rank")).cast("long").alias("rank"))
     return winners.unionByName(keyed.where(~wins).select(*shown, F.lit(None).cast("long").alias("rank")))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -234,10 +234,10 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, keys: list[str], k: int, kin
     dealt = asked.repartition(*keys, F.pmod(F.xxhash64("query_id"), F.lit(8))).withColumn("tenant", F.col("tenant_id"))
     own = [*[c if c != "tenant_id" else "tenant" for c in keys], "asked_agent"]
     blocks = packed(dealt, own, "query_embedding", QUESTION_BLOCK).withColumnsRenamed({"packed": "asked", "block": "asked_block"})
-    blocks.write.parquet(path)
+    written = Observation()
+    blocks.observe(written, F.sum(F.octet_length("asked")).alias("bytes"), F.count(F.lit(1)).alias("blocks")).write.parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)
-    size, count = blocks.agg(F.sum(F.octet_length("asked")), F.count("*")).first()
-    few = (size or 0) <= pass_bytes and count * QUESTION_BLOCK * k * chunks.rdd.getNumPartitions() <= PASS_HITS
+    few = (written.get["bytes"] or 0) <= pass_bytes and written.get["blocks"] * QUESTION_BLOCK * k * chunks.rdd.getNumPartitions() <= PASS_HITS
     same = F.col("asked_agent").isNull() | (F.col("asked_agent") == F.col("agent_id"))
     if "list_id" in keys:  # lets Spark read only the folders of lists that some question asks for
         blocks = blocks.where("list_id >= 0")

@@ -14,7 +14,7 @@ from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
 BANDS, ROWS = 22, 5  # at a similarity of 0.8, one pair in 6,000 meets in no band
-BLOCK = 512  # members of either side of a bucket that a task holds at once
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # members of either side of a bucket that a task holds at once, and their shingles (8 MB), by number and by length
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most go to every executor; more are joined by a shuffle
 
 
@@ -111,13 +111,20 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _outside_links(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of members outside their bucket's main component with other members, the smallest one checked already.
 
-    Of buckets with the same members one is taken. Both sides of a bucket are dealt to blocks, and a task
-    goes through the groups of its blocks one after another. At most one link is given for each member
+    Of buckets with the same members one is taken. Both sides of a bucket are dealt to blocks, more of them where members are long, and a task
+    goes through the groups of its blocks one after another, holding their shingles and not their texts. At most one link is given for each member
     and component that it links with, since components are all that links are for.
     """
-    sizes = placed.groupBy("bucket").agg(F.sum(F.col("outside").cast("long")).alias("out"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    sizes = sizes.where("out > 0 and size > 2").groupBy("who", "size", "out").agg(F.min("bucket").alias("bucket"))
-    blocks = materialize(sizes.select("bucket", F.ceil(F.col("out") / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks")), "bucket-blocks")
+    sizes = placed.groupBy("bucket").agg(
+        F.sum(F.col("outside").cast("long")).alias("out"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"),
+        F.sum(F.when(F.col("outside"), F.col("n_shingles"))).alias("out_shingles"), F.sum("n_shingles").alias("shingles"),
+    )
+    sizes = sizes.where("out > 0 and size > 2").groupBy("who", "size", "out", "out_shingles", "shingles").agg(F.min("bucket").alias("bucket"))
+
+    def number(members: str, shingles: str):
+        return F.ceil(F.greatest(F.col(members) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+    blocks = materialize(sizes.select("bucket", number("out", "out_shingles").alias("out_blocks"), number("size", "shingles").alias("all_blocks")), "bucket-blocks")
     rows = placed.where("rep <> pivot").join(blocks, "bucket")
 
     def deal(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
@@ -130,7 +137,7 @@ def _outside_links(placed: DataFrame, docs: DataFrame, words: int, percent: int)
     texts = _texts(docs, dealt.select(F.col("rep").alias("doc_id")).distinct())
 
     def links(members: list[dict]) -> Iterator[tuple[int, int]]:
-        sets = shingle_sets([m["text"] for m in members], words)
+        sets = [m["shingles"] for m in members]
         many = [k for k, m in enumerate(members) if m["side"] == 1]
         if not many or not any(m["side"] == 0 for m in members):
             return
@@ -153,17 +160,18 @@ def _outside_links(placed: DataFrame, docs: DataFrame, words: int, percent: int)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, found = None, [], []
-        for batch in slices(batches, 512):
-            for row in batch.to_pylist():
+        for batch in sized_slices(batches, 5, 1 << 20):
+            sets = shingle_sets(batch.column(5).to_pylist(), words)
+            for row, own in zip(batch.select(range(5)).to_pylist(), sets, strict=True):
                 if row["group"] != group:
                     found += links(members)
                     group, members = row["group"], []
-                members.append(row)
+                members.append({**row, "shingles": own})
         found += links(members)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    full = dealt.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    full = dealt.join(texts, F.col("rep") == F.col("doc_id")).select("group", "side", "rep", "component", "outside", "text")
     return full.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -201,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
     placed = placed.join(found.select(F.col("id").alias("pivot"), F.col("component_id").alias("pivot_component")), "pivot", "left")
     placed = placed.withColumn("outside", F.col("component") != F.coalesce("pivot_component", "pivot"))
-    placed = materialize(placed.select("bucket", "rep", "pivot", "component", "outside"), "placed")
+    placed = materialize(placed.select("bucket", "rep", "n_shingles", "pivot", "component", "outside"), "placed")
     more = materialize(_outside_links(placed, docs, words, percent), "outside-links")
     if not more.isEmpty():
         found = connected_components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))

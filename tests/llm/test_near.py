@@ -67,9 +67,9 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_near_duplicates(spark, words, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+@pytest.mark.parametrize(("words", "bound", "most"), [(2, "BLOCK", 16), (5, "BLOCK", 16), (5, "BLOCK_SHINGLES", 900)])
+def test_near_duplicates(spark, words, bound, most, monkeypatch):
+    monkeypatch.setattr(minhash, bound, most)
     texts = near_texts()
     rows = [(k, t, "x", 1) for k, t in enumerate(texts)] + [(None, texts[20], "x", 1), (20, texts[20], "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string, n_shingles int").repartition(3)

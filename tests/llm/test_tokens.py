@@ -165,6 +165,19 @@ def test_curve_packing(spark):
     assert curve_packing.pack_along_curve(docs.where("doc_id < 0"), WORDS, 2).count() == 0
 
 
+def test_pieces_lie_in_the_order_of_the_curve(spark):
+    random.seed(4)
+    words = ["red", "blue", "tea", "sky", "oak", "uno", "dos", "tres", "sol", "mar"]
+    texts = [" ".join(random.choices(random.sample(words, 3), k=random.randrange(5, 60))) for _ in range(200)]
+    texts += texts[:20] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = curve_packing.pack_along_curve(docs, WORDS, end_id=2, sequence_tokens=64).collect()
+    keys = curve_packing.hilbert_keys(curve_packing.document_points([x or "" for x in texts])).tolist()
+    order = [(keys[r.doc_id], r.doc_id, r.start) for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert order == sorted(order)
+    assert [x[1] for x in order] != sorted(x[1] for x in order)
+
+
 @pytest.mark.parametrize(("dimensions", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_goes_step_by_step(dimensions, bits):
     grid = np.stack(np.meshgrid(*[np.arange(2**bits)] * dimensions, indexing="ij"), -1).reshape(-1, dimensions)
@@ -186,6 +199,7 @@ def test_piece_codec(spark):
     rows = piece_codec.verified_pieces(docs, PIECES).collect()
     assert len(rows) == docs.count()
     assert all(r.parity and r.round_trip for r in rows)
+    assert piece_codec.verified_pieces(docs.where("doc_id < 0"), PIECES).count() == 0
     encoded = piece_codec.encode_pieces(docs, PIECES)
     with open(PIECES, "rb") as f:
         reference = piece_codec.reference_processor(f.read())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_few, materialize
 
 MIN_SITES, MIN_CHARS = 10, 20
 FEW_SITES = 4  # where documents are counted too, a fifth of the sources will do, and never more than this
@@ -19,11 +19,6 @@ def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     return cut.where(F.length("line") >= F.col("min_chars")).withColumns({"one": F.xxhash64("line"), "two": F.xxhash64(F.lit(1), "line")}).drop("line", "min_chars")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def few_sites(docs: DataFrame) -> int:
     """How many sources make a line of many documents spread: a fifth of docs' sources, from 2 to FEW_SITES."""
     n = docs.where(F.col("source").isNotNull()).select("source").distinct().limit(5 * FEW_SITES).count()
@@ -49,7 +44,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
     sketched = materialize(sketched, "line-sites")
     sure = sketched.where(F.col("sites") > min_sites * (1 + MARGIN)).select("one", "two", "first_doc")
     near = sketched.where(F.col("sites") <= min_sites * (1 + MARGIN)).select("one", "two", "first_doc")
-    counted = lines.join(_sized(near.select("one", "two"), BROADCAST_LINES), ["one", "two"], "left_semi")
+    counted = lines.join(broadcast_if_few(near.select("one", "two"), BROADCAST_LINES), ["one", "two"], "left_semi")
     if few is None:
         counted = counted.where(F.col("source").isNotNull()).groupBy("one", "two", "source").agg(F.lit(1).alias("seen")).groupBy("one", "two").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     else:
@@ -72,7 +67,7 @@ def without_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
     spread = spread_lines(docs.select("doc_id", "text", "source"), min_sites, min_chars, few)
     own = _lines(docs.select("doc_id", "text"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.lit(min_chars).alias("min_chars"))
-    hit = own.join(_sized(spread, BROADCAST_LINES), ["one", "two"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    hit = own.join(broadcast_if_few(spread, BROADCAST_LINES), ["one", "two"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     removed = materialize(hit.groupBy(F.col("doc_id").alias("removed_doc"), F.col("text_hash").alias("removed_hash")).agg(F.collect_set("pos").alias("removed")), "removed-lines")
     both = docs.join(removed, docs["doc_id"].eqNullSafe(removed["removed_doc"]) & (F.xxhash64(docs["text"]) == removed["removed_hash"]), "left")
     body = docs["text"]

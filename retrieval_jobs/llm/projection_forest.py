@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import broadcast_if_few, materialize, slices
 from .vectors import exact_dots, matrix, sizes, usable
 
 SEED = 6
@@ -24,6 +26,10 @@ VISIT = 300  # sending a query to a leaf costs as much as comparing it with so m
 SAMPLE = 20_000  # rows that the trees are fitted on
 TARGET, TRIALS = 0.94, 150  # recall to reach on the sample, and the queries it is measured with
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
+LEAF_ROWS = 8192  # a leaf with more rows of the table is cut again, by a tree of its own
+LEAF_SAMPLE, LEAF_LEAST, LEVELS = 4096, 16, 3  # rows such a tree is fitted on, how few of them may be a leaf, and how often leaves are cut again
+FIRST, CHILDREN = 1 << 18, 1 << 12  # numbers of leaves: those of the forest from FIRST on, below it CHILDREN for each
+BROADCAST_LEAVES = 200_000  # 5 MB of leaf numbers at most go to every executor; more are joined by a shuffle
 
 
 @dataclass
@@ -73,6 +79,23 @@ def grow(x: np.ndarray, draw: np.random.Generator, leaf: int) -> Tree:
     return Tree(np.array(normals).reshape(-1, x.shape[1]), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), leaves)
 
 
+def in_order(ways: list[list], sides: list[list], start: float = 0.0) -> Iterator[tuple[int, int, float]]:
+    """Tree, leaf and cost, the nearest leaf first, from one queue for all trees.
+
+    The cost is how far the query lies on the other side of a cut, at most, along the way, and at least start. ways
+    holds each tree's children by node, sides the query's distance from each node's cut.
+    """
+    heap = [(start, t, 0 if way else -1) for t, way in enumerate(ways)]
+    while heap:
+        cost, t, node = heapq.heappop(heap)
+        while node >= 0:
+            side = sides[t][node]
+            near, far = (1, 0) if side > 0 else (0, 1)
+            heapq.heappush(heap, (max(cost, abs(side)), t, ways[t][node][far]))
+            node = ways[t][node][near]
+        yield t, -node - 1, cost
+
+
 class Forest:
     def __init__(self, trees: list[Tree], largest_norm: float):
         self.trees, self.largest_norm, self.probes, self.compared = trees, largest_norm, 0, 0.0
@@ -85,30 +108,25 @@ class Forest:
         lifted = self.lifted(x)
         return np.stack([tree.place(lifted) for tree in self.trees], axis=1)
 
-    def probe(self, queries: np.ndarray, probes: int) -> list[list[np.ndarray]]:
-        """For each query and tree, the leaves to read: a queue shared by all trees gives the nearest first.
+    def flat(self, queries: np.ndarray) -> np.ndarray:
+        """Queries as lifted ones: of the rows' length, with nothing in the last component."""
+        return np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True) * self.largest_norm, np.zeros((len(queries), 1))])
 
-        The queue is ordered by how far the query lies on the other side of a cut, at most, along the way.
-        """
-        norms = np.linalg.norm(queries, axis=1, keepdims=True)
-        flat = np.hstack([queries / norms * self.largest_norm, np.zeros((len(queries), 1))])
+    def queues(self, queries: np.ndarray) -> Iterator[Iterator[tuple[int, int, float]]]:
+        """For each query the leaves of all trees, nearest first."""
+        flat = self.flat(queries)
         sides = [flat @ tree.normals.T - tree.offsets for tree in self.trees]
         ways = [tree.children.tolist() for tree in self.trees]
-        out = []
         for k in range(len(queries)):
-            own = [s[k].tolist() for s in sides]
-            heap = [(0.0, t, 0 if ways[t] else -1) for t in range(len(self.trees))]
+            yield in_order(ways, [s[k].tolist() for s in sides])
+
+    def probe(self, queries: np.ndarray, probes: int) -> list[list[np.ndarray]]:
+        """For each query and tree, the leaves to read: the first probes of the queue."""
+        out = []
+        for queue in self.queues(queries):
             found: list[list[int]] = [[] for _ in self.trees]
-            for _ in range(probes):
-                if not heap:
-                    break
-                cost, t, node = heapq.heappop(heap)
-                while node >= 0:
-                    side = own[t][node]
-                    near, far = (1, 0) if side > 0 else (0, 1)
-                    heapq.heappush(heap, (max(cost, abs(side)), t, ways[t][node][far]))
-                    node = ways[t][node][near]
-                found[t].append(-node - 1)
+            for t, leaf, _ in islice(queue, probes):
+                found[t].append(leaf)
             out.append([np.array(x, np.int64) for x in found])
         return out
 
@@ -168,7 +186,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> D
     query's own vec_id are left out. Trees are fitted on at most SAMPLE rows; every row is placed in them. A
     query is sent to the leaves that its queue names, in whatever tree, and compared with the rows there and no
     others. How many it names comes from recall measured on the sample, so they are few for vectors with structure and
-    many for vectors without. Of equal vectors only the k + 1 smallest ids are
+    many for vectors without. Leaves that hold many rows of a large table are cut further in their own tasks, so that leaves
+    stay bounded. Of equal vectors only the k + 1 smallest ids are
     placed, since no other can be among the k nearest. A leaf with many rows or many queries is dealt to blocks by
     hash; a task's group is one block of either.
 
@@ -195,26 +214,11 @@ def _nearest(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataF
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     state = vectors.agg(F.max(norm).alias("norm"), F.count("*").alias("n")).first()
     sample = matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"], size)
-    forest = spark.sparkContext.broadcast(fit_forest(sample, state["norm"], k, state["n"] / len(sample)))
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            yield _entries(batch, [row.tolist() for row in forest.value.place(matrix(batch.column(1), size)) + np.arange(len(forest.value.trees)) * SAMPLE])
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            probed = forest.value.probe(matrix(batch.column(1), size), forest.value.probes)
-            yield _entries(batch, [np.concatenate([leaf + t * SAMPLE for t, leaf in enumerate(own)]).tolist() for own in probed])
-
-    def entries(df: DataFrame, fill) -> DataFrame:
-        kind = df.schema["embedding"].dataType.simpleString()
-        return df.mapInArrow(fill, f"vec_id long, embedding {kind}, leaves array<long>").withColumn("leaf", F.explode("leaves")).drop("leaves")
-
-    rows, wanted = entries(vectors, index), entries(queries, ask)
-    # One row for each leaf of the forest, whose number the fit bounds.
+    forest = fit_forest(sample, state["norm"], k, state["n"] / len(sample))
+    rows, wanted = _meetings(vectors, queries, forest, size, k)
     here = rows.groupBy("leaf").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("row_blocks"))
     there = wanted.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(materialize(here.join(there, "leaf"), "leaf-blocks"))
+    blocks = broadcast_if_few(materialize(here.join(there, "leaf"), "leaf-blocks"), BROADCAST_LEAVES)
 
     def deal(df: DataFrame, own: str, other: str) -> DataFrame:
         """Gives a row its own block of its leaf, and copies it to each block of the other side."""
@@ -240,8 +244,149 @@ def _nearest(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataF
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
 
 
-def _entries(batch: pa.RecordBatch, leaves: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["vec_id", "embedding", "leaves"])
+def _meetings(vectors: DataFrame, queries: DataFrame, forest: Forest, size: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Which leaves rows lie in and which queries read: two tables of vec_id, embedding and leaf.
+
+    A leaf with more than LEAF_ROWS rows is cut again, by a tree that its own task grows on LEAF_SAMPLE of its rows or about so
+    many, level by level. Where that happens, a query reads its queue, on through these trees, up to a cost at which
+    TRIALS queries have found enough of their nearest rows in the whole table.
+    """
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    entry = f"vec_id long, embedding {kind}, leaf long"
+    forest = vectors.sparkSession.sparkContext.broadcast(forest)
+
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            leaves = forest.value.place(matrix(batch.column(1), size)) + np.arange(len(forest.value.trees)) * SAMPLE + FIRST
+            yield _entries(batch, np.repeat(np.arange(len(leaves)), leaves.shape[1]), leaves.ravel())
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            probed = forest.value.probe(matrix(batch.column(1), size), forest.value.probes)
+            leaves = [np.concatenate([leaf + t * SAMPLE + FIRST for t, leaf in enumerate(own)]) for own in probed]
+            yield _entries(batch, np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]), np.concatenate(leaves))
+
+    fresh, done, levels = vectors.mapInArrow(index, entry), [], []
+    for _ in range(LEVELS):
+        full = materialize(fresh.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS), "full-leaves")
+        if full.isEmpty():
+            break
+        drawn = fresh.join(broadcast_if_few(full, BROADCAST_LEAVES), "leaf").where(F.expr(f"pmod(xxhash64(vec_id, embedding), n) < {LEAF_SAMPLE}"))
+        trees = materialize(drawn.groupBy("leaf").applyInArrow(_leaf_tree(forest, size), "leaf long, n long, tree binary"), "leaf-trees")
+        cut = broadcast_if_few(trees.select("leaf", "n"), BROADCAST_LEAVES)
+        done.append(fresh.join(cut, "leaf", "left_anti").select("vec_id", "embedding", "leaf"))
+        blocks = F.ceil(F.col("n") / LEAF_ROWS).cast("int")
+        dealt = fresh.join(cut, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), blocks).cast("int"))
+        sent = trees.select("leaf", "tree", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        fresh = materialize(dealt.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInArrow(_lower_leaves(forest, size), entry), "leaf-rows")
+        levels.append(trees)
+    rows = reduce(DataFrame.unionByName, done, fresh)
+    if not levels:
+        return rows, queries.mapInArrow(ask, entry)
+    bound = _bound(vectors, rows, lambda trials: _reached(trials, forest, levels, size, None), size, k)
+    return rows, _reached(queries, forest, levels, size, bound).drop("cost")
+
+
+def _leaf_tree(forest, size: int):
+    def fit(rows: pa.Table) -> pa.Table:
+        """Grows the tree of one leaf, in one fixed order of its rows; none if nothing parts them."""
+        leaf, n, x = rows["leaf"][0].as_py(), rows["n"][0].as_py(), matrix(rows["embedding"], size)
+        x = forest.value.lifted(x[np.lexsort(x.T)])
+        tree = grow(x, np.random.default_rng([SEED, leaf]), max(LEAF_LEAST, int(len(x) * LEAF_ROWS * 0.75 / n)))
+        found = tree.leaves > 1
+        return pa.table({"leaf": pa.array([leaf] * found, pa.int64()), "n": pa.array([n] * found, pa.int64()), "tree": pa.array([pickle.dumps(tree)] * found, pa.binary())})
+
+    return fit
+
+
+def _lower_leaves(forest, size: int):
+    def place(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        """One block of a leaf's rows, placed in the leaf's own tree."""
+        if not rows.num_rows:
+            return _entries(rows, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        tree = pickle.loads(trees["tree"][0].as_py())
+        leaves = tree.place(forest.value.lifted(matrix(rows["embedding"], size)))
+        return _entries(rows, np.arange(len(leaves)), rows["leaf"].to_numpy() * CHILDREN + leaves)
+
+    return place
+
+
+def _reached(queries: DataFrame, forest, levels: list[DataFrame], size: int, bound: float | None) -> DataFrame:
+    """vec_id, embedding, leaf and cost of all leaves that queries reach up to the cost bound, at whatever level; None: all leaves."""
+    limit = float("inf") if bound is None else bound
+    schema = f"vec_id long, embedding {queries.schema['embedding'].dataType.simpleString()}, leaf long, cost double"
+
+    def listed(rows, found: list[list[tuple[int, float]]]):
+        leaves = np.array([leaf for own in found for leaf, _ in own], np.int64)
+        return _entries(rows, np.repeat(np.arange(len(found)), [len(own) for own in found]), leaves, np.array([cost for own in found for _, cost in own], np.float64))
+
+    def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            queues = forest.value.queues(matrix(batch.column(1), size))
+            yield listed(batch, [[(FIRST + t * SAMPLE + leaf, cost) for t, leaf, cost in takewhile(lambda x: x[2] <= limit, queue)] for queue in queues])
+
+    def follow(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        """One block of the queries that reach a leaf: their queues go on in the leaf's own tree."""
+        if not rows.num_rows or not trees.num_rows:
+            return listed(rows.slice(0, 0), [])
+        tree = pickle.loads(trees["tree"][0].as_py())
+        ways, first = tree.children.tolist(), rows["leaf"][0].as_py() * CHILDREN
+        sides = (forest.value.flat(matrix(rows["embedding"], size)) @ tree.normals.T - tree.offsets).tolist()
+        queues = [in_order([ways], [own], cost) for own, cost in zip(sides, rows["cost"].to_pylist(), strict=True)]
+        return listed(rows, [[(first + leaf, cost) for _, leaf, cost in takewhile(lambda x: x[2] <= limit, queue)] for queue in queues])
+
+    near, done = queries.mapInArrow(start, schema), []
+    for trees in levels:
+        counted = near.join(broadcast_if_few(trees.select("leaf"), BROADCAST_LEAVES), "leaf").groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        counted = broadcast_if_few(materialize(counted, "leaf-queries"), BROADCAST_LEAVES)
+        done.append(near.join(counted, "leaf", "left_anti").select("vec_id", "embedding", "leaf", "cost"))
+        dealt = near.join(counted, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int"))
+        sent = trees.join(counted, "leaf").select("leaf", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        near = dealt.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInArrow(follow, schema)
+    return reduce(DataFrame.unionByName, done, near)
+
+
+def _bound(vectors: DataFrame, rows: DataFrame, reached, size: int, k: int) -> float:
+    """The cost up to which TRIALS of the vectors must read leaves to find TARGET of their k nearest among all vectors.
+
+    The nearest come from an exact scan of the vectors for these few queries; a pair's cost is that of the nearest leaf of any tree that holds the row.
+    """
+    trials = materialize(vectors.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(TRIALS), "trials")
+    own = trials.toArrow()
+    names, q = own["vec_id"].to_numpy(), matrix(own["embedding"], size)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in slices(batches, 8192):
+            name, ids, score = nearest_rows(names, q, batch.column(0).to_numpy(), matrix(batch.column(1), size), k)
+            more = pa.table({"trial": name, "vec_id": ids, "score": score})
+            best = pa.concat_tables([best, more]) if best else more
+            if best.num_rows > 16 * len(names) * k:
+                best = top(best)
+        if best:
+            yield from top(best).to_batches()
+
+    def top(found: pa.Table) -> pa.Table:
+        """The k best of each trial."""
+        name, score = found["trial"].to_numpy(), found["score"].to_numpy()
+        order = np.lexsort((-score, name))
+        held = name[order]
+        return found.take(order[np.arange(len(order)) - np.searchsorted(held, held, "left") < k]).combine_chunks()
+
+    best = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id"))
+    truth = vectors.mapInArrow(scan, "trial long, vec_id long, score double").withColumn("at", best).where(F.col("at") <= k).select("trial", "vec_id")
+    truth = F.broadcast(materialize(truth, "trial-truth"))  # TRIALS * k rows
+    held = materialize(rows.select("vec_id", "leaf").join(truth, "vec_id"), "trial-leaves")
+    costs = reached(trials).select(F.col("vec_id").alias("trial"), "leaf", "cost")
+    pairs = held.join(costs, ["trial", "leaf"]).groupBy("trial", "vec_id").agg(F.min("cost").alias("cost"))
+    return pairs.agg(F.expr(f"percentile_disc({TARGET}) WITHIN GROUP (ORDER BY cost)")).first()[0]
+
+
+def _entries(rows: pa.RecordBatch | pa.Table, at: np.ndarray, leaves: np.ndarray, costs: np.ndarray | None = None) -> pa.RecordBatch | pa.Table:
+    """vec_id and embedding of the rows at, with their leaves and, if given, costs."""
+    taken = rows.select(["vec_id", "embedding"]).take(pa.array(at, pa.int64()))
+    more = [("leaf", pa.array(leaves, pa.int64()))] + ([] if costs is None else [("cost", pa.array(costs, pa.float64()))])
+    return type(taken).from_arrays([*taken.columns, *[x for _, x in more]], names=["vec_id", "embedding", *[name for name, _ in more]])
 
 
 def nearest_rows(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

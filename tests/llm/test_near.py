@@ -274,6 +274,40 @@ def test_forest_compares_few_rows_of_clusters():
     assert shares[1] < 0.15
 
 
+def test_full_leaves_are_cut_again(spark, monkeypatch):
+    """Past the sample leaves stay bounded: full ones get trees of their own, and queries read few rows of them."""
+    monkeypatch.setattr(projection_forest, "SAMPLE", 1000)
+    monkeypatch.setattr(projection_forest, "LEAF_ROWS", 100)
+    monkeypatch.setattr(projection_forest, "LEAF_SAMPLE", 150)
+    draw = np.random.default_rng(5)
+    centers = draw.standard_normal((200, 32))
+    x = centers[draw.integers(0, 200, 12_000)] + 0.3 * draw.standard_normal((12_000, 32))
+    x[:60] = x[0]  # copies that nothing parts
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    seen = {}
+    meetings = projection_forest._meetings
+
+    def watch(*a):
+        seen["rows"], seen["wanted"] = meetings(*a)
+        return seen["rows"], seen["wanted"]
+
+    monkeypatch.setattr(projection_forest, "_meetings", watch)
+    asked = np.arange(0, 12_000, 40)
+    got = {}
+    for r in projection_forest.nearest_neighbours(table, table.where("vec_id % 40 = 0"), k=20).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert all(sorted(got[k]) == list(range(1, 21)) for k in asked)
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -2
+    worst = np.sort(exact, axis=1)[:, -20]
+    assert np.mean([[got[k][r][1] >= worst[n] - 1e-9 for r in range(1, 21)] for n, k in enumerate(asked)]) >= 0.9
+    held, read = ({r.leaf: r["count"] for r in df.groupBy("leaf").count().collect()} for df in (seen["rows"], seen["wanted"]))
+    assert max(held.values()) <= 100
+    assert seen["rows"].groupBy("vec_id").count().select("count").distinct().count() == 1
+    assert sum(n * held.get(leaf, 0) for leaf, n in read.items()) < 0.5 * len(asked) * 12_000
+
+
 def test_one_id_with_two_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -214,7 +215,8 @@ def _nearest(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataF
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     state = vectors.agg(F.max(norm).alias("norm"), F.count("*").alias("n")).first()
     sample = matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"], size)
-    forest = fit_forest(sample, state["norm"], k, state["n"] / len(sample))
+    scale = state["n"] / len(sample)
+    forest = fit_forest(sample, state["norm"], math.ceil(k / scale), scale)  # so many of the table's k nearest are in the sample
     rows, wanted = _meetings(vectors, queries, forest, size, k)
     here = rows.groupBy("leaf").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("row_blocks"))
     there = wanted.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))

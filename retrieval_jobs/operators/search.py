@@ -16,10 +16,12 @@ from ..sources.scratch import scratch_path
 
 DEFAULT_K = 50
 #: Questions of this many bytes at most go to every task, if the tasks then send on this many hits at most; else chunks and questions meet by shuffles.
-PASS_BYTES, PASS_HITS = 64 << 20, 1_000_000_000
+PASS_BYTES, PASS_HITS = 64 << 20, 20_000_000
 BLOCK_BYTES, CHUNK_BLOCK, QUESTION_BLOCK = 1 << 20, 2048, 1024  # of vectors packed in one row
-SALTS = 16  # parts of a tenant's chunks, where they meet questions by shuffles
-HELD_HITS = 2_000_000  # hits that a task holds before it sends them on
+#: Groups that the questions of a tenant and agent are dealt to, where they meet chunks by shuffles, and the blocks of questions in one at most.
+SPREAD, GROUP_BLOCKS = 32, 32
+PASS_ROWS = 500_000  # rows that say which group asks for which list, at most so many of which go to every task
+HELD_HITS = 2_000_000  # hits that a task holds of questions that go to all tasks, before it sends them on
 #: Stand for an undefined distance, a missing one, and a chunk that isn't asked for; so they sort last.
 UNDEFINED, MISSING, EXCLUDED = 1e300, 2e300, 3e300
 ROUNDING = 1e-9  # added to bounds, so that rounding errors don't cut off a hit
@@ -43,12 +45,30 @@ class Vectors:
             whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(own), size).all(axis=1)
             values[~whole] = 0
             self.by_size[size] = there[own], values, np.sqrt((values * values).sum(axis=1)), whole
+        sizes = [size for size, (rows, _, _, whole) in self.by_size.items() if len(rows) == self.rows and whole.all()]
+        self.alone = sizes[0] if sizes else None  # the size of all rows, if each has a vector without gaps
 
     def distances(self, other: Vectors, chosen: np.ndarray) -> np.ndarray:
         """Cosine distances of the chosen rows (ascending) from all rows of other.
 
         MISSING where either is null, lacks a component, or they differ in size; UNDEFINED where either is zero or not a number.
         """
+        alone = self.alone, other.alone
+        if None not in alone and alone[0] == alone[1]:  # whole vectors of one size, as nearly all are
+            _, x, length, _ = self.by_size[alone[0]]
+            _, y, other_length, _ = other.by_size[alone[1]]
+            if len(chosen) < self.rows:
+                x, length = x[chosen], length[chosen]
+            scale = np.outer(length, other_length)
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                out = x @ y.T
+                out /= scale
+                np.subtract(1, out, out=out)
+            odd = np.isnan(out)
+            if not (length.all() and other_length.all()):
+                odd |= scale == 0
+            out[odd] = UNDEFINED
+            return out
         out = np.full((len(chosen), other.rows), MISSING)
         for size, (rows, x, length, whole) in self.by_size.items():
             mine = np.flatnonzero(np.isin(rows, chosen, assume_unique=True) & whole)
@@ -91,12 +111,14 @@ def packed(df: DataFrame, keys: list[str], vector: str, rows: int, spheres: bool
 
     Blocks are made of what a task reads at once, of at most so many rows or about BLOCK_BYTES of vectors. With spheres, keys hold size, the
     vectors' number of components, and each block has n, center and radius too; the radius is NaN where size is 0, which stands
-    for vectors that are nothing to measure an angle by.
+    for vectors that are nothing to measure an angle by. Where rows have list_ids, each block has lists, all that are among them.
     """
     others = [c for c in df.columns if c not in keys]
     schema = StructType([*[df.schema[c] for c in keys], StructField("block", LongType()), StructField("packed", BinaryType())])
     if spheres:
         schema = StructType([*schema.fields, StructField("n", IntegerType()), StructField("center", ArrayType(DoubleType())), StructField("radius", DoubleType())])
+    if "list_ids" in others:
+        schema = StructType([*schema.fields, StructField("lists", ArrayType(IntegerType()))])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -129,6 +151,9 @@ def packed(df: DataFrame, keys: list[str], vector: str, rows: int, spheres: bool
                 ends = [*places[1:], batch.num_rows]
                 found = [sphere(batch.column(vector).slice(a, b - a)) if size else (None, float("nan")) for a, b, size in zip(places, ends, sizes, strict=True)]
                 columns += [pa.array([b - a for a, b in zip(places, ends, strict=True)], pa.int32()), pa.array([c for c, _ in found], pa.list_(pa.float64())), pa.array([r for _, r in found], pa.float64(), from_pandas=False)]
+            if "list_ids" in others:
+                lists = batch.column("list_ids")
+                columns.append(pa.array([np.unique(lists.slice(a, b - a).flatten().to_numpy()) for a, b in zip(places, [*places[1:], batch.num_rows], strict=True)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(*keys, *others).mapInArrow(pack, schema)
@@ -144,35 +169,48 @@ class Asked:
     def __init__(self, block: pa.Scalar, k: int):
         self.table, self.k = unpacked(block), k
         self.vectors = Vectors(self.table["query_embedding"])
-        self.wanted = self.table["wanted_document"].to_pylist() if self.table["wanted_document"].null_count < len(self.table) else []
+        wanted = self.table["wanted_document"].to_pylist()
+        self.wanted = {place: name for place, name in enumerate(wanted) if name}
         limits = self.table["limit"].to_numpy().astype(np.float64)
         self.limits = np.where(np.isnan(limits), EXCLUDED, limits)  # what is farther doesn't count
+        self.askers: dict[int, np.ndarray] | None = None
+        if "list_ids" in self.table.column_names:
+            column = self.table["list_ids"].combine_chunks()
+            lists, rows = column.flatten().to_numpy(), np.repeat(np.arange(len(column), dtype=np.int32), column.value_lengths().to_numpy())
+            order = np.argsort(lists, kind="stable")
+            names, starts = np.unique(lists[order], return_index=True)
+            self.askers = dict(zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True)) if len(names) else {}
+            self.table = self.table.drop_columns(["list_ids"])
         self.found: list[pa.Table] = []
         self.held = 0
 
-    def visit(self, chunks: pa.Table, vectors: Vectors, center: np.ndarray | None, radius: float | None) -> int:
-        """Compares the questions with a block of chunks, but for those that its center and radius keep too far off; how many pairs that were."""
-        if radius is None:
-            chosen = np.arange(len(self.table))
+    def visit(self, chunks: pa.Table, vectors: Vectors, center: np.ndarray | None, radius: float | None, list_id: int | None) -> int:
+        """Compares the questions with a block of chunks, but for those that its list, or its center and radius, keep it from; how many pairs that were."""
+        own = np.arange(len(self.table)) if self.askers is None else self.askers.get(list_id, np.zeros(0, np.int32))
+        if radius is None or not len(own):
+            chosen = own
         elif np.isnan(radius):  # a block without proper distances, for questions that have too few others
-            chosen = np.flatnonzero(self.limits >= UNDEFINED)
+            chosen = own[self.limits[own] >= UNDEFINED]
         else:
-            chosen = np.flatnonzero(self.vectors.bounds(center, radius) <= self.limits + ROUNDING)
+            chosen = own[(self.vectors.bounds(center, radius) <= self.limits + ROUNDING)[own]]
         if not len(chosen):
             return 0
         distance = self.vectors.distances(vectors, chosen)
-        if self.wanted:
-            names = np.array(chunks["document_id"].to_pylist(), object)
-            for n, place in enumerate(chosen.tolist()):
-                if self.wanted[place]:
-                    distance[n, names != self.wanted[place]] = EXCLUDED
-        low = self.limits[chosen, None] + ROUNDING
-        if distance.shape[1] > self.k:
-            low = np.minimum(low, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k])
-        row, column = np.nonzero((distance <= low) & (distance < EXCLUDED))
+        asking = [n for n, place in enumerate(chosen.tolist()) if place in self.wanted] if self.wanted else []
+        if asking:
+            names = chunks["document_id"].combine_chunks().dictionary_encode()
+            code = {name: n for n, name in enumerate(names.dictionary.to_pylist())}
+            of = names.indices.fill_null(-1).to_numpy()
+            want = np.array([code.get(self.wanted[place], -2) for place in chosen[asking].tolist()])
+            distance[asking] = np.where(of == want[:, None], distance[asking], EXCLUDED)
+        free = np.flatnonzero(self.limits[chosen] >= UNDEFINED)
+        if len(free) and distance.shape[1] > self.k:
+            near = np.partition(distance[free], self.k - 1, axis=1)[:, self.k - 1]
+            self.limits[chosen[free]] = np.minimum(self.limits[chosen[free]], near)
+        row, column = np.nonzero((distance <= self.limits[chosen, None] + ROUNDING) & (distance < EXCLUDED))
         if len(row):
             keys = chunks.select(["chunk_id", "row_key"]).take(pa.array(column))
-            self.found.append(keys.append_column("question", pa.array(chosen[row])).append_column("distance", pa.array(distance[row, column])))
+            self.found.append(keys.append_column("question", pa.array(chosen[row].astype(np.int64))).append_column("distance", pa.array(distance[row, column])))
             self.held += len(row)
             if self.held > 4 * self.k * len(self.table) + 10_000:
                 self.compact()
@@ -221,54 +259,79 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("tenant_id").isNotNull()).select("tenant_id", "agent_id", F.col("document_id").cast("string").alias("document_id"), "chunk_id", row_key().alias("row_key"), "embedding")
 
 
-def met_blocks(asked: DataFrame, chunks: DataFrame, keys: list[str], k: int, kinds: tuple[str, str, str], pass_bytes: int = PASS_BYTES, compared: Accumulator | None = None) -> DataFrame:
+def met_blocks(asked: DataFrame, chunks: DataFrame, k: int, kinds: tuple[str, str, str], pass_bytes: int = PASS_BYTES, compared: Accumulator | None = None) -> DataFrame:
     """tenant_id, query_id, chunk_id, row_key and distance: in each task, the k best chunks of each question among the blocks that it meets.
 
-    asked: rows as asked_rows gives them, with keys; chunks: blocks with keys, agent_id, packed, center and radius. Blocks of equal keys meet where the
-    questions name no agent, or the chunks'. Questions are packed into a written table first, so that their size is
-    known: a small one goes to all tasks and chunks stay where they are. Otherwise both are sent by their keys and
-    one of SALTS parts of the chunks, so that a question gets k hits from each of so many parts, however many tasks there are.
+    asked: rows as asked_rows gives them; chunks: blocks with tenant_id, agent_id, packed, center, radius and list_id. Blocks of equal tenants meet where the
+    questions name no agent, or the chunks'; if questions have list_ids, only with chunks of these. Questions are packed into a written table
+    first, so that their size is known: a small one goes to all tasks and chunks stay where they are. Otherwise the questions of a tenant and agent are
+    dealt to groups, and the chunks that a group asks for are sent to its task, where they pass one after another: each question
+    is sent once and gets k hits in all, and a chunk is sent SPREAD times, or once for GROUP_BLOCKS blocks of questions where there are very many.
     """
     spark = asked.sparkSession
     path = scratch_path(spark, "questions")
-    dealt = asked.repartition(*keys, F.pmod(F.xxhash64("query_id"), F.lit(8))).withColumn("tenant", F.col("tenant_id"))
-    own = [*[c if c != "tenant_id" else "tenant" for c in keys], "asked_agent"]
-    blocks = packed(dealt, own, "query_embedding", QUESTION_BLOCK).withColumnsRenamed({"packed": "asked", "block": "asked_block"})
+    listed = "list_ids" in asked.columns
+    order = [*["tenant_id", "asked_agent"], *([F.get("list_ids", 0)] if listed else [])]  # so that a block's questions ask for much the same lists
+    dealt = asked.repartition("tenant_id", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions(*order).withColumn("tenant", F.col("tenant_id"))
+    blocks = packed(dealt, ["tenant", "asked_agent"], "query_embedding", QUESTION_BLOCK).withColumnsRenamed({"packed": "asked", "block": "asked_block"})
     written = Observation()
-    blocks.observe(written, F.sum(F.octet_length("asked")).alias("bytes"), F.count(F.lit(1)).alias("blocks")).write.parquet(path)
+    asks = F.sum(F.size("lists") if listed else F.lit(1))
+    blocks.observe(written, F.sum(F.octet_length("asked")).alias("bytes"), F.count(F.lit(1)).alias("blocks"), asks.alias("asks")).write.parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)
     few = (written.get["bytes"] or 0) <= pass_bytes and written.get["blocks"] * QUESTION_BLOCK * k * chunks.rdd.getNumPartitions() <= PASS_HITS
-    same = F.col("asked_agent").isNull() | (F.col("asked_agent") == F.col("agent_id"))
-    if "list_id" in keys:  # lets Spark read only the folders of lists that some question asks for
-        blocks = blocks.where("list_id >= 0")
-    for c in keys:
-        same = same & (F.col("tenant" if c == "tenant_id" else c) == F.col(f"_{c}"))
-    held = chunks.withColumnsRenamed({c: f"_{c}" for c in keys})
+    held = chunks.withColumnsRenamed({"tenant_id": "_tenant", "list_id": "_list"})
+    same = (F.col("tenant") == F.col("_tenant")) & (F.col("asked_agent").isNull() | (F.col("asked_agent") == F.col("agent_id")))
+    shown = ["asked_block", "asked", "packed", "center", "radius", "_list"]
     if few:
-        blocks = F.broadcast(blocks)
+        if listed:  # lets Spark read only the folders of lists that some question asks for
+            lists = blocks.select("tenant", F.explode("lists").alias("list_id")).where("list_id >= 0").distinct()
+            held = held.join(F.broadcast(lists), (F.col("tenant") == F.col("_tenant")) & (F.col("list_id") == F.col("_list")), "left_semi")
+            same = same & F.array_contains("lists", F.col("_list"))
+        met = held.join(F.broadcast(blocks), same).select(F.lit(None).cast("long").alias("met_group"), *shown)
     else:
-        blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        held = held.withColumn("_part", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
-        same = same & (F.col("part") == F.col("_part"))
-    pairs = held.join(blocks, same).select("asked_block", "asked", "packed", "center", "radius")
+        own = Window.partitionBy("tenant", "asked_agent")
+        number, count = F.row_number().over(own.orderBy("asked_block")) - 1, F.count("*").over(own)
+        parts = F.greatest(F.least(count, F.lit(SPREAD)), F.ceil(count / GROUP_BLOCKS))
+        places = blocks.select("tenant", "asked_agent", "asked_block").withColumn("part", F.floor(number * parts / count)).select("asked_block", "part")
+        grouped = blocks.join(places, "asked_block")
+        tasks = max(SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        grouped = grouped.withColumns({"met_group": F.xxhash64("tenant", "asked_agent", "part"), "task": F.pmod(F.xxhash64("tenant", "asked_agent") + F.col("part"), F.lit(tasks)).cast("int")})
+        group = ["tenant", "asked_agent", "part", "met_group", "task"]
+        if listed:
+            groups = grouped.select(*group, F.explode("lists").alias("list_id")).where("list_id >= 0").distinct()
+            same = same & (F.col("list_id") == F.col("_list"))
+        else:
+            groups = grouped.select(*group).distinct()
+        if (written.get["asks"] or 0) <= PASS_ROWS:
+            groups = F.broadcast(groups)
+        copies = held.join(groups, same).select("task", "met_group", "packed", "center", "radius", "_list")
+        met = grouped.select("task", "met_group", "asked_block", "asked").unionByName(copies, allowMissingColumns=True)
+        met = met.repartitionById(tasks, "task").sortWithinPartitions("met_group", F.asc_nulls_last("asked_block")).select("met_group", *shown)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, Asked] = {}
-        last, chunks, vectors = None, None, None
+        group, last, chunks, vectors = None, None, None, None
         for batch in batches:
-            centers, radii = batch.column("center"), batch.column("radius").to_pylist()
-            for n, number in enumerate(batch.column("asked_block").to_pylist()):
-                if number not in open_:
+            centers, radii, lists = batch.column("center"), batch.column("radius").to_pylist(), batch.column("_list").to_pylist()
+            for n, (its, number) in enumerate(zip(batch.column("met_group").to_pylist(), batch.column("asked_block").to_pylist(), strict=True)):
+                if its != group:
+                    for a in open_.values():
+                        yield from a.hits()
+                    group, open_ = its, {}
+                if number is not None and number not in open_:
                     open_[number] = Asked(batch.column("asked")[n], k)
+                if not batch.column("packed")[n].is_valid:
+                    continue
                 block = batch.column("packed")[n].as_buffer()
                 if last is None or not block.equals(last):
                     last, chunks = block, unpacked(batch.column("packed")[n])
                     vectors = Vectors(chunks["embedding"])
                 center = centers[n].values.to_numpy().astype(np.float64) if centers[n].is_valid else None
-                pairs = open_[number].visit(chunks, vectors, center, radii[n])
-                if compared is not None:
-                    compared.add(pairs)
-            if sum(a.held + len(a.table) for a in open_.values()) > HELD_HITS:
+                for asker in open_.values() if number is None else [open_[number]]:
+                    pairs = asker.visit(chunks, vectors, center, radii[n], lists[n])
+                    if compared is not None:
+                        compared.add(pairs)
+            if group is None and sum(a.held + len(a.table) for a in open_.values()) > HELD_HITS:
                 for a in open_.values():
                     yield from a.hits()
                 open_ = {}
@@ -276,7 +339,7 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, keys: list[str], k: int, kin
             yield from a.hits()
 
     tenant, query, chunk = kinds
-    return pairs.mapInArrow(search, f"tenant_id {tenant}, query_id {query}, chunk_id {chunk}, row_key long, distance double")
+    return met.mapInArrow(search, f"tenant_id {tenant}, query_id {query}, chunk_id {chunk}, row_key long, distance double")
 
 
 def kinds_of(queries: DataFrame, chunks: DataFrame) -> tuple[str, str, str]:
@@ -326,8 +389,8 @@ def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_
     question by matrix products and sends their keys on. Texts are joined to the k best of all, last.
     """
     blocks = packed(chunk_rows(chunks), ["tenant_id", "agent_id"], "embedding", CHUNK_BLOCK)
-    blocks = blocks.withColumns({"center": F.lit(None).cast("array<double>"), "radius": F.lit(None).cast("double")})
-    hits = met_blocks(asked_rows(queries), blocks, ["tenant_id"], k, kinds_of(queries, chunks), pass_bytes)
+    blocks = blocks.withColumns({"center": F.lit(None).cast("array<double>"), "radius": F.lit(None).cast("double"), "list_id": F.lit(None).cast("int")})
+    hits = met_blocks(asked_rows(queries), blocks, k, kinds_of(queries, chunks), pass_bytes)
     return with_texts(ranked_hits(hits, k), chunks)
 
 

@@ -223,8 +223,7 @@ def _probed_hits(queries: DataFrame, chunks: DataFrame, path: str, k: int, probe
     spark = queries.sparkSession
     asked = asked_rows(queries).withColumn("size", measurable(F.col("query_embedding"))).where("size > 0")
     listed = nearest_lists(asked, "query_embedding", read_centers(spark, path), probes, parts)
-    listed = listed.withColumn("list_id", F.explode("list_ids")).drop("list_ids", "size")
-    return met_blocks(listed, read_blocks(spark, path), ["tenant_id", "list_id"], k, kinds_of(queries, chunks), compared=compared)
+    return met_blocks(listed.drop("size"), read_blocks(spark, path), k, kinds_of(queries, chunks), compared=compared)
 
 
 def index_search(queries: DataFrame, chunks: DataFrame, path: str, k: int = DEFAULT_K, probes: int | None = 1, compared: Accumulator | None = None) -> DataFrame:
@@ -249,7 +248,7 @@ def _exact_hits(queries: DataFrame, chunks: DataFrame, path: str, k: int, probes
     near = ranked_hits(_probed_hits(queries, chunks, path, k, probes, compared, parts), k)
     limits = near.groupBy("query_id").agg(F.count("distance").alias("n"), F.max("distance").alias("limit")).where((F.col("n") >= k) & ~F.isnan("limit"))
     limited = queries.drop("limit").join(limits.select("query_id", "limit"), "query_id", "left")
-    hits = met_blocks(asked_rows(limited), read_blocks(queries.sparkSession, path), ["tenant_id"], k, kinds_of(queries, chunks), compared=compared)
+    hits = met_blocks(asked_rows(limited), read_blocks(queries.sparkSession, path), k, kinds_of(queries, chunks), compared=compared)
     return ranked_hits(hits, k)
 
 

@@ -112,3 +112,16 @@ def test_questions_do_not_pass_through_the_driver(spark, index, monkeypatch):
             search.topk_search(part, chunks, 5).explain("formatted")
         plans.append(said.getvalue().count("MapInArrow"))
     assert plans[0] == plans[1] and max(rows) <= 1
+
+
+def test_a_question_is_sent_once_whatever_lists_it_asks_for(spark, index, monkeypatch):
+    """Where questions and chunks meet by shuffles, a question gets k hits in all, not from each list and part of the chunks."""
+    chunks, questions, path = index
+    want = found(vector_index.index_search(questions, chunks, path, 10, 6))
+    monkeypatch.setattr(search, "PASS_HITS", 0)
+    hits = vector_index._probed_hits(questions, chunks, path, 10, 6, None)
+    assert hits.count() <= 10 * questions.count()
+    assert found(vector_index.index_search(questions, chunks, path, 10, 6)) == want
+    monkeypatch.setattr(search, "GROUP_BLOCKS", 1)
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 64)
+    assert found(vector_index.exact_search(questions, chunks, path, 10)) == found(search.topk_search_blocks(questions, chunks, 10))

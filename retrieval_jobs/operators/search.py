@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -376,7 +377,7 @@ def with_texts(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "chunk_text", "distance")
 
 
-def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_bytes: int = PASS_BYTES, compared: Accumulator | None = None) -> DataFrame:
     """The k nearest chunks of each query: query_id, rank, chunk_id, chunk_text, distance.
 
     queries: query_id, tenant_id, agent_id, query_embedding, and wanted_document (null or empty: any).
@@ -387,11 +388,28 @@ def topk_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, pass_
     Questions and chunks are packed into blocks and joined by tenant, so the plan is the same for any number of
     questions, and none of them passes through the driver. Each task keeps the k best of its chunks for each
     question by matrix products and sends their keys on. Texts are joined to the k best of all, last.
+
+    Questions that ask for the same by the same vector are ranked as one, whose hits all of them get. Of chunks with equal agents, documents and
+    vectors only the first k can be hits, and only these are compared. compared counts the pairs of question and chunk that are.
     """
-    blocks = packed(chunk_rows(chunks), ["tenant_id", "agent_id"], "embedding", CHUNK_BLOCK)
+    asked = asked_rows(queries)
+    path, same = scratch_path(queries.sparkSession, "asked"), [c for c in asked.columns if c != "query_id"]
+    asked.write.parquet(path)
+    asked = queries.sparkSession.read.schema(asked.schema).parquet(path)
+    first = asked.groupBy(*same).agg(F.min("query_id").alias("first_id"), F.count(F.lit(1)).alias("askers"))
+    path, counted = scratch_path(queries.sparkSession, "first-asked"), Observation()
+    first.observe(counted, F.coalesce(F.max("askers"), F.lit(0)).alias("most")).write.parquet(path)
+    first = queries.sparkSession.read.schema(first.schema).parquet(path)
+    equal = Window.partitionBy("tenant_id", "row_key", "agent_id", "document_id", "embedding").orderBy("chunk_id")
+    rows = chunk_rows(chunks).withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k).drop("copy")
+    blocks = packed(rows, ["tenant_id", "agent_id"], "embedding", CHUNK_BLOCK)
     blocks = blocks.withColumns({"center": F.lit(None).cast("array<double>"), "radius": F.lit(None).cast("double"), "list_id": F.lit(None).cast("int")})
-    hits = met_blocks(asked_rows(queries), blocks, k, kinds_of(queries, chunks), pass_bytes)
-    return with_texts(ranked_hits(hits, k), chunks)
+    hits = met_blocks(first.select(F.col("first_id").alias("query_id"), *same), blocks, k, kinds_of(queries, chunks), pass_bytes, compared)
+    ranked = ranked_hits(hits, k)
+    if counted.get["most"] > 1:
+        members = asked.join(first, reduce(lambda a, b: a & b, [asked[c].eqNullSafe(first[c]) for c in same])).select("first_id", "query_id").distinct()
+        ranked = ranked.withColumnRenamed("query_id", "first_id").join(members, "first_id").drop("first_id")
+    return with_texts(ranked, chunks)
 
 
 def topk_search_blocks(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K) -> DataFrame:

@@ -125,3 +125,17 @@ def test_a_question_is_sent_once_whatever_lists_it_asks_for(spark, index, monkey
     monkeypatch.setattr(search, "GROUP_BLOCKS", 1)
     monkeypatch.setattr(search, "QUESTION_BLOCK", 64)
     assert found(vector_index.exact_search(questions, chunks, path, 10)) == found(search.topk_search_blocks(questions, chunks, 10))
+
+
+def test_copies_are_compared_once(spark):
+    """500 questions of 5 vectors and 600 chunks of 6: the pairs compared follow the distinct ones, and each question has its hits."""
+    x = np.eye(8, dtype=np.float32) + 0.1
+    shape = "tenant_id string, chunk_id long, agent_id string, document_id string, chunk_text string, embedding array<float>"
+    chunks = spark.createDataFrame([("t", n, "a", "d", f"text {n}", x[n % 6].tolist()) for n in range(600)], shape)
+    shape = "query_id long, tenant_id string, agent_id string, wanted_document string, query_embedding array<float>"
+    questions = spark.createDataFrame([(n, "t", "a", None, x[n % 5].tolist()) for n in range(500)], shape)
+    for pass_bytes in (search.PASS_BYTES, -1):
+        compared = spark.sparkContext.accumulator(0)
+        got = found(search.topk_search(questions, chunks, 3, pass_bytes, compared=compared))
+        assert got == {(q, r + 1): (q % 5 + 6 * r, f"text {q % 5 + 6 * r}", 0.0) for q in range(500) for r in range(3)}
+        assert compared.value <= 5 * 6 * 3

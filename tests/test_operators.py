@@ -505,3 +505,16 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
         seen = uploads.read_chunks(spark, f"{path}/chunks").collect()
         assert sorted((r.tenant_id, r.chunk_id, r.chunk_text) for r in seen) == sorted((r.tenant_id, r.chunk_id, r.chunk_text) for r in want)
         assert sorted((r.tenant_id, r.agent_id, r.agent_name) for r in read_agents(spark, path).collect()) == sorted((r.tenant_id, r.agent_id, r.agent_name) for r in agents)
+
+
+def test_pages_of_one_file_are_held_at_a_time():
+    import pandas as pd
+
+    from retrieval_jobs.sources.uploads import parsed_pages
+
+    read = []
+    batch = pd.DataFrame({"path": ["a", "b"], "content": [b"1\f2", b""]})
+    pages = parsed_pages([batch], lambda data: (read.append(data), data.decode().split("\f") if data else [])[1])
+    assert next(pages).to_dict("list") == {"document_path": ["a", "a"], "page_no": [1, 2], "page_text": ["1", "2"]}
+    assert read == [b"1\f2"]
+    assert next(pages)["page_no"].tolist() == [0]

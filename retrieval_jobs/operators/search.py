@@ -16,8 +16,8 @@ from ..functions.vectors import cosine_distance
 from ..sources.scratch import scratch_path
 
 DEFAULT_K = 50
-#: Questions of this many bytes at most go to every task, if the tasks then send on this many hits at most; else chunks and questions meet by shuffles.
-PASS_BYTES, PASS_HITS = 64 << 20, 20_000_000
+#: Questions of this many bytes at most go to every task, which then holds them all with their hits, if the tasks then send on this many hits at most; else chunks and questions meet by shuffles.
+PASS_BYTES, PASS_HITS = 8 << 20, 20_000_000
 BLOCK_BYTES, CHUNK_BLOCK, QUESTION_BLOCK = 1 << 20, 2048, 1024  # of vectors packed in one row
 #: Groups that the questions of a tenant and agent are dealt to, where they meet chunks by shuffles, and the blocks of questions in one at most.
 SPREAD, GROUP_BLOCKS = 32, 32
@@ -168,20 +168,21 @@ class Asked:
     """A block of questions in a task, and the nearest chunks found for them so far."""
 
     def __init__(self, block: pa.Scalar, k: int):
-        self.table, self.k = unpacked(block), k
-        self.vectors = Vectors(self.table["query_embedding"])
-        wanted = self.table["wanted_document"].to_pylist()
+        table, self.k = unpacked(block), k
+        self.vectors = Vectors(table["query_embedding"])
+        wanted = table["wanted_document"].to_pylist()
         self.wanted = {place: name for place, name in enumerate(wanted) if name}
-        limits = self.table["limit"].to_numpy().astype(np.float64)
+        limits = table["limit"].to_numpy().astype(np.float64)
         self.limits = np.where(np.isnan(limits), EXCLUDED, limits)  # what is farther doesn't count
         self.askers: dict[int, np.ndarray] | None = None
-        if "list_ids" in self.table.column_names:
-            column = self.table["list_ids"].combine_chunks()
+        if "list_ids" in table.column_names:
+            column = table["list_ids"].combine_chunks()
             lists, rows = column.flatten().to_numpy(), np.repeat(np.arange(len(column), dtype=np.int32), column.value_lengths().to_numpy())
             order = np.argsort(lists, kind="stable")
             names, starts = np.unique(lists[order], return_index=True)
             self.askers = dict(zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True)) if len(names) else {}
-            self.table = self.table.drop_columns(["list_ids"])
+        # a copy, since what is unpacked lies in the memory of the whole batch that it came in, which would stay as long as the questions are open
+        self.table = table.select(["tenant_id", "query_id"]).take(pa.array(np.arange(len(table))))
         self.found: list[pa.Table] = []
         self.held = 0
 
@@ -234,7 +235,7 @@ class Asked:
         self.compact()
         for found in self.found:
             distance = found["distance"].to_numpy()
-            asked = self.table.select(["tenant_id", "query_id"]).take(found["question"].combine_chunks())
+            asked = self.table.take(found["question"].combine_chunks())
             # null where a distance is missing, NaN where it is undefined
             shown = pa.array(np.where(distance == UNDEFINED, np.nan, distance), pa.float64(), mask=distance == MISSING, from_pandas=False)
             columns = [asked["tenant_id"], asked["query_id"], found["chunk_id"], found["row_key"], pa.chunked_array([shown])]
@@ -309,6 +310,9 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, k: int, kinds: tuple[str, st
         met = grouped.select("task", "met_group", "asked_block", "asked").unionByName(copies, allowMissingColumns=True)
         met = met.repartitionById(tasks, "task").sortWithinPartitions("met_group", F.asc_nulls_last("asked_block")).select("met_group", *shown)
 
+    def held_now(open_: dict[int, Asked]) -> int:
+        return sum(a.held + len(a.table) for a in open_.values())
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, Asked] = {}
         group, last, chunks, vectors = None, None, None, None
@@ -332,10 +336,13 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, k: int, kinds: tuple[str, st
                     pairs = asker.visit(chunks, vectors, center, radii[n], lists[n])
                     if compared is not None:
                         compared.add(pairs)
-            if group is None and sum(a.held + len(a.table) for a in open_.values()) > HELD_HITS:
-                for a in open_.values():
-                    yield from a.hits()
-                open_ = {}
+                if group is None and held_now(open_) > HELD_HITS:
+                    for a in open_.values():
+                        a.compact()
+                    if held_now(open_) > HELD_HITS // 2:
+                        for a in open_.values():
+                            yield from a.hits()
+                        open_ = {}
         for a in open_.values():
             yield from a.hits()
 

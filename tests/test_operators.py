@@ -518,3 +518,25 @@ def test_pages_of_one_file_are_held_at_a_time():
     assert next(pages).to_dict("list") == {"document_path": ["a", "a"], "page_no": [1, 2], "page_text": ["1", "2"]}
     assert read == [b"1\f2"]
     assert next(pages)["page_no"].tolist() == [0]
+
+
+def test_open_questions_hold_no_batch():
+    import gc
+
+    import pyarrow as pa
+
+    from retrieval_jobs.operators.search import PASS_BYTES, Asked
+
+    assert PASS_BYTES <= 8 << 20  # a task holds them all, at several times their bytes, beside the hits found
+    rows = pa.table({"query_id": [1, 2], "tenant_id": ["t", "t"], "wanted_document": [None, "d"], "query_embedding": pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float32())), "limit": pa.array([None, None], pa.float64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows)
+    before = pa.total_allocated_bytes()
+    batch = pa.record_batch({"asked": pa.array([sink.getvalue().to_pybytes(), b"x" * (16 << 20)], pa.binary())})
+    asked = Asked(batch.column("asked")[0], 1)
+    assert pa.total_allocated_bytes() - before > 16 << 20
+    del batch
+    gc.collect()
+    assert pa.total_allocated_bytes() - before < 1 << 20
+    assert len(asked.table) == 2 and asked.wanted == {1: "d"}

@@ -23,13 +23,18 @@ RESERVED = ("document_id", "status", "updated_at", "start_at", "end_at", "durati
 NO_TEXT = "No valid extracted text found (aws_extract_text is empty or null)"
 
 
-def clean_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid events with the status right-trimmed, and the others: unknown status, no id or time, or reserved extra names."""
+def marked_events(events: DataFrame) -> DataFrame:
+    """Events with the status right-trimmed, and _good: whether status, id and time are there and valid, and no extra has a reserved name."""
     trimmed = events.withColumn("status", F.rtrim("status"))
     names = F.coalesce(F.map_keys("extra"), F.array().cast("array<string>"))
     good = F.col("status").isin(*STATUSES) & F.col("document_id").isNotNull() & F.col("at").isNotNull() & ~F.arrays_overlap(names, F.array(*map(F.lit, RESERVED)))
-    good = F.coalesce(good, F.lit(False))
-    return trimmed.where(good), trimmed.where(~good)
+    return trimmed.withColumn("_good", F.coalesce(good, F.lit(False)))
+
+
+def clean_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid events with the status right-trimmed, and the others: unknown status, no id or time, or reserved extra names."""
+    marked = marked_events(events)
+    return marked.where("_good").drop("_good"), marked.where("not _good").drop("_good")
 
 
 def current_status(events: DataFrame) -> DataFrame:

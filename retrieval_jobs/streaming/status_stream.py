@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.status import RECEIVED, TERMINAL, clean_events, notifications, status_history
+from ..operators.status import RECEIVED, TERMINAL, marked_events, notifications, status_history
 
 TABLES = ("current", "history", "notifications", "rejected")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CURRENT = "document_id string, status string, updated_at long, start_at long, end_at long, after_start long, extra map<string,string>"
 
+HELD_FOLDS = 20_000  # documents whose folds a task holds before it sends them on
+
 #: A fold of some of a document's events. Places are [microseconds, seq], and sort as events do. `ends` are the terminal
 #: events that a start can be followed by: all up to the first one after the start, since an earlier start may still come.
 Fold = dict[str, Any]
@@ -49,6 +52,26 @@ def fold_of(status: str, at: int, seq: int | None, extra: dict[str, str | None]
     return {"last": [*place, status], "start": place if status == RECEIVED else None, "ends": [place] if status in TERMINAL else [], "extras": {k: [*place, v] for k, v in (extra or {}).items()}}
 
 
+def add_event(fold: Fold, status: str, at: int, seq: int | None, extra: Iterable[tuple[str, str | None]]) -> None:
+    """Puts one event into a fold, as merged does with the fold of that event alone."""
+    place = [at, -(1 << 63) if seq is None else seq]
+    if place > fold["last"][:2]:
+        fold["last"] = [*place, status]
+    extras = fold["extras"]
+    for name, value in extra:
+        if name not in extras or extras[name][:2] <= place:
+            extras[name] = [*place, value]
+    start, ends = fold["start"], fold["ends"]
+    if status == RECEIVED and (start is None or place < start):
+        fold["start"] = place
+        trimmed(fold)
+    elif status in TERMINAL and not (start is not None and ends and start < ends[-1] < place):
+        at_end = bisect.bisect_left(ends, place)
+        if at_end == len(ends) or ends[at_end] != place:
+            ends.insert(at_end, place)
+            trimmed(fold)
+
+
 def current_row(document_id: str, fold: Fold) -> Row:
     """A fold as a row of CURRENT."""
     start, ends = fold["start"], fold["ends"]
@@ -58,14 +81,28 @@ def current_row(document_id: str, fold: Fold) -> Row:
 
 
 def partial_folds(events: DataFrame) -> DataFrame:
-    """document_id and fold, as JSON: what a task reads of a document at once is summed up before it is sent."""
+    """document_id and fold, as JSON: what a task reads of a document is summed up before it is sent, of HELD_FOLDS documents at a time."""
+
+    def told(found: dict[str, Fold]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(f) for f in found.values()], pa.string())], names=["document_id", "fold"])
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Fold] = {}
         for batch in batches:
-            found: dict[str, Fold] = {}
-            for document, status, at, seq, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found[document] = merged(found.get(document), fold_of(status, at, seq, dict(extra or [])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(f) for f in found.values()], pa.string())], names=["document_id", "fold"])
+            extras = batch.column("extra")
+            names, values, ends = extras.keys.to_pylist(), extras.items.to_pylist(), extras.offsets.to_pylist()
+            there = extras.is_valid().to_pylist()
+            for n, (document, status, at, seq) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                pairs = list(zip(names[ends[n] : ends[n + 1]], values[ends[n] : ends[n + 1]], strict=True)) if there[n] else []
+                if document in found:
+                    add_event(found[document], status, at, seq, pairs)
+                else:
+                    found[document] = fold_of(status, at, seq, dict(pairs))
+            if len(found) > HELD_FOLDS:
+                yield told(found)
+                found = {}
+        if found:
+            yield told(found)
 
     rows = events.select(F.col("document_id").cast("string").alias("document_id"), "status", F.unix_micros("at").alias("at"), F.col("seq").cast("long").alias("seq"), "extra")
     return rows.mapInArrow(fold, "document_id string, fold string")
@@ -95,7 +132,7 @@ class StatusFold(StatefulProcessor):
 def start_status_stream(events: DataFrame, path: str, checkpoint: str, idle_ms: int | None = None, **trigger):
     """Runs the fold over a stream (document_id, status, at, seq, extra) and writes its tables under path.
 
-    Events are cleaned first (``clean_events``; what it refuses goes to ``rejected``). A document's fold lives in the state store
+    Events are cleaned first (as by ``clean_events``; what it refuses goes to ``rejected``). A document's fold lives in the state store
     of the query, so that a micro-batch reads nothing that earlier ones wrote, and it is exact whatever the order of events, late ones too. With
     idle_ms, a document without events for so long is dropped from the store; what comes later starts it anew. Each micro-batch's rows of
     current, history, notifications and rejected are written to folders of its number. Its number is put down last, and
@@ -104,12 +141,13 @@ def start_status_stream(events: DataFrame, path: str, checkpoint: str, idle_ms:
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # the only one with values of a user's own
-    good, bad = clean_events(events)
+    marked = marked_events(events)
+    good = marked.where("_good")
     mode = "ProcessingTime" if idle_ms else "None"
     folds = partial_folds(good).groupBy("document_id").transformWithState(StatusFold(idle_ms), CURRENT, "Update", mode)
     raw = ["document_id", "status", "at", "seq", "extra"]
     current = folds.select(F.lit("current").alias("kind"), F.struct(*folds.columns).alias("now"))
-    told = good.select(F.lit("good").alias("kind"), *raw).unionByName(bad.select(F.lit("bad").alias("kind"), *raw))
+    told = marked.select(F.when(F.col("_good"), "good").otherwise("bad").alias("kind"), *raw)
     everything = current.unionByName(told, allowMissingColumns=True)
 
     def batch(rows: DataFrame, number: int) -> None:

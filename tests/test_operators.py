@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import json
 import math
 import random
 
@@ -244,6 +245,31 @@ def test_folds_of_any_order_are_one(events, order):
     assert (None if got.after_start is None else got.after_start - got.start_at) == want["duration"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["RECEIVED", "OCR_DONE", "PROCESS_COMPLETED", "PROCESS_FAILED"]), st.integers(0, 9), st.sampled_from([None, {"k": "1"}, {"k": "2", "m": None}])), min_size=1, max_size=25), st.randoms(use_true_random=False))
+def test_adding_events_is_merging(events, order):
+    from retrieval_jobs.streaming import status_stream as stream
+
+    rows = [(state, at, n, extra) for n, (state, at, extra) in enumerate(events)]
+    order.shuffle(rows)
+    want, got = None, stream.fold_of(*rows[0])
+    for n, (state, at, seq, extra) in enumerate(rows):
+        want = stream.merged(want, stream.fold_of(state, at, seq, extra))
+        if n:
+            stream.add_event(got, state, at, seq, list((extra or {}).items()))
+    assert stream.merged(None, got) == want
+
+
+def test_a_task_sends_one_fold_of_a_document(spark):
+    from retrieval_jobs.streaming.status_stream import partial_folds
+
+    extra = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("k"), F.col("id").cast("string")))
+    events = spark.range(0, 25_000, 1, 1).select((F.col("id") % 3).cast("string").alias("document_id"), F.lit("OCR_DONE").alias("status"), F.timestamp_seconds("id").alias("at"), F.col("id").alias("seq"), extra.alias("extra"))
+    folds = {r.document_id: json.loads(r.fold) for r in partial_folds(events).collect()}
+    assert partial_folds(events).count() == 3
+    assert folds["0"]["last"] == [24_999_000_000, 24_999, "OCR_DONE"] and folds["0"]["extras"] == {"k": [24_996_000_000, 24_996, "24996"]}
+
+
 def test_status_stream_in_random_order(spark, tmp_path):
     from retrieval_jobs.streaming.status_stream import read_status, start_status_stream
 

@@ -463,6 +463,18 @@ def test_upsert_replaces_documents(spark, tmp_path):
     assert len(table()) == 5
 
 
+def test_upsert_writes_new_rows_aside_once(spark, tmp_path, monkeypatch):
+    aside, scratch = [], uploads.scratch_path
+    monkeypatch.setattr(uploads, "scratch_path", lambda spark, name: (aside.append(name), scratch(spark, name))[1])
+    path, shape = str(tmp_path / "t"), "tenant_id string, document_id string, chunk_id long, chunk_text string"
+    rows = [("t", "a", 1, "x"), ("t", "a", 2, "y"), ("t", "b", 1, "z")]
+    uploads.upsert_chunks(spark.createDataFrame(rows, shape), path, buckets=2)
+    assert aside == []  # nothing to replace, so straight to their folders
+    uploads.upsert_chunks(spark.createDataFrame([("t", "a", 1, "new"), ("t", "a", 1, "new")], shape), path, buckets=2)
+    assert aside == ["new-chunks", "new-folders"]  # the new rows and their folders, and no row of the table
+    assert sorted(r.chunk_text for r in uploads.read_chunks(spark, path).collect()) == ["new", "z"]
+
+
 def test_tenants_are_text(spark, tmp_path):
     names = ["007", "7", "1e3", "1000", "2024-01-01", "2024-1-1", "true", None, "a b/c", ""]
     chunks = spark.createDataFrame([(t, k, "x") for k, t in enumerate(names)], "tenant_id string, chunk_id long, chunk_text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -19,6 +19,18 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def read_objects(path: str, locations: Iterable[str]) -> Iterator[str | None]:
+    """The texts of the objects at these locations below the path; null where there is none."""
+    system, base = _open(path.rstrip("/"))
+    for location in locations:
+        try:
+            with system.open_input_stream(f"{base}/{location}") as data:
+                text = data.read().decode()
+        except FileNotFoundError:
+            text = None
+        yield text
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task wrote."""

@@ -463,6 +463,16 @@ def test_upsert_replaces_documents(spark, tmp_path):
     assert len(table()) == 5
 
 
+def test_long_texts_are_opened_by_their_places(spark, tmp_path):
+    inline, long = str(tmp_path / "inline"), str(tmp_path / "long")
+    texts = spark.createDataFrame([("a", "x" * 3000), ("b", "short"), ("c", "é" * 2000), ("d", None)], "document_id string, text string")
+    uploads.save_text(texts, 2, inline, long)
+    (tmp_path / "long/extracted_text/c.txt").unlink()
+    out = uploads.stored_texts(spark, inline, long)
+    assert not [x for x in out.inputFiles() if "extracted_text" in x]  # no listing of a folder with very many objects
+    assert {r.document_id: r.text for r in out.collect()} == {"a": "x" * 3000, "b": "short", "c": None, "d": None}
+
+
 def test_upsert_writes_new_rows_aside_once(spark, tmp_path, monkeypatch):
     aside, scratch = [], uploads.scratch_path
     monkeypatch.setattr(uploads, "scratch_path", lambda spark, name: (aside.append(name), scratch(spark, name))[1])

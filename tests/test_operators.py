@@ -588,3 +588,21 @@ def test_open_questions_hold_no_batch():
     gc.collect()
     assert pa.total_allocated_bytes() - before < 1 << 20
     assert len(asked.table) == 2 and asked.wanted == {1: "d"}
+
+
+def test_many_questions_are_ranked_in_one_task_each(spark, monkeypatch):
+    sent, ranked = [], search.ranked_hits
+    monkeypatch.setattr(search, "ranked_hits", lambda hits, k: (sent.append(hits.count()), ranked(hits, k))[1])
+    way = lambda n: F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.when(i == n, 1.0).when(i == 999, F.col("id") / 1e6).otherwise(0.0))
+    agent = [F.lit("tenant_t").alias("tenant_id"), F.lit("a").alias("agent_id")]
+    chunks = spark.range(16).select(*agent, F.col("id").alias("chunk_id"), F.lit("d").alias("document_id"), F.concat(F.lit("text "), "id").alias("chunk_text"), way(F.col("id")).alias("embedding"))
+    asked = [F.col("id").alias("query_id"), F.lit("t").alias("tenant_id"), F.lit("a").alias("agent_id"), F.lit("q").alias("query"), F.lit(None).cast("string").alias("document_id")]
+    requests = spark.range(1, 1501).select(*asked, way(F.col("id") % 16).alias("query_embedding"))  # 12 MB of vectors
+    agents = spark.createDataFrame([("tenant_t", "a", "{context}|{query}")], "tenant_id string, agent_id string, prompt_template string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that chunks lie in several tasks
+    try:
+        got = {r.query_id: r.prompt for r in answer_plan.answer_prompts(requests, chunks, agents, k=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {q: f"text {q % 16}|q" for q in range(1, 1501)}
+    assert sent == [1500]  # no task but one holds a question and sends hits for it

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ HELD_HITS = 2_000_000  # hits that a task holds of questions that go to all task
 #: Stand for an undefined distance, a missing one, and a chunk that isn't asked for; so they sort last.
 UNDEFINED, MISSING, EXCLUDED = 1e300, 2e300, 3e300
 ROUNDING = 1e-9  # added to bounds, so that rounding errors don't cut off a hit
+SINGLE = 2.0**-23  # for each component, twice as much as single precision may take from a cosine
+JOINED_BLOCKS, JOINED_ROWS = 64, 1024  # blocks of one list, and their rows before the last, that are compared at once
 
 
 class Vectors:
@@ -48,6 +50,24 @@ class Vectors:
             self.by_size[size] = there[own], values, np.sqrt((values * values).sum(axis=1)), whole
         sizes = [size for size, (rows, _, _, whole) in self.by_size.items() if len(rows) == self.rows and whole.all()]
         self.alone = sizes[0] if sizes else None  # the size of all rows, if each has a vector without gaps
+        length = self.by_size[sizes[0]][2] if sizes else np.zeros(1)
+        self.proper = bool(length.all() and np.isfinite(length).all())  # each has an angle to every other of its size
+
+    @cached_property
+    def unit(self) -> np.ndarray:
+        """Proper vectors brought to length one, in single precision."""
+        _, x, length, _ = self.by_size[self.alone]
+        return (x / length[:, None]).astype(np.float32)
+
+    def pair_distances(self, other: Vectors, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Cosine distances of pairs of proper vectors of one size."""
+        (_, x, length, _), (_, y, other_length, _) = self.by_size[self.alone], other.by_size[other.alone]
+        out = np.empty(len(rows))
+        step = max(1, BLOCK_BYTES // x.shape[1])
+        for at in range(0, len(rows), step):
+            a, b = rows[at : at + step], columns[at : at + step]
+            out[at : at + step] = 1 - np.einsum("ij,ij->i", x[a], y[b]) / (length[a] * other_length[b])
+        return out
 
     def distances(self, other: Vectors, chosen: np.ndarray) -> np.ndarray:
         """Cosine distances of the chosen rows (ascending) from all rows of other.
@@ -85,14 +105,16 @@ class Vectors:
                 out[np.ix_(np.searchsorted(chosen, rows[mine]), columns[theirs])] = part
         return out
 
-    def bounds(self, center: np.ndarray, radius: float) -> np.ndarray:
-        """For each row, the least cosine distance that a vector within radius (an angle) of center can have; minus infinity where a distance isn't a number."""
-        out = np.full(self.rows, -np.inf)
-        if len(center) in self.by_size:
-            rows, x, length, whole = self.by_size[len(center)]
-            good = whole & (length > 0) & np.isfinite(length)
-            angle = np.arccos(np.clip(x[good] @ center / length[good], -1, 1))
-            out[rows[good]] = 1 - np.cos(np.maximum(0, angle - radius))
+    def within(self, centers: np.ndarray, radii: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """For each row and center, whether a vector within the radius (an angle) of the center can be as near as the row's limit; true where a distance isn't a number."""
+        out = np.ones((self.rows, len(centers)), bool)
+        if centers.shape[1] in self.by_size:
+            rows, x, length, whole = self.by_size[centers.shape[1]]
+            good = np.flatnonzero(whole & (length > 0) & np.isfinite(length))
+            if len(good) < len(x):
+                rows, x, length = rows[good], x[good], length[good]
+            angle = np.arccos(np.clip(1 - limits[rows] - ROUNDING, -1, 1))
+            out[rows] = (x @ centers.T) / length[:, None] >= np.cos(np.minimum(np.pi, angle[:, None] + radii)) - ROUNDING
         return out
 
 
@@ -112,13 +134,13 @@ def packed(df: DataFrame, keys: list[str], vector: str, rows: int, spheres: bool
 
     Blocks are made of what a task reads at once, of at most so many rows or about BLOCK_BYTES of vectors. With spheres, keys hold size, the
     vectors' number of components, and each block has n, center and radius too; the radius is NaN where size is 0, which stands
-    for vectors that are nothing to measure an angle by. Where rows have list_ids, each block has lists, all that are among them.
+    for vectors that are nothing to measure an angle by. Where rows have asked_lists, each block has lists, all that are among them.
     """
     others = [c for c in df.columns if c not in keys]
     schema = StructType([*[df.schema[c] for c in keys], StructField("block", LongType()), StructField("packed", BinaryType())])
     if spheres:
         schema = StructType([*schema.fields, StructField("n", IntegerType()), StructField("center", ArrayType(DoubleType())), StructField("radius", DoubleType())])
-    if "list_ids" in others:
+    if "asked_lists" in others:
         schema = StructType([*schema.fields, StructField("lists", ArrayType(IntegerType()))])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +174,53 @@ def packed(df: DataFrame, keys: list[str], vector: str, rows: int, spheres: bool
                 ends = [*places[1:], batch.num_rows]
                 found = [sphere(batch.column(vector).slice(a, b - a)) if size else (None, float("nan")) for a, b, size in zip(places, ends, sizes, strict=True)]
                 columns += [pa.array([b - a for a, b in zip(places, ends, strict=True)], pa.int32()), pa.array([c for c, _ in found], pa.list_(pa.float64())), pa.array([r for _, r in found], pa.float64(), from_pandas=False)]
-            if "list_ids" in others:
-                lists = batch.column("list_ids")
-                columns.append(pa.array([np.unique(lists.slice(a, b - a).flatten().to_numpy()) for a, b in zip(places, [*places[1:], batch.num_rows], strict=True)], pa.list_(pa.int32())))
+            if "asked_lists" in others:
+                asked = batch.column("asked_lists")
+                found = [np.bitwise_or.reduce(bit_rows(asked.slice(a, b - a))) for a, b in zip(places, [*places[1:], batch.num_rows], strict=True)]
+                columns.append(pa.array([np.flatnonzero(np.unpackbits(bits)).astype(np.int32) for bits in found], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(*keys, *others).mapInArrow(pack, schema)
 
 
+def bit_rows(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column, a row for each of its own, zeros after shorter ones."""
+    rows = column.to_pylist()
+    width = max(map(len, rows), default=0)
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
+
+
 def unpacked(block: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(block.as_buffer()).read_all()
 
 
+class Chunks:
+    """Blocks of chunks of one list that are compared at once, each with a center and radius of its own if they have such."""
+
+    def __init__(self, tables: list[pa.Table], centers: list[np.ndarray | None], radii: list[float | None], list_id: int | None):
+        self.tables, self.centers, self.radii, self.list_id = tables, centers, radii, list_id
+
+    @cached_property
+    def table(self) -> pa.Table:
+        return pa.concat_tables(self.tables).combine_chunks() if len(self.tables) > 1 else self.tables[0]
+
+    @cached_property
+    def vectors(self) -> Vectors:
+        return Vectors(self.table["embedding"])
+
+    @cached_property
+    def each(self) -> list[Chunks]:
+        return [Chunks([t], [c], [r], self.list_id) for t, c, r in zip(self.tables, self.centers, self.radii, strict=True)]
+
+    def beside(self, center: np.ndarray | None, radius: float | None, list_id: int | None) -> bool:
+        """May a block with these be compared at once with the others?"""
+        if list_id != self.list_id or len(self.tables) >= JOINED_BLOCKS or sum(t.num_rows for t in self.tables) >= JOINED_ROWS:
+            return False
+        if radius is None or self.radii[0] is None:
+            return radius is self.radii[0]
+        return not (np.isnan(radius) or np.isnan(self.radii[0])) and len(center) == len(self.centers[0])
+
+
 class Asked:
     """A block of questions in a task, and the nearest chunks found for them so far."""
 
@@ -174,49 +231,79 @@ class Asked:
         self.wanted = {place: name for place, name in enumerate(wanted) if name}
         limits = table["limit"].to_numpy().astype(np.float64)
         self.limits = np.where(np.isnan(limits), EXCLUDED, limits)  # what is farther doesn't count
-        self.askers: dict[int, np.ndarray] | None = None
-        if "list_ids" in table.column_names:
-            column = table["list_ids"].combine_chunks()
-            lists, rows = column.flatten().to_numpy(), np.repeat(np.arange(len(column), dtype=np.int32), column.value_lengths().to_numpy())
-            order = np.argsort(lists, kind="stable")
-            names, starts = np.unique(lists[order], return_index=True)
-            self.askers = dict(zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True)) if len(names) else {}
+        # by eights of lists, so that who asks for a list is found in one stretch of bytes
+        self.asks = np.ascontiguousarray(bit_rows(table["asked_lists"].combine_chunks()).T) if "asked_lists" in table.column_names else None
         # a copy, since what is unpacked lies in the memory of the whole batch that it came in, which would stay as long as the questions are open
         self.table = table.select(["tenant_id", "query_id"]).take(pa.array(np.arange(len(table))))
         self.found: list[pa.Table] = []
         self.held = 0
 
-    def visit(self, chunks: pa.Table, vectors: Vectors, center: np.ndarray | None, radius: float | None, list_id: int | None) -> int:
-        """Compares the questions with a block of chunks, but for those that its list, or its center and radius, keep it from; how many pairs that were."""
-        own = np.arange(len(self.table)) if self.askers is None else self.askers.get(list_id, np.zeros(0, np.int32))
+    def askers(self, list_id: int | None) -> np.ndarray:
+        """The questions that ask for a list."""
+        if self.asks is None:
+            return np.arange(len(self.table))
+        if list_id is None or not 0 <= list_id < 8 * len(self.asks):
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(self.asks[list_id >> 3] & (128 >> (list_id & 7)))
+
+    def visit(self, chunks: Chunks) -> int:
+        """Compares the questions with blocks of chunks, but for those that the list, or a block's center and radius, keep them from; how many pairs that were."""
+        own = self.askers(chunks.list_id)
+        radius = chunks.radii[0]
         if radius is None or not len(own):
-            chosen = own
-        elif np.isnan(radius):  # a block without proper distances, for questions that have too few others
-            chosen = own[self.limits[own] >= UNDEFINED]
-        else:
-            chosen = own[(self.vectors.bounds(center, radius) <= self.limits + ROUNDING)[own]]
+            return self.compare(chunks, own)
+        if np.isnan(radius):  # a block without proper distances, for questions that have too few others
+            return self.compare(chunks, own[self.limits[own] >= UNDEFINED])
+        near = self.vectors.within(np.array(chunks.centers), np.array(chunks.radii), self.limits)[own]
+        if len(chunks.tables) == 1:
+            return self.compare(chunks, own[near[:, 0]])
+        if 2 * np.count_nonzero(near) >= near.size:  # few would be left out, and small blocks one by one take longer
+            return self.compare(chunks, own[near.any(axis=1)])
+        return sum(self.visit(chunks.each[n]) for n in np.flatnonzero(near.any(axis=0)).tolist())
+
+    def compare(self, chunks: Chunks, chosen: np.ndarray) -> int:
+        """Keeps what chunks the chosen questions (ascending) find among these; how many pairs were compared."""
         if not len(chosen):
             return 0
-        distance = self.vectors.distances(vectors, chosen)
+        vectors, columns = chunks.vectors, chunks.table.num_rows
         asking = [n for n, place in enumerate(chosen.tolist()) if place in self.wanted] if self.wanted else []
         if asking:
-            names = chunks["document_id"].combine_chunks().dictionary_encode()
+            names = chunks.table["document_id"].combine_chunks().dictionary_encode()
             code = {name: n for n, name in enumerate(names.dictionary.to_pylist())}
             of = names.indices.fill_null(-1).to_numpy()
             want = np.array([code.get(self.wanted[place], -2) for place in chosen[asking].tolist()])
-            distance[asking] = np.where(of == want[:, None], distance[asking], EXCLUDED)
-        free = np.flatnonzero(self.limits[chosen] >= UNDEFINED)
-        if len(free) and distance.shape[1] > self.k:
-            near = np.partition(distance[free], self.k - 1, axis=1)[:, self.k - 1]
-            self.limits[chosen[free]] = np.minimum(self.limits[chosen[free]], near)
-        row, column = np.nonzero((distance <= self.limits[chosen, None] + ROUNDING) & (distance < EXCLUDED))
+            other = of != want[:, None]
+        free = np.flatnonzero(self.limits[chosen] >= UNDEFINED) if columns > self.k else np.zeros(0, np.int64)
+        if self.vectors.proper and vectors.proper and self.vectors.alone == vectors.alone:
+            # single precision finds what may be near enough, by more than its errors; distances are those of double precision
+            slack = (vectors.alone + 8) * SINGLE
+            likeness = (self.vectors.unit if len(chosen) == self.vectors.rows else self.vectors.unit[chosen]) @ vectors.unit.T
+            if asking:
+                likeness[asking] = np.where(other, -np.inf, likeness[asking])
+            if len(free):
+                near = np.partition(likeness[free], columns - self.k, axis=1)[:, columns - self.k].astype(np.float64)
+                self.limits[chosen[free]] = np.where(np.isfinite(near), 1 - near + slack, self.limits[chosen[free]])
+            least = np.maximum(1 - self.limits[chosen] - ROUNDING - slack, -2).astype(np.float32)
+            row, column = np.divmod(np.flatnonzero((likeness >= least[:, None]).ravel()), columns)
+            distance = self.vectors.pair_distances(vectors, chosen[row], column)
+            kept = distance <= self.limits[chosen[row]] + ROUNDING
+            row, column, distance = row[kept], column[kept], distance[kept]
+        else:
+            every = self.vectors.distances(vectors, chosen)
+            if asking:
+                every[asking] = np.where(other, EXCLUDED, every[asking])
+            if len(free):
+                near = np.partition(every[free], self.k - 1, axis=1)[:, self.k - 1]
+                self.limits[chosen[free]] = np.minimum(self.limits[chosen[free]], near)
+            row, column = np.nonzero((every <= self.limits[chosen, None] + ROUNDING) & (every < EXCLUDED))
+            distance = every[row, column]
         if len(row):
-            keys = chunks.select(["chunk_id", "row_key"]).take(pa.array(column))
-            self.found.append(keys.append_column("question", pa.array(chosen[row].astype(np.int64))).append_column("distance", pa.array(distance[row, column])))
+            keys = chunks.table.select(["chunk_id", "row_key"]).take(pa.array(column))
+            self.found.append(keys.append_column("question", pa.array(chosen[row].astype(np.int64))).append_column("distance", pa.array(distance)))
             self.held += len(row)
             if self.held > 4 * self.k * len(self.table) + 10_000:
                 self.compact()
-        return distance.size
+        return len(chosen) * columns
 
     def compact(self) -> None:
         """Keeps the k nearest of each question, ties by chunk_id, and lets nothing farther in."""
@@ -265,16 +352,16 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, k: int, kinds: tuple[str, st
     """tenant_id, query_id, chunk_id, row_key and distance: in each task, the k best chunks of each question among the blocks that it meets.
 
     asked: rows as asked_rows gives them; chunks: blocks with tenant_id, agent_id, packed, center, radius and list_id. Blocks of equal tenants meet where the
-    questions name no agent, or the chunks'; if questions have list_ids, only with chunks of these. Questions are packed into a written table
+    questions name no agent, or the chunks'; if questions have asked_lists, only with chunks of these. Questions are packed into a written table
     first, so that their size is known: a small one goes to all tasks and chunks stay where they are. Otherwise the questions of a tenant and agent are
     dealt to groups, and the chunks that a group asks for are sent to its task, where they pass one after another: each question
     is sent once and gets k hits in all, and a chunk is sent SPREAD times, or once for GROUP_BLOCKS blocks of questions where there are very many.
     """
     spark = asked.sparkSession
     path = scratch_path(spark, "questions")
-    listed = "list_ids" in asked.columns
-    order = [*["tenant_id", "asked_agent"], *([F.get("list_ids", 0)] if listed else [])]  # so that a block's questions ask for much the same lists
-    dealt = asked.repartition("tenant_id", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions(*order).withColumn("tenant", F.col("tenant_id"))
+    listed = "asked_lists" in asked.columns
+    order = [*["tenant_id", "asked_agent"], *(["nearest_list"] if listed else [])]  # so that a block's questions ask for much the same lists
+    dealt = asked.repartition("tenant_id", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions(*order).drop("nearest_list").withColumn("tenant", F.col("tenant_id"))
     blocks = packed(dealt, ["tenant", "asked_agent"], "query_embedding", QUESTION_BLOCK).withColumnsRenamed({"packed": "asked", "block": "asked_block"})
     written = Observation()
     asks = F.sum(F.size("lists") if listed else F.lit(1))
@@ -308,41 +395,58 @@ def met_blocks(asked: DataFrame, chunks: DataFrame, k: int, kinds: tuple[str, st
             groups = F.broadcast(groups)
         copies = held.join(groups, same).select("task", "met_group", "packed", "center", "radius", "_list")
         met = grouped.select("task", "met_group", "asked_block", "asked").unionByName(copies, allowMissingColumns=True)
-        met = met.repartitionById(tasks, "task").sortWithinPartitions("met_group", F.asc_nulls_last("asked_block")).select("met_group", *shown)
+        met = met.repartitionById(tasks, "task").sortWithinPartitions("met_group", F.asc_nulls_last("asked_block"), "_list").select("met_group", *shown)
 
     def held_now(open_: dict[int, Asked]) -> int:
         return sum(a.held + len(a.table) for a in open_.values())
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, Asked] = {}
-        group, last, chunks, vectors = None, None, None, None
+        group, last, chunks = None, None, None
+
+        def compare(askers: Iterable[Asked]) -> None:
+            for asker in askers:
+                pairs = asker.visit(chunks)
+                if compared is not None:
+                    compared.add(pairs)
+
         for batch in batches:
             centers, radii, lists = batch.column("center"), batch.column("radius").to_pylist(), batch.column("_list").to_pylist()
             for n, (its, number) in enumerate(zip(batch.column("met_group").to_pylist(), batch.column("asked_block").to_pylist(), strict=True)):
                 if its != group:
+                    if chunks is not None:
+                        compare(open_.values())
                     for a in open_.values():
                         yield from a.hits()
-                    group, open_ = its, {}
+                    group, open_, chunks = its, {}, None
                 if number is not None and number not in open_:
                     open_[number] = Asked(batch.column("asked")[n], k)
                 if not batch.column("packed")[n].is_valid:
                     continue
                 block = batch.column("packed")[n].as_buffer()
-                if last is None or not block.equals(last):
-                    last, chunks = block, unpacked(batch.column("packed")[n])
-                    vectors = Vectors(chunks["embedding"])
                 center = centers[n].values.to_numpy().astype(np.float64) if centers[n].is_valid else None
-                for asker in open_.values() if number is None else [open_[number]]:
-                    pairs = asker.visit(chunks, vectors, center, radii[n], lists[n])
-                    if compared is not None:
-                        compared.add(pairs)
-                if group is None and held_now(open_) > HELD_HITS:
+                if group is not None:  # the group's questions have come, and its chunks pass
+                    if chunks is not None and chunks.beside(center, radii[n], lists[n]):
+                        chunks.tables.append(unpacked(batch.column("packed")[n]))
+                        chunks.centers.append(center)
+                        chunks.radii.append(radii[n])
+                    else:
+                        if chunks is not None:
+                            compare(open_.values())
+                        chunks = Chunks([unpacked(batch.column("packed")[n])], [center], [radii[n]], lists[n])
+                    continue
+                if last is None or not block.equals(last):
+                    last, chunks = block, Chunks([unpacked(batch.column("packed")[n])], [center], [radii[n]], lists[n])
+                compare([open_[number]])
+                if held_now(open_) > HELD_HITS:
                     for a in open_.values():
                         a.compact()
                     if held_now(open_) > HELD_HITS // 2:
                         for a in open_.values():
                             yield from a.hits()
                         open_ = {}
+        if group is not None and chunks is not None:
+            compare(open_.values())
         for a in open_.values():
             yield from a.hits()
 

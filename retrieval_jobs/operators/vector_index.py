@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,29 +75,58 @@ def nearest_lists(rows: DataFrame, vector: str, centers: DataFrame, n: int | Non
     kept = rows.columns
 
     def near(own: pa.Table, lists: pa.Table) -> pa.Table:
-        names = lists["list_id"].to_numpy()
-        order = np.argsort(names)
-        names, middle = names[order], _matrix(lists, "center")[order]
-        x = _matrix(own, vector)
-        found = []
-        step = max(1, (16 << 20) // (8 * len(names)))
-        for at in range(0, len(x), step):
-            likeness = x[at : at + step] @ middle.T
-            if n is not None and 1 < n < len(names):
-                best = np.argpartition(-likeness, n - 1, axis=1)[:, :n]
-                place = np.take_along_axis(best, np.argsort(-np.take_along_axis(likeness, best, axis=1), axis=1, kind="stable"), axis=1)
-            elif n == 1:
-                place = likeness.argmax(axis=1)[:, None]
-            else:
-                place = np.argsort(-likeness, axis=1, kind="stable")
-            found.append(names[place])
-        lists_of = np.concatenate(found).astype(np.int32)
+        lists_of = np.concatenate([names[place] for names, place, _ in _places(own, vector, lists, n, True)]).astype(np.int32)
         ends = np.arange(len(lists_of) + 1, dtype=np.int32) * lists_of.shape[1]
         return own.select(kept).append_column("list_ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(lists_of.ravel())))
 
     return _beside_centers(rows, vector, centers, near, schema, parts)
 
 
+def asked_lists(rows: DataFrame, vector: str, centers: DataFrame, n: int | None, parts: DataFrame | Column | None = None) -> DataFrame:
+    """rows with nearest_list and asked_lists, the n nearest lists or all, a bit for each list of the tenant; else as nearest_lists.
+
+    How many lists must be read grows with their number, so their numbers would take more room than the vectors, and more the more rows there are.
+    """
+    schema = StructType([*rows.schema.fields, StructField("nearest_list", IntegerType()), StructField("asked_lists", BinaryType())])
+    kept = rows.columns
+
+    def near(own: pa.Table, lists: pa.Table) -> pa.Table:
+        first, bits = [], []
+        for names, place, likeness in _places(own, vector, lists, n, False):
+            first.append(names[likeness.argmax(axis=1)])
+            asked = np.zeros((len(place), int(names[-1]) + 1), bool)
+            np.put_along_axis(asked, names[place], True, axis=1)
+            bits.append(np.packbits(asked, axis=1))
+        packed_bits = np.concatenate(bits)
+        ends = np.arange(len(packed_bits) + 1, dtype=np.int32) * packed_bits.shape[1]
+        column = pa.Array.from_buffers(pa.binary(), len(packed_bits), [None, pa.py_buffer(ends), pa.py_buffer(packed_bits)])
+        return own.select(kept).append_column("nearest_list", pa.array(np.concatenate(first).astype(np.int32))).append_column("asked_lists", column)
+
+    return _beside_centers(rows, vector, centers, near, schema, parts)
+
+
+def _places(own: pa.Table, vector: str, lists: pa.Table, n: int | None, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some rows at a time: all lists' numbers, ascending, the places among them of the rows' n nearest lists (None: all), and the rows' cosines with all."""
+    names = lists["list_id"].to_numpy()
+    order = np.argsort(names)
+    names, middle = names[order], _matrix(lists, "center")[order]
+    x = _matrix(own, vector)
+    step = max(1, (16 << 20) // (8 * len(names)))
+    for at in range(0, len(x), step):
+        likeness = x[at : at + step] @ middle.T
+        if n is not None and 1 < n < len(names):
+            place = np.argpartition(-likeness, n - 1, axis=1)[:, :n]
+            if ordered:
+                place = np.take_along_axis(place, np.argsort(-np.take_along_axis(likeness, place, axis=1), axis=1, kind="stable"), axis=1)
+        elif n == 1:
+            place = likeness.argmax(axis=1)[:, None]
+        elif ordered:
+            place = np.argsort(-likeness, axis=1, kind="stable")
+        else:
+            place = np.broadcast_to(np.arange(len(names)), likeness.shape)
+        yield names, place, likeness
+
+
 def _sums(x: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of middle, the sum of the rows of x that are nearest to it, and their number."""
     total, count = np.zeros_like(middle), np.zeros(len(middle), np.int64)
@@ -222,7 +251,7 @@ def read_centers(spark: SparkSession, path: str) -> DataFrame:
 def _probed_hits(queries: DataFrame, chunks: DataFrame, path: str, k: int, probes: int | None, compared: Accumulator | None, parts: Column | None = None) -> DataFrame:
     spark = queries.sparkSession
     asked = asked_rows(queries).withColumn("size", measurable(F.col("query_embedding"))).where("size > 0")
-    listed = nearest_lists(asked, "query_embedding", read_centers(spark, path), probes, parts)
+    listed = asked_lists(asked, "query_embedding", read_centers(spark, path), probes, parts)
     return met_blocks(listed.drop("size"), read_blocks(spark, path), k, kinds_of(queries, chunks), compared=compared)
 
 

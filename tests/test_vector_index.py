@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import odd_vectors, vector_tables
@@ -139,3 +140,67 @@ def test_copies_are_compared_once(spark):
         got = found(search.topk_search(questions, chunks, 3, pass_bytes, compared=compared))
         assert got == {(q, r + 1): (q % 5 + 6 * r, f"text {q % 5 + 6 * r}", 0.0) for q in range(500) for r in range(3)}
         assert compared.value <= 5 * 6 * 3
+
+
+def test_lists_that_questions_ask_for_take_no_more_room_than_vectors(spark, index, tmp_path, monkeypatch):
+    """150 of 200 lists for each question: what is sent of a question is its vector and a bit a list, not the lists' numbers."""
+    chunks, questions, _ = index
+    vector_index.build_index(chunks, f"{tmp_path}/index", lists=200)
+    asked = questions.where("tenant_id = 'hot'").withColumn("agent_id", F.lit(""))
+    paths, scratch = [], search.scratch_path
+    monkeypatch.setattr(search, "scratch_path", lambda session, name: (paths.append(scratch(session, name)), paths[-1])[1])
+    monkeypatch.setattr(search, "PASS_HITS", 0)
+    got = {(r.query_id, r.chunk_id) for r in vector_index._probed_hits(asked, chunks, f"{tmp_path}/index", 10, 150, None).collect()}
+    (path,) = [p for p in paths if "questions" in p]
+    assert spark.read.parquet(path).agg(F.sum(F.octet_length("asked"))).first()[0] < 300 * asked.count()  # 96 of vector, 25 of lists, and names
+    lists = vector_index.nearest_lists(asked.withColumn("size", F.lit(24)), "query_embedding", vector_index.read_centers(spark, f"{tmp_path}/index"), 150)
+    lists = {r.query_id: set(r.list_ids) for r in lists.collect()}
+    bits = vector_index.asked_lists(asked.withColumn("size", F.lit(24)), "query_embedding", vector_index.read_centers(spark, f"{tmp_path}/index"), 150)
+    assert {r.query_id: set(np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.asked_lists), np.uint8))).tolist()) for r in bits.collect()} == lists
+    assert {len(x) for x in lists.values()} == {150}
+    blocks = vector_index.read_blocks(spark, f"{tmp_path}/index").where("tenant_id = 'hot'").select("list_id", "packed").collect()
+    place = {n: r.list_id for r in blocks for n in pa.ipc.open_stream(bytes(r.packed)).read_all()["chunk_id"].to_pylist()}
+    rows = chunks.where("tenant_id = 'hot'").orderBy("chunk_id").select("chunk_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = np.array([r.chunk_id for r in rows])
+    home = np.array([place[n] for n in names.tolist()])
+    for q, own in list(lists.items())[::50]:
+        there = np.isin(home, list(own))
+        near = np.argsort(1 - x[there] @ x[names == q][0], kind="stable")[:10]
+        assert {n for asker, n in got if asker == q} == set(names[there][near].tolist())
+
+
+def test_blocks_compared_at_once_give_double_precision():
+    """Chunks that single precision can't tell apart, in joined blocks, some with a center out of reach."""
+    draw = np.random.default_rng(11)
+    x = np.repeat(draw.standard_normal((30, 16)), 20, axis=0) + 1e-9 * draw.standard_normal((600, 16))
+
+    def packed(table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        return pa.scalar(sink.getvalue().to_pybytes(), pa.binary())
+
+    asks = draw.standard_normal((40, 16))
+    empty = [None] * 40
+    asked = search.Asked(packed(pa.table({"tenant_id": ["t"] * 40, "query_id": range(40), "wanted_document": pa.array(empty, pa.string()), "query_embedding": pa.array(asks.tolist()), "limit": pa.array(empty, pa.float64())})), 7)
+    for at in range(0, 600, 150):
+        tables, centers, radii = [], [], []
+        for a in range(at, at + 150, 30):
+            vectors = pa.array(x[a : a + 30].tolist())
+            tables.append(pa.table({"document_id": ["d"] * 30, "chunk_id": range(a, a + 30), "row_key": range(30), "embedding": vectors}))
+            center, radius = search.sphere(vectors)
+            centers.append(center)
+            radii.append(radius)
+        asked.visit(search.Chunks(tables, centers, radii, 0))
+        asked.compact()
+    got = {}
+    for r in pa.Table.from_batches(asked.hits()).to_pylist():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["distance"]))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = 1 - unit(asks) @ unit(x).T
+    for q, hits in got.items():
+        assert np.allclose([d for _, d in hits], np.sort(want[q])[:7], rtol=0, atol=1e-14)
+        assert np.allclose(want[q][[c for c, _ in hits]], [d for _, d in hits], rtol=0, atol=1e-14)
+    assert len(got) == 40
